@@ -10,6 +10,11 @@ SIDES = ("left", "right", "top", "bottom")
 CONFUSABLE = ("O0", "I1l|", "S5", "B8", "Z2", "G6", "D0")
 
 
+def strip(text: str | Column) -> Column:
+    """Without white space at both ends, tabs and line ends included."""
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def folded(text: str | Column) -> Column:
     """Lower case without any white space; null is empty."""
     col = F.col(text) if isinstance(text, str) else text

@@ -144,3 +144,132 @@ shape("hint_counts", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "CAST(4
 shape("name_candidates", "orders", [
     "CAST(o_orderkey AS STRING) AS doc_id", "CAST(0 AS INT) AS pos",
     f"{choice('o_orderkey % 5', 'LQFP4', 'DFN4', '', 'QFN-6', 'MSOP-8')} AS label"])
+
+# --- document text ------------------------------------------------------------------------------------------------
+_WORDS = ("The 16-lead TSSOP package", "LQFP64", "SSOP PACKAGE(TOP VIEW)", "SOT23", "", "14 pins SOIC and QFN-20",
+          "msop 10", "7-Lead DFN", "BGA100 LQFP100")
+
+shape("lines", "documents", [
+    "CAST(doc_id AS STRING) AS doc_id", "doc_id AS d", "source",
+    ("posexplode(split(text, '\\n')) AS (line_no, line)",
+     "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line")])
+shape("blocks", "lines", [
+    "doc_id", "CAST(line_no AS BIGINT) AS seq",
+    f"{choice('(d + line_no) % 7', 'text', 'header', 'text', 'page_number', 'table', 'image', 'Footer')} AS type",
+    "CAST(floor(line_no / 5) AS INT) AS page_idx",
+    f"line || ' ' || {choice('(d * 7 + line_no) % 9', *_WORDS)} AS text",
+    "CASE WHEN (d + line_no) % 5 = 0 THEN 'note 8-lead soic' ELSE ' ' END AS aside_text",
+    ("CASE WHEN (d + line_no) % 4 = 1 THEN array('Figure DFN-8', ' ') ELSE array() END AS image_caption",
+     "CASE WHEN (d + line_no) % 4 = 1 THEN ['Figure DFN-8', ' '] ELSE [] END AS image_caption"),
+    ("CASE WHEN (d + line_no) % 6 = 1 THEN array('Table 5 LQFP64') END AS table_caption",
+     "CASE WHEN (d + line_no) % 6 = 1 THEN ['Table 5 LQFP64'] END AS table_caption"),
+    ("CAST(NULL AS array<string>) AS chart_caption", "CAST(NULL AS VARCHAR[]) AS chart_caption")])
+shape("page_counts", "documents", [
+    "CAST(doc_id AS STRING) AS doc_id",
+    "CAST(floor((length(text) - length(replace(text, chr(10), ''))) / 6) AS INT) + 1 AS page_count"])
+shape("headed_lines", "lines", [
+    "doc_id", "CAST(floor(line_no / 6) AS INT) + 1 AS page", "CAST(line_no AS BIGINT) AS line_no",
+    f"""CASE (d + line_no) % 9 WHEN 0 THEN 'Pin Configurations' WHEN 1 THEN '14 Mechanical, Packaging, and Orderable Information'
+      WHEN 2 THEN 'Figure 5. Pin Configuration' WHEN 3 THEN 'PINOUT DIAGRAM' WHEN 4 THEN 'The pin functions are listed.'
+      WHEN 5 THEN '引脚配置' WHEN 6 THEN line || ' land pattern' ELSE line END AS line"""])
+shape("rare_headed_lines", "lines", [
+    "doc_id", "CAST(floor(line_no / 6) AS INT) + 1 AS page", "CAST(line_no AS BIGINT) AS line_no",
+    "CASE WHEN (d * 31 + line_no * 17) % 23 = 0 THEN 'PINOUT DIAGRAM' ELSE line END AS line"])
+shape("toc_lines", "lines", [
+    "doc_id", "CAST(floor(line_no / 6) AS INT) + 1 AS page", "CAST(line_no AS BIGINT) AS line_no",
+    """CASE WHEN (d + line_no) % 5 = 0 THEN line || ' ........ ' || CAST((line_no * 3) % 9 + 1 AS STRING)
+      WHEN (d + line_no) % 5 = 1 THEN 'Information........ ' || CAST(line_no % 4 + 1 AS STRING)
+      WHEN line_no = 2 THEN 'Table of Contents' ELSE line END AS line"""])
+shape("tokens", "lines", [
+    "doc_id", "CAST(line_no AS BIGINT) AS ord", "CAST(line_no AS INT) AS top",
+    "CAST((d * 13 + line_no * 7) % 100 AS DOUBLE) / 100 AS confidence",
+    """CASE (d + line_no) % 11 WHEN 0 THEN 'TEXAS' WHEN 1 THEN 'INSTRUMENTS 12,70 mm' WHEN 2 THEN '28 PINS SHOWN'
+      WHEN 3 THEN 'ADS1115IDGSR, (STM32F105VCT6)' WHEN 4 THEN '3,5' WHEN 5 THEN 'on Semiconductor' WHEN 6 THEN '0,25'
+      WHEN 7 THEN 'R-PDSO-G16/FDB09-MALE' WHEN 8 THEN '1.5 inches 14-lead' ELSE line END AS text""",
+    "CASE WHEN line_no % 4 = 0 THEN 'inch' ELSE 'unknown' END AS unit_context"])
+
+_ONE = "CAST(p_size % 10 AS STRING) || '.' || CAST(p_partkey % 90 + 10 AS STRING)"
+_TWO = "'0.' || CAST(p_size % 9 + 1 AS STRING)"
+shape("dimension_tokens", "part", [
+    "p_brand AS doc_id", "CAST(p_partkey AS STRING) AS token_id",
+    "CASE WHEN p_partkey % 3 = 0 THEN 'table_nom' ELSE 'unknown' END AS value_role",
+    f"""CASE p_partkey % 17 WHEN 0 THEN replace({_ONE}, '.', ',') WHEN 1 THEN {_ONE} || '±' || {_TWO}
+      WHEN 2 THEN '.500(' || {_ONE} || '±' || {_TWO} || ')' WHEN 3 THEN '2-Ø' || {_ONE} WHEN 4 THEN {_ONE} || ' REF'
+      WHEN 5 THEN 'A' || CAST(p_size AS STRING) WHEN 6 THEN {_ONE} || '-12.5' WHEN 7 THEN {_ONE} || ' MAX'
+      WHEN 8 THEN {_ONE} || ' +' || {_TWO} || '/-0.05' WHEN 9 THEN '(' || {_ONE} || ')(' || {_TWO} || ')'
+      WHEN 10 THEN {_ONE} || ' ' || {_TWO} WHEN 11 THEN 'R' || {_ONE} WHEN 12 THEN {_ONE} || ' mm'
+      WHEN 13 THEN CAST(p_size AS STRING) || ' PINS SHOWN' WHEN 14 THEN 'R-PDSO-G' || CAST(p_size AS STRING)
+      WHEN 15 THEN '0°-' || CAST(p_size AS STRING) || '°' ELSE '.5' END AS text"""])
+shape("named_packages", "part", [
+    "CAST(p_partkey AS STRING) AS doc_id",
+    f"""CASE p_partkey % 7 WHEN 0 THEN {choice('p_size % 4', 'LQFP', 'tssop ', 'BGA-', 'QFN_')} || CAST(p_size AS STRING)
+      WHEN 1 THEN 'SOT23-' || CAST(p_size AS STRING) WHEN 2 THEN 'DGS00' || CAST(p_size AS STRING) || 'A'
+      WHEN 3 THEN p_name || ' ' || CAST(p_size AS STRING) WHEN 4 THEN 'STM32F105VCT6' WHEN 5 THEN 'PW'
+      ELSE CAST(p_size AS STRING) END AS package""",
+    "'dir/C' || CAST(p_size AS STRING) || '_' || p_type || '(MCU)_' || CASE WHEN p_partkey % 2 = 0 THEN 'STM32F' ELSE 'ads' END"
+    " || CAST(p_partkey AS STRING) || '_datasheet_9b88e7418e27.v2.pdf' AS file"])
+shape("ordering_codes", "part", [
+    "p_brand AS doc_id", "p_partkey AS ord",
+    "'ADS' || CAST(p_size AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN 'I' ELSE '' END || 'DGS'"
+    " || CASE WHEN p_partkey % 3 = 0 THEN 'R' WHEN p_partkey % 3 = 1 THEN 'T' ELSE '' END AS identifier",
+    "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'dgs' END AS package_code"])
+shape("pin_cells", "customer", [
+    "CAST(c_nationkey AS STRING) AS doc_id", "c_custkey AS seq",
+    """CASE c_custkey % 6 WHEN 0 THEN CAST(c_custkey AS STRING) WHEN 1 THEN '1, ' || CAST(c_custkey % 50 AS STRING) || ',1'
+      WHEN 2 THEN 'B6, ' || 'A' || CAST(c_custkey % 20 AS STRING) WHEN 3 THEN '3, x' WHEN 4 THEN '' ELSE 'ABCD1' END AS numbers""",
+    "CASE WHEN c_custkey % 13 = 0 THEN ' nc' ELSE c_mktsegment END AS name",
+    f"{choice('c_custkey % 7', 'Digital I/O', 'Output', 'analog input', 'DO', '1/0', 'Power', 'ai')} AS type"])
+shape("left_names", "customer", ["CAST(c_nationkey AS STRING) AS doc_id", "CAST(c_custkey AS STRING) AS pin_number",
+                                 f"{choice('c_custkey % 5', 'AIN0', 'RESET', 'SB8', 'IN1', 'GND')} AS name"])
+shape("right_names", "customer", ["CAST(c_nationkey AS STRING) AS doc_id", "CAST(c_custkey AS STRING) AS pin_number",
+                                  f"{choice('c_custkey % 7', 'AINO', 'RE5ET', '588', 'INl', 'GND', 'AIN0', 'S8B')} AS name"])
+shape("scored_pages", "documents", [
+    "source AS doc_id", "doc_id AS page",
+    f"""text || ' ' || {choice('doc_id % 8', 'Top View LQFP 100', 'pin functions', 'Package Outline TOP VIEW LQFP100',
+                              'package dimensions SSOP', '', 'PINOUT of SSOP', 'lqfp1000', 'pin assignment pin definitions')} AS text"""])
+shape("source_packages", "supplier", ["'src' || CAST(s_suppkey AS STRING) AS doc_id",
+                                      f"{choice('s_suppkey % 3', 'LQFP100', 'ssop', '')} AS package"])
+shape("entry_pages", "events", ["CAST(user_id AS STRING) AS doc_id", "CAST(event_id % 300 AS INT) + 1 AS page",
+                                "event_type = 'purchase' AS hit"])
+shape("entry_counts", "customer", ["CAST(c_custkey AS STRING) AS doc_id", "CAST(c_custkey % 50 AS INT) + 260 AS page_count"])
+for _kind, _event in (("pin_pages", "purchase"), ("hint_page_rows", "view"), ("package_pages", "click")):
+    shape(_kind, "entry_rows", ["doc_id", "page"], f"event_type = '{_event}'")
+shape("entry_rows", "events", ["CAST(user_id % 12 AS STRING) AS doc_id", "CAST(event_id % 400 AS INT) + 1 AS page", "event_type"])
+shape("subset_docs", "customer", ["CAST(c_custkey AS STRING) AS doc_id", series("0", "19", "place")])
+shape("subset_pages", "subset_docs", ["doc_id", "CAST(place AS INT) AS place", "CAST(place * 2 + 1 AS INT) AS page"])
+shape("subset_blocks", "events", ["CAST(user_id AS STRING) AS doc_id", "event_id AS seq",
+                                  "CASE WHEN event_type <> 'view' THEN CAST(floor(value) AS INT) END AS page_idx"])
+
+# --- search and chunks ---------------------------------------------------------------------------------------------
+shape("result_rows", "pages", ["page_id", "url", "html", series("1", "2", "i")])
+shape("results", "result_rows", [
+    "page_id % 40 AS task_id", "page_id * 2 + i AS ord",
+    "CASE WHEN i = 1 THEN url ELSE ' ' || upper(url) || '/' END AS url",
+    ("array('q' || CAST((page_id + i) % 3 AS STRING), 'q' || CAST(i AS STRING)) AS source_queries",
+     "['q' || CAST((page_id + i) % 3 AS STRING), 'q' || CAST(i AS STRING)] AS source_queries"),
+    "regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title", "'' AS snippet", "regexp_extract(html, '<p>(.*?)</p>', 1) AS content"])
+shape("search_tasks", "benchmark", [
+    "item_id AS task_id", "text AS task",
+    ("array('Example.com', 'thther.example.org') AS target_domains", "['Example.com', 'thther.example.org'] AS target_domains")])
+shape("search_products", "benchmark", [
+    "item_id AS task_id",
+    ("CASE item_id % 4 WHEN 0 THEN array('exa-xxle', 'q') WHEN 1 THEN array('cheap.pills') WHEN 2 THEN array('ADS1115', 'th/th') ELSE array('zz9') END AS identifiers",
+     "CASE item_id % 4 WHEN 0 THEN ['exa-xxle', 'q'] WHEN 1 THEN ['cheap.pills'] WHEN 2 THEN ['ADS1115', 'th/th'] ELSE ['zz9'] END AS identifiers"),
+    "CASE WHEN item_id % 3 = 0 THEN 'net, QFN-20' ELSE 'VQFN 20' END AS package_type"])
+shape("citations", "pages", ["page_id % 40 AS task_id", "page_id AS ord",
+                             "CASE WHEN page_id % 5 = 0 THEN url ELSE 'http://elsewhere.example/' || CAST(page_id AS STRING) END AS url"])
+shape("chunk_texts", "documents", ["doc_id AS id", "doc_id % 3 AS tenant_id", "doc_id % 2 AS course_id", "text"])
+shape("query_texts", "benchmark", ["item_id AS query_id", "item_id % 3 AS tenant_id",
+                                   "CASE WHEN item_id % 4 = 0 THEN item_id % 2 END AS course_id", "text"])
+shape("markdown_lines", "lines", [
+    "doc_id", "CAST(line_no AS BIGINT) AS line_no",
+    """CASE (d * 3 + line_no * 5) % 13 WHEN 0 THEN '# ' || line WHEN 4 THEN '## Part ' || CAST(line_no AS STRING) WHEN 7 THEN '### Sub'
+      WHEN 9 THEN '#### Deep' WHEN 11 THEN '```' WHEN 12 THEN '##### five' ELSE line END AS line"""])
+shape("old_chunks", "documents", ["'c' || CAST(doc_id AS STRING) AS id", "CAST(doc_id % 50 AS STRING) AS document_id",
+                                  "text AS content", "CAST(doc_id AS INT) AS chunk_index", "CAST(1 AS BIGINT) AS updated_at"])
+shape("new_chunks", "documents", ["'c' || CAST(doc_id + 400 AS STRING) AS id", "CAST(doc_id % 30 AS STRING) AS document_id",
+                                  "source || text AS content", "CAST(doc_id AS INT) AS chunk_index", "CAST(2 AS BIGINT) AS updated_at"])
+shape("typed_values", "part", [
+    "p_partkey AS doc_id", f"{choice('p_partkey % 4', 'nominal_pin_count', 'terminal_pitch', 'lead_angle', 'negative_side_pin_span')} AS field",
+    "CASE WHEN p_partkey % 10 = 0 THEN 0.0 WHEN p_partkey % 7 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_retailprice / 10 END AS value",
+    f"{choice('p_partkey % 9', 'mm', 'cm', 'Mil', 'inch', '', 'pins', 'deg', 'um', '英寸')} AS unit"])
