@@ -96,8 +96,8 @@ def t5(spark, sf):
 
 
 @query("j18_allowed_citations", EVIDENCE + ctes("citations").replace("WITH", ",", 1) + """, known AS (SELECT * FROM citations SEMI JOIN evidence USING (task_id, url)),
-  best AS (SELECT task_id, url, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, url) AS ord FROM evidence QUALIFY ord <= 5)
-  SELECT task_id, ord, url, false AS fallback FROM known UNION ALL SELECT task_id, ord, url, true FROM best ANTI JOIN known USING (task_id)""")
+  best AS (SELECT task_id, url, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, url) AS rn FROM evidence QUALIFY rn <= 5)
+  SELECT task_id, ord, url, false AS fallback FROM known UNION ALL SELECT task_id, rn, url, true FROM best ANTI JOIN known USING (task_id)""")
 def j18(spark, sf):
     return search.allowed_citations(frame(spark, sf, "citations"), _evidence(spark, sf))
 

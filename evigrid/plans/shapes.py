@@ -6,6 +6,8 @@ rows. Where the dialects differ an entry is a pair (spark, duckdb).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .registry import table
@@ -273,3 +275,87 @@ shape("typed_values", "part", [
     "p_partkey AS doc_id", f"{choice('p_partkey % 4', 'nominal_pin_count', 'terminal_pitch', 'lead_angle', 'negative_side_pin_span')} AS field",
     "CASE WHEN p_partkey % 10 = 0 THEN 0.0 WHEN p_partkey % 7 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_retailprice / 10 END AS value",
     f"{choice('p_partkey % 9', 'mm', 'cm', 'Mil', 'inch', '', 'pins', 'deg', 'um', '英寸')} AS unit"])
+
+# --- geometry -----------------------------------------------------------------------------------------------------------
+
+
+def vector(text: str) -> tuple[str, str]:
+    """E1..E64 as the elements of the embedding in both dialects."""
+    return (re.sub(r"\bE(\d+)\b", lambda m: f"CAST(embedding[{int(m[1]) - 1}] AS DOUBLE)", text),
+            re.sub(r"\bE(\d+)\b", lambda m: f"CAST(embedding[{m[1]}] AS DOUBLE)", text))
+
+
+def _px(expr: str, name: str) -> tuple[str, str]:
+    return vector(f"CAST(floor({expr}) AS INT) AS {name}")
+
+
+shape("box_base", "embeddings", [
+    "CAST(label AS STRING) AS doc_id", "CAST(vec_id AS STRING) AS id", "vec_id AS ord",
+    _px("(E1 + 0.5) * 800", "x1"), _px("(E2 + 0.5) * 600", "y1"), _px("20 + abs(E3) * 200", "w"), _px("8 + abs(E4) * 60", "h"),
+    vector("round(least(1.0, 0.5 + abs(E5) * 3), 4) AS confidence"),
+    f"{choice('vec_id % 7', '12.5', 'SOT-23 view', '1,5', '3.0-3.2', '28 PINS', 'Top View', '2-Ø1.5')} AS text",
+    "CASE WHEN vec_id % 9 = 0 THEN 90 ELSE 0 END AS rotation_deg", "'r' || CAST(vec_id % 60 AS STRING) AS source_region_id"])
+shape("boxes", "box_base", ["doc_id", "id", "ord", "x1", "y1", "x1 + w AS x2", "y1 + h AS y2", "confidence", "text", "rotation_deg", "source_region_id"])
+shape("dense_boxes", "boxes", ["doc_id", "id", "ord", "CAST(floor(x1 / 120) * 30 AS INT) AS x1", "CAST(floor(y1 / 120) * 12 AS INT) AS y1",
+                               "CAST(floor(x1 / 120) * 30 AS INT) + 45 + ord % 8 AS x2", "CAST(floor(y1 / 120) * 12 AS INT) + 20 + ord % 4 AS y2",
+                               "confidence", "CASE WHEN ord % 2 = 0 THEN 'A1' ELSE 'a1' END AS text"])
+shape("regions", "supplier", [
+    "CAST(s_suppkey % 10 AS STRING) AS doc_id", "'r' || CAST(s_suppkey AS STRING) AS region_id", "s_suppkey AS ord",
+    "CAST((s_suppkey * 37) % 500 AS INT) AS x1", "CAST((s_suppkey * 53) % 400 AS INT) AS y1",
+    "CAST((s_suppkey * 37) % 500 + 60 + s_nationkey * 12 AS INT) AS x2", "CAST((s_suppkey * 53) % 400 + 50 + s_nationkey * 9 AS INT) AS y2",
+    "CAST((60 + s_nationkey * 12) * (50 + s_nationkey * 9) AS DOUBLE) / 480000 AS area_ratio"])
+shape("images", "nation", ["CAST(n_nationkey AS STRING) AS doc_id", "800 AS width", "600 AS height"])
+shape("drawn_lines", "embeddings", [
+    "CAST(label AS STRING) AS doc_id", "'l' || CAST(vec_id AS STRING) AS line_id", "vec_id AS ord",
+    f"{choice('vec_id % 3', 'dimension_line', 'extension_line', 'contour')} AS type",
+    _px("(E9 + 0.5) * 800", "lx1"), _px("(E10 + 0.5) * 600", "ly1"),
+    _px("(E9 + 0.5) * 800 + CASE WHEN vec_id % 2 = 0 THEN 40 + abs(E11) * 300 ELSE 2 END", "lx2"),
+    _px("(E10 + 0.5) * 600 + CASE WHEN vec_id % 2 = 0 THEN 1 WHEN vec_id % 5 = 0 THEN 70 ELSE 40 + abs(E12) * 300 END", "ly2"),
+    ("CASE WHEN vec_id % 4 = 0 THEN array('a' || CAST(vec_id AS STRING)) ELSE array() END AS arrow_ids",
+     "CASE WHEN vec_id % 4 = 0 THEN ['a' || CAST(vec_id AS STRING)] ELSE [] END AS arrow_ids"),
+    vector("round(least(1.0, 0.5 + abs(E13) * 3), 4) AS confidence"), "'r' || CAST(vec_id % 60 AS STRING) AS source_region_id"])
+shape("pads", "embeddings", [
+    "CAST(label AS STRING) AS spec_id", "vec_id AS ord", "'P' || CAST(vec_id AS STRING) AS number",
+    vector("round(E1 * 14, 4) AS x"), vector("round(E2 * 14, 4) AS y"), vector("round(0.15 + abs(E3), 4) AS size_x"),
+    vector("round(0.15 + abs(CASE WHEN vec_id % 3 = 0 THEN E3 ELSE E4 END), 4) AS size_y"),
+    "CASE WHEN vec_id % 3 = 0 THEN 'CIRCLE' ELSE 'RECTANGLE' END AS shape"])
+shape("pad_specs", "nation", ["CAST(n_nationkey AS STRING) AS spec_id", "0.15 AS min_clearance", "n_nationkey % 2 = 0 AS ep_present",
+                              "CAST(1.5 AS DOUBLE) AS ep_x", "CAST(1.0 AS DOUBLE) AS ep_y", "'EP' AS ep_pin_number"])
+shape("dual_specs", "part", [
+    "CAST(p_partkey AS STRING) AS spec_id", "CAST(0.15 AS DOUBLE) AS min_clearance", "CAST(0.4 + p_size / 100.0 AS DOUBLE) AS pin_pitch",
+    "CAST(0.3 + (p_partkey % 7) / 50.0 AS DOUBLE) AS land_y", "CAST(0.8 AS DOUBLE) AS land_x", "p_partkey % 3 = 0 AS ep_present",
+    "CASE WHEN p_partkey % 6 = 0 THEN CAST(1.0 + (p_partkey % 20) / 10.0 AS DOUBLE) END AS ep_x",
+    ("array(CAST(-1.5 AS DOUBLE), CAST(1.4 AS DOUBLE)) AS pin_columns_x", "[CAST(-1.5 AS DOUBLE), CAST(1.4 AS DOUBLE)] AS pin_columns_x")])
+_BOX3 = [vector("round(-1 + E1 / 9, 4) AS xmin"), vector("round(1 + E2 / 9, 4) AS xmax"), vector("round(-2 + E3 / 9, 4) AS ymin"),
+         vector("round(2 + E4 / 9, 4) AS ymax"), "0.0 AS zmin", vector("round(1 + E5 / 9, 4) AS zmax")]
+_BOX3R = [vector("round(-1 + E6 / 9, 4) AS xmin"), vector("round(1 + E7 / 9, 4) AS xmax"), vector("round(-2 + E8 / 9, 4) AS ymin"),
+          vector("round(2 + E9 / 9, 4) AS ymax"), "0.0 AS zmin", vector("round(1 + E10 / 9, 4) AS zmax")]
+shape("built_models", "embeddings", [
+    "CAST(vec_id AS STRING) AS doc_id", *_BOX3, vector("round(8 + E11 / 2, 4) AS volume_mm3"), "CAST(vec_id % 3 + 1 AS INT) AS solid_count",
+    "CAST(vec_id % 20 + 5 AS INT) AS face_count", "CAST(vec_id % 30 + 9 AS INT) AS edge_count", "vec_id % 17 <> 0 AS is_valid",
+    "CASE WHEN vec_id % 4 = 0 THEN 'exact' ELSE 'similar' END AS match_type",
+    "CASE WHEN vec_id % 5 = 0 THEN 'web_exact' ELSE 'local_feature_ir' END AS model_source", "CAST(vec_id % 2 AS INT) AS missing_structures"])
+shape("reference_models", "embeddings", [
+    "CAST(vec_id AS STRING) AS doc_id", *_BOX3R, vector("round(8 + E12 / 2, 4) AS volume_mm3"),
+    "CASE WHEN vec_id % 7 <> 0 THEN CAST(vec_id % 2 + 1 AS INT) END AS solid_count", "CAST(2 AS INT) AS minimum_solid_count",
+    "CAST(vec_id % 18 + 5 AS INT) AS face_count", "CAST(vec_id % 29 + 9 AS INT) AS edge_count", "CAST(vec_id % 12 AS INT) AS minimum_face_count"])
+shape("read_docs", "customer", [
+    "CAST(c_custkey AS STRING) AS doc_id", "CAST(CASE WHEN c_custkey % 31 = 0 THEN 0.895 ELSE 0.1 END AS DOUBLE) AS bx1", "CAST(0.2 AS DOUBLE) AS by1",
+    "CAST(CASE WHEN c_custkey % 37 = 0 THEN 1.2 ELSE 0.9 END AS DOUBLE) AS bx2", "CAST(0.8 AS DOUBLE) AS by2", "640 AS width", "480 AS height",
+    "CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 3 AS INT) END AS pin_count"])
+shape("read_pins", "embeddings", [
+    "CAST(vec_id % 60 AS STRING) AS doc_id", "vec_id AS ord", "CASE WHEN vec_id % 41 = 0 THEN 'x' ELSE CAST(CAST(floor(vec_id / 60) AS INT) % 7 AS STRING) END AS pin_number",
+    "CASE WHEN vec_id % 11 = 0 THEN '' ELSE 'NAME' || CAST(vec_id AS STRING) END AS name",
+    f"{choice('CAST(floor(vec_id / 60) AS INT) % 5', 'left', 'right', 'top', 'bottom', 'unknown')} AS side",
+    vector("round(0.5 + E1 * 1.5, 4) AS x"), vector("round(0.5 + E2 * 1.5, 4) AS y"), vector("round(0.8 + abs(E3), 4) AS confidence"), "vec_id % 13 = 0 AS uncertain"])
+shape("placed_pins", "read_pins", ["doc_id", "ord", "CAST(ord AS STRING) AS pin_number", "name",
+                                   f"{choice('CAST(floor(ord / 60) AS INT) % 4', 'left', 'right', 'top', 'bottom')} AS side", "x", "y"])
+shape("side_points", "embeddings", [
+    "CAST(label AS STRING) AS doc_id", f"{choice('vec_id % 2', 'left', 'right')} AS side", "CAST(vec_id AS STRING) AS id", "vec_id AS ord",
+    vector("round(E1, 2) AS at_y"), "CAST(1.0 AS DOUBLE) AS span"])
+shape("observed_pads", "embeddings", [
+    "CAST(label AS STRING) AS job_id", "CASE WHEN vec_id % 23 = 0 THEN 'extra' ELSE 'P' END || CAST(vec_id AS STRING) AS number",
+    vector("round(E1 * 14, 4) + CASE WHEN vec_id % 5 = 0 THEN 0.0009 WHEN vec_id % 7 = 0 THEN 0.002 ELSE 0 END AS x"), vector("round(E2 * 14, 4) AS y"),
+    vector("round(0.15 + abs(E3), 4) + CASE WHEN vec_id % 11 = 0 THEN 0.01 ELSE 0 END AS size_x"),
+    vector("round(0.15 + abs(CASE WHEN vec_id % 3 = 0 THEN E3 ELSE E4 END), 4) AS size_y"),
+    "CASE WHEN vec_id % 3 = 0 THEN 'circle' ELSE 'RECTANGLE' END AS shape"])

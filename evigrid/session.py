@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,12 +35,14 @@ def local_session(cpus: int | None = None, app: str = "evigrid") -> SparkSession
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared folder the cluster names; `fallback` is used only where none is set (tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names in spark.checkpoint.dir; only a local master falls back to a
+    folder of its own."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and spark.sparkContext.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if named is None:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    spark.sparkContext.setCheckpointDir(named)
