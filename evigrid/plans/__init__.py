@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from . import account_queries, geometry_queries, pin_queries, search_queries, text_queries  # noqa: F401
+from . import account_queries, evidence_queries, geometry_queries, pin_queries, search_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -322,9 +322,9 @@ shape("pads", "embeddings", [
 shape("pad_specs", "nation", ["CAST(n_nationkey AS STRING) AS spec_id", "0.15 AS min_clearance", "n_nationkey % 2 = 0 AS ep_present",
                               "CAST(1.5 AS DOUBLE) AS ep_x", "CAST(1.0 AS DOUBLE) AS ep_y", "'EP' AS ep_pin_number"])
 shape("dual_specs", "part", [
-    "CAST(p_partkey AS STRING) AS spec_id", "CAST(0.15 AS DOUBLE) AS min_clearance", "CAST(0.4 + p_size / 100.0 AS DOUBLE) AS pin_pitch",
-    "CAST(0.3 + (p_partkey % 7) / 50.0 AS DOUBLE) AS land_y", "CAST(0.8 AS DOUBLE) AS land_x", "p_partkey % 3 = 0 AS ep_present",
-    "CASE WHEN p_partkey % 6 = 0 THEN CAST(1.0 + (p_partkey % 20) / 10.0 AS DOUBLE) END AS ep_x",
+    "CAST(p_partkey AS STRING) AS spec_id", "CAST(0.15 AS DOUBLE) AS min_clearance", "CAST(0.4 + p_size / CAST(100 AS DOUBLE) AS DOUBLE) AS pin_pitch",
+    "CAST(0.3 + (p_partkey % 7) / CAST(50 AS DOUBLE) AS DOUBLE) AS land_y", "CAST(0.8 AS DOUBLE) AS land_x", "p_partkey % 3 = 0 AS ep_present",
+    "CASE WHEN p_partkey % 6 = 0 THEN CAST(1.0 + (p_partkey % 20) / CAST(10 AS DOUBLE) AS DOUBLE) END AS ep_x",
     ("array(CAST(-1.5 AS DOUBLE), CAST(1.4 AS DOUBLE)) AS pin_columns_x", "[CAST(-1.5 AS DOUBLE), CAST(1.4 AS DOUBLE)] AS pin_columns_x")])
 _BOX3 = [vector("round(-1 + E1 / 9, 4) AS xmin"), vector("round(1 + E2 / 9, 4) AS xmax"), vector("round(-2 + E3 / 9, 4) AS ymin"),
          vector("round(2 + E4 / 9, 4) AS ymax"), "0.0 AS zmin", vector("round(1 + E5 / 9, 4) AS zmax")]
@@ -359,3 +359,117 @@ shape("observed_pads", "embeddings", [
     vector("round(0.15 + abs(E3), 4) + CASE WHEN vec_id % 11 = 0 THEN 0.01 ELSE 0 END AS size_x"),
     vector("round(0.15 + abs(CASE WHEN vec_id % 3 = 0 THEN E3 ELSE E4 END), 4) AS size_y"),
     "CASE WHEN vec_id % 3 = 0 THEN 'circle' ELSE 'RECTANGLE' END AS shape"])
+
+# --- evidence and families ----------------------------------------------------------------------------------------------
+_ONE_P = "CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey % 3 + 1 AS STRING)"
+shape("ev_tokens", "lineitem", [
+    "CAST(l_orderkey AS STRING) AS doc_id", "'t' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey % 4 AS STRING) AS token_id",
+    "l_partkey AS p", "l_suppkey AS s"])
+shape("tokens_a", "ev_tokens", ["doc_id", "token_id", "p", "s", "row_number() OVER (PARTITION BY doc_id, token_id ORDER BY p, s) AS rn"])
+shape("ev_token_rows", "tokens_a", [
+    "doc_id", "token_id",
+    f"CASE WHEN s % 9 = 0 THEN 'A1' WHEN s % 9 = 1 THEN '8 PINS' WHEN s % 9 = 2 THEN CAST(s % 5 AS STRING) || ' mm' WHEN s % 9 = 3 THEN '1.0-2.0'"
+    " WHEN s % 9 = 4 THEN '2.5' ELSE CAST(p % 3 + 1 AS STRING) || '.5' END AS text",
+    "CASE WHEN s % 4 = 0 THEN 'table_nom' ELSE 'unknown' END AS value_role", "CASE WHEN s % 7 = 0 THEN 'unknown' ELSE 'mm' END AS unit_context",
+    "'r' || CAST(s % 3 AS STRING) AS source_region_id", "CAST(0.7 + (p % 30) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence",
+    "CAST(p % 200 AS INT) AS x1", "CAST(s % 100 AS INT) AS y1", "CAST(p % 200 + 20 AS INT) AS x2", "CAST(s % 100 + 10 AS INT) AS y2"], "rn = 1")
+shape("ev_lines", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "'l' || CAST(o_custkey % 3 AS STRING) AS line_id"])
+_FIELDS = ("total_height", "terminal_length", "body_standoff", "nominal_pin_count", "pin_span", "lead_angle_deg", "overall_width", "terminal_thickness")
+shape("ev_assignments", "lineitem", [
+    "CAST(l_orderkey AS STRING) AS doc_id", "l_partkey * 1000 + l_suppkey % 1000 AS assignment_id", f"{choice('l_partkey % 8', *_FIELDS)} AS canonical_name",
+    *[(f"CASE WHEN l_quantity < 20 THEN array(t1) WHEN l_quantity < 45 THEN array(t1, t2) ELSE array(t1, t2, t3) END AS token_ids".replace("t1", a).replace("t2", b).replace("t3", c),
+       f"CASE WHEN l_quantity < 20 THEN [t1] WHEN l_quantity < 45 THEN [t1, t2] ELSE [t1, t2, t3] END AS token_ids".replace("t1", a).replace("t2", b).replace("t3", c))
+      for a, b, c in [("'t' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey % 4 AS STRING)", "'t' || CAST(l_linenumber % 7 + 1 AS STRING) || '_' || CAST(l_partkey % 4 AS STRING)",
+                       "'t' || CAST(l_linenumber AS STRING) || '_1'")]],
+    ("CASE WHEN l_suppkey % 3 = 0 THEN array() ELSE array('l' || CAST(l_suppkey % 3 AS STRING)) END AS line_ids",
+     "CASE WHEN l_suppkey % 3 = 0 THEN [] ELSE ['l' || CAST(l_suppkey % 3 AS STRING)] END AS line_ids"),
+    "l_returnflag AS target_feature", "CAST(0.7 + l_discount * 2 + l_tax AS DOUBLE) AS confidence"])
+_FAMILIES = ("ic/gullwing_ic", "ic/quad_gullwing_ic", "ic/qfn_ufqfpn", "resistor/two_terminal_chip", "connector/cn/dsub_connector")
+shape("ev_docs", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", f"{choice('o_custkey % 5', *_FAMILIES)} AS family_id",
+                            f"{choice('o_custkey % 4', 'SOT-23', 'SOIC8', 'QFN', 'LQFP')} AS package_type"])
+shape("ev_features", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", f"{choice('o_orderkey % 4', 'molded_body', 'gullwing_lead', 'chip_body', 'two_side_lead_array')} AS feature"])
+shape("ev_unresolved", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "'unresolved' AS kind", f"{choice('o_custkey % 8', *_FIELDS)} AS field"], "o_orderstatus = 'P'")
+
+_VALUES = [
+    ("nominal_pin_count", "4 * (p_size % 6 + 1) + CASE WHEN p_size % 11 = 0 THEN 1 ELSE 0 END"), ("terminal_pitch", "0.5"),
+    ("pin_span", "(2 * (p_size % 6 + 1) - 1) * 0.5"), ("total_height", "1.2"), ("housing_height", "1.1"), ("body_standoff", "0.1"),
+    ("overall_width", "6.4"), ("body_width", "4.4"), ("body_length", "4.4 + p_size % 3"), ("terminal_length", "0.6"), ("terminal_thickness", "0.15"),
+    ("terminal_width", "0.25"), ("overall_length", "6.4 + p_size % 3"), ("terminal_span", "(p_size % 6) * 0.5"), ("lead_projection", "1.0"),
+    ("terminal_height", "0.2"), ("exposed_pad_length", "3.0"), ("exposed_pad_width", "4.5 - p_size % 2"), ("body_height", "0.5"),
+    ("circuit_count", "9"), ("contact_pitch", "2.77"), ("contact_column_span", "11.08"), ("rear_housing_width", "30.0"),
+    ("contact_inner_diameter", "1.0"), ("contact_outer_diameter", "1.6"), ("negative_side_pin_count", "2 * (p_size % 6 + 1)"),
+    ("positive_side_pin_count", "2 * (p_size % 6 + 1)"), ("negative_side_pin_span", "(2 * (p_size % 6 + 1) - 1) * 0.5"),
+    ("positive_side_pin_span", "(2 * (p_size % 6 + 1) - 1) * 0.5"), ("overall_height", "12.5"), ("front_projection_depth", "6.0"), ("rear_body_depth", "9.0"),
+    ("front_plate_height", "12.4"), ("plate_thickness", "1.0"), ("front_shell_top_width", "17.0"), ("front_shell_bottom_width", "16.0"),
+    ("front_shell_height", "8.3"), ("shell_wall_thickness", "0.4"), ("mounting_center_span", "25.0"), ("mounting_hole_diameter", "3.1"),
+    ("mounting_outer_diameter", "5.0"), ("rear_housing_height", "11.0"), ("contact_row_spacing", "2.84"), ("signal_pin_width", "0.6"), ("pin_tail_length", "3.2")]
+shape("family_docs", "part", ["CAST(p_partkey AS STRING) AS doc_id", f"{choice('p_partkey % 5', *_FAMILIES)} AS family_id",
+                              f"{choice('p_size % 4', 'SOT-23', 'SOIC8', 'QFN', 'LQFP')} AS package_type"])
+shape("param_slots", "part", ["p_partkey", "p_size", f"{choice('p_partkey % 5', *_FAMILIES)} AS family_id", series("0", str(len(_VALUES) - 1), "i")])
+_ROWISH = "i BETWEEN 25 AND 28"
+shape("params", "param_slots", [
+    "CAST(p_partkey AS STRING) AS doc_id", "family_id", f"CASE i {' '.join(f'WHEN {k} THEN ' + repr(n) for k, (n, _) in enumerate(_VALUES))} END AS canonical_name",
+    f"CAST(CASE i {' '.join(f'WHEN {k} THEN {v}' for k, (_, v) in enumerate(_VALUES))} END AS DOUBLE) + CASE WHEN i <> 0 AND (p_partkey + i * 7) % 61 = 0 THEN 0.3 ELSE 0 END AS value",
+    "CASE WHEN i IN (0, 19, 25, 26) THEN 'count' WHEN (p_partkey + i) % 97 = 0 THEN 'unknown' ELSE 'mm' END AS unit",
+    "CAST(0.78 + ((p_partkey * 3 + i) % 22) / CAST(100 AS DOUBLE) AS DOUBLE) AS ocr_confidence", "CAST(0.8 + ((p_partkey + i * 5) % 20) / CAST(100 AS DOUBLE) AS DOUBLE) AS semantic_confidence",
+    "CASE WHEN (p_partkey + i) % 19 = 0 THEN 'human_input' WHEN (p_partkey + i) % 5 = 0 THEN 'table_row' ELSE 'dimension_line' END AS evidence_kind",
+    ("CASE WHEN (p_partkey + i) % 19 = 0 THEN array('human_input:q1:' || CAST(i AS STRING)) ELSE array('t' || CAST(i AS STRING), 'l' || CAST(i % 3 AS STRING)) END AS evidence_ids",
+     "CASE WHEN (p_partkey + i) % 19 = 0 THEN ['human_input:q1:' || CAST(i AS STRING)] ELSE ['t' || CAST(i AS STRING), 'l' || CAST(i % 3 AS STRING)] END AS evidence_ids"),
+    ("array('t' || CAST(i AS STRING)) AS token_ids", "['t' || CAST(i AS STRING)] AS token_ids"),
+    ("CASE WHEN i = 0 AND p_size % 5 = 0 THEN array('28 pin 5.0 x 6 mm', '0.65 mm pitch') ELSE array('v' || CAST(i AS STRING)) END AS raw_texts",
+     "CASE WHEN i = 0 AND p_size % 5 = 0 THEN ['28 pin 5.0 x 6 mm', '0.65 mm pitch'] ELSE ['v' || CAST(i AS STRING)] END AS raw_texts"),
+    "(p_partkey + i) % 19 <> 0 AND (p_partkey + i) % 83 <> 0 AS has_boxes"],
+    f"NOT ({_ROWISH} AND p_size > 8) AND NOT (p_size BETWEEN i AND i + 2 AND i > 0)")
+shape("operator_values", "part", [
+    "CAST(p_partkey AS STRING) AS doc_id", f"{choice('p_partkey % 5', *_FAMILIES)} AS family_id",
+    f"{choice('p_size % 3', 'total_height', 'terminal_span', 'body_width')} AS canonical_name", "CAST(1.3 AS DOUBLE) AS value", "'mm' AS unit", "'q9' AS question_id"],
+    "p_type = 'SMALL'")
+shape("family_selections", "part", [
+    "CAST(p_partkey AS STRING) AS doc_id", f"{choice('p_partkey % 9', 'two_terminal_chip', 'gullwing_ic', 'ic/ufqfpn', 'connector/mt', '', 'nothing', 'dsub_connector', ' misc ', 'ic/qfn_ufqfpn')} AS family_id",
+    f"{choice('p_size % 6', 'Resistor', '', 'ic', 'connector', 'capacitor', 'other')} AS category_id",
+    f"{choice('p_size % 5', 'CN', '', 'mt', 'xx', '')} AS subcategory_id", f"{choice('p_size % 4', 'MLCC part', 'a resistor', '电阻 capacitor', '')} AS identity_text"])
+shape("class_tokens", "lines", [
+    "doc_id", "CAST(line_no AS BIGINT) AS ord", "CAST((d * 13 + line_no * 7) % 100 AS DOUBLE) / 100 AS confidence",
+    """CASE (d * 5 + line_no) % 23 WHEN 0 THEN 'D2' WHEN 1 THEN 'E2' WHEN 2 THEN 'A3' WHEN 3 THEN 'b' WHEN 4 THEN '8-lead' WHEN 5 THEN 'small outline' WHEN 6 THEN 'transistor'
+      WHEN 7 THEN CASE WHEN d % 7 = 0 THEN 'LQFP 64' ELSE 'x' END WHEN 8 THEN CASE WHEN d % 9 = 0 THEN 'QFN-20' ELSE 'y' END WHEN 9 THEN 'resistors' ELSE line END AS text"""])
+shape("classes", "documents", ["CAST(doc_id AS STRING) AS doc_id", f"{choice('doc_id % 4', 'two_terminal_chip', 'gullwing_ic', 'ic/qfn_ufqfpn', '')} AS family_id",
+                               f"{choice('doc_id % 3', 'ic', '', 'resistor')} AS category_id", "'' AS subcategory_id", "CAST(0.85 + (doc_id % 15) / CAST(100 AS DOUBLE) AS DOUBLE) AS overall_confidence"])
+shape("view_rows", "part", ["CAST(p_partkey AS STRING) AS doc_id", f"{choice('p_size % 6', 'Top View', 'front', 'dimension_table_1', 'detail', 'PCB layout', 'other')} AS view_type",
+                            f"{choice('p_partkey % 5', *_FAMILIES)} AS family_id"])
+shape("table_rows", "part", ["p_brand AS doc_id", "p_partkey AS ord", "'k' || CAST(p_partkey AS STRING) AS label_token", f"{choice('p_size % 9', 'A', 'a1', 'b', 'e', ' E ', 'L2', 'B', 'zz', 'd2')} AS label",
+                             "CAST(0.5 + (p_partkey % 40) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence", "CASE WHEN p_size % 2 = 0 THEN 'n' || CAST(p_partkey AS STRING) ELSE '' END AS nom",
+                             "CASE WHEN p_size % 3 = 0 THEN 'x' || CAST(p_partkey AS STRING) END AS max", "CASE WHEN p_size % 5 = 0 THEN 'm' || CAST(p_partkey AS STRING) END AS min"])
+shape("drawn_numbers", "lineitem", ["CAST(l_partkey AS STRING) AS doc_id", "CAST(l_linenumber * 4 - l_suppkey % 5 AS INT) AS number"])
+shape("layouts", "part", [
+    "CAST(p_partkey AS STRING) AS doc_id", "CAST(4 + 2 * (p_size % 10) + CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS nominal_pin_count", "CAST(0.5 AS DOUBLE) AS terminal_pitch",
+    "CAST((1 + p_size % 10) * 0.5 + CASE WHEN p_partkey % 9 = 0 THEN 0.2 ELSE 0 END AS DOUBLE) AS pin_span",
+    "CASE WHEN p_partkey % 4 = 0 THEN CAST(2 + p_size % 10 AS DOUBLE) END AS negative_side_pin_count", "CASE WHEN p_partkey % 4 = 0 THEN CAST(2 + p_size % 10 + CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE) END AS positive_side_pin_count",
+    "CASE WHEN p_partkey % 4 = 0 THEN CAST((1 + p_size % 10) * 0.5 AS DOUBLE) END AS negative_side_pin_span", "CASE WHEN p_partkey % 8 = 0 THEN CAST((1 + p_size % 10) * 0.5 AS DOUBLE) END AS positive_side_pin_span",
+    "CASE WHEN p_partkey % 6 = 0 THEN CAST(0.3 AS DOUBLE) END AS negative_side_terminal_width", "CASE WHEN p_partkey % 12 = 0 THEN CAST(0.6 AS DOUBLE) WHEN p_partkey % 6 = 0 THEN 0.2 END AS positive_side_terminal_width",
+    "CAST(0.25 AS DOUBLE) AS terminal_width", "CAST((p_partkey % 11) * 0.6 + 1 AS DOUBLE) AS body_length"])
+shape("golden_cases", "part", ["CAST(p_partkey AS STRING) AS case_id", "p_size % 4 = 0 AS blind_mode", "CAST(0.7 + (p_size % 30) / CAST(100 AS DOUBLE) AS DOUBLE) AS overall_confidence"])
+shape("golden_expected", "part", ["CAST(p_partkey AS STRING) AS case_id", "'f' || CAST(p_size % 7 + 1 AS STRING) AS field", "CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS nominal", "CAST(8 AS DOUBLE) AS tolerance"])
+shape("golden_rows", "lineitem", ["CAST(l_partkey AS STRING) AS case_id", "'f' || CAST(l_linenumber AS STRING) AS field", "l_quantity", "l_returnflag", "l_discount", "row_number() OVER (PARTITION BY l_partkey, l_linenumber ORDER BY l_orderkey, l_suppkey) AS rn"])
+shape("golden_extracted", "golden_rows", ["case_id", "field", "CASE WHEN l_quantity > 3 THEN l_quantity END AS nominal_value", "CASE WHEN l_returnflag = 'A' THEN 'visual_reference' ELSE 'dimension' END AS evidence_type", "CAST(0.8 + l_discount AS DOUBLE) AS confidence"], "rn = 1")
+shape("golden_missing", "part", ["CAST(p_partkey AS STRING) AS case_id", "'f' || CAST(p_size % 3 + 1 AS STRING) AS field"], "p_type = 'PROMO'")
+shape("decisions", "events", ["event_id AS decision_id", f"{choice('event_id % 5', 'ic', 'resistor', 'unknown', 'ic', 'misc')} AS choice", "CAST(0.4 + (event_id % 60) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence", "value"])
+shape("decision_slots", "decisions", ["decision_id", "value", "choice", series("0", "3", "i")])
+shape("decision_options", "decision_slots", ["decision_id", f"{choice('i', 'ic', 'resistor', 'unknown', 'misc')} AS name",
+    "CAST(CASE WHEN choice = CASE i WHEN 0 THEN 'ic' WHEN 1 THEN 'resistor' WHEN 2 THEN 'unknown' ELSE 'misc' END THEN 0.4 + (decision_id % 50) / CAST(100 AS DOUBLE) ELSE (0.6 - (decision_id % 50) / CAST(100 AS DOUBLE)) / 3 END"
+    " + CASE WHEN decision_id % 13 = 0 THEN 0.05 ELSE 0 END AS DOUBLE) AS probability"])
+shape("view_assignments", "lineitem", ["CAST(l_orderkey AS STRING) AS doc_id", "l_linenumber AS view_no", f"{choice('l_partkey % 8', *_FIELDS)} AS canonical_name"], "l_returnflag <> 'N'")
+shape("view_confidences", "lineitem", ["CAST(l_orderkey AS STRING) AS doc_id", "l_linenumber AS view_no", "CAST(0.5 + l_tax + l_discount AS DOUBLE) AS confidence"])
+shape("view_classes", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "CAST(0.6 + (o_custkey % 40) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence"])
+shape("view_features", "lineitem", ["CAST(l_orderkey AS STRING) AS doc_id", "l_linenumber AS view_no", "CAST(l_partkey AS INT) AS pos", f"{choice('l_suppkey % 6', *_FIELDS[:6])} AS name"], "l_linestatus = 'F'")
+shape("view_unresolved", "lineitem", ["CAST(l_orderkey AS STRING) AS doc_id", "l_linenumber AS view_no", "CAST(l_partkey AS INT) AS pos", f"{choice('l_suppkey % 8', *_FIELDS)} AS name"], "l_linestatus = 'O'")
+shape("first_reading", "orders", ["CAST(o_custkey AS STRING) AS doc_id", "CAST(o_orderkey AS STRING) AS canonical_name", "o_totalprice AS value"])
+shape("second_reading", "orders", ["CAST(o_custkey AS STRING) AS doc_id", "CAST(o_orderkey AS STRING) AS canonical_name", "o_totalprice * 2 AS value"], "o_orderstatus <> 'F'")
+shape("reading_issues", "orders", ["CAST(o_custkey AS STRING) AS doc_id", "CAST(o_orderkey AS STRING) AS canonical_name"], "o_orderpriority IN ('1-URGENT', '2-HIGH')")
+shape("read_values", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "CASE WHEN o_orderstatus = 'P' THEN 'inch' ELSE 'mm' END AS unit",
+    ("map('body_x', CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END, 'pitch', CAST(o_custkey AS DOUBLE)) AS values",
+     "map {'body_x': CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END, 'pitch': CAST(o_custkey AS DOUBLE)} AS values")])
+shape("read_evidence", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "CASE WHEN o_custkey % 2 = 0 THEN 'body_x' ELSE 'pitch' END AS field", "CAST(0.8 + (o_custkey % 20) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence", "o_custkey % 11 = 0 AS uncertain"])
+shape("required_slots", "region", ["CASE r_regionkey WHEN 0 THEN 'body_x' WHEN 1 THEN 'pitch' WHEN 2 THEN 'pad_count' END AS field"], "r_regionkey < 3")
+shape("header_tokens", "lines", ["source AS doc_id", "doc_id AS source_region_id",
+    """CASE (d * 3 + line_no) % 17 WHEN 0 THEN 'MILLIMETERS' WHEN 1 THEN 'Min.' WHEN 2 THEN 'NOM' WHEN 3 THEN 'max' WHEN 4 THEN 'Dimensions' WHEN 5 THEN 'DIMENSION A1' WHEN 6 THEN 'Dimension B 2'
+       WHEN 7 THEN CAST(line_no AS STRING) WHEN 8 THEN 'PINS **' WHEN 9 THEN 'DIM' WHEN 10 THEN '7.5' ELSE line END AS text"""])
