@@ -1,4 +1,13 @@
 """Importing this package registers every query."""
 
-from . import account_queries, evidence_queries, geometry_queries, pin_queries, search_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    account_queries,
+    evidence_queries,
+    footprint_queries,
+    geometry_queries,
+    pin_queries,
+    search_queries,
+    table_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -473,3 +473,103 @@ shape("required_slots", "region", ["CASE r_regionkey WHEN 0 THEN 'body_x' WHEN 1
 shape("header_tokens", "lines", ["source AS doc_id", "doc_id AS source_region_id",
     """CASE (d * 3 + line_no) % 17 WHEN 0 THEN 'MILLIMETERS' WHEN 1 THEN 'Min.' WHEN 2 THEN 'NOM' WHEN 3 THEN 'max' WHEN 4 THEN 'Dimensions' WHEN 5 THEN 'DIMENSION A1' WHEN 6 THEN 'Dimension B 2'
        WHEN 7 THEN CAST(line_no AS STRING) WHEN 8 THEN 'PINS **' WHEN 9 THEN 'DIM' WHEN 10 THEN '7.5' ELSE line END AS text"""])
+
+# --- logs and footprints ----------------------------------------------------------------------------------------------
+shape("verify_lines", "events", [
+    "CAST(user_id AS STRING) AS job_id", "'verify' AS log_kind", "event_id AS line_no",
+    """CASE event_id % 11 WHEN 0 THEN '  PIN number=("A' || CAST(event_id % 7 AS STRING) || '") padstack=(nil) location=(nil) bbox=(((-1.25 0.25) (' || CAST(user_id % 5 AS STRING) || '.5 0.75))) rot=(0.0) shape=("CIRCLE") copper_bbox=(((-0.125 -0.125) (0.125 0.125)))'
+      WHEN 1 THEN 'OBJ type=("path") layer=("PACKAGE GEOMETRY/SILKSCREEN_TOP") bbox=(((-1.5 0.5) (1.5 0.75)))' WHEN 2 THEN 'OBJ type=("' || event_type || '") layer=(nil) bbox=(nil)'
+      WHEN 3 THEN 'designType=("PACKAGE")' WHEN 4 THEN 'units=("millimeters") accuracy=(4) extents=(((-20.0 -20.0) (20.0 20.0)))' WHEN 5 THEN 'pin_count=' || CAST(user_id % 20 AS STRING)
+      WHEN 6 THEN 'object_count=' || CAST(event_id % 30 AS STRING) WHEN 7 THEN 'PROPOBJ layer=("PACKAGE GEOMETRY/PLACE_BOUND_TOP") fill=(nil) prop=(((PACKAGE_HEIGHT_MAX "0.64 mm")))'
+      WHEN 8 THEN CASE WHEN user_id % 3 = 0 THEN '==== VERIFY END ====' ELSE 'noise' END WHEN 9 THEN 'OBJ type=("text") layer=("REF DES/ASSEMBLY_TOP") bbox=(((-1.5 0.5) (1.5 0.75)))' ELSE 'version="17.2"' END AS text"""])
+shape("props_lines", "events", [
+    "CAST(user_id AS STRING) AS job_id", "'props' AS log_kind", "event_id AS line_no",
+    """CASE event_id % 5 WHEN 0 THEN 'OBJ layer=("PACKAGE GEOMETRY/PLACE_BOUND_TOP")' WHEN 1 THEN '  props=(((PACKAGE_HEIGHT_MAX "0.' || CAST(event_id % 9 AS STRING) || ' mm") (Other "x y")))'
+      WHEN 2 THEN 'OBJ layer=("REF DES/ASSEMBLY_TOP")' WHEN 3 THEN 'props=(nil)' ELSE CASE WHEN user_id % 4 = 0 THEN '==== PROPERTY CHECK END ====' ELSE 'object_count=4' END END AS text"""])
+shape("build_lines", "events", [
+    "CAST(user_id AS STRING) AS job_id", "'build' AS log_kind", "event_id AS line_no",
+    """CASE event_id % 9 WHEN 0 THEN 'rename X -> ("PART' || CAST(user_id AS STRING) || '")' WHEN 1 THEN 'PADSTACK P' || CAST(event_id % 2 AS STRING) || ' toDisk=(' || CASE WHEN value < 30 THEN 't' ELSE 'nil' END || ')'
+      WHEN 2 THEN 'PIN A' || CAST(event_id % 5 AS STRING) || ' xy=-1.5:' || CAST(user_id % 9 AS STRING) || '.25 result=(x)' WHEN 3 THEN 'SAVE dra =("PART' || CAST(user_id % 100 AS STRING) || '")'
+      WHEN 4 THEN 'COMPILE psm =("part' || CAST(user_id AS STRING) || '.psm")' WHEN 5 THEN 'OBJ type=("' || CASE WHEN value > 100 THEN 'drc' ELSE 'pin' END || '") layer=(nil) bbox=(nil)'
+      WHEN 6 THEN 'DUMP pin_count=12' WHEN 7 THEN '==== BUILD END ====' ELSE 'CLEAR pass=1 found=0' END AS text"""])
+shape("log_specs", "customer", [
+    "CAST(c_custkey AS STRING) AS job_id", "'PART' || CAST(c_custkey AS STRING) AS name", "'millimeters' AS units", "4 AS accuracy", "CAST(c_custkey % 20 AS INT) AS pin_count",
+    "c_custkey % 2 = 0 AS ep_present", "c_custkey % 3 = 0 AS marker", "CAST(-20 AS DOUBLE) AS ex0", "CAST(-20 AS DOUBLE) AS ey0", "CAST(20 AS DOUBLE) AS ex1",
+    "CAST(CASE WHEN c_custkey % 7 = 0 THEN 25 ELSE 20 END AS DOUBLE) AS ey1", "'0.' || CAST(c_custkey % 9 AS STRING) || ' Mm' AS height"])
+shape("log_number_docs", "customer", ["CAST(c_custkey AS STRING) AS job_id", series("0", "CAST(c_custkey % 2 + 5 AS INT)", "i")])
+shape("log_numbers", "log_number_docs", ["job_id", "'A' || CAST(i AS STRING) AS number"])
+shape("log_padstacks", "log_number_docs", ["job_id", "'P' || CAST(i AS STRING) AS padstack"], "i < 3")
+shape("expected_pads", "pads", ["spec_id AS job_id", "number", "x", "y", "size_x AS mask_x", "size_y AS mask_y", "shape", "size_x AS copper"])
+shape("read_pads", "observed_pads", ["job_id", "number", "x", "y", "size_x", "size_y", "upper(shape) AS shape", "size_x AS copper_x", "size_x AS copper_y"])
+shape("assertion_rows", "events", ["CAST(user_id % 200 AS STRING) AS job_id", "value < 300 AS passed"], "event_type <> 'error'")
+shape("assertion_jobs", "customer", ["CAST(c_custkey AS STRING) AS job_id"])
+
+_NUMS = [(f"transform(sequence(1, CAST({n} AS INT)), i -> CAST(i AS STRING))", f"[CAST(i AS VARCHAR) for i in range(1, CAST({n} AS INT) + 1)]") for n in ("p_size % 6 * 2 + 2 + CASE WHEN p_size % 11 = 0 THEN 1 ELSE 0 END",)]
+_D = "CAST({} AS DOUBLE)".format
+shape("foot_specs", "part", [
+    "CAST(p_partkey AS STRING) AS spec_id", f"{choice('p_partkey % 3', 'DUAL', 'EXPLICIT', 'DUAL')} AS pin_layout", "CAST(p_size % 6 * 2 + 2 + CASE WHEN p_size % 13 = 0 THEN 2 ELSE 0 END AS INT) AS pin_count",
+    (_NUMS[0][0] + " AS pin_numbering", _NUMS[0][1] + " AS pin_numbering"),
+    *[f"CASE WHEN p_partkey % 3 <> 1 AND p_size <> 17 THEN {_D(v)} END AS {n}" for n, v in (("pin_pitch", "0.5"), ("land_x", "0.8"), ("land_y", "0.25 + (p_partkey % 4) / CAST(100 AS DOUBLE)"))],
+    ("CASE WHEN p_partkey % 3 <> 1 THEN array(CAST(-1.5 AS DOUBLE), CAST(1.5 - p_size % 5 AS DOUBLE)) END AS pin_columns_x", "CASE WHEN p_partkey % 3 <> 1 THEN [CAST(-1.5 AS DOUBLE), CAST(1.5 - p_size % 5 AS DOUBLE)] END AS pin_columns_x"),
+    "p_partkey % 5 <> 0 AS nsmd", f"{_D('0.05 + (p_size % 3) * 0.04')} AS mask_expansion", f"{choice('p_partkey % 4', 'MATCH_LAND', 'INSET', 'NONE', 'MATCH_LAND')} AS paste_mode", f"{_D('(p_size % 4) * 0.05')} AS paste_inset",
+    "p_partkey % 2 = 0 AS ep_present", f"CASE WHEN p_partkey % 6 <> 0 THEN {_D('1.6')} END AS ep_x", f"{_D('2.0')} AS ep_y", "CASE WHEN p_size % 7 = 0 THEN '2' WHEN p_size % 7 = 1 THEN 'E-P' ELSE 'EP' END AS ep_pin_number",
+    "CASE WHEN p_size = 29 THEN 'inch' ELSE 'millimeters' END AS units", ("array(CAST(-20 AS DOUBLE), CAST(-20 AS DOUBLE), CAST(20 AS DOUBLE), CAST(p_size - 21 AS DOUBLE)) AS extents", "[CAST(-20 AS DOUBLE), CAST(-20 AS DOUBLE), CAST(20 AS DOUBLE), CAST(p_size - 21 AS DOUBLE)] AS extents"),
+    f"{_D('3.0')} AS body_x", f"{_D('3.0 + p_size % 2')} AS body_y", f"{_D('0.05')} AS mold_flash", f"{_D('0.10')} AS silk_clearance", f"{_D('0.05')} AS silk_span_extra", f"{_D('0.12')} AS silk_line_width", f"{_D('0.05')} AS pb_clearance",
+    f"CASE WHEN p_size % 3 = 0 THEN {_D('2.9')} END AS refdes_silk_y", f"{choice('p_partkey % 3', 'TRIANGLE', 'NONE', 'NONE')} AS pin1_marker", f"{_D('0.30')} AS pin1_marker_size"])
+shape("foot_pad_slots", "part", ["p_partkey", "p_size", series("0", "CAST(p_size % 6 * 2 + 1 AS INT)", "i")], "p_partkey % 3 = 1")
+shape("foot_pads", "foot_pad_slots", [
+    "CAST(p_partkey AS STRING) AS spec_id", "CAST(i AS INT) AS ord", "CASE WHEN p_size % 10 = 3 AND i = 1 THEN 'Z' ELSE CAST(i + 1 AS STRING) END AS number", f"{_D('i * 0.5 - 1')} AS x", f"{_D('CASE WHEN i % 2 = 0 THEN 0.75 ELSE -0.75 END')} AS y",
+    f"{_D('0.2 + (p_partkey % 5) * 0.05')} AS size_x", f"{_D('CASE WHEN p_size % 9 = 0 THEN 0.4 ELSE 0.2 + (p_partkey % 5) * 0.05 END')} AS size_y", "CASE WHEN i % 3 = 0 THEN 'CIRCLE' ELSE 'RECTANGLE' END AS shape"])
+shape("grids", "part", [
+    "CAST(p_partkey AS STRING) AS spec_id", f"{_D('0.5')} AS pitch_x", f"{_D('0.3')} AS standard_size_x", f"{_D('0.8')} AS standard_size_y", f"{_D('CASE WHEN p_size = 33 THEN 0.5 ELSE 2.4 END')} AS outer_span_y",
+    ("transform(sequence(1, CAST(p_size % 5 + 2 AS INT)), i -> 'T' || CAST(i AS STRING)) AS top_numbers", "['T' || CAST(i AS VARCHAR) for i in range(1, CAST(p_size % 5 + 3 AS INT))] AS top_numbers"),
+    ("transform(sequence(1, CAST(p_size % 5 + CASE WHEN p_size = 41 THEN 3 ELSE 2 END AS INT)), i -> 'B' || CAST(i AS STRING)) AS bottom_numbers", "['B' || CAST(i AS VARCHAR) for i in range(1, CAST(p_size % 5 + CASE WHEN p_size = 41 THEN 4 ELSE 3 END AS INT))] AS bottom_numbers"),
+    (f"array(named_struct('number', CASE WHEN p_size = 21 THEN 'X' ELSE 'T1' END, 'size_x', {_D('0.5')}, 'alignment', {choice('p_partkey % 4', 'left', 'right', 'center', 'unknown')})) AS special_pads",
+     f"[{{'number': CASE WHEN p_size = 21 THEN 'X' ELSE 'T1' END, 'size_x': {_D('0.5')}, 'alignment': {choice('p_partkey % 4', 'left', 'right', 'center', 'unknown')}}}] AS special_pads"),
+    ("CASE WHEN p_size % 3 = 0 THEN array(1) WHEN p_size = 7 THEN array(99) ELSE array() END AS bridged_columns", "CASE WHEN p_size % 3 = 0 THEN [1] WHEN p_size = 7 THEN [99] ELSE [] END AS bridged_columns")])
+shape("quads", "part", [
+    "CAST(p_partkey AS STRING) AS spec_id", "CAST(p_size % 4 + 2 AS INT) AS count", f"{_D('0.5')} AS pitch", f"{_D('CASE WHEN p_size = 50 THEN 9 ELSE 0.8 END')} AS pad_length", f"{_D('0.3')} AS pad_width", f"{_D('5.0')} AS outer_span_x", f"{_D('6.0')} AS outer_span_y",
+    *[(f"array('{a}', CAST(p_size % 4 + {b} AS STRING)) AS {s}_numbers", f"['{a}', CAST(p_size % 4 + {b} AS VARCHAR)] AS {s}_numbers") for s, a, b in (("bottom", "1", 2), ("right", "3", 4), ("top", "x", 1))],
+    ("CASE WHEN p_size % 2 = 0 THEN array('9') ELSE array(CAST(20 + p_size % 4 + 1 AS STRING), '20') END AS left_numbers", "CASE WHEN p_size % 2 = 0 THEN ['9'] ELSE [CAST(20 + p_size % 4 + 1 AS VARCHAR), '20'] END AS left_numbers")])
+shape("outlines", "part", [
+    "CAST(p_partkey AS STRING) AS spec_id", f"{choice('p_size % 4', 'mm', 'mil', 'inch', 'unknown')} AS units", "p_size % 10 <> 3 AS centered", "CAST(CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN -90 ELSE 180 END AS INT) AS rotation_deg",
+    "'D' AS body_x_symbol", "'E1' AS body_y_symbol", "'E' AS overall_symbol", "'A' AS height_symbol", "CASE WHEN p_size % 9 = 0 THEN 'q' ELSE 'e' END AS pitch_symbol",
+    (f"map('D', named_struct('maximum', {_D('3')}, 'typical', CAST(NULL AS DOUBLE)), 'E1', named_struct('maximum', {_D('1.5')}, 'typical', {_D('1.4')}), 'E', named_struct('maximum', {_D('3.0 - p_size % 3')}, 'typical', {_D('2.8')}), 'A', named_struct('maximum', {_D('1.1')}, 'typical', {_D('1')}), 'e', named_struct('maximum', CAST(NULL AS DOUBLE), 'typical', {_D('0.65')}), 'b', named_struct('maximum', {_D('0.4')}, 'typical', {_D('0.3')}), 'L', named_struct('maximum', {_D('0.6')}, 'typical', {_D('0.5')})) AS dimensions",
+     "p_size AS dimensions"), "p_size"])
+shape("outline_slots", "part", ["p_partkey", "p_size", series("0", "CAST(p_size % 4 + 1 AS INT)", "i")])
+shape("outline_terminals", "outline_slots", [
+    "CAST(p_partkey AS STRING) AS spec_id", "CAST(i AS INT) AS ord", "CASE WHEN i % 2 = 0 THEN 'top' ELSE 'bottom' END AS side", f"{_D('floor(i / 2) - CASE WHEN p_size = 12 THEN floor(i / 2) ELSE 0 END')} AS pitch_index",
+    "CAST(i + 1 AS STRING) AS number", "CASE WHEN p_size % 19 = 0 THEN 'zz' ELSE 'b' END AS width_symbol", "CASE WHEN p_partkey % 2 = 0 THEN 'L' END AS length_symbol"])
+shape("label_slots", "part", ["p_partkey", "p_size", series("0", "CAST(2 * (p_size % 4) + 2 AS INT)", "i")])
+# An odd number of pads on two sides, so that one rotation fits; equal rows are ambiguous.
+shape("label_pads", "label_slots", [
+    "CAST(p_partkey AS STRING) AS spec_id", "CAST(i AS INT) AS ord", "CAST((i * 3) % 11 AS STRING) AS number",
+    f"{_D('CASE WHEN p_size % 5 = 0 THEN i ELSE CASE WHEN i <= p_size % 4 + 1 THEN -1.5 ELSE 1.5 END END')} AS x",
+    f"{_D('CASE WHEN p_size % 5 = 0 THEN i % 3 ELSE CASE WHEN i <= p_size % 4 + 1 THEN i ELSE i - p_size % 4 - 1.5 END * 0.5 END')} AS y"])
+shape("source_rows", "part", ["p_partkey", "p_size", series("0", "1", "r")])
+shape("label_rows", "source_rows", [
+    "CAST(p_partkey AS STRING) AS spec_id", "CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN r = 0 THEN 'top' ELSE 'bottom' END ELSE CASE WHEN r = 0 THEN 'left' ELSE 'right' END END AS side",
+    ("transform(sequence(1, CAST(p_size % 4 + CASE WHEN r = 0 THEN 2 ELSE 1 END AS INT)), i -> CAST(i + r * 20 AS STRING)) AS numbers", "[CAST(i + r * 20 AS VARCHAR) for i in range(1, CAST(p_size % 4 + CASE WHEN r = 0 THEN 3 ELSE 2 END AS INT))] AS numbers"),
+    "CASE WHEN p_size % 11 = 0 THEN 'bottom' ELSE 'top' END AS view", "'TOP VIEW' AS view_evidence", f"{_D('0.95')} AS confidence", "CASE WHEN p_size % 13 = 0 THEN '' ELSE 'row' END AS row_evidence"])
+
+# --- tables ---------------------------------------------------------------------------------------------------------------
+shape("html_tables", "part", [
+    "p_brand AS doc_id", "p_partkey AS table_id",
+    """'<table><tr><td colspan="2">' || CASE WHEN p_size % 4 = 0 THEN 'Pin No.' ELSE 'LQFP' || CAST(p_size % 8 + 2 AS STRING) || ' pin' END || '</td><td>Name</td><td>Type</td><td>Description</td></tr><tr><td>' || CASE WHEN p_size % 4 = 0 THEN '' ELSE 'main' END || '</td><td></td><td>&nbsp;</td><td/><td></td></tr>'
+      || '<tr><td rowspan="2">' || CAST(p_size % 8 + 1 AS STRING) || ',' || CAST(p_size % 8 + 2 AS STRING) || '</td><td>x</td><td>' || p_name || '</td><td>Digital I/O</td><td>' || p_type || ' &amp; more(1)</td></tr>'
+      || '<tr><td>y</td><td>SHIFT</td><td>in</td><td>z</td></tr><tr><td>' || CASE WHEN p_size % 3 = 0 THEN '' ELSE 'bad cell' END || '</td><td></td><td>LATE</td><td></td><td>wrapped text</td></tr>'
+      || '<tr><td>B' || CAST(p_size AS STRING) || '</td><td></td><td>NC</td><td>Power</td><td>-</td></tr></table>' AS html"""])
+shape("table_targets", "part", ["p_brand AS doc_id", "p_partkey AS table_id", "CASE WHEN p_size % 2 = 0 THEN 'LQFP' || CAST(p_size % 8 + 2 AS STRING) ELSE '' END AS package", "'ADS1115IDGSR' AS device"])
+shape("fold_input", "events", [
+    "CAST(user_id AS STRING) AS doc_id", "CAST(0 AS BIGINT) AS table_id", "CAST(event_id AS INT) AS r",
+    ("CASE WHEN event_type = 'view' THEN array(CAST(event_id AS STRING)) ELSE array() END AS numbers", "CASE WHEN event_type = 'view' THEN [CAST(event_id AS VARCHAR)] ELSE [] END AS numbers"),
+    "event_type <> 'error' AND event_type <> 'view' AS blank", "CASE WHEN value > 20 THEN 'n' || CAST(event_id AS STRING) ELSE '' END AS name", "event_type AS type",
+    "CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'd' || CAST(event_id AS STRING) ELSE '' END AS description"])
+shape("page_tables", "events", [
+    "CAST(user_id AS STRING) AS doc_id", "event_id AS table_id", "CAST(floor(event_id / 600) AS INT) AS page",
+    "CASE WHEN event_type = 'error' THEN 'Figure 1' ELSE 'Table ' || CAST(floor(event_id / 900) AS STRING) || CASE WHEN event_type IN ('click', 'view', 'signup') THEN ' (Continued)' ELSE '' END END AS caption",
+    "CASE WHEN value < 40 THEN 'pin|name' ELSE 'pin|type' END AS header_tails", "CASE WHEN value < 15 THEN 'TSSOP' ELSE 'LQFP64 pin' END AS header_text", "CAST(floor(value / 10) AS INT) AS pins"])
+shape("page_table_pins", "events", ["CAST(user_id AS STRING) AS doc_id", "event_id AS table_id", "0 AS r", "CAST(event_id % 3 AS STRING) AS pin_number", "event_type AS name", "'IO' AS type",
+                                    "CASE WHEN value < 30 THEN 'a' ELSE 'b' END AS description"])
+shape("table_pages", "customer", ["CAST(c_custkey AS STRING) AS doc_id", "CAST(c_custkey % 17 AS INT) AS page"])
+shape("table_packages", "customer", ["CAST(c_custkey AS STRING) AS doc_id", f"{choice('c_custkey % 3', 'TSSOP20', 'lqfp64', '')} AS package"])
