@@ -1 +1 @@
-
+"""Functions that return Columns."""

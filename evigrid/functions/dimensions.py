@@ -85,8 +85,8 @@ def explicit_count(text: str | Column, low: int = 1, high: int = 512) -> Column:
     """Terminal count stated in words or in a package code."""
     col = strip(F.col(text) if isinstance(text, str) else text)
     first = F.when(col.rlike(COUNT_WORD), F.regexp_extract(col, COUNT_WORD, 1)).otherwise(F.regexp_extract(col, COUNT_CODE, 1))
-    value = first.try_cast("int")
-    return F.when(value.between(low, high), value)
+    # The filter reads the value once where a condition would repeat the patterns.
+    return F.try_element_at(F.filter(F.array(first.try_cast("int")), lambda v: v.between(low, high)), F.lit(1))
 
 
 def restored_box(polygon: str, rotation: str, width: str, height: str) -> Column:

@@ -26,8 +26,8 @@ def plausible_count(value: Column) -> Column:
 
 
 def _plausible_or_null(text: Column) -> Column:
-    value = text.try_cast("int")
-    return F.when(plausible_count(value), value)
+    # The filter reads the value once where a condition would repeat the pattern.
+    return F.try_element_at(F.filter(F.array(text.try_cast("int")), plausible_count), F.lit(1))
 
 
 def pin_count_from_package(package: str | Column) -> Column:

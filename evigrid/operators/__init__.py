@@ -1 +1 @@
-
+"""Operators: every function takes and returns DataFrames keyed by document or job."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import thresholds as T
 from ..functions.names import folded, is_number
 from ..functions.packages import documented_exposed_pad, exposed_pad_name, pin_count_from_package
+from ..session import settled
 from .ordering import next_row, top_per_key
 
 KEY = ["doc_id", "code"]
@@ -152,7 +153,8 @@ def gap_findings(gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def check_pins(pins: DataFrame, docs: DataFrame, groups: tuple[str, ...] = ("device", "numbers", "names", "sides"),
                with_layout: bool = False) -> DataFrame:
     """Findings (doc_id, code, severity, items, detail) of the chosen rule groups."""
-    stats = pin_stats(pins, docs)
+    # One scan of the pins feeds all rules and the gaps.
+    stats = settled(pin_stats(pins, docs)) if "numbers" in groups else pin_stats(pins, docs)
     rules = []
     if "device" in groups:
         rules += device_rules()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import thresholds as T
 from ..functions.dimensions import explicit_count, with_dimensions
+from ..session import settled
 from .ordering import top_per_key
 
 COUNT_FIELDS = ("circuit_count", "nominal_pin_count")
@@ -95,14 +96,17 @@ def fuse_fields(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     conflicting field raise no issue.
     """
     key = ["doc_id", "canonical_name"]
+    values = settled(values)
     fused = values.where(F.col("outcome") == "fused")
     mark = F.struct(F.round("value", 8).alias("v"), F.col("unit").alias("u"))
     table = F.col("evidence_kind") == "table_row"
+    # The groups feed the parameters, the conflicts and the filter of the failures.
     rank = F.struct("semantic_confidence", (-F.col("assignment_id")).alias("o"))
     row = F.struct("assignment_id", "value", "unit", "evidence_kind", "ocr_confidence", "semantic_confidence", "evidence_ids", "token_ids", "target_feature")
     groups = fused.groupBy(*key).agg(
         F.min(mark).alias("_m0"), F.max(mark).alias("_m1"), F.min(F.when(table, mark)).alias("_t0"), F.max(F.when(table, mark)).alias("_t1"),
         F.max_by(row, rank).alias("_best"), F.max_by(row, F.when(table, rank)).alias("_table"), F.count_if(table).alias("_tables"))
+    groups = settled(groups)
     single = F.col("_m0") == F.col("_m1")
     by_table = (F.col("_tables") > 0) & (F.col("_t0") == F.col("_t1"))
     chosen = F.when(single, F.col("_best")).when(by_table, F.col("_table"))
@@ -122,7 +126,8 @@ def evidence_gate(params: DataFrame, issues: DataFrame, required: DataFrame, fea
     field) with kinds missing, unresolved, conflict and unit. Missing evidence and unresolved fields count
     only where the field is required.
     """
-    need = required.select("doc_id", "field").distinct()
+    params, issues = settled(params), settled(issues)
+    need = settled(required.select("doc_id", "field").distinct())
     have = params.select("doc_id", F.col("canonical_name").alias("field")).distinct()
     absent = need.join(have, ["doc_id", "field"], "left_anti")
     open_ = issues.where(F.col("kind").isin("missing", "unresolved")).select("doc_id", "field").join(need, ["doc_id", "field"], "left_semi")
@@ -135,7 +140,7 @@ def evidence_gate(params: DataFrame, issues: DataFrame, required: DataFrame, fea
     exempt = (kind == "human_input") | ((kind == "derived") & by_hand)
     unsure = params.where(~exempt & ((F.col("ocr_confidence") < ocr) | (F.col("semantic_confidence") < floor))).select(
         "doc_id", F.col("canonical_name").alias("field")).distinct().withColumn("kind", F.lit("low_confidence"))
-    findings = missing.unionByName(clash).unionByName(unsure)
+    findings = settled(missing.unionByName(clash).unionByName(unsure))
     counts = findings.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("missing", "conflict", "low_confidence")])
     sizes = params.groupBy("doc_id").agg(F.count_distinct("canonical_name").alias("parameters"))
     verdicts = docs.select("doc_id").join(counts, "doc_id", "left").join(sizes, "doc_id", "left").fillna(

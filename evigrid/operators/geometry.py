@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import thresholds as T
-from ..session import ensure_checkpoints
+from ..session import settled
 from .ordering import last_known, ranked, top_per_key
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -208,7 +208,10 @@ def merge_lines(lines: DataFrame, axis_gap: float = 5.0, interval_gap: float = 1
 
     The merge is greedy and changes the axis it compares with, so each cluster is folded in order.
     """
-    clusters = line_clusters(lines, axis_gap, interval_gap)
+    cluster = ["doc_id", "orientation", "axis_island", "interval_island"]
+    # Most lines stand alone: only clusters of several lines go through the fold. The count is partitioned as
+    # the fold is, so it adds no shuffle.
+    clusters = line_clusters(lines, axis_gap, interval_gap).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*cluster)))
     columns = ["doc_id", "line_id", "type", "lx1", "ly1", "lx2", "ly2", "arrow_ids", "confidence", "source_region_id", "merged"]
     schema = ("doc_id string, line_id string, type string, lx1 int, ly1 int, lx2 int, ly2 int, arrow_ids array<string>, "
               "confidence double, source_region_id string, merged int")
@@ -237,9 +240,10 @@ def merge_lines(lines: DataFrame, axis_gap: float = 5.0, interval_gap: float = 1
                 start, end = ((d["low"], d["axis"]), (d["high"], d["axis"])) if level else ((d["axis"], d["low"]), (d["axis"], d["high"]))
                 d["lx1"], d["ly1"], d["lx2"], d["ly2"] = (int(v) for v in (*start, *end))
         return pd.DataFrame(done)[columns]
-    merged = clusters.groupBy("doc_id", "orientation", "axis_island", "interval_island").applyInPandas(fold, schema)
+    merged = clusters.where(F.col("_size") > 1).groupBy(*cluster).applyInPandas(fold, schema)
+    alone = clusters.where(F.col("_size") == 1).withColumn("merged", F.lit(1)).select(*columns)
     oblique = lines.where(orientation() == "oblique").withColumn("merged", F.lit(1)).select(*columns)
-    return merged.unionByName(oblique)
+    return merged.unionByName(alone).unionByName(oblique)
 
 
 # --- duplicates ----------------------------------------------------------------------------------------------------
@@ -261,22 +265,21 @@ def suppress_duplicates(tokens: DataFrame, threshold: float = T.IOU, cell: float
     token with no surer open neighbour stays, its open neighbours go. Equal boxes with equal text are
     reduced to their best beforehand, since only that one can stay; so a stack of copies forms no pairs.
     """
-    ensure_checkpoints(tokens.sparkSession)
     best = tokens.withColumn("folded", F.lower("text"))
     stack = ["doc_id", "folded", *BOX]
     flat = best.where((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")))
     solid = top_per_key(best.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))), stack,
                         [F.desc("confidence"), F.asc("ord")], 1).drop("_rank")
-    edges = overlapping_duplicates(solid, threshold, cell).select("doc_id", "kept_id", "dropped_id").checkpoint()
+    edges = settled(overlapping_duplicates(solid, threshold, cell).select("doc_id", "kept_id", "dropped_id"))
     dropped = None
     while not edges.isEmpty():
         # Tokens that no open edge points at stay; what they point at goes, with all of its edges.
         targets = edges.select("doc_id", F.col("dropped_id").alias("kept_id")).distinct()
         gone = edges.join(targets, ["doc_id", "kept_id"], "left_anti").select("doc_id", F.col("dropped_id").alias("id")).distinct()
-        gone = gone.checkpoint()
+        gone = settled(gone)
         dropped = gone if dropped is None else dropped.unionByName(gone)
         edges = edges.join(gone.withColumnRenamed("id", "kept_id"), ["doc_id", "kept_id"], "left_anti")
-        edges = edges.join(gone.withColumnRenamed("id", "dropped_id"), ["doc_id", "dropped_id"], "left_anti").checkpoint()
+        edges = settled(edges.join(gone.withColumnRenamed("id", "dropped_id"), ["doc_id", "dropped_id"], "left_anti"))
     if dropped is not None:
         solid = solid.join(dropped, ["doc_id", "id"], "left_anti")
     return solid.unionByName(flat).drop("folded")
@@ -336,36 +339,38 @@ def uniform_clearances(specs: DataFrame) -> DataFrame:
 
 
 # --- nearest on one axis -------------------------------------------------------------------------------------------
-def mutual_nearest(points: DataFrame, first: str, second: str, tolerance: float = 0.03, bucket_width: float = 1.0) -> DataFrame:
+def mutual_nearest(points: DataFrame, first: str, second: str, tolerance: float = 0.03, bucket_width: float | None = 1.0,
+                   keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Points of two opposite sides that are each other's nearest along the axis, within a share of the span.
 
     points(doc_id, side, id, ord, at, span). Only the neighbours before and after a point in the order of
     the axis can be its nearest, so no pair list is formed; of equally near ones the first in `ord` counts.
+    Without a bucket width the groups are taken to be bounded.
     """
+    keys = list(keys)
     used = points.where(F.col("side").isin(first, second))
     # One representative per side and place: the first in order.
-    places = used.groupBy("doc_id", "side", "at").agg(F.min_by(F.struct("ord", "id", "span"), "ord").alias("_p"))
-    places = places.select("doc_id", "side", "at", "_p.ord", "_p.id", "_p.span")
-    here = F.struct("at", "ord", "id")
-    marks = {f"_{s}": F.when(F.col("side") == s, here) for s in (first, second)}
+    places = used.groupBy(*keys, "side", "at").agg(F.min_by(F.struct("ord", "id", "span"), "ord").alias("_p"))
     # At one place the two sides change order between the passes, so each sees the other once.
-    places = places.withColumn("_s", (F.col("side") == first).cast("int"))
-    forward = last_known(places, ["doc_id"], [F.col("at"), F.col("_s")], F.floor(F.col("at") / bucket_width), marks)
-    flipped = forward.withColumns({f"_b{s}": F.col(f"_{s}") for s in (first, second)}).drop(*marks).withColumns(
-        {"_neg": -F.col("at"), "_s": -F.col("_s")})
-    marks = {f"_a{s}": F.when(F.col("side") == s, here) for s in (first, second)}
-    both = last_known(flipped, ["doc_id"], [F.col("_neg"), F.col("_s")], F.floor(F.col("_neg") / bucket_width), marks)
+    places = places.select(*keys, "side", "at", "_p.ord", "_p.id", "_p.span", (F.col("side") == first).cast("int").alias("_s"), (-F.col("at")).alias("_neg"))
+    here = F.struct("at", "ord", "id")
+
+    def passed(df, prefix, along, tie):
+        marks = {f"_{prefix}{s}": F.when(F.col("side") == s, here) for s in (first, second)}
+        bucket = F.floor(F.col(along) / bucket_width) if bucket_width else None
+        return last_known(df, keys, [F.col(along), tie], bucket, marks)
+    both = passed(passed(places, "b", "at", F.col("_s")), "a", "_neg", -F.col("_s"))
 
     def nearest(other):
         options = F.array_compact(F.array(F.col(f"_b{other}"), F.col(f"_a{other}")))
         return F.array_min(F.transform(options, lambda o: F.struct(
             F.abs(o.at - F.col("at")).alias("d"), o.ord.alias("ord"), o.id.alias("id"), o.at.alias("at"))))
     best = both.withColumn("_n", F.when(F.col("side") == first, nearest(second)).otherwise(nearest(first)))
-    a = best.where(F.col("side") == first).select("doc_id", F.col("id").alias("first_id"), F.col("at").alias("first_at"), "span",
+    a = best.where(F.col("side") == first).select(*keys, F.col("id").alias("first_id"), F.col("at").alias("first_at"), "span",
                                                   F.col("_n.id").alias("second_id"), F.col("_n.at").alias("second_at"), F.col("_n.d").alias("d"))
-    b = best.where(F.col("side") == second).select("doc_id", F.col("id").alias("second_id"), F.col("_n.id").alias("_back"))
-    pairs = a.join(b, ["doc_id", "second_id"]).where((F.col("_back") == F.col("first_id")) & (F.col("d") <= F.col("span") * tolerance))
-    return pairs.select("doc_id", "first_id", "second_id", ((F.col("first_at") + F.col("second_at")) / 2).alias("at"))
+    b = best.where(F.col("side") == second).select(*keys, F.col("id").alias("second_id"), F.col("_n.id").alias("_back"))
+    pairs = a.join(b, [*keys, "second_id"]).where((F.col("_back") == F.col("first_id")) & (F.col("d") <= F.col("span") * tolerance))
+    return pairs.select(*keys, "first_id", "second_id", ((F.col("first_at") + F.col("second_at")) / 2).alias("at"))
 
 
 # --- measured models -------------------------------------------------------------------------------------------------
@@ -484,11 +489,13 @@ def image_layout(pins: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     across = F.col("side").isin("left", "right")
     body = body.withColumns({"at": F.when(across, F.col("y")).otherwise(F.col("x")), "span": F.when(across, span_y).otherwise(span_x),
                              "start": F.when(across, F.col("by1")).otherwise(F.col("bx1"))})
-    points = body.select("doc_id", "side", F.col("pin_number").alias("id"), "ord", "at", "span")
-    snaps = [mutual_nearest(points, a, b, bucket_width=0.25) for a, b in (("left", "right"), ("top", "bottom"))]
-    snap = snaps[0].unionByName(snaps[1])
+    # Both axes in one pass; a document has at most 1000 pins, so its groups are bounded.
+    points = body.where(F.col("side").isin("left", "right", "top", "bottom")).select(
+        "doc_id", across.alias("_axis"), F.when(F.col("side").isin("left", "top"), "low").otherwise("high").alias("side"),
+        F.col("pin_number").alias("id"), "ord", "at", "span")
+    snap = mutual_nearest(points, "low", "high", bucket_width=None, keys=("doc_id", "_axis"))
     snap = snap.select("doc_id", F.explode(F.array("first_id", "second_id")).alias("pin_number"), F.col("at").alias("_at"))
-    body = body.join(snap, ["doc_id", "pin_number"], "left").withColumn("at", F.coalesce("_at", "at")).drop("_at")
+    body = settled(body.join(snap, ["doc_id", "pin_number"], "left").withColumn("at", F.coalesce("_at", "at")).drop("_at"))
     sizes = body.groupBy("doc_id").agg(
         F.coalesce(F.max(F.when(F.col("side") == "left", F.length("name"))), F.lit(0)).alias("_l"),
         F.coalesce(F.max(F.when(F.col("side") == "right", F.length("name"))), F.lit(0)).alias("_r"),
@@ -507,7 +514,7 @@ def image_layout(pins: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     sizes = sizes.withColumns({"body_width": F.ceil(F.col("_w") * F.col("_scale") / up) * up, "body_height": F.ceil(F.col("_h") * F.col("_scale") / up) * up})
     refused = (F.when(F.coalesce("_touch", F.lit(False)), "overlap").when((F.col("body_width") > 10000) | (F.col("body_height") > 10000), "size")
                .when(F.col("_unplaced") > 0, "unplaced"))
-    sizes = sizes.withColumn("reason", refused)
+    sizes = settled(sizes.withColumn("reason", refused))
     placed = body.join(sizes.where("reason IS NULL").select("doc_id", "body_width", "body_height"), "doc_id")
     half_w, half_h = F.floor(F.col("body_width") / 2), F.floor(F.col("body_height") / 2)
     along = F.when(across, F.col("body_height")).otherwise(F.col("body_width"))

@@ -32,8 +32,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 def _carry(df: DataFrame, keys: Sequence[str], summary: Sequence[Column], carried: dict[str, Column]) -> DataFrame:
     """Join, to every row, what the earlier buckets of its key add up to."""
-    on = [*keys, "_bucket"]
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    on = [*keys, "__bucket"]
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carries = df.groupBy(*on).agg(*summary).select(*on, *[c.over(before).alias(n) for n, c in carried.items()])
     return df.join(carries, on)
 
@@ -42,10 +42,10 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket:
     """row_number from 1 along `order`; without a bucket the group is taken to be bounded."""
     if bucket is None:
         return df.withColumn(rank, F.row_number().over(_ordered(keys, order)))
-    marked = df.withColumn("_bucket", bucket)
-    marked = marked.withColumn(rank, F.row_number().over(_ordered([*keys, "_bucket"], order)))
-    joined = _carry(marked, keys, [F.count(F.lit(1)).alias("_n")], {"_before": F.sum("_n")})
-    return joined.withColumn(rank, F.col(rank) + F.coalesce("_before", F.lit(0))).drop("_bucket", "_before")
+    marked = df.withColumn("__bucket", bucket)
+    marked = marked.withColumn(rank, F.row_number().over(_ordered([*keys, "__bucket"], order)))
+    joined = _carry(marked, keys, [F.count(F.lit(1)).alias("_n")], {"__before": F.sum("_n")})
+    return joined.withColumn(rank, F.col(rank) + F.coalesce("__before", F.lit(0))).drop("__bucket", "__before")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None,
@@ -55,11 +55,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buc
         return _ordered(ks, order).rowsBetween(Window.unboundedPreceding, 0)
     if bucket is None:
         return df.withColumn(out, F.sum(value).over(inclusive(keys)))
-    marked = df.withColumn("_bucket", bucket).withColumn("_v", value)
-    marked = marked.withColumn(out, F.sum("_v").over(inclusive([*keys, "_bucket"])))
-    joined = _carry(marked, keys, [F.sum("_v").alias("_s")], {"_before": F.sum("_s")})
-    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.coalesce("_before", F.lit(0))).drop(
-        "_bucket", "_v", "_before")
+    marked = df.withColumn("__bucket", bucket).withColumn("_v", value)
+    marked = marked.withColumn(out, F.sum("_v").over(inclusive([*keys, "__bucket"])))
+    joined = _carry(marked, keys, [F.sum("_v").alias("_s")], {"__before": F.sum("_s")})
+    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.coalesce("__before", F.lit(0))).drop(
+        "__bucket", "_v", "__before")
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None,
@@ -70,15 +70,15 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buck
     if bucket is None:
         return df.select("*", *[F.last(v, True).over(inclusive(keys)).alias(n) for n, v in values.items()])
     names = list(values)
-    marked = df.withColumn("_bucket", bucket).select(
-        "*", *[values[n].alias(f"_v_{n}") for n in names], F.struct(*order).alias("_order"))
-    local = inclusive([*keys, "_bucket"])
+    marked = df.withColumn("__bucket", bucket).select(
+        "*", *[values[n].alias(f"_v_{n}") for n in names], F.struct(*order).alias("__order"))
+    local = inclusive([*keys, "__bucket"])
     marked = marked.select("*", *[F.last(f"_v_{n}", True).over(local).alias(n) for n in names])
-    summary = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_order"))).alias(f"_l_{n}")
+    summary = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("__order"))).alias(f"_l_{n}")
                for n in names]
     joined = _carry(marked, keys, summary, {f"_c_{n}": F.last(f"_l_{n}", True) for n in names})
     filled = {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in names}
-    return joined.withColumns(filled).drop("_bucket", "_order", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
+    return joined.withColumns(filled).drop("__bucket", "__order", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None,
@@ -86,13 +86,13 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bu
     """lag(1) of each named value; null on the first row of a key."""
     row = F.struct(*[v.alias(n) for n, v in values.items()])
     if bucket is None:
-        out = df.withColumn("_prev", F.lag(row).over(_ordered(keys, order)))
+        out = df.withColumn("__prev", F.lag(row).over(_ordered(keys, order)))
     else:
-        marked = df.withColumn("_bucket", bucket).withColumn("_row", row).withColumn("_order", F.struct(*order))
-        marked = marked.withColumn("_prev", F.lag("_row").over(_ordered([*keys, "_bucket"], order)))
-        joined = _carry(marked, keys, [F.max_by("_row", "_order").alias("_last")], {"_carry": F.last("_last", True)})
-        out = joined.withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_bucket", "_row", "_order", "_carry")
-    return out.withColumns({n: F.col(f"_prev.{n}") for n in values}).drop("_prev")
+        marked = df.withColumn("__bucket", bucket).withColumn("__row", row).withColumn("__order", F.struct(*order))
+        marked = marked.withColumn("__prev", F.lag("__row").over(_ordered([*keys, "__bucket"], order)))
+        joined = _carry(marked, keys, [F.max_by("__row", "__order").alias("__last")], {"__carry": F.last("__last", True)})
+        out = joined.withColumn("__prev", F.coalesce("__prev", "__carry")).drop("__bucket", "__row", "__order", "__carry")
+    return out.withColumns({n: F.col(f"__prev.{n}") for n in values}).drop("__prev")
 
 
 def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None,
@@ -100,14 +100,14 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket
     """lead(1) of each named value; null on the last row of a key. `order` must be ascending."""
     row = F.struct(*[v.alias(n) for n, v in values.items()])
     if bucket is None:
-        out = df.withColumn("_next", F.lead(row).over(_ordered(keys, order)))
+        out = df.withColumn("__next", F.lead(row).over(_ordered(keys, order)))
     else:
-        marked = df.withColumn("_bucket", bucket).withColumn("_row", row).withColumn("_order", F.struct(*order))
-        marked = marked.withColumn("_next", F.lead("_row").over(_ordered([*keys, "_bucket"], order)))
-        on = [*keys, "_bucket"]
-        after = Window.partitionBy(*keys).orderBy("_bucket")
-        firsts = marked.groupBy(*on).agg(F.min_by("_row", "_order").alias("_first"))
-        firsts = firsts.withColumn("_carry", F.lead("_first").over(after)).drop("_first")
-        out = marked.join(firsts, on).withColumn("_next", F.coalesce("_next", "_carry")).drop(
-            "_bucket", "_row", "_order", "_carry")
-    return out.withColumns({n: F.col(f"_next.{n}") for n in values}).drop("_next")
+        marked = df.withColumn("__bucket", bucket).withColumn("__row", row).withColumn("__order", F.struct(*order))
+        marked = marked.withColumn("__next", F.lead("__row").over(_ordered([*keys, "__bucket"], order)))
+        on = [*keys, "__bucket"]
+        after = Window.partitionBy(*keys).orderBy("__bucket")
+        firsts = marked.groupBy(*on).agg(F.min_by("__row", "__order").alias("__first"))
+        firsts = firsts.withColumn("__carry", F.lead("__first").over(after)).drop("__first")
+        out = marked.join(firsts, on).withColumn("__next", F.coalesce("__next", "__carry")).drop(
+            "__bucket", "__row", "__order", "__carry")
+    return out.withColumns({n: F.col(f"__next.{n}") for n in values}).drop("__next")

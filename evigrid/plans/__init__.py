@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     geometry_queries,
     pin_queries,
     search_queries,
+    stream_queries,
     table_queries,
     text_queries,
 )

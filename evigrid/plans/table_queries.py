@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tables
+from ..session import settled
 from .registry import query
 from .shapes import ctes, frame
 
@@ -26,7 +27,7 @@ def x7_unread(spark, sf):
 
 @query("a18_number_columns")
 def a18(spark, sf):
-    cells = tables.table_cells(frame(spark, sf, "html_tables"))
+    cells = settled(tables.table_cells(frame(spark, sf, "html_tables")))
     split = tables.header_split(cells)
     targets = frame(spark, sf, "table_targets").select("doc_id", "table_id", F.col("package").alias("target"))
     return tables.number_columns(tables.headers(cells, split), tables.data_cells(cells, split), targets)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,14 +36,29 @@ def local_session(cpus: int | None = None, app: str = "evigrid") -> SparkSession
     return spark
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; only a local master falls back to a
-    folder of its own."""
-    if spark.sparkContext.getCheckpointDir():
-        return
+_LOCAL_FOLDER: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; only a local master falls back to a folder of
+    its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDER:
+            _LOCAL_FOLDER[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        named = _LOCAL_FOLDER[app]
     if named is None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read to the shared folder and read it back.
+
+    The branches then scan a columnar table instead of computing the frame once each, and a lost executor
+    costs a scan and not the lineage.
+    """
+    path = f"{shared_folder(df.sparkSession)}/evigrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-
+"""Structured Streaming jobs: stage timing, attempt limits, bounded logs."""
