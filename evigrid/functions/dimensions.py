@@ -38,15 +38,20 @@ def with_dimensions(df: DataFrame, text: str = "text", table_cell: Column | None
     clean = F.translate(strip(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
     out = df.withColumn("_t", clean)
     left = F.regexp_replace(F.regexp_replace("_t", WORDS, ""), RADIUS, "$1")
-    out = out.withColumns({
-        "_words": left.rlike("[A-Za-z]"), "_groups": F.regexp_extract_all("_t", F.lit(r"\(([^()]*)\)"), 1)})
+    # Plain character tests come before the patterns: most texts hold no letters, brackets or signs.
+    lettered = F.col("_t").rlike("[A-Za-z]")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("_lettered", lettered).withColumns({
+        "_words": F.col("_lettered") & left.rlike("[A-Za-z]"),
+        "_groups": F.when(F.contains("_t", F.lit("(")), F.regexp_extract_all("_t", F.lit(r"\(([^()]*)\)"), 1)).otherwise(none)})
     inner = F.coalesce(F.try_element_at("_groups", F.lit(-1)), F.col("_t"))
     out = out.withColumns({
-        "_v": strip(F.regexp_replace(inner, r"(?i)\bREF\b", "")),
+        "_v": F.when(F.col("_lettered"), strip(F.regexp_replace(inner, r"(?i)\bREF\b", ""))).otherwise(strip(inner)),
         "_void": F.col("_words") | (F.size("_groups") > 1)})
     v = F.col("_v")
-    kind = (F.when(F.col("_void"), "none").when(v.rlike(SYMMETRIC), "symmetric").when(v.rlike(ASYMMETRIC), "asymmetric")
-            .when(v.rlike(RANGE), "range").when(F.regexp_count(v, F.lit(NUMBER)) == 1, "single").otherwise("none"))
+    dash = v.contains("-") | v.contains("–") | v.contains("—")
+    kind = (F.when(F.col("_void"), "none").when(v.contains("±") & v.rlike(SYMMETRIC), "symmetric")
+            .when(v.contains("/") & v.rlike(ASYMMETRIC), "asymmetric").when(dash & v.rlike(RANGE), "range").when(F.regexp_count(v, F.lit(NUMBER)) == 1, "single").otherwise("none"))
     out = out.withColumn("_kind", kind)
     k = F.col("_kind")
     out = out.withColumns({
@@ -56,7 +61,7 @@ def with_dimensions(df: DataFrame, text: str = "text", table_cell: Column | None
         "_m": F.when(k == "symmetric", -F.abs(_number(v, SYMMETRIC, 2))).when(k == "asymmetric", -F.abs(_number(v, ASYMMETRIC, 3))),
         "_a": F.when(k == "range", _number(v, RANGE, 1)), "_b": F.when(k == "range", _number(v, RANGE, 2))})
     words = F.col("_words")
-    metric = (F.size("_groups") > 0) | F.col("_t").rlike(r"(?i)\bmm\b")
+    metric = (F.size("_groups") > 0) | (F.col("_lettered") & F.col("_t").rlike(r"(?i)\bmm\b"))
     angle = (k == "range") & F.col("_t").contains("°")
     out = out.withColumns({
         "nominal": F.col("_n"), "minimum": F.coalesce(F.least("_a", "_b"), F.col("_n") + F.col("_m")),
@@ -78,13 +83,13 @@ def with_dimensions(df: DataFrame, text: str = "text", table_cell: Column | None
             "quantity": F.when(~F.col("_hit"), F.col("quantity")),
             "symbol": F.when(F.col("_hit"), "").otherwise(F.col("symbol")),
             "is_reference": F.when(F.col("_hit"), tail == "ref").otherwise(F.col("is_reference"))}).drop("_hit")
-    return out.drop("_t", "_words", "_groups", "_v", "_void", "_kind", "_n", "_p", "_m", "_a", "_b")
+    return out.drop("_t", "_lettered", "_words", "_groups", "_v", "_void", "_kind", "_n", "_p", "_m", "_a", "_b")
 
 
 def explicit_count(text: str | Column, low: int = 1, high: int = 512) -> Column:
     """Terminal count stated in words or in a package code."""
     col = strip(F.col(text) if isinstance(text, str) else text)
-    first = F.when(col.rlike(COUNT_WORD), F.regexp_extract(col, COUNT_WORD, 1)).otherwise(F.regexp_extract(col, COUNT_CODE, 1))
+    first = F.when(~col.rlike("[A-Za-z]"), F.lit(None)).when(col.rlike(COUNT_WORD), F.regexp_extract(col, COUNT_WORD, 1)).otherwise(F.regexp_extract(col, COUNT_CODE, 1))
     # The filter reads the value once where a condition would repeat the patterns.
     return F.try_element_at(F.filter(F.array(first.try_cast("int")), lambda v: v.between(low, high)), F.lit(1))
 

@@ -18,7 +18,7 @@ def strip(text: str | Column) -> Column:
 def folded(text: str | Column) -> Column:
     """Lower case without any white space; null is empty."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.lower(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", ""))
+    return F.lower(F.translate(F.coalesce(col, F.lit("")), " \t\n\r\x0b\x0c", ""))
 
 
 def is_number(text: str | Column) -> Column:

@@ -34,9 +34,14 @@ def pin_flags(pins: DataFrame) -> DataFrame:
         exposed_pad_name().alias("pad"), documented_exposed_pad().alias("documented"))
 
 
-def pin_stats(pins: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row per document of `docs` with everything the rules look at; a document without pins has n = 0."""
+def pin_stats(pins: DataFrame, docs: DataFrame, pads: bool = True) -> DataFrame:
+    """One row per document of `docs` with everything the rules look at; a document without pins has n = 0.
+
+    Without `pads` the statistics of exposed pads, which only the package rules need, are left out.
+    """
     flags = pin_flags(pins)
+    if not pads:
+        flags = flags.withColumns({"pad": F.lit(False), "documented": F.lit(False)})
     sums = {c: F.count_if(c).alias(c) for c in ("empty", "same", "dirty", "long", "unknown", "pad")}
     number = flags.groupBy("doc_id", "pin_number").agg(
         F.count(F.lit(1)).alias("n"), *sums.values(), F.max("value").alias("value"),
@@ -46,11 +51,12 @@ def pin_stats(pins: DataFrame, docs: DataFrame) -> DataFrame:
     canonical = F.when(peripheral & F.col("pin_number").rlike("^[1-9][0-9]*$"), F.col("value"))
     stats = number.groupBy("doc_id").agg(
         F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], F.count_if(F.col("n") > 1).alias("repeated"),
-        F.count_if(F.col("value").isNull()).alias("not_numeric"), F.count_distinct("value").alias("values"),
+        F.count_if(F.col("value").isNull()).alias("not_numeric"), F.count_if(F.col("pin_number").startswith("0")).alias("padded"),
+        F.min("value").alias("low"), F.max("value").alias("high"),
         F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.max("pad_number").alias("pad_number"),
         F.count_if(peripheral).alias("peripheral_numbers"), F.count(canonical).alias("canonical_numbers"),
         F.min(canonical).alias("peripheral_low"), F.max(canonical).alias("peripheral_high"))
-    filled = ["n", *sums, "repeated", "not_numeric", "values"]
+    filled = ["n", *sums, "repeated", "not_numeric", "padded"]
     return docs.join(stats, "doc_id", "left").fillna(0, filled)
 
 
@@ -60,7 +66,9 @@ def missing_numbers(pins: DataFrame, stats: DataFrame, bucket_width: int = 65536
     A gap lies between two neighbours among the distinct numbers, with 0 and n + 1 as end posts, so no
     1..n list is ever built for a document.
     """
-    numeric = stats.where((F.col("n") > 0) & (F.col("not_numeric") == 0)).select("doc_id", "n")
+    # 1..n without repeats, first and last in place, has no gap; only the other documents are looked through.
+    whole = (F.col("repeated") == 0) & (F.col("padded") == 0) & (F.col("low") == 1) & (F.col("high") == F.col("n"))
+    numeric = stats.where((F.col("n") > 0) & (F.col("not_numeric") == 0) & ~whole).select("doc_id", "n")
     value = F.trim("pin_number").try_cast("bigint")
     inside = pins.select("doc_id", value.alias("value")).join(numeric, "doc_id")
     inside = inside.where(F.col("value").between(1, F.col("n"))).select("doc_id", "value").distinct()
@@ -77,8 +85,8 @@ def _detail(items: DataFrame, counts: DataFrame, limit: int = T.DETAIL_ITEMS) ->
     text = head.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_rank", "item"))).alias("_i"))
     text = text.select(*KEY, F.array_join(F.transform("_i", lambda i: i.item), SEPARATOR).alias("_text"))
     out = counts.join(text, KEY, "left")
-    return out.withColumn("detail", F.coalesce(
-        F.concat("_text", F.when(F.col("items") > limit, MORE).otherwise("")), F.lit(""))).drop("_text")
+    shown = F.when(F.col("items") > 0, F.concat("_text", F.when(F.col("items") > limit, MORE).otherwise("")))
+    return out.withColumn("detail", F.coalesce(shown, F.lit(""))).drop("_text")
 
 
 def _apply(stats: DataFrame, rules: list[tuple[str, Column | str, Column, Column]]) -> DataFrame:
@@ -126,13 +134,16 @@ def device_rules() -> list:
     return [("device_suspicious", "warn", (device == "") | job_id | ((stem != "") & (device == stem)), F.lit(0))]
 
 
-def _pin_items(pins: DataFrame) -> DataFrame:
-    """Pins a finding lists: duplicates in text order, the others in table order."""
+def _pin_items(pins: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """Pins a finding of the chosen groups lists: duplicates in text order, the others in table order."""
     flags = pin_flags(pins)
-    wanted = {"empty_pin_names": "empty", "name_has_non_ascii": "dirty", "name_too_long": "long", "sides_unknown": "unknown"}
-    codes = F.array_compact(F.array(*[F.when(F.col(f), F.lit(code)) for code, f in wanted.items()]))
+    wanted = {"empty_pin_names": "empty", "name_has_non_ascii": "dirty", "name_too_long": "long"} if "names" in groups else {}
+    wanted |= {"sides_unknown": "unknown"} if "sides" in groups else {}
+    codes = F.array_compact(F.array(*[F.when(F.col(f), F.lit(code)) for code, f in wanted.items()]).cast("array<string>"))
     listed = flags.select("doc_id", F.explode(codes).alias("code"), F.col("ord").alias("rank"),
                           F.col("pin_number").alias("item"))
+    if "numbers" not in groups:
+        return listed
     repeated = pins.groupBy("doc_id", "pin_number").count().where("count > 1")
     return listed.unionByName(repeated.select(
         "doc_id", F.lit("pin_numbers_duplicated").alias("code"), F.lit(0).cast("bigint").alias("rank"),
@@ -154,7 +165,8 @@ def check_pins(pins: DataFrame, docs: DataFrame, groups: tuple[str, ...] = ("dev
                with_layout: bool = False) -> DataFrame:
     """Findings (doc_id, code, severity, items, detail) of the chosen rule groups."""
     # One scan of the pins feeds all rules and the gaps.
-    stats = settled(pin_stats(pins, docs)) if "numbers" in groups else pin_stats(pins, docs)
+    stats = pin_stats(pins, docs, pads=False)
+    stats = settled(stats) if "numbers" in groups else stats
     rules = []
     if "device" in groups:
         rules += device_rules()
@@ -165,14 +177,11 @@ def check_pins(pins: DataFrame, docs: DataFrame, groups: tuple[str, ...] = ("dev
     if "sides" in groups:
         rules += side_rules(with_layout)
     found = _apply(stats, rules)
-    items = _pin_items(pins)
+    items = _pin_items(pins, groups)
     if "numbers" in groups:
         counts, numbers = gap_findings(missing_numbers(pins, stats))
         found, items = found.unionByName(counts), items.unionByName(numbers)
-    listed = found.where(F.col("items") > 0)
-    # Items of findings that did not fire are dropped before the ranking.
-    kept = items.join(listed.select(*KEY), KEY, "left_semi")
-    return _detail(kept, found)
+    return _detail(items, found)
 
 
 def package_findings(pins: DataFrame, docs: DataFrame, hint_counts: DataFrame | None = None,

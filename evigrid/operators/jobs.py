@@ -31,9 +31,10 @@ def visible_jobs(jobs: DataFrame, tenant_id: str, kind: str | None = None) -> Da
 
 
 def job_title(params: str = "package_params", kind: str = "kind") -> Column:
-    """First non-empty title key of the JSON parameters, else the upper-cased kind."""
-    keys = [F.nullif(F.get_json_object(params, f"$.{k}"), F.lit("")) for k in TITLE_KEYS]
-    return F.coalesce(*keys, F.upper(kind))
+    """First non-empty title key of the JSON parameters, else the upper-cased kind. The JSON is parsed once."""
+    parsed = F.from_json(params, ", ".join(f"{k} STRING" for k in TITLE_KEYS))
+    title = F.transform(F.array(parsed), lambda p: F.coalesce(*[F.nullif(p[k], F.lit("")) for k in TITLE_KEYS]))[0]
+    return F.coalesce(title, F.upper(kind))
 
 
 def job_page(jobs: DataFrame, limit: int = 30, offset: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     evidence_queries,
     footprint_queries,
     geometry_queries,
+    group_queries,
     pin_queries,
     search_queries,
     stream_queries,

@@ -573,3 +573,46 @@ shape("page_table_pins", "events", ["CAST(user_id AS STRING) AS doc_id", "event_
                                     "CASE WHEN value < 30 THEN 'a' ELSE 'b' END AS description"])
 shape("table_pages", "customer", ["CAST(c_custkey AS STRING) AS doc_id", "CAST(c_custkey % 17 AS INT) AS page"])
 shape("table_packages", "customer", ["CAST(c_custkey AS STRING) AS doc_id", f"{choice('c_custkey % 3', 'TSSOP20', 'lqfp64', '')} AS package"])
+
+# --- dimension groups -------------------------------------------------------------------------------------------------------
+shape("region_tokens_base", "boxes", [
+    "doc_id", "id", "ord", "x1", "y1", "x2", "y2", "confidence", "rotation_deg", "'r' || CAST(ord % 3 AS STRING) AS source_region_id", "'mm' AS unit_context", "'unknown' AS value_role",
+    f"{choice('ord % 12', 'Dimension L', '3.2 mm', 'A MAX', 'A MIN', '8 PINS', '8', '12,5', 'Dimension W2', '1.0-2.0', '2-Ø1.5', 'abc', '4.5')} AS text"])
+shape("region_lines", "drawn_lines", ["doc_id", "line_id", "ord", "type", "lx1", "ly1", "lx2", "ly2", "arrow_ids", "confidence", "'r' || CAST(ord % 3 AS STRING) AS source_region_id"])
+# Tables of MIN/NOM/MAX rows: parts as their cells, brand as document, nations as the headers.
+_CELL = ["'table' AS source_region_id", "0 AS rotation_deg", "'unknown' AS unit_context", "'unknown' AS value_role"]
+shape("grid_slots", "part", ["p_partkey", "p_brand", "p_size", series("0", "3", "c")])
+shape("grid_tokens", "grid_slots", [
+    "p_brand AS doc_id", "CAST(p_partkey AS STRING) || '_' || CAST(c AS STRING) AS id", "p_partkey * 4 + c AS ord", *_CELL,
+    "CASE WHEN c = 0 THEN CASE WHEN p_size % 5 = 0 THEN 'Number of leads' WHEN p_size % 5 = 1 THEN 'lead angle' ELSE 'A' || CAST(p_size AS STRING) END"
+    " WHEN p_size % 7 = c THEN '' ELSE CAST(p_size AS STRING) || '.' || CAST(c AS STRING) END AS text",
+    "CAST(0.8 + (p_partkey % 20) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence", "CAST(20 + c * 100 AS INT) AS x1", "CAST(40 + p_size * 30 + p_partkey % 4 AS INT) AS y1",
+    "CAST(60 + c * 100 AS INT) AS x2", "CAST(52 + p_size * 30 + p_partkey % 4 AS INT) AS y2"])
+shape("head_slots", "nation", ["n_nationkey", series("0", "4", "c")])
+shape("head_tokens", "head_slots", [
+    "'Brand#' || CAST(n_nationkey + 1 AS STRING) AS doc_id", "'h' || CAST(c AS STRING) AS id", "CAST(-10 + c AS BIGINT) AS ord", *_CELL,
+    f"{choice('c', 'Symbol', 'MIN', 'TYP', 'MAX', 'MILLIMETERS')} AS text", "CAST(0.9 AS DOUBLE) AS confidence",
+    "CAST(CASE WHEN c = 4 THEN 220 ELSE 20 + c * 100 END AS INT) AS x1", "CAST(CASE WHEN c = 4 THEN 1 ELSE 12 END AS INT) AS y1",
+    "CAST(CASE WHEN c = 4 THEN 300 ELSE 60 + c * 100 END AS INT) AS x2", "CAST(CASE WHEN c = 4 THEN 10 ELSE 24 END AS INT) AS y2"])
+# Stacked values: two texts over each other with a line between, one pair per order.
+shape("stack_slots", "orders", ["o_orderkey", "o_custkey", series("0", "3", "k")])
+shape("stack_tokens", "stack_slots", [
+    "CAST(o_custkey AS STRING) AS doc_id", "CAST(o_orderkey AS STRING) || '_' || CAST(k AS STRING) AS id", "o_orderkey * 4 + k AS ord", "'v' || CAST(o_orderkey % 5 AS STRING) || CASE WHEN k > 1 THEN 'b' ELSE 'a' END AS source_region_id",
+    "CASE k WHEN 0 THEN '5.6' WHEN 1 THEN '5.0' WHEN 2 THEN '5,2' ELSE '4.9' END AS text", "0 AS rotation_deg", "'mm' AS unit_context", "'unknown' AS value_role", "CAST(0.95 AS DOUBLE) AS confidence",
+    "CAST(o_orderkey % 50 * 80 AS INT) AS x1", "CAST(o_orderkey % 40 * 60 + k % 2 * 14 AS INT) AS y1", "CAST(o_orderkey % 50 * 80 + 24 AS INT) AS x2", "CAST(o_orderkey % 40 * 60 + k % 2 * 14 + 10 AS INT) AS y2"])
+shape("stack_lines", "stack_slots", [
+    "CAST(o_custkey AS STRING) AS doc_id", "'l' || CAST(o_orderkey AS STRING) || '_' || CAST(k AS STRING) AS line_id", "o_orderkey * 4 + k AS ord", "'v' || CAST(o_orderkey % 5 AS STRING) || CASE WHEN k > 1 THEN 'b' ELSE 'a' END AS source_region_id",
+    "'dimension_line' AS type", "CAST(o_orderkey % 50 * 80 - 1 AS INT) AS lx1", "CAST(o_orderkey % 40 * 60 + 12 AS INT) AS ly1", "CAST(o_orderkey % 50 * 80 + 25 AS INT) AS lx2", "CAST(o_orderkey % 40 * 60 + 12 AS INT) AS ly2"], "k <> 1")
+shape("stack_assignments", "stack_slots", [
+    "CAST(o_custkey AS STRING) AS doc_id", "o_orderkey * 4 + k AS assignment_id", "CASE WHEN k = 0 THEN 'body_length' WHEN o_orderkey % 3 = 0 THEN 'body_length' ELSE 'body_width' END AS canonical_name",
+    ("CASE WHEN k = 2 THEN array(CAST(o_orderkey AS STRING) || '_2', CAST(o_orderkey AS STRING) || '_3') ELSE array(CAST(o_orderkey AS STRING) || '_' || CAST(k AS STRING)) END AS token_ids", "[] AS token_ids"),
+    ("array('l' || CAST(o_orderkey AS STRING) || '_0') AS line_ids", "[] AS line_ids")], "k < 3")
+shape("name_pins", "customer", [
+    "CAST(c_nationkey AS STRING) AS doc_id", "CAST(c_custkey AS STRING) AS pin_number", f"{choice('c_custkey % 4', 'INO', 'EPAD', 'VDD', 'RESET')} AS name", f"{choice('c_custkey % 5', 'left', 'right', 'top', 'unknown', 'left')} AS side",
+    f"{choice('c_custkey % 4', 'Analog input channel 0', 'exposed pad', '', '')} AS description",
+    ("array(named_struct('page', 1, 'source', 'vision', 'bbox', CAST(NULL AS array<double>), 'agreement', c_custkey % 3 <> 0)) AS evidence", "NULL AS evidence")])
+shape("name_mismatches", "customer", ["CAST(c_nationkey AS STRING) AS doc_id", "CAST(c_custkey AS STRING) AS pin_number", f"{choice('c_custkey % 4', 'INO', 'EPAD', 'VDD', 'OTHER')} AS expected",
+                                      f"{choice('c_custkey % 4', 'IN0', 'EP', 'V DD', '/RESET')} AS observed"])
+shape("name_observations", "customer", ["CAST(c_nationkey AS STRING) AS doc_id", "CAST(c_custkey AS STRING) AS pin_number", "CAST(0.85 + (c_custkey % 15) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence", "c_custkey % 13 = 0 AS uncertain"])
+shape("review_docs", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "'r' || CAST(o_custkey % 3 AS STRING) AS region_id", "'r' || CAST(o_custkey % 3 + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS STRING) AS answered_region_id",
+                                "'top' AS view_type", "CASE WHEN o_orderkey % 19 = 0 THEN 'side' ELSE 'top' END AS answered_view_type"])
