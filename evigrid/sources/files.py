@@ -60,8 +60,8 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
             F.coalesce(p.description, empty).alias("description"), p.evidence.alias("evidence"))
     return raw.select(
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("device", "package", "package_full_name")], "source",
-        F.transform(F.coalesce("pins", F.array().cast(pin_type)), filled).alias("pins"),
-        F.coalesce("conflicts", F.array().cast(conflict_type)).alias("conflicts"))
+        F.transform(F.coalesce("pins", F.from_json(F.lit("[]"), pin_type)), filled).alias("pins"),
+        F.coalesce("conflicts", F.from_json(F.lit("[]"), conflict_type)).alias("conflicts"))
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:

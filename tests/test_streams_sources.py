@@ -68,7 +68,8 @@ def test_run_logs_keep_jobs_without_files(spark, tmp_path, rows):
     (tmp_path / "j1" / "build.log").write_text("a\nb")
     (tmp_path / "j1" / "wson8.log").write_text("SPMHA1-301")
     lines = files.read_run_logs(spark, str(tmp_path), spark.createDataFrame([("j1",), ("j2",)], "job_id string"))
-    assert rows(lines, "job_id", "log_kind", "line_no", "text") == [("j2", None, None, None), ("j1", "build", 0, "a"), ("j1", "build", 1, "b"), ("j1", "symbol", 0, "SPMHA1-301")]
+    assert rows(lines, "job_id", "log_kind", "line_no", "text") == [
+        ("j1", "build", 0, "a"), ("j1", "build", 1, "b"), ("j1", "symbol", 0, "SPMHA1-301"), ("j2", None, None, None)]
 
 
 def test_corpus_takes_markdown_only(spark, tmp_path):
