@@ -303,13 +303,14 @@ def review_candidate_issues(candidates: DataFrame, assignments: DataFrame, token
             .unionByName(flag(t.where("_context"), "context_token")).unionByName(rules).unionByName(flag(fits.where(~F.col("_fits")), "row_mismatch")))
 
 
-def assess_extraction(readings: DataFrame, evidence: DataFrame, required: DataFrame, minimum: float = 0.9) -> DataFrame:
+def assess_extraction(readings: DataFrame, evidence: DataFrame, required: tuple[str, ...], minimum: float = 0.9) -> DataFrame:
     """Issues (doc_id, field, issue) of a reading: value missing, evidence weak or uncertain, unit not millimetres.
 
-    readings(doc_id, unit, values MAP), evidence(doc_id, field, confidence, uncertain), required(field).
+    readings(doc_id, unit, values MAP), evidence(doc_id, field, confidence, uncertain); `required` is the short
+    list of fields every reading needs.
     """
     slots = readings.select("doc_id", F.explode(F.map_entries("values")).alias("_e")).select("doc_id", F.col("_e.key").alias("field"), F.col("_e.value").alias("value"))
-    wanted = readings.select("doc_id").crossJoin(F.broadcast(required))
+    wanted = readings.select("doc_id", F.explode(F.array(*[F.lit(f) for f in required])).alias("field"))
     rows = wanted.join(slots, ["doc_id", "field"], "left").join(evidence, ["doc_id", "field"], "left")
     issue = F.array_compact(F.array(
         F.when(F.col("value").isNull(), F.lit("missing")),

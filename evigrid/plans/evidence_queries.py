@@ -218,7 +218,7 @@ def a19(spark, sf):
   SELECT doc_id, field, 'missing' AS issue FROM j WHERE v IS NULL UNION ALL SELECT doc_id, field, 'weak' FROM j WHERE v IS NOT NULL AND coalesce(confidence, 0) < 0.9 UNION ALL SELECT doc_id, field, 'uncertain' FROM j WHERE uncertain
   UNION ALL SELECT doc_id, 'unit', 'unit' FROM read_values WHERE unit <> 'mm'""")
 def a27(spark, sf):
-    return fusion.assess_extraction(*_frames(spark, sf, "read_values", "read_evidence", "required_slots"))
+    return fusion.assess_extraction(*_frames(spark, sf, "read_values", "read_evidence"), ("body_x", "pitch", "pad_count"))
 
 
 # --- families ------------------------------------------------------------------------------------------------------------

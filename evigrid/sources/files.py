@@ -55,7 +55,7 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     def filled(p):
         empty = F.lit("")
         return F.struct(
-            F.coalesce(p.pin_number, empty).alias("pin_number"), F.coalesce(p.name, empty).alias("name"), F.coalesce(p.type, F.lit("PAS")).alias("type"),
+            F.coalesce(p.pin_number, empty).alias("pin_number"), F.coalesce(p["name"], empty).alias("name"), F.coalesce(p.type, F.lit("PAS")).alias("type"),
             F.coalesce(p.side, F.lit("unknown")).alias("side"), F.coalesce(p.side_order, F.lit(0)).alias("side_order"),
             F.coalesce(p.description, empty).alias("description"), p.evidence.alias("evidence"))
     return raw.select(
