@@ -262,6 +262,3 @@ def report(findings: DataFrame, docs: DataFrame) -> DataFrame:
     verdict = F.when(F.col("n_error") > 0, "broken").when(F.col("n_warn") > 0, "suspect").otherwise("ok")
     return out.select("doc_id", *names, score.alias("score"), verdict.alias("verdict"))
 
-
-def severity_rank(severity: str = "severity") -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.col(severity))

@@ -385,3 +385,15 @@ def j26(spark, sf):
   h AS (SELECT doc_id, n FROM c JOIN k USING (doc_id, number) GROUP BY 1, 2 HAVING count(*) >= 4) SELECT doc_id, max(n) AS nominal_pin_count FROM h GROUP BY 1""")
 def j27(spark, sf):
     return families.corner_counts(frame(spark, sf, "drawn_numbers"))
+
+
+@query("v12_cleared_issues", ctes("open_issues", "operator_values") + """ SELECT i.doc_id, kind, field FROM open_issues i LEFT JOIN operator_values v USING (doc_id)
+  WHERE v.doc_id IS NULL OR NOT CASE kind WHEN 'conflict' THEN regexp_matches(field, '(^|[^A-Za-z0-9_])' || canonical_name || '([^A-Za-z0-9_]|$)') ELSE field = canonical_name END""")
+def v12_cleared(spark, sf):
+    return families.cleared_issues(*_frames(spark, sf, "open_issues", "operator_values", "params"))
+
+
+@query("x3_worded_confidences", ctes("worded_confidences") + """ SELECT id, CASE lower(confidence) WHEN 'high' THEN CAST(0.95 AS DOUBLE) WHEN 'medium' THEN CAST(0.70 AS DOUBLE) WHEN 'low' THEN CAST(0.40 AS DOUBLE)
+    ELSE TRY_CAST(confidence AS DOUBLE) END AS confidence FROM worded_confidences""")
+def x3_confidences(spark, sf):
+    return frame(spark, sf, "worded_confidences").select("id", D.confidence_number("confidence").alias("confidence"))

@@ -616,3 +616,7 @@ shape("name_mismatches", "customer", ["CAST(c_nationkey AS STRING) AS doc_id", "
 shape("name_observations", "customer", ["CAST(c_nationkey AS STRING) AS doc_id", "CAST(c_custkey AS STRING) AS pin_number", "CAST(0.85 + (c_custkey % 15) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence", "c_custkey % 13 = 0 AS uncertain"])
 shape("review_docs", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "'r' || CAST(o_custkey % 3 AS STRING) AS region_id", "'r' || CAST(o_custkey % 3 + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS STRING) AS answered_region_id",
                                 "'top' AS view_type", "CASE WHEN o_orderkey % 19 = 0 THEN 'side' ELSE 'top' END AS answered_view_type"])
+shape("open_issues", "part", [
+    "CAST(p_partkey AS STRING) AS doc_id", "CASE WHEN p_partkey % 2 = 0 THEN 'conflict' ELSE 'missing' END AS kind",
+    f"{choice('p_size % 5', 'total_height!=housing_height+body_standoff', 'terminal_span', 'body_width>=overall_width', 'total_height', 'sub_body_width')} AS field"])
+shape("worded_confidences", "customer", ["c_custkey AS id", f"{choice('c_custkey % 6', 'High', 'medium', 'LOW', '0.8', 'sure', '1')} AS confidence"])
