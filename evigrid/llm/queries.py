@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import chat_format, line_dedup, mixing, near_dedup, suffix_dedup
 from .shared import docs_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_chat_format", chat_format.SQL)
+def op1(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_format.chat_digest(rows.unionByName(spark.createDataFrame(chat_format.INTRUDER, rows.schema)))
+
+
 @query("op4_minhash_near_dedup")
 def op4(spark, sf_dir):
     return near_dedup.near_duplicates(docs_of(spark, sf_dir))
+
+
+@query("op6_line_dedup", line_dedup.SQL)
+def op6(spark, sf_dir):
+    return line_dedup.line_dedup(docs_of(spark, sf_dir)).drop("runs")
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(docs_of(spark, sf_dir))
+
+
+@query("op9_mixing", mixing.SQL)
+def op9(spark, sf_dir):
+    return mixing.mixed_documents(docs_of(spark, sf_dir)).select(
+        "doc_id", "lang", "source", "mix_domain", "mix_epoch", "mix_tokens", "mix_start", "mix_take")
