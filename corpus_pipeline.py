@@ -3,22 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evigrid.llm import near_dedup
+from evigrid.llm import decontaminate, mixing, near_dedup, quality_classifier, token_files
 from evigrid.llm.shared import docs_of, settled
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    scored = quality_classifier.classify(docs, _table(spark, sf_dir, "labels"))
+    return scored.where("kept").select(*DOCUMENT)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near copies stays: the one with the smallest doc_id."""
-    lasting = near_dedup.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(lasting, "doc_id", "left_semi").select(*DOCUMENT)
+    """One document of every class of near copies stays: the one with the smallest doc_id. Documents without an id are in no class."""
+    others = near_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
+    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*DOCUMENT)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti").select(*DOCUMENT)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The prefix of each leaf's seeded stream up to its budget. The document in which a budget ends stays whole; one that
+    a second epoch takes again is there twice."""
+    return mixing.mixed_documents(docs).select(*DOCUMENT)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents; a row per document, read back from them."""
+    return token_files.token_digest(docs)
 
 
-STAGES = [("near_dedup", drop_near_copies)]
+STAGES = [("quality_classifier", keep_good), ("near_dedup", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix_sources),
+          ("token_files", write_tokens)]
 
-#: Trained models and minima of hashed arrivals have no SQL; tests compare the stages with plain versions.
+#: Trained models and hashed arrivals have no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, mixing, near_dedup, suffix_dedup
+from . import chat_format, decontaminate, html_text, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_files
 from .shared import docs_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,17 +22,37 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 @query("op1_chat_format", chat_format.SQL)
 def op1(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_format.chat_digest(rows.unionByName(spark.createDataFrame(chat_format.INTRUDER, rows.schema)))
 
 
+@query("op2_html_extraction")
+def op2(spark, sf_dir):
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark, sf_dir):
+    return decontaminate.leaks(docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_minhash_near_dedup")
 def op4(spark, sf_dir):
     return near_dedup.near_duplicates(docs_of(spark, sf_dir))
 
 
+@query("op5_quality_rules")
+def op5(spark, sf_dir):
+    return quality_rules.quality_rules(docs_of(spark, sf_dir), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 @query("op6_line_dedup", line_dedup.SQL)
 def op6(spark, sf_dir):
     return line_dedup.line_dedup(docs_of(spark, sf_dir)).drop("runs")
@@ -43,7 +63,18 @@ def op7(spark, sf_dir):
     return suffix_dedup.suffix_dedup(docs_of(spark, sf_dir))
 
 
+@query("op8_token_files")
+def op8(spark, sf_dir):
+    return token_files.token_digest(docs_of(spark, sf_dir))
+
+
 @query("op9_mixing", mixing.SQL)
 def op9(spark, sf_dir):
     return mixing.mixed_documents(docs_of(spark, sf_dir)).select(
         "doc_id", "lang", "source", "mix_domain", "mix_epoch", "mix_tokens", "mix_start", "mix_take")
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    return quality_classifier.classify(docs_of(spark, sf_dir), table(spark, sf_dir, "labels")).select(
+        "doc_id", "text_score", "page_score", "score", "kept")
