@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
-#: Control strings of the template and of the usual chat formats; each begins with < or [
-CONTROLS = (r"/?s>", r"/?INST\]", r"NEXT\]", r"</?SYS>>", r"/?SYS>>", r"\|[A-Za-z_]+\|>")
+#: What follows < or [ in the control strings of the template and of the usual chat formats; none of them has < or [ itself
+CONTROLS = (r"/?s>", r"/?INST\]", r"NEXT\]", r"/?SYS>>", r"\|[A-Za-z_]+\|>")
 _NAMES = "|".join(CONTROLS)
 
 
@@ -92,8 +92,8 @@ WITH rows AS (
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
 near AS (
   SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
-    length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?s>|/?INST\]|NEXT\]|</?SYS>>|/?SYS>>|\|[A-Za-z_]+\|>)', '\1.\2', 'g')) AS n,
-    length(regexp_replace(replace(role, '\', '\\'), '([<\[])(/?s>|/?INST\]|NEXT\]|</?SYS>>|/?SYS>>|\|[A-Za-z_]+\|>)', '\1.\2', 'g')) AS r
+    length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?s>|/?INST\]|NEXT\]|/?SYS>>|\|[A-Za-z_]+\|>)', '\1.\2', 'g')) AS n,
+    length(regexp_replace(replace(role, '\', '\\'), '([<\[])(/?s>|/?INST\]|NEXT\]|/?SYS>>|\|[A-Za-z_]+\|>)', '\1.\2', 'g')) AS r
   FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
