@@ -179,9 +179,8 @@ def name_resolution(pins: DataFrame, mismatches: DataFrame, observations: DataFr
     joined = mismatches.join(pins, PIN, "left").join(
         observations.select(*PIN, F.col("confidence").alias("_conf"), F.col("uncertain").alias("_unc")), PIN, "left")
     agreed = F.exists("evidence", lambda e: (e.source == "vision") & F.coalesce(e.agreement, F.lit(False)))
-    channels = F.array_distinct(F.regexp_extract_all(
-        F.coalesce("description", F.lit("")), F.lit(r"(?i)analog\s+input\s+channel\s+(\d+)\b"), 1))
-    channels = F.transform(channels, lambda c: c.try_cast("int"))
+    channels = F.array_distinct(F.transform(F.regexp_extract_all(
+        F.coalesce("description", F.lit("")), F.lit(r"(?i)analog\s+input\s+channel\s+(\d+)\b"), 1), lambda c: c.try_cast("int")))
     wanted = F.regexp_extract(norm["observed"], r"^(?:AIN|IN)(\d{1,2})$", 1)
     aliases = ("EP", "EPAD", "EXPOSEDPAD")
     reason = (

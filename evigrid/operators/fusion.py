@@ -223,8 +223,9 @@ def golden_verdicts(cases: DataFrame, issues: DataFrame, minimum: float = T.SEMA
 
 
 def status_rollup(results: DataFrame) -> DataFrame:
-    """Cases by status, and in total."""
-    return results.rollup("status").agg(F.count("*").alias("cases")).withColumn("status", F.coalesce("status", F.lit("total")))
+    """Cases by status, and in total; cases without a status are a row without one."""
+    counts = results.rollup("status").agg(F.count("*").alias("cases"), F.grouping("status").alias("_all"))
+    return counts.select(F.when(F.col("_all") == 1, "total").otherwise(F.col("status")).alias("status"), "cases")
 
 
 def route_gate(decisions: DataFrame, options: DataFrame, top: float = T.ROUTE_PROBABILITY, margin: float = T.ROUTE_MARGIN,

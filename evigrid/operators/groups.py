@@ -374,7 +374,7 @@ def reconcile_stacked(assignments: DataFrame, tokens: DataFrame, lines: DataFram
                 continue
             open_rows = rows[~rows["lower_assignment"].isin(used)]
             if len(open_rows) == 1 and bool(open_rows["ok"].iloc[0]):
-                used.add(open_rows["lower_assignment"].iloc[0])
+                used |= {upper, open_rows["lower_assignment"].iloc[0]}
                 merges.append(open_rows.iloc[0])
         return pd.DataFrame(merges, columns=group.columns)[["doc_id", "upper_assignment", "lower_assignment", "line_id"]]
     # A pair whose assignments stand in no other pair needs no order; only contested pairs of a view are folded.

@@ -149,7 +149,7 @@ shape("name_candidates", "orders", [
 
 # --- document text ------------------------------------------------------------------------------------------------
 _WORDS = ("The 16-lead TSSOP package", "LQFP64", "SSOP PACKAGE(TOP VIEW)", "SOT23", "", "14 pins SOIC and QFN-20",
-          "msop 10", "7-Lead DFN", "BGA100 LQFP100")
+          "msop 10", "7-Lead DFN", "BGA100 LQFP100", "113-lead BGA and 25-pin QFN, 5-lead SOT")
 
 shape("lines", "documents", [
     "CAST(doc_id AS STRING) AS doc_id", "doc_id AS d", "source",
@@ -159,7 +159,7 @@ shape("blocks", "lines", [
     "doc_id", "CAST(line_no AS BIGINT) AS seq",
     f"{choice('(d + line_no) % 7', 'text', 'header', 'text', 'page_number', 'table', 'image', 'Footer')} AS type",
     "CAST(floor(line_no / 5) AS INT) AS page_idx",
-    f"line || ' ' || {choice('(d * 7 + line_no) % 9', *_WORDS)} AS text",
+    f"line || ' ' || {choice('(d * 7 + line_no) % 10', *_WORDS)} AS text",
     "CASE WHEN (d + line_no) % 5 = 0 THEN 'note 8-lead soic' ELSE ' ' END AS aside_text",
     ("CASE WHEN (d + line_no) % 4 = 1 THEN array('Figure DFN-8', ' ') ELSE array() END AS image_caption",
      "CASE WHEN (d + line_no) % 4 = 1 THEN ['Figure DFN-8', ' '] ELSE [] END AS image_caption"),

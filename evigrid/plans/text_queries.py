@@ -23,15 +23,23 @@ TEXTS = ctes("blocks") + f""", entries AS (
        for i in range(1, 1 + len(list_concat(coalesce(image_caption, []), coalesce(table_caption, []))))])) AS e
     FROM blocks WHERE lower(type) NOT IN ({SKIP})),
   texts AS (SELECT doc_id, seq, e.part AS part, page, {tr('e.text')} AS text, e.source AS source FROM entries WHERE {tr('e.text')} <> '')"""
-HINTS = TEXTS + f""", s1 AS (SELECT *, regexp_extract_all(text, '{text.LEAD_HINT}') AS m1, regexp_replace(text, '{text.LEAD_HINT}', chr(1), 'g') AS t1 FROM texts),
-  s2 AS (SELECT *, regexp_extract_all(t1, '{text.STYLE_COUNT_HINT}') AS m2, regexp_replace(t1, '{text.STYLE_COUNT_HINT}', chr(1), 'g') AS t2 FROM s1),
-  s3 AS (SELECT *, regexp_extract_all(t2, '{text.STYLE_HINT}', 1) AS m3 FROM s2),
-  found AS (SELECT doc_id, seq, part, page, source, list_concat(
-      [{{'style': upper(regexp_extract(m, '{text.LEAD_HINT}', 2)), 'n': TRY_CAST(regexp_extract(m, '{text.LEAD_HINT}', 1) AS INT)}} for m in m1],
-      [{{'style': upper(regexp_extract(m, '{text.STYLE_COUNT_HINT}', 1)), 'n': TRY_CAST(regexp_extract(m, '{text.STYLE_COUNT_HINT}', 2) AS INT)}} for m in m2],
-      [{{'style': upper(m), 'n': CAST(NULL AS INT)}} for m in m3]) AS h FROM s3),
-  hints AS (SELECT doc_id, seq, part, page, source, i - 1 AS ordinal, h[i].style AS style, h[i].n AS pin_count,
-    h[i].style || coalesce(CAST(h[i].n AS VARCHAR), '') AS label FROM (SELECT *, unnest(range(1, 1 + len(h))) AS i FROM found))"""
+# What a reader finds in the phrases the fixture adds to its lines, by the phrase's number
+HINTS = TEXTS + """, phrases AS (SELECT * FROM (VALUES
+    (0, [{'style': 'TSSOP', 'n': 16}]), (1, [{'style': 'LQFP', 'n': 64}]), (2, [{'style': 'SSOP', 'n': NULL}]),
+    (5, [{'style': 'SOIC', 'n': 14}, {'style': 'QFN', 'n': 20}]), (6, [{'style': 'MSOP', 'n': 10}]), (7, [{'style': 'DFN', 'n': NULL}]),
+    (8, [{'style': 'BGA', 'n': 100}, {'style': 'LQFP', 'n': 100}]), (9, [{'style': 'SOT', 'n': 5}, {'style': 'BGA', 'n': NULL}, {'style': 'QFN', 'n': NULL}]),
+    (20, [{'style': 'SOIC', 'n': 8}]), (21, [{'style': 'DFN', 'n': 8}]), (22, [{'style': 'LQFP', 'n': 64}])) v(phrase, h)),
+  found AS (SELECT doc_id, seq, part, page, source, text, h FROM texts JOIN phrases ON phrase = CASE WHEN text = 'Figure DFN-8' THEN 21 WHEN text = 'Table 5 LQFP64' THEN 22
+    WHEN part = 1 AND source = 'text' THEN 20 ELSE (CAST(doc_id AS BIGINT) * 7 + seq) % 10 END),
+  hints AS (SELECT doc_id, seq, part, page, source, text, CAST(i - 1 AS INT) AS ordinal, h[i].style AS style, CAST(h[i].n AS INT) AS pin_count,
+    h[i].style || coalesce(CAST(h[i].n AS VARCHAR), '') AS label FROM (SELECT *, unnest(range(1, 1 + len(h))) AS i FROM found)),
+  clipped AS (SELECT *, CASE WHEN text = 'Figure DFN-8' THEN 'DFN-8' WHEN text = 'Table 5 LQFP64' THEN 'LQFP64' WHEN part = 1 AND source = 'text' THEN '8-lead soic'
+    ELSE (['16-lead TSSOP', 'LQFP64', 'SSOP', '', '', CASE ordinal WHEN 0 THEN '14 pins SOIC' ELSE 'QFN-20' END, 'msop 10', 'DFN', CASE ordinal WHEN 0 THEN 'BGA100' ELSE 'LQFP100' END,
+      CASE ordinal WHEN 0 THEN '5-lead SOT' WHEN 1 THEN 'BGA' ELSE 'QFN' END])[1 + (CAST(doc_id AS BIGINT) * 7 + seq) % 10] END AS hit FROM hints),
+  around AS (SELECT *, length(text) - CASE WHEN hit = 'SSOP' THEN length(hit) + 18 WHEN hit IN ('14 pins SOIC') THEN length(hit) + 11 WHEN hit = '16-lead TSSOP' THEN length(hit) + 8 WHEN hit = 'BGA100' THEN length(hit) + 8
+    WHEN hit = 'BGA' THEN 30 WHEN hit = 'QFN' THEN 15 ELSE length(hit) END AS low FROM clipped),
+  snippets AS (SELECT *, left(CASE WHEN low > 24 THEN '…' ELSE '' END || regexp_replace(trim(substr(text, greatest(0, low - 24) + 1, least(length(text), low + length(hit) + 24) - greatest(0, low - 24)),
+      ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '\\s+', ' ', 'g') || CASE WHEN low + length(hit) + 24 < length(text) THEN '…' ELSE '' END, 120) AS evidence FROM around)"""
 
 
 def _texts(spark, sf):
@@ -48,12 +56,12 @@ def f5(spark, sf):
     return text.filled_pages(table(spark, sf, "documents")).select("doc_id", "text")
 
 
-@query("x1_package_hints", HINTS + " SELECT * FROM hints")
+@query("x1_package_hints", HINTS + " SELECT * EXCLUDE (text) FROM hints")
 def x1(spark, sf):
     return text.package_hints(_texts(spark, sf))
 
 
-@query("x1_hint_snippets")
+@query("x1_hint_snippets", HINTS + " SELECT doc_id, seq, CAST(part AS INT) AS part, page, source, ordinal, style, pin_count, evidence FROM snippets")
 def x1_snippets(spark, sf):
     return text.hint_snippets(_texts(spark, sf))
 
@@ -74,6 +82,13 @@ def a8(spark, sf):
     return out.select("doc_id", "label", "caption_hits", "hits", "place", seen.alias("seen_place"))
 
 
+@query("a8_described_hints", HINTS + """, f AS (SELECT doc_id, style, pin_count, min((seq, part, ordinal)) AS o, arg_min(page, (seq, part, ordinal)) AS page, arg_min(evidence, (seq, part, ordinal)) AS evidence
+    FROM snippets GROUP BY 1, 2, 3)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS INT) AS place, style, pin_count, page, evidence FROM f QUALIFY place <= 6""")
+def a8_described(spark, sf):
+    return text.described_hints(text.hint_snippets(_texts(spark, sf)))
+
+
 @query("a8_hinted_counts", HINTS + " SELECT DISTINCT doc_id, pin_count FROM hints WHERE pin_count IS NOT NULL")
 def a8_counts(spark, sf):
     return text.hinted_counts(text.package_hints(_texts(spark, sf)))

@@ -24,13 +24,14 @@ GOLDEN_SCHEMA = (
     "known_missing_dimensions ARRAY<STRING>, expected_gate STRING, expected_topology STRUCT<solid_count: INT, minimum_face_count: INT>")
 # Extensions of text documents
 TEXT_EXTENSIONS = ("md", "markdown")
+TEXT_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in TEXT_EXTENSIONS) + "}"
 LOG_FILES = {"build.log": "build", "verify.log": "verify", "props.log": "props"}
 
 
 def _caption(name: str) -> Column:
-    """A list stays a list, a bare string becomes a list of one."""
-    listed = F.from_json(name, _STRINGS)
-    return F.when(F.col(name).isNull(), None).when(F.trim(name).startswith("["), listed).otherwise(F.array(name))
+    """A list stays a list, a bare string becomes a list of one, also one that begins with a bracket."""
+    listed = F.when(F.col(name).rlike(r'^\s*\[\s*("[\s\S]*|null[\s\S]*)?\]\s*$'), F.from_json(name, _STRINGS))
+    return F.when(F.col(name).isNotNull(), F.coalesce(listed, F.array(name)))
 
 
 def parent_folder(path: str = "_path") -> Column:
@@ -80,16 +81,23 @@ def read_run_logs(spark: SparkSession, path: str, jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id").join(lines, "job_id", "left")
 
 
+def _below(file: str, folder: str) -> Column:
+    """Path of a file below a folder, without its extension. The folder is found by its last names, as Spark writes it with a scheme."""
+    tail = "/" + folder.rstrip("/").split("://")[-1].strip("/") + "/"
+    return F.regexp_replace(F.substring_index(F.url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B"))), tail, -1), r"\.[^./]+$", "")
+
+
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Markdown documents below a folder, and the files of other types with the reason for leaving them.
 
-    Only names are read of refused files, never their content.
+    A document's id is its path below the folder without the extension, which may be in either case. Only names are read of
+    refused files, never their content.
     """
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     rejects = names.where(~extension.isin(*TEXT_EXTENSIONS)).select("path", F.concat(F.lit("unsupported:"), extension).alias("reason"))
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown}").text(path, wholetext=True)
-    docs = texts.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]+$", 1).alias("doc_id"), F.col("_metadata.file_path").alias("path"),
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_GLOB).text(path, wholetext=True)
+    docs = texts.select(_below("_metadata.file_path", path).alias("doc_id"), F.col("_metadata.file_path").alias("path"),
                         F.col("value").alias("text"))
     return docs, rejects
 

@@ -130,6 +130,15 @@ def test_stacked_ranges(spark, change, merges):
     assert groups.reconcile_stacked(*stack(spark, **change)).count() == merges
 
 
+def test_a_merged_assignment_is_in_no_other_merge(spark):
+    boxes = [("u", "2.0", 10), ("m", "1.5", 24), ("l", "1.0", 38)]
+    tokens = spark.createDataFrame([("d", k, i, t, 0.99, 0, "side", "mm", "unknown", 95, y, 115, y + 10) for i, (k, t, y) in enumerate(boxes)], TOKEN)
+    lines = spark.createDataFrame([("d", f"s{y}", i, "contour", 94, y, 116, y, [], "side") for i, y in enumerate((22, 36))], LINE)
+    assigned = spark.createDataFrame([("d", n, "body_length", [k], []) for n, k in ((1, "m"), (2, "u"), (3, "l"))], ASSIGN)
+    got = [(r.upper_assignment, r.lower_assignment) for r in groups.reconcile_stacked(assigned, tokens, lines).collect()]
+    assert got == [(1, 3)]
+
+
 def test_budgeted_selection_passes_over(spark, rows):
     data = [("d", "v", "dimension_line", i, 0, i, 1, i + 1, tokens, ["l"], [], [], "horizontal", 0.9) for i, tokens in enumerate((["a", "b"], ["c", "e", "f"], ["a", "g"], ["h"]))]
     df = spark.createDataFrame(data, "doc_id string, view_id string, evidence_type string, ord bigint, x1 int, y1 int, x2 int, y2 int, token_ids array<string>, dimension_line_ids array<string>, extension_line_ids array<string>, arrow_ids array<string>, orientation string, confidence double")

@@ -83,3 +83,19 @@ def test_dual_row_rotation_needs_proof(spark, rows):
     out = channels.dual_row_rotation(figure, packages)
     assert rows(out.where("doc_id = 'a'"), "pin_number", "side", "pos") == [("1", "left", 0), ("2", "left", 1), ("3", "right", 3), ("4", "right", 2)]
     assert not out.where("doc_id = 'b'").first()["rotated"]
+
+
+def test_rollup_keeps_cases_without_a_status(spark, rows):
+    from evigrid.operators import fusion
+    out = fusion.status_rollup(spark.createDataFrame([("ok",), (None,), (None,)], "status string"))
+    assert rows(out, "status", "cases") == [(None, 2), ("ok", 1), ("total", 3)]
+
+
+def test_one_channel_written_twice_is_one(spark):
+    from evigrid.operators import channels
+    e = "array<struct<page:int,source:string,bbox:array<double>,agreement:boolean>>"
+    pins = spark.createDataFrame([("d", "1", "A1N0", "left", "analog input channel 0, Analog Input Channel 00", [(1, "vision", None, True)])],
+                                 f"doc_id string, pin_number string, name string, side string, description string, evidence {e}")
+    differ = spark.createDataFrame([("d", "1", "A1N0", "AIN0")], "doc_id string, pin_number string, expected string, observed string")
+    seen = spark.createDataFrame([("d", "1", 0.95, False)], "doc_id string, pin_number string, confidence double, uncertain boolean")
+    assert [r.reason for r in channels.name_resolution(pins, differ, seen).collect()] == ["channel_number"]

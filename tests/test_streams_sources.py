@@ -52,6 +52,9 @@ def test_blocks_with_both_caption_forms(spark, tmp_path):
     got = files.read_blocks(spark, f"{tmp_path}/*/content_list.json").orderBy("seq").collect()
     assert [(r.doc_id, r.seq, r.page_idx) for r in got] == [("doc1", 0, 2), ("doc1", 1, 0)]
     assert got[0].table_caption == ["Table 1", "more"] and got[1].image_caption == ["Figure 2"]
+    (tmp_path / "doc1" / "content_list.json").write_text(json.dumps([{"type": "text", "table_caption": "[1] Pin functions", "image_caption": [], "chart_caption": "[a]"}]))
+    bare = files.read_blocks(spark, f"{tmp_path}/*/content_list.json").first()
+    assert (bare.table_caption, bare.image_caption, bare.chart_caption) == (["[1] Pin functions"], [], ["[a]"])
 
 
 def test_snapshots_round_trip(spark, tmp_path):
@@ -75,8 +78,12 @@ def test_run_logs_keep_jobs_without_files(spark, tmp_path, rows):
 def test_corpus_takes_markdown_only(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A")
     (tmp_path / "b.MARKDOWN.docx").write_text("no")
+    for part in ("x", "y z"):
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "README.MD").write_text(part)
     docs, rejects = files.read_corpus(spark, str(tmp_path))
-    assert [r.doc_id for r in docs.collect()] == ["a"] and [r.reason for r in rejects.collect()] == ["unsupported:docx"]
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [("a", "# A"), ("x/README", "x"), ("y z/README", "y z")]
+    assert [r.reason for r in rejects.collect()] == ["unsupported:docx"]
 
 
 def test_golden_cases_explode(spark, tmp_path, rows):

@@ -36,6 +36,16 @@ def test_hints_native_equals_scan(spark, rows):
     texts = spark.createDataFrame([("d", i, 0, 1, "text", v) for i, v in enumerate(lines)], "doc_id string, seq bigint, part int, page int, source string, text string")
     key = ["seq", "style", "pin_count"]
     assert rows(text.package_hints(texts), *key) == rows(text.hint_snippets(texts), *key)
+    assert {(r.seq, r.ordinal): r.evidence for r in text.hint_snippets(texts).collect()}[0, 0] == "The 16-Lead TSSOP and TSSOP16, LQFP64"
+
+
+@pytest.mark.parametrize("line, want", [
+    ("15-lead TSSOP", [("TSSOP", None)]), ("25-pin QFN", [("QFN", None)]), ("113-lead BGA", [("BGA", None)]), ("3-lead SOT", [("SOT", 3)]), ("1000-pin BGA", [("BGA", None)]),
+    ("16-Lead TSSOP, TSSOP16", [("TSSOP", 16), ("TSSOP", 16)]), ("SOT23", []), ("LQFP64 and 7 pins SOIC", [("LQFP", 64), ("SOIC", None)])])
+def test_hint_counts_are_whole_numbers(spark, line, want):
+    texts = spark.createDataFrame([("d", 0, 0, 1, "text", line)], "doc_id string, seq bigint, part int, page int, source string, text string")
+    got = [(r["style"], r.pin_count) for r in text.package_hints(texts).orderBy("ordinal").collect()]
+    assert got == want
 
 
 def test_tables_to_pins(spark, rows):
