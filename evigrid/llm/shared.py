@@ -25,18 +25,23 @@ def free_name(df: DataFrame, name: str) -> str:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): the smallest node of each node's connected component; nodes without an edge don't appear.
 
-    Labels go to neighbours and then jump to their own label's label, so the number of rounds is about the
-    logarithm of the longest path. Each round is a written table. The smallest label of a node is taken by a partial
-    aggregate, so a node with very many edges costs one row per task.
+    In each round every node moves to the first of itself and its neighbours, and the edges are contracted to distinct ones between
+    different nodes. First is the smallest in even rounds, which takes a star down at once, and the smallest hash in odd ones, which
+    halves long paths, so rounds are few. A round is a written table; a node of very many edges costs one row per task.
     """
-    both = settled(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        moved = settled(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")))
-        labels = moved.select("node", "comp")
-        if moved.where("was <> comp").isEmpty():
-            return labels
+    left = settled(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    nodes = settled(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
+    labels, turn = nodes.withColumn("comp", F.col("node")), 0
+    while not left.isEmpty():
+        def place(c, t=turn):
+            return F.struct((F.xxhash64(F.lit(t), c) if t % 2 else F.lit(0)).alias("h"), F.col(c).alias("to"))
+
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.least(F.min(place("b")), F.min(place("a"))).alias("first"))
+        first = settled(first.select(F.col("a").alias("u"), F.col("first.to").alias("to")))
+        moved = left.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").where("x <> y")
+        left = settled(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        labels = settled(labels.join(first.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        turn += 1
+    least = labels.groupBy("comp").agg(F.min("node").alias("least"))
+    return settled(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
