@@ -258,9 +258,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tops = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = settled(buckets.join(tops, "bucket").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct())
     wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = settled(flat.join(wanted, "doc_id"))
-    pairs = near.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("head")), "b")
+    texts = settled(flat.join(wanted.hint("merge"), "doc_id"))
+    pairs = near.hint("merge").join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(
+        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("head")).hint("merge"), "b")
     links = settled(pairs.select("a", "b", "text", "head").sortWithinPartitions("b").mapInArrow(_verified, "a long, b long"))
     # texts of one repeated doc_id are one document
     links = links.unionByName(member.join(owners.where("rep <> other").select("doc_id", F.col("rep").alias("b")), "doc_id").where(
