@@ -8,7 +8,7 @@ signed 64-bit integers. The manifest, a table, has for each part its file, order
 1. Documents are range-partitioned by doc_id and sorted in the partitions, so parts are in ascending order of doc_id.
 2. A task writes its part under a name of its own and hands back one manifest row, so a task that runs again or twice leaves a file that no
    manifest names. The folder is below the shared folder of the cluster; as files are mapped, it must be mounted.
-3. Encoding: byte-level BPE never joins across a single space between two other characters, so a text is cut there; each distinct
+3. Encoding: byte-level BPE never joins across a single space or line end between two other characters, so a text is cut there; each distinct
    piece is encoded once by the tokenizers library and remembered, in two generations of bounded size, the older of which is dropped.
    New pieces are encoded together, and the numbers of bytes of their tokens tell where each one ends.
 
@@ -19,7 +19,6 @@ texts. Documents without id come first. Extra columns are ignored. An empty tabl
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,14 +32,17 @@ from pyspark.sql import functions as F
 from evigrid.session import shared_folder
 
 from .shared import settled
+from .words import _INVERSE, Texts, mixed, powers, text_chunks
 
 END_ID = 0
 #: Pieces in each of the two generations that a worker remembers: about 220 bytes each
 REMEMBERED = 700_000
-#: Characters of new pieces that are encoded as one text
-CALL_CHARS = 1 << 10
-_SPACES = re.compile(r"\s | \s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Bytes of new pieces that are encoded as one text
+CALL_BYTES = 1 << 10
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _encoders: dict[str, "Encoder"] = {}
 
 MANIFEST = "part int, file string, n_docs long, n_null long, n_ids long, width int"
@@ -65,61 +67,115 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.mark = {ord(c): self.plain(c) for c in ".,"}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Parts of a text that are encoded alone: the first one and then, without the space before each, the others; None if the text
-        must be encoded whole."""
-        if any(s in text for s in self.special):
-            return None
-        if _SPACES.search(text) or text[:1] == " " or text[-1:] == " ":
-            first, *rest = _CUT.split(text)
-            return [first, *[w[1:] for w in rest]]
-        return text.split(" ")
-
-    def learn(self, new: list[str]) -> None:
-        """Encode, many in a call, pieces with the space that stands before them. Those with other space at an end go alone."""
-        held, size, calls = [], 0, []
+    def whole_rows(self, texts: Texts) -> np.ndarray:
+        """Which rows must be encoded whole: those with special tokens, or with space beside space or at an end."""
+        data, offsets = texts.data, texts.offsets
+        n = len(data)
+        out = np.zeros(texts.n, bool)
+        if not n:
+            return out
+        space = _SPACE[data]
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+        at = np.flatnonzero(space)
+        at = at[first[at] | first[at + 1] | space[np.minimum(at + 1, n - 1)]]
+        lead = np.flatnonzero(_LEAD[data])
+        two, three = data[np.minimum(lead + 1, n - 1)], data[np.minimum(lead + 2, n - 1)]
+        wide = ((data[lead] == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (data[lead] == 0xE1) & (two == 0x9A) | (data[lead] == 0xE3) & (two == 0x80) & (three == 0x80)
+                | (data[lead] == 0xE2) & ((two == 0x81) | (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))))
+        places = [at, lead[wide]]
+        raw = data.tobytes()
+        for name in self.special:
+            k = raw.find(name)
+            while k >= 0:
+                places.append(np.array([k]))
+                k = raw.find(name, k + 1)
+        out[np.searchsorted(offsets, np.concatenate(places), "right") - 1] = True
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode new pieces, many in a call. A full stop or comma after a letter is a token of its own, so only the rest is encoded."""
+        known, older, marked, wanted = self.known, self.older, [], {}
         for piece in new:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                self.known[piece] = self.plain(" " + piece)
-                continue
-            held.append(piece)
-            size += len(piece) + 1
-            if size >= CALL_CHARS:
-                calls.append(held)
-                held, size = [], 0
+            rest = piece[:-1]
+            if piece[-1] in b".," and rest[-1:].isalpha() and len(rest) > 1:
+                marked.append(piece)
+                if rest not in known:
+                    wanted[rest] = None
+            else:
+                wanted[piece] = None
+        held, size, calls = [], 0, []
+        for piece in wanted:
+            if piece in older:
+                known[piece] = older[piece]
+            elif piece[0] in b" \n":
+                held.append(piece)
+                size += len(piece)
+                if size >= CALL_BYTES:
+                    calls.append(held)
+                    held, size = [], 0
+            else:
+                known[piece] = self.plain(piece.decode())
         if held:
             calls.append(held)
         for first in range(0, len(calls), 64):
             some = calls[first:first + 64]
-            texts = [" " + " ".join(c) for c in some]
-            for held, encoding in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            for held, encoding in zip(some, self.tokenizer.encode_batch_fast([b"".join(c).decode() for c in some], add_special_tokens=False), strict=True):
                 ids = np.array(encoding.ids, self.kind)
-                ends = np.cumsum(self.bytes[ids])
-                cuts = (np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in held])) + 1) * self.width
+                cuts = (np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p) for p in held])) + 1) * self.width
                 raw, at = ids.tobytes(), 0
                 for piece, cut in zip(held, cuts.tolist(), strict=True):
-                    self.known[piece] = raw[at:cut]
+                    known[piece] = raw[at:cut]
                     at = cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
+        for piece in marked:
+            known[piece] = known[piece[:-1]] + self.mark[piece[-1]]
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a chunk, and the offsets of the rows in them."""
+        data, offsets, n = texts.data, texts.offsets, len(texts.data)
+        whole = self.whole_rows(texts)
+        cut = (data == 32) | (data == 10)
+        cut[offsets[:-1][offsets[:-1] < n]] = True
+        start = np.flatnonzero(cut)
+        row = np.searchsorted(offsets, start, "right") - 1
+        keep = ~whole[row] | (start == offsets[row])
+        start, row = start[keep], row[keep]
+        end = np.append(start[1:], n) if len(start) else start
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), dtype=np.uint64)])
+        hashes = mixed((sums[end] - sums[start]) * powers(n + 1, _INVERSE)[start] + (end - start).astype(np.uint64))
+        hashes[whole[row]] += np.uint64(1)  # a text of its own is no piece
+        _, one, same = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        keys = [raw[s:e] for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new = set().union(*[parts[1:] for parts in cut if parts]) - self.known.keys()
-        again = new & self.older.keys()
-        for piece in again:
-            self.known[piece] = self.older[piece]
-        self.learn(sorted(new - again))
-        known = self.known.__getitem__
-        return [self.plain(t) if parts is None else (self.plain(parts[0]) + b"".join(map(known, parts[1:])) if parts else b"")
-                for t, parts in zip(texts, cut, strict=True)]
+        alone = {k: self.plain(keys[k].decode()) for k in np.flatnonzero(whole[row[one]]).tolist()}
+        known, older = self.known, self.older
+        new = []
+        for k, piece in enumerate(keys):
+            if piece not in known and k not in alone:
+                if piece in older:
+                    known[piece] = older[piece]
+                else:
+                    new.append(piece)
+        self.learn(new)
+        found = list(map(known.get, keys)) if not alone else [alone[k] if k in alone else known[p] for k, p in enumerate(keys)]
+        flat = np.frombuffer(b"".join(found), self.kind)
+        size = np.array([len(f) for f in found], np.int64) // self.width
+        first = np.cumsum(size) - size
+        sizes = size[same]
+        total = np.cumsum(sizes)
+        ids = flat[np.repeat(first[same] - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]
+        per_row = np.bincount(row, sizes, texts.n).astype(np.int64) if len(row) else np.zeros(texts.n, np.int64)
+        return ids, np.concatenate([[0], np.cumsum(per_row)])
 
 
 def _encoder(path: str) -> Encoder:
@@ -132,7 +188,6 @@ def _writer(folder: str, tokenizer: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         encoder = _encoder(tokenizer)
-        end = np.array([END_ID], encoder.kind).tobytes()
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
         at = n_docs = n_null = 0
@@ -148,13 +203,12 @@ def _writer(folder: str, tokenizer: str):
             n_null += docs.null_count
             n_docs += len(docs)
             files[2].write(docs.fill_null(0).to_numpy().astype("<i8").tobytes())
-            column = batch.column(1)
-            for first in range(0, len(column), 256):
-                encoded = encoder.encode([t or "" for t in column.slice(first, 256).to_pylist()])
-                sizes = np.array([len(e) // encoder.width + 1 for e in encoded], np.int64)
-                files[0].write(end.join(encoded) + end)
-                files[1].write((at + np.cumsum(sizes)).astype("<i8").tobytes())
-                at += int(sizes.sum())
+            for texts in text_chunks(batch.column(1)):
+                ids, until = encoder.encode(texts)
+                # an end id after each document
+                files[0].write(np.insert(ids, until[1:], END_ID).astype(encoder.kind).tobytes())
+                files[1].write((at + until[1:] + np.arange(1, texts.n + 1)).astype("<i8").tobytes())
+                at += len(ids) + texts.n
         if files:
             for f in files:
                 f.close()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evigrid.llm import decontaminate as dc
@@ -13,6 +14,7 @@ from evigrid.llm import quality_classifier as qc
 from evigrid.llm import quality_rules as qr
 from evigrid.llm import token_files as tf
 from evigrid.llm.html_text import page_texts, visible_text
+from evigrid.llm.words import text_chunks
 
 PAGES = {
     "<p>a<p>b": "a\n\nb",
@@ -168,7 +170,6 @@ def test_classifier_on_held_out_documents(spark, docs, prose):
 
 def test_views_teach_each_other(prose):
     import pandas as pd
-    import pyarrow as pa
     rows, _ = labelled_rows(prose)
     rows = [(k, t, la, "forum" if k % 5 == 0 else "src1", n) for k, t, la, _, n in rows]
     words, ratios = [], []
@@ -210,7 +211,10 @@ def test_pieces_are_encoded_like_whole_texts(seed):
     pick = random.Random(seed)
     parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "’", "é", "ß", "1", "23", "!", "...", " ", "　", "\x1c", "\x85", "日本", "😀", "<|endoftext|>", "don't", " I'll", "\r\n"]
     texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 14))) for _ in range(3000)]
-    assert encoder.encode(texts) == [encoder.plain(t) for t in texts]
+    for some in text_chunks(pa.array([*texts, "", None])):
+        ids, until = encoder.encode(some)
+        got = [ids[a:b].tobytes() for a, b in zip(until[:-1], until[1:], strict=True)]
+        assert got == [encoder.plain(t) for t in texts] + [b"", b""]
 
 
 def test_pipeline_stages_equal_plain_versions(spark, docs, prose, tmp_path):
