@@ -10,7 +10,15 @@ from .registry import query
 from .shapes import ctes, frame
 
 
-@query("x7_table_cells")
+# What stands in the places of the fixture's tables: five columns and six rows, the third reaching into the fourth
+X7_CELLS = """WITH t AS (SELECT p_brand AS doc_id, CAST(p_partkey AS BIGINT) AS table_id, p_size % 8 + 1 AS a, p_size % 4 = 0 AS numbered, p_size % 3 = 0 AS quiet, * FROM part),
+  g AS (SELECT *, CASE WHEN numbered THEN 'Pin No.' ELSE 'LQFP' || (a + 1) || ' pin' END AS head FROM t),
+  v AS (SELECT *, [[head, head, 'Name', 'Type', 'Description'], [CASE WHEN numbered THEN '' ELSE 'main' END, '', '', '', ''], [a || ',' || (a + 1), 'x', p_name, 'Digital I/O', p_type || ' & more(1)'],
+    [a || ',' || (a + 1), 'y', 'SHIFT', 'in', 'z'], [CASE WHEN quiet THEN '' ELSE 'bad cell' END, '', 'LATE', '', 'wrapped text'], ['B' || p_size, '', 'NC', 'Power', '-']] AS cells FROM g)
+  SELECT doc_id, table_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, cells[r + 1][c + 1] AS text FROM v, range(6) y(r), range(5) x(c)"""
+
+
+@query("x7_table_cells", X7_CELLS)
 def x7_cells(spark, sf):
     return tables.table_cells(frame(spark, sf, "html_tables"))
 

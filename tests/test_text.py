@@ -60,9 +60,18 @@ def test_tables_to_pins(spark, rows):
     assert [r["issue"] for r in unread.collect()] == ["no_valid_number"]
 
 
-def test_spans_fill_the_grid():
-    assert tables.grid_of('<table><tr><td rowspan="2">a</td><td colspan="2">b</td></tr><tr><td>c</td><td>d</td></tr></table>') == [
-        (0, 0, "a"), (0, 1, "b"), (0, 2, "b"), (1, 0, "a"), (1, 1, "c"), (1, 2, "d")]
+@pytest.mark.parametrize("html, want", [
+    ('<table><tr><td rowspan="2">a</td><td colspan="2">b</td></tr><tr><td>c</td><td>d</td></tr></table>', ["a b b", "a c d"]),
+    ("<TABLE><tr><th>x &amp;&nbsp; y</th><td/></tr><tr></tr><tr><td><b>p</b><!-- q -->\n r</td></tr></table>", ["x_&_y .", "p_r ."]),
+    ("<tr><td rowspan=3>a</td><td rowspan=2>b</td><td>c</td></tr><tr><td>d</td></tr><tr><td>e</td><td>f</td></tr>", ["a b c", "a b d", "a e f"]),
+    ("<tr><td>lost</td><tr><td>a<td>b</td></tr><tr><td>open", ["b"]), ("<tr><td colspan='x'>a</td></tr>", None), ("<tr><td colspan=100000>a</td></tr>", None), ("none", [])])
+def test_spans_fill_the_grid(spark, html, want):
+    t = spark.createDataFrame([("d", 1, html), ("d", 2, None)], "doc_id string, table_id bigint, html string")
+    lines = {}
+    for r in sorted(tables.table_cells(t).collect()):
+        lines.setdefault(r.r, []).append(r.text.replace(" ", "_") or ".")
+    assert [" ".join(v) for v in lines.values()] == (want or [])
+    assert [r.issue for r in tables.refused_tables(t).collect()] == ([] if want is not None else ["bad_span"])
 
 
 def test_number_column_priority(spark):
