@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,6 +19,26 @@ from ..operators.ordering import top_per_key
 DELAY = "10 minutes"
 
 
+class LateRows(StreamingQueryListener):
+    """Counts, for every query, the rows that came behind the watermark and so took no part: `spark.streams.addListener(LateRows())`."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.rows[str(event.progress.runId)] = self.rows.get(str(event.progress.runId), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def _phase(row) -> str:
     status, node = row.result_status or "", row.node or ""
     if row.interrupted:
@@ -33,7 +54,8 @@ def stage_timing(progress: DataFrame, delay: str = DELAY, idle_seconds: int | No
     """Pair starts and finishes per task as they arrive; the state of a task is one open start.
 
     progress(job_id, task_id, id, ts, node, is_start, interrupted, has_error, result_status). With
-    `idle_seconds`, a start that nothing finishes for that long (event time) is closed as an error.
+    `idle_seconds`, a start that nothing finishes for that long (event time) is closed as an error, and rows
+    behind the watermark are left out; `LateRows` counts them.
     """
     def pair(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
@@ -69,27 +91,37 @@ def stage_timing(progress: DataFrame, delay: str = DELAY, idle_seconds: int | No
 
 
 def limited_attempts(attempts: DataFrame, limits: dict | None = None, delay: str = DELAY) -> DataFrame:
-    """Accept or refuse attempts as they arrive; the state of a client is its accepted times, at most the limit."""
+    """Accept or refuse attempts as they arrive; the state of a client is its accepted times, at most the limit.
+
+    A client whose window has passed the watermark has no state. Attempts behind the watermark are left out; `LateRows` counts them.
+    """
     limits = limits or LIMITS
 
     def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window, maximum = limits.get(key[0], limits["login"])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["operation", "client", "attempt_id", "accepted", "retry_after"])
+            return
         held = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(batches)).sort_values(["ts", "attempt_id"])
         verdicts = decide([t.value / 1e9 for t in rows["ts"]], held, window, maximum)
         state.update((list(held),))
+        last = max([t.value // 1_000_000 for t in rows["ts"]])
+        state.setTimeoutTimestamp(max(last + int(window * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"operation": key[0], "client": key[1], "attempt_id": rows["attempt_id"].tolist(),
                             "accepted": [v[0] for v in verdicts], "retry_after": [v[1] for v in verdicts]})
     timed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return timed.groupBy("operation", "client").applyInPandasWithState(
         judge, "operation string, client string, attempt_id bigint, accepted boolean, retry_after int",
-        "accepted_at array<double>", "append", GroupStateTimeout.NoTimeout)
+        "accepted_at array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def bounded_log(log: DataFrame, path: str, checkpoint: str, keep: int = T.LOG_ITEMS, buckets: int = 32) -> StreamingQuery:
     """Keep the latest items of every job in a table of buckets; read it with `current_log`.
 
-    Each batch rewrites only the buckets it touches, as a new version, so a repeated batch changes nothing.
+    Each batch rewrites only the buckets it touches, as a new version, so a repeated batch changes nothing. Of a bucket
+    it has written, the version before stays, for a repetition and for readers; older ones are removed.
     """
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -100,9 +132,22 @@ def bounded_log(log: DataFrame, path: str, checkpoint: str, keep: int = T.LOG_IT
         kept = top_per_key(rows.dropDuplicates(["job_id", "ordinal"]), ["job_id"], [F.desc("ordinal")], keep).drop("_rank")
         (kept.withColumn("version", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket", "version").parquet(path))
+        _forget(spark, path, epoch)
     return (log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _forget(spark: SparkSession, path: str, epoch: int) -> None:
+    """Remove, of the buckets with version `epoch`, all but that version and the one before. Folder names only; a handful of each bucket."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in files.listStatus(hadoop):
+        if bucket.getPath().getName().startswith("bucket="):
+            versions = {int(v.getPath().getName().split("=")[1]): v.getPath() for v in files.listStatus(bucket.getPath()) if v.getPath().getName().startswith("version=")}
+            if epoch in versions:
+                for old in sorted(v for v in versions if v < epoch)[:-1]:
+                    files.delete(versions[old], True)
+
+
 def current_log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Newest version of every bucket; None before the first batch."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

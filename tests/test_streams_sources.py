@@ -29,7 +29,7 @@ def test_stage_timing_equals_batch(spark, tmp_path, rows):
 
 def test_limits_stream_equals_batch(spark, tmp_path, rows):
     df = spark.range(300).select(F.lit("login").alias("operation"), (F.col("id") % 3).cast("string").alias("client"), F.col("id"), F.col("id").alias("attempt_id"),
-                                 F.timestamp_seconds(F.col("id")).alias("ts"))
+                                 F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))  # a stream's first watermark is 1970
     events(spark, tmp_path, "in", df)
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     rules = {"login": (60, 5)}
@@ -38,11 +38,28 @@ def test_limits_stream_equals_batch(spark, tmp_path, rows):
 
 
 def test_bounded_log_keeps_the_latest(spark, tmp_path, rows):
-    df = spark.range(300).select((F.col("id") % 4).cast("string").alias("job_id"), "id", F.col("id").alias("ordinal"), F.lit("m").alias("message"))
-    events(spark, tmp_path, "in", df)
+    df = spark.range(600).select((F.col("id") % 4).cast("string").alias("job_id"), "id", F.col("id").alias("ordinal"), F.lit("m").alias("message"))
+    events(spark, tmp_path, "in", df, 6)
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     streams.bounded_log(source, f"{tmp_path}/log", f"{tmp_path}/state", keep=10, buckets=3).awaitTermination()
     assert rows(streams.current_log(spark, f"{tmp_path}/log"), "job_id", "ordinal") == rows(jobs.latest_log(df, 10), "job_id", "ordinal")
+    assert all(len(list(b.glob("version=*"))) <= 2 for b in (tmp_path / "log").glob("bucket=*"))
+
+
+def test_late_attempts_are_counted(spark, tmp_path):
+    schema = "operation string, client string, attempt_id bigint, ts timestamp"
+    for i, seconds in enumerate((0, 7200, 7300, 10)):  # the last is two hours behind
+        spark.createDataFrame([("login", "c", i)], "operation string, client string, attempt_id bigint").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + seconds))).coalesce(1).write.parquet(
+            f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    counter = streams.LateRows()
+    spark.streams.addListener(counter)
+    try:
+        out = streams.run_to_table(streams.limited_attempts(source), f"{tmp_path}/out", f"{tmp_path}/state")
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        assert sorted(r.attempt_id for r in out.collect()) == [0, 1, 2] and sum(counter.rows.values()) == 1
+    finally:
+        spark.streams.removeListener(counter)
 
 
 def test_blocks_with_both_caption_forms(spark, tmp_path):
