@@ -34,12 +34,22 @@ def r1(spark, sf):
     return _run(spark, streams.stage_timing(_stream(spark, sf, "progress")))
 
 
-@query("r2_limited_attempts")
+# One attempt of every client after the other, with the accepted times that are still in the window
+R2 = ctes("attempts").replace("WITH", "WITH RECURSIVE", 1) + """, a AS (SELECT operation, client, attempt_id, epoch_us(ts) / 1e6 AS sec, CASE operation WHEN 'register' THEN 21600 ELSE 7200 END AS win,
+    CASE operation WHEN 'register' THEN 12 ELSE 9 END AS most, row_number() OVER (PARTITION BY operation, client ORDER BY ts, attempt_id) AS rn FROM attempts),
+  s AS (SELECT DISTINCT operation, client, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS held, CAST(NULL AS BIGINT) AS attempt_id, false AS accepted, CAST(0 AS INT) AS retry_after FROM a
+    UNION ALL SELECT operation, client, rn, CASE WHEN len(f) < most THEN list_append(f, sec) ELSE f END, attempt_id, len(f) < most,
+      CAST(CASE WHEN len(f) < most THEN 0 ELSE greatest(1, floor(win - (sec - f[1])) + 1) END AS INT)
+    FROM (SELECT a.*, list_filter(s.held, lambda x: x > a.sec - a.win) AS f FROM s JOIN a ON a.operation = s.operation AND a.client = s.client AND a.rn = s.rn + 1))
+  SELECT operation, client, attempt_id, accepted, retry_after FROM s WHERE rn > 0"""
+
+
+@query("r2_limited_attempts", R2)
 def r2(spark, sf):
     return _run(spark, streams.limited_attempts(_stream(spark, sf, "attempts"), SLOW))
 
 
-@query("r2_limited_attempts_batch")
+@query("r2_limited_attempts_batch", R2)
 def r2_batch(spark, sf):
     return limits.limit_attempts(frame(spark, sf, "attempts"), SLOW, F.date_trunc("day", "ts"))
 
