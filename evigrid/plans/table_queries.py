@@ -23,17 +23,30 @@ def x7_cells(spark, sf):
     return tables.table_cells(frame(spark, sf, "html_tables"))
 
 
-@query("x7_table_pins")
+# The two numbers of the third row and the ball of the last one; the fourth row repeats the numbers, the fifth is a wrapped or a bad one
+X7_PINS = """WITH t AS (SELECT p_brand AS doc_id, CAST(p_partkey AS BIGINT) AS table_id, p_size % 8 + 1 AS a, * FROM part)
+  SELECT doc_id, table_id, CAST(2 AS INT) AS r, CAST(i AS INT) AS pos, CAST(a + i AS VARCHAR) AS pin_number, p_name AS name, 'IO' AS type, p_type || ' & more' AS description FROM t, range(2) y(i)
+  UNION ALL SELECT doc_id, table_id, 5, 0, 'B' || p_size, 'NC', 'PAS', '-' FROM t"""
+X7_UNREAD = """WITH t AS (SELECT p_brand AS doc_id, CAST(p_partkey AS BIGINT) AS table_id, p_size % 8 + 1 AS a, * FROM part)
+  SELECT doc_id, table_id, CAST(3 AS INT) AS r, 'repeated_number:' || (a + i) AS issue FROM t, range(2) y(i)
+  UNION ALL SELECT doc_id, table_id, 4, 'no_valid_number' FROM t WHERE p_size % 3 <> 0"""
+
+
+@query("x7_table_pins", X7_PINS)
 def x7(spark, sf):
     return tables.extract_pins(tables.table_cells(frame(spark, sf, "html_tables")), frame(spark, sf, "table_targets"))[0]
 
 
-@query("x7_unread_rows")
+@query("x7_unread_rows", X7_UNREAD)
 def x7_unread(spark, sf):
     return tables.extract_pins(tables.table_cells(frame(spark, sf, "html_tables")), frame(spark, sf, "table_targets"))[1]
 
 
-@query("a18_number_columns")
+# The first column in all tables; where the package stands in the spanned header, both columns below it
+A18 = """SELECT p_brand AS doc_id, CAST(p_partkey AS BIGINT) AS table_id, CAST(c AS INT) AS c FROM part, range(2) y(c) WHERE c = 0 OR p_size % 4 = 2"""
+
+
+@query("a18_number_columns", A18)
 def a18(spark, sf):
     cells = settled(tables.table_cells(frame(spark, sf, "html_tables")))
     split = tables.header_split(cells)
