@@ -184,6 +184,23 @@ def check_pins(pins: DataFrame, docs: DataFrame, groups: tuple[str, ...] = ("dev
     return _detail(items, found)
 
 
+def check_severities(pins: DataFrame, docs: DataFrame, with_layout: bool = False) -> DataFrame:
+    """(doc_id, code, severity) of what `check_pins` finds, without counting or listing items.
+
+    n numbers without repeats, padding and gaps are 1..n, so the statistics of a document tell of a gap; only where a number is
+    padded with zeros are the numbers themselves looked at.
+    """
+    stats = settled(pin_stats(pins, docs, pads=False))
+    numeric = (F.col("n") > 0) & (F.col("not_numeric") == 0)
+    whole = (F.col("repeated") == 0) & (F.col("low") == 1) & (F.col("high") == F.col("n"))
+    gap = ("pin_numbers_not_contiguous", "warn", numeric & (F.col("padded") == 0) & ~whole, F.lit(0))
+    found = _apply(stats, [*device_rules(), *number_rules(), *name_rules(), *side_rules(with_layout), gap])
+    padded = stats.where(numeric & (F.col("padded") > 0))
+    gaps = missing_numbers(pins.join(padded.select("doc_id"), "doc_id", "left_semi"), padded)
+    more = gaps.select("doc_id").distinct().select("doc_id", F.lit("pin_numbers_not_contiguous").alias("code"), F.lit("warn").alias("severity"))
+    return found.select("doc_id", "code", "severity").unionByName(more)
+
+
 def package_findings(pins: DataFrame, docs: DataFrame, hint_counts: DataFrame | None = None,
                      candidates: DataFrame | None = None) -> DataFrame:
     """Pin count against the package name, else against the hinted counts; and whether the name is settled.

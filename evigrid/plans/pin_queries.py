@@ -321,7 +321,7 @@ def a6(spark, sf):
     CASE WHEN n_error > 0 THEN 'broken' WHEN n_warn > 0 THEN 'suspect' ELSE 'ok' END AS verdict FROM z""")
 def a7(spark, sf):
     docs = frame(spark, sf, "docs")
-    return findings.report(_check(spark, sf, "device", "numbers", "names", "sides"), docs)
+    return findings.report(findings.check_severities(frame(spark, sf, "pins"), docs), docs)
 
 
 # --- layout --------------------------------------------------------------------------------------------------
