@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quality_rules import RATIOS, statistics
 from .shared import settled
@@ -273,6 +274,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> D
     model = model or train(docs, labels)
     given = [c for c in docs.columns if c not in ("text_score", "page_score", "score", "kept")]
     rows = _clean(docs, F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"))
-    shape = docs.select(*[F.col(f"`{c}`") for c in given]).schema.simpleString()
-    scored = rows.drop("doc_id").mapInArrow(_scorer(model), f"row {shape}, text_score double, page_score double, score double, kept boolean")
-    return scored.select("row.*", "text_score", "page_score", "score", "kept")
+    shape = T.StructType([T.StructField("row", docs.select(*[F.col(f"`{c}`") for c in given]).schema)]
+                         + [T.StructField(c, T.DoubleType()) for c in ("text_score", "page_score", "score")] + [T.StructField("kept", T.BooleanType())])
+    scored = rows.drop("doc_id").mapInArrow(_scorer(model), shape)
+    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in given], "text_score", "page_score", "score", "kept")
