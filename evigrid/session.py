@@ -53,12 +53,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/evigrid-{spark.sparkContext.applicationId}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write a frame that several branches read to the shared folder and read it back.
 
     The branches then scan a columnar table instead of computing the frame once each, and a lost executor
-    costs a scan and not the lineage.
+    costs a scan and not the lineage. `clear_settled` removes what an application has written.
     """
-    path = f"{shared_folder(df.sparkSession)}/evigrid-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_settled(spark: SparkSession) -> None:
+    """Remove all that `settled` has written in this application, once the results built on it are written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

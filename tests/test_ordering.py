@@ -30,3 +30,13 @@ def test_bucketed_equals_plain(frame, rows, parts):
 def test_top_per_key_is_limited_before_the_shuffle(frame):
     plan = o.top_per_key(frame, ["key"], [F.desc("at")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_settled_tables_can_be_cleared(spark):
+    import pytest
+    from evigrid import session
+    df = session.settled(spark.range(5).toDF("id"))
+    assert df.count() == 5
+    session.clear_settled(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|does not|FILE_NOT_EXIST"):
+        df.count()
