@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from .. import thresholds as T
 from .ordering import last_known, running_sum, top_per_key
 
-# Separators from coarse to fine
+# Fixed patterns: separators from coarse to fine, of plain text and of Markdown
 SEPARATORS = ("\n\n", "\n", "。", "，", " ", "")
+MARKDOWN_SEPARATORS = ("\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", "\n\n", "\n", " ", "")
 
 
 def stride_chunks(docs: DataFrame, size: int = T.CHUNK_SIZE, overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
@@ -27,13 +29,13 @@ def stride_chunks(docs: DataFrame, size: int = T.CHUNK_SIZE, overlap: int = T.CH
 def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Split at the coarsest separator present, pack pieces up to `size`, go finer inside longer pieces.
 
-    A separator stays at the head of the piece it opens; neighbouring chunks share up to `overlap` characters.
+    Separators are patterns. One stays at the head of the piece it opens; neighbouring chunks share up to `overlap` characters.
     """
-    level = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    level = next((i for i, s in enumerate(separators) if s == "" or re.search(s, text)), len(separators) - 1)
     mark, finer = separators[level], separators[level + 1:]
     if mark:
-        head, *rest = text.split(mark)
-        pieces = [p for p in [head, *(mark + r for r in rest)] if p]
+        head, *rest = re.split(f"({mark})", text)
+        pieces = [p for p in [head, *(m + r for m, r in zip(rest[::2], rest[1::2], strict=True))] if p]
     else:
         pieces = list(text)
     chunks: list[str] = []
@@ -62,12 +64,13 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     return chunks
 
 
-def recursive_chunks(docs: DataFrame, size: int = T.CHUNK_SIZE, overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
+def recursive_chunks(docs: DataFrame, size: int = T.CHUNK_SIZE, overlap: int = T.CHUNK_OVERLAP,
+                     separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
     """Chunks at natural boundaries; each document is read once, batch by batch, without a shuffle."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, i, c) for d, t in zip(batch["doc_id"], batch["text"]) if t
-                    for i, c in enumerate(split_recursively(t, size, overlap))]
+                    for i, c in enumerate(split_recursively(t, size, overlap, separators))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
         run, "doc_id string, chunk_index int, content string")
@@ -99,13 +102,13 @@ def markdown_sections(lines: DataFrame) -> DataFrame:
 
 
 def section_chunks(sections: DataFrame, size: int = T.CHUNK_SIZE, overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
-    """Size-limited chunks of every section, named by its header path."""
+    """Size-limited chunks of every section, cut at Markdown's marks and named by its header path."""
     key = ["doc_id", "section", "path"]
     texts = sections.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))),
                                                                 lambda s: s.line), "\n").alias("text"))
     joined = texts.select(F.to_json(F.struct(*key)).alias("doc_id"), "text")
     fields = F.from_json("doc_id", "doc_id string, section int, path string")
-    return recursive_chunks(joined, size, overlap).withColumn("_k", fields).select(
+    return recursive_chunks(joined, size, overlap, MARKDOWN_SEPARATORS).withColumn("_k", fields).select(
         "_k.doc_id", "_k.section", "_k.path", "chunk_index", "content",
         F.concat_ws(" > ", "_k.doc_id", F.nullif("_k.path", F.lit(""))).alias("source_name"))
 

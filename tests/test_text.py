@@ -110,3 +110,10 @@ def test_slots_take_the_longest_label(spark, rows):
     both = asked.unionByName(spark.createDataFrame([("d", "lead_spacing")], "doc_id string, field string"))
     issues = {r["field"]: r["issue"] for r in answers.labelled_slots(a, both).collect()}
     assert issues["terminal_pitch"] == "ambiguous" and issues["lead_spacing"] == "ambiguous"
+
+
+def test_markdown_is_cut_at_its_marks():
+    text = "intro words\n##### Deep\nfirst part here\n***\nsecond part\n```\ncode\n```\nlast part"
+    assert retrieval.split_recursively(text, 30, 0, retrieval.MARKDOWN_SEPARATORS) == [
+        "intro words", "##### Deep\nfirst part here", "***\nsecond part", "```\ncode\n```\nlast part"]
+    assert retrieval.split_recursively("ab cd。ef", 4, 0) == ["ab", "cd", "。ef"]
