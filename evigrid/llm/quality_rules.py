@@ -2,11 +2,15 @@
 
 1. Statistics of every whole text: words, code points in words, symbols, repeated lines, words in repeated three-word windows. Two
    of them decide at once: base_failed.
-2. The forest is fitted on at most SAMPLE labelled documents, those of the smallest md5 of the id: TREES trees, each over FOREST of them,
-   with random splits until a document is alone or the depth is the logarithm of FOREST. A document's score is 2 to the power of minus its
-   mean path length over the expected one, so what is split off early is near 1.
+2. The forest is fitted on at most SAMPLE labelled documents, those of the smallest md5 of the id. It has a part for each of GROUPS, which
+   together hold all RATIOS, so that a document that is odd in one statistic isn't made usual by the others: TREES trees, each over FOREST
+   documents, with random splits until a document is alone or the depth is the logarithm of FOREST. A part's score is 2 to the power of
+   minus the mean path length over the expected one, so what is split off early is near 1. A part's level is the score that all but LOST of
+   the labelled documents of good quality stay at or under. The score of a document is that of the part where it is furthest over the
+   level, moved and halved so that 0.5 is at the level. A statistic that is the same in all of the sample can't be split.
 3. Every document is scored. The threshold is the score that all but LOST of the labelled documents of good quality stay at or under,
-   taken exactly over all labels; a document over it is an anomaly and isn't kept.
+   taken exactly over all labels, or a lower one (in thousandths) if it judges fewer labelled documents of either quality wrongly; a
+   document over it is an anomaly and isn't kept. Labels of documents that fail the base rules don't count.
 
 Words are runs of anything but space and \\t \\n \\v \\f \\r. Defined cases: a null or empty text has no words and fails the base rules.
 Rows that repeat a doc_id are scored each. Null ids are kept. Without labels that match, or of good quality, there is no threshold and the base
@@ -31,7 +35,7 @@ SAMPLE, TREES, FOREST = 4096, 128, 256
 LOST = 0.002
 SEED = 29
 #: What the forest sees, from the statistics: per word or line, so that length alone is no anomaly
-FEATURES = ("symbols", "marks", "capitals")
+GROUPS = (("symbols", "marks", "capitals"), ("word_length",), ("dup_lines",), ("repeats",), ("digits",))
 RATIOS = ("symbols", "marks", "capitals", "word_length", "dup_lines", "repeats", "digits")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, " + ", ".join(f"{f} double" for f in RATIOS)
 
@@ -167,14 +171,45 @@ def forest_scores(forest: tuple, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(roots) / max(expected, 1e-9))
 
 
-def _scorer(forest):
+def _part_scores(forests: list[tuple], batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [forest_scores(forest, np.column_stack([batch.column(f).to_numpy() for f in group])) if batch.num_rows else np.zeros(0)
+            for forest, group in zip(forests, GROUPS, strict=True)]
+
+
+def _parts(forests: list[tuple]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(f).to_numpy() for f in FEATURES]) if batch.num_rows else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest_scores(forest, x))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, _part_scores(forests, batch))],
+                                             [*batch.schema.names, *[f"part{i}" for i in range(len(GROUPS))]])
     return score
 
 
+def _scorer(forests: list[tuple], levels: list[float]):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            over = [part - level for part, level in zip(_part_scores(forests, batch), levels, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(0.5 + np.max(over, axis=0) / 2)], [*batch.schema.names, "score"])
+    return score
+
+
+def _calibrated(parts: DataFrame) -> tuple[list[float], float | None]:
+    """The level of each part and the threshold, from (quality, part0 ...) of labelled documents that pass the base rules."""
+    good, at = F.col("quality") == 1, F.lit(1 - LOST)
+    levels = list(parts.where(good).agg(*[F.percentile(f"part{i}", at) for i in range(len(GROUPS))]).first())
+    if levels[0] is None:
+        return [0.5] * len(GROUPS), None
+    scored = parts.select("quality", (F.lit(0.5) + F.greatest(*[F.col(f"part{i}") - F.lit(v) for i, v in enumerate(levels)]) / 2).alias("score"))
+    threshold = scored.where(good).agg(F.percentile("score", at)).first()[0]
+    fine = F.ceil(F.col("score") * 1000)
+    rows = scored.groupBy(fine.alias("k")).agg(
+        F.count_if(good), F.count_if(~good), F.count_if(good & (F.col("score") > F.lit(threshold))), F.count_if(~good & (F.col("score") <= F.lit(threshold)))).collect()
+    k, goods, bads, lost, missed = np.array(sorted(map(tuple, rows)), np.int64).T
+    wrong = goods.sum() - np.cumsum(goods) + np.cumsum(bads)
+    wrong[k >= threshold * 1000] = len(k) + goods.sum() + bads.sum()
+    best = len(k) - 1 - int(np.argmin(wrong[::-1]))
+    return levels, float(k[best]) / 1000 if wrong[best] < lost.sum() + missed.sum() else threshold
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, score (0 without a forest), kept: one row per row of docs."""
     stats = settled(text_statistics(docs))
@@ -182,14 +217,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("quality").alias("quality"))
     known = settled(stats.join(good, "doc_id"))
     base = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED) * F.col("n_words"))
-    sample = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), *FEATURES).limit(SAMPLE).select(*FEATURES).toPandas()
+    sample = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), *RATIOS).limit(SAMPLE).select(*RATIOS).toPandas()
     threshold = None
     if len(sample):
-        forest = grow_forest(sample.to_numpy(float))
-        shape = ", ".join([f"doc_id long, {STATS}", "score double"])
-        scored = known.select(*stats.columns, "quality").where("quality = 1").drop("quality").mapInArrow(_scorer(forest), shape)
-        threshold = scored.where(~base).agg(F.percentile("score", F.lit(1 - LOST))).first()[0]
-        stats = stats.mapInArrow(_scorer(forest), shape)
+        forests = [grow_forest(sample[list(group)].to_numpy(float)) for group in GROUPS]
+        shape = f"doc_id long, {STATS}"
+        parts = known.where(~base).select(*stats.columns, F.col("quality").cast("long").alias("quality")).mapInArrow(
+            _parts(forests), ", ".join([shape, "quality long", *[f"part{i} double" for i in range(len(GROUPS))]]))
+        levels, threshold = _calibrated(settled(parts.drop(*stats.columns)))
+        stats = stats.mapInArrow(_scorer(forests, levels), f"{shape}, score double")
     else:
         stats = stats.withColumn("score", F.lit(0.0))
     anomaly = F.col("score") > F.lit(threshold) if threshold is not None else F.lit(False)

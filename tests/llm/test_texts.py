@@ -141,6 +141,37 @@ def test_forest_isolates_what_is_rare():
     assert scores[-1] > np.quantile(scores[:-1], 0.999) and 0.4 < np.median(scores) < 0.55
 
 
+def test_odd_in_any_one_statistic_is_an_anomaly(spark, docs, prose):
+    def page(k, digits=0, glued=1, twice=0):
+        pick = random.Random(k)
+        words = [w.capitalize() if pick.random() < 0.1 else w + "," * (pick.random() < 0.15) for w in prose(120 + k % 40, seed=k).split()]
+        words = ["".join(words[i:i + glued]) for i in range(0, len(words), glued)]
+        words[:digits] = [str(pick.randint(1000, 99999)) for _ in words[:digits]]
+        return " ".join(words + words[:twice])
+    usual = [(k, page(k, digits=30 // (k * 7 % 1200 + 1), twice=24 // ((k + 600) * 11 % 1200 + 1))) for k in range(1200)]
+    low = [(2000 + k, " ".join(w + "***" for w in page(k).split())) for k in range(30)]
+    odd = [(first + k, page(5000 + k, **how)) for first, how in ((3000, {"digits": 60}), (3100, {"glued": 2}), (3200, {"twice": 28})) for k in range(10)]
+    labels = spark.createDataFrame([(k, int(k < 2000)) for k, _ in usual + low], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in qr.quality_rules(docs(usual + low + odd), labels).collect() if not (r.doc_id >= 3000 and r.base_failed)}
+    assert sum(kept[k] for k, _ in usual) >= 1188 and not any(kept[k] for k, _ in low)
+    for first in (3000, 3100, 3200):
+        of = [v for k, v in kept.items() if first <= k < first + 100]
+        assert of and not any(of), first
+
+
+def test_threshold_uses_labels_of_both_qualities(spark):
+    def level(low):
+        rows = [(1, *[0.3 + k / 10000] * len(qr.GROUPS)) for k in range(1000)] + [(0, *[low] * len(qr.GROUPS))] * 100
+        frame = spark.createDataFrame(rows, "quality long, " + ", ".join(f"part{i} double" for i in range(len(qr.GROUPS))))
+        levels, threshold = qr._calibrated(frame)
+        return threshold, 0.5 + (low - levels[0]) / 2
+    threshold, low = level(0.9)
+    assert 0.4999 < threshold < 0.5001 < low
+    threshold, low = level(0.397)  # under the level of good ones, and more than the good ones over it
+    assert threshold < low
+    assert level(0.31)[0] > 0.4999  # would cost more good ones than it finds
+
+
 def labelled_rows(prose):
     rows, labels = [], []
     for k in range(900):
