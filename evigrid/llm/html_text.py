@@ -2,7 +2,7 @@
 
 A page is read into a tree: a start tag closes what can't hold it (a paragraph before a block, an item before the next, a cell before a
 row), missing rows are put in, end tags without a start are ignored and what stays open ends with its parent. Script, style and
-the like hold raw text. Elements deeper than DEPTH are taken as their parent's text. The tree is walked once:
+the like hold raw text. Elements open at any depth. The tree is walked once, by a stack of its own, as Python's calls end too soon:
 
 * hidden are the elements of HIDDEN, those with `hidden`, display:none, inputs, closed dialogs, and text under visibility:hidden that isn't
   made visible again;
@@ -19,8 +19,7 @@ a page_id are pages of their own; null ids are kept. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -48,7 +47,6 @@ CLOSES = {
 }
 #: Widest span that is laid out, as in browsers
 MOST_COLUMNS = 1000
-DEPTH = 200
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
@@ -137,20 +135,26 @@ def tokens(page: str) -> Iterator[tuple]:
 def tree_of(page: str) -> Element:
     root = Element("html", {})
     open_ = [root]
+    places: dict[str, list[int]] = {}  # where in open_ the elements of a tag stand, so that depth costs no search
 
     def push(tag, attributes):
         node = Element(tag, attributes)
         open_[-1].children.append(node)
-        if tag not in VOID and len(open_) < DEPTH:
+        if tag not in VOID:
+            places.setdefault(tag, []).append(len(open_))
             open_.append(node)
 
+    def cut(k) -> None:
+        while len(open_) > k:
+            places[open_.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags, stop) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in tags:
-                del open_[k:]
-                return
-            if open_[k].tag in stop:
-                return
+        k = last(tags)
+        if k and k > last(stop):
+            cut(k)
 
     for kind, *more in tokens(page):
         if kind == "text":
@@ -168,11 +172,11 @@ def tree_of(page: str) -> Element:
         if tag == "body" and open_[-1].tag != "head":
             continue
         if tag in BLOCK and open_[-1].tag == "head":
-            open_.pop()
+            cut(len(open_) - 1)
         if tag in ENDS_P:
             close({"p"}, {"table", "td", "th", "button"})
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and open_[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            open_.pop()
+            cut(len(open_) - 1)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -245,7 +249,20 @@ class Lines:
         return out
 
 
-def _walk(node: Element, out: Lines, shown: bool, pre: bool, preset: list | None = None) -> None:
+def _run(walk: Generator) -> list[str] | None:
+    """Run a walk that yields the walks it needs and is given what they return."""
+    stack, result = [walk], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+    return result
+
+
+def _walk(node: Element, out: Lines, shown: bool, pre: bool, preset: list | None = None) -> Generator:
     for child in preset if preset is not None else node.children:
         if isinstance(child, str):
             if shown:
@@ -264,31 +281,31 @@ def _walk(node: Element, out: Lines, shown: bool, pre: bool, preset: list | None
             continue
         if tag == "table":
             out.space()
-            out.add(table_lines(child, see))
+            out.add((yield _table_lines(child, see)))
             out.space()
             continue
         if tag in ("ul", "ol", "menu"):
             (out.space if node.tag != "li" else out.line)()
-            out.add(_list_lines(child, see, pre))
+            out.add((yield _list_lines(child, see, pre)))
             (out.space if node.tag != "li" else out.line)()
             continue
         if tag == "dd":
             out.line()
             part = Lines()
-            _walk(child, part, see, pre)
+            yield _walk(child, part, see, pre)
             out.add(["  " + s if s else s for s in part.done()])
             continue
         block = tag in BLOCK
         if block:
             (out.space if tag in SPACED else out.line)()
-        _walk(child, out, see, pre or tag in ("pre", "textarea", "xmp"))
+        yield _walk(child, out, see, pre or tag in ("pre", "textarea", "xmp"))
         if block:
             (out.space if tag in SPACED else out.line)()
         elif tag in ("td", "th"):
             out.text(" ")
 
 
-def _list_lines(node: Element, shown: bool, pre: bool) -> list[str]:
+def _list_lines(node: Element, shown: bool, pre: bool) -> Generator:
     items = [c for c in node.children if isinstance(c, Element) and c.tag == "li"]
     step = -1 if "reversed" in node.attributes else 1
     number = _number(node, "start", len(items) if step < 0 else 1)
@@ -296,7 +313,7 @@ def _list_lines(node: Element, shown: bool, pre: bool) -> list[str]:
     for child in node.children:
         part = Lines()
         if isinstance(child, str) or child.tag != "li":
-            _walk(node, part, shown, pre, [child])
+            yield _walk(node, part, shown, pre, [child])
             out.add(part.done())
             continue
         if child.tag == "li" and node.tag == "ol":
@@ -313,14 +330,14 @@ def _list_lines(node: Element, shown: bool, pre: bool) -> list[str]:
                 number -= step
             continue
         see = {"hidden": False, "collapse": False, "visible": True}.get(_style(wrapped).get("visibility", ""), shown)
-        _walk(holder, part, see, pre)
+        yield _walk(holder, part, see, pre)
         lines = part.done()
         if lines:
             out.add([mark + lines[0], *[" " * len(mark) + s if s else s for s in lines[1:]]])
     return out.done()
 
 
-def table_lines(table: Element, shown: bool) -> list[str]:
+def _table_lines(table: Element, shown: bool) -> Generator:
     rows: list[tuple[Element, bool]] = []
     captions: list[list[str]] = []
     loose = Lines()
@@ -331,7 +348,7 @@ def table_lines(table: Element, shown: bool) -> list[str]:
             return None
         return {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""), now)
 
-    def gather(node: Element, now: bool) -> None:
+    def gather(node: Element, now: bool) -> Generator:
         for child in node.children:
             if isinstance(child, str):
                 if now and child.strip():
@@ -340,15 +357,15 @@ def table_lines(table: Element, shown: bool) -> list[str]:
                 if child.tag == "tr":
                     rows.append((child, see))
                 elif child.tag in ("tbody", "thead", "tfoot"):
-                    gather(child, see)
+                    yield gather(child, see)
                 elif child.tag == "caption":
                     part = Lines()
-                    _walk(child, part, see, False)
+                    yield _walk(child, part, see, False)
                     captions.append(part.done())
                 else:  # what a table can't hold stands before it
-                    _walk(node, loose, now, False, [child])
+                    yield _walk(node, loose, now, False, [child])
 
-    gather(table, shown)
+    yield gather(table, shown)
     grid: dict[tuple[int, int], list[str]] = {}
     spans: list[tuple[int, int, int, list[str]]] = []
     taken: dict[int, int] = {}  # column: rows that a cell from above still covers
@@ -365,14 +382,14 @@ def table_lines(table: Element, shown: bool) -> list[str]:
             if look is None:
                 continue
             if cell.tag not in ("td", "th"):
-                _walk(row, loose, see, False, [cell])
+                yield _walk(row, loose, see, False, [cell])
                 continue
             while covered.get(x, 0) > 0:
                 x += 1
             across = min(max(_number(cell, "colspan", 1), 1), MOST_COLUMNS)
             down = max(_number(cell, "rowspan", 1), 0) or len(rows)
             part = Lines()
-            _walk(cell, part, look, False)
+            yield _walk(cell, part, look, False)
             lines = part.done()
             if across == 1:
                 grid[y, x] = lines
@@ -417,10 +434,8 @@ def table_lines(table: Element, shown: bool) -> list[str]:
 def visible_text(page: str | None) -> str:
     if not page:
         return ""
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20 * DEPTH))
     out = Lines()
-    _walk(tree_of(page), out, True, False)
+    _run(_walk(tree_of(page), out, True, False))
     return "\n".join(out.done())
 
 

@@ -55,6 +55,16 @@ def test_broken_and_deep_pages_never_fail(spark):
     assert page_texts(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [199, 250, 30000])
+@pytest.mark.parametrize("opened", ["<div>", "<font>", "<a>"])
+def test_depth_changes_nothing(opened, depth):
+    inside = {"<script>var x</script><style>p{}</style>b": "b", "<i hidden>c</i><i style='display:none'>d</i>e": "e", "<div hidden><div>f</div>g</div>h": "h",
+              "<ul><li>x<li>y</ul>": "- x\n- y", "<pre>  k\n   j</pre>": "  k\n   j", "<table><tr><td>1<td>2<tr><td>33<td>4</table>": "1   2\n33  4"}
+    for page, want in inside.items():
+        assert visible_text(opened * depth + page) == want
+    assert visible_text("<b>" * 10 + "<div hidden>" + opened * depth + "<div>l</div>m</div>n") == ("" if opened == "<div>" else "n")
+
+
 def plain_tiling(doc, item, least):
     """Greedy string tiling by trying all places again for every tile."""
     used_d, used_i, out = [False] * len(doc), [False] * len(item), []
