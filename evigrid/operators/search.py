@@ -13,6 +13,9 @@ FILE_EXTENSIONS = ("step", "stp", "iges", "igs", "pdf", "zip", "dxf", "dwg")
 TERM = r"[A-Za-z0-9][A-Za-z0-9._+\-]{1,}"
 TERM_WEIGHT, TERM_CAP, DOMAIN_WEIGHT, FILE_WEIGHT, FETCHED_WEIGHT = 1.5, 8, 4.0, 5.0, 2.0
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# An attribute with its value in quotes, in apostrophes or bare; the quantifiers never give back, so a tag is read once and without recursion.
+ATTRIBUTE = r"""[^\s/>][^\s/=>]*+(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+LINK_TAG = rf"(?i)<a(?=[\s/])((?:[\s/]*+{ATTRIBUTE})*+)[\s/]*+>"
 # One library answers every part number with the geometry of its package.
 PACKAGE_LIBRARY = ("webench.ti.com", "/cad/cad.cgi")
 
@@ -96,8 +99,14 @@ def resolved_url(base: Column, link: Column) -> Column:
 
 def page_links(pages: DataFrame, extensions: tuple[str, ...] = FILE_EXTENSIONS) -> DataFrame:
     """Distinct absolute links of a page in page order; `is_file` marks downloads by extension."""
-    hrefs = F.regexp_extract_all(F.regexp_replace("html", r"(?s)<!--.*?-->", " "),
-                                 F.lit(r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']([^\"']+)[\"']"), 1)
+    tags = F.regexp_extract_all(F.regexp_replace("html", r"(?s)<!--.*?-->", " "), F.lit(LINK_TAG), 1)
+
+    def href(tag: Column) -> Column:
+        """The last href counts; one whose quote is never closed is none."""
+        given = F.filter(F.regexp_extract_all(tag, F.lit(f"({ATTRIBUTE})"), 1), lambda a: a.rlike(r"(?i)^href\s*="))
+        value = F.regexp_replace(F.try_element_at(given, F.lit(-1)), r"(?i)^href\s*=+\s*", "")
+        return F.regexp_replace(value, r"""(?s)^(?:"(.*)"|'(.*)')$""", "$1$2")
+    hrefs = F.filter(F.transform(tags, href), lambda h: (h != "") & ~h.rlike("^[\"']"))
     links = F.array_distinct(F.transform(hrefs, lambda h: resolved_url(F.col("url"), unescape(h))))
     rows = pages.select("page_id", "url", F.posexplode(links).alias("ord", "link"))
     return rows.withColumn("is_file", _path_of(F.col("link")).rlike(rf"\.(?:{'|'.join(extensions)})$"))

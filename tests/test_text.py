@@ -117,3 +117,18 @@ def test_markdown_is_cut_at_its_marks():
     assert retrieval.split_recursively(text, 30, 0, retrieval.MARKDOWN_SEPARATORS) == [
         "intro words", "##### Deep\nfirst part here", "***\nsecond part", "```\ncode\n```\nlast part"]
     assert retrieval.split_recursively("ab cd。ef", 4, 0) == ["ab", "cd", "。ef"]
+
+
+def test_links_in_all_forms_of_attributes(spark):
+    from evigrid.operators.search import page_links
+    pages = {
+        "<a href=/x>t</a>": ["/x"], "<a href=\"/it's\">t</a>": ["/it's"], "<a title=\"a > b\" href='/y'>t</a>": ["/y"], "<A\nHREF = '/say\"'>": ["/say\""],
+        "<a title='<a href=/no>' href=/z/>": ["/z/"], "<a data-href=/no title=' href=/no'>": [], "<a/href=/q?a=1&amp;b=2>": ["/q?a=1&b=2"], "<abbr href=/no>": [],
+        "<a href>": [], "<a href=''>": [], "<a href=\"/no>": [], "<a href=/one href=/two>": ["/two"], "<!-- <a href=/no> --><a class=k href=/a.pdf id=\"i\"><a href='/b'>": ["/a.pdf", "/b"],
+        "<a " + "k='v' w " * 20000 + "href=/far>": ["/far"],
+    }
+    rows = spark.createDataFrame([(k, "http://h.x/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {}
+    for r in sorted(page_links(rows).collect(), key=lambda r: (r.page_id, r.ord)):
+        got.setdefault(r.page_id, []).append(r.link.removeprefix("http://h.x"))
+    assert [got.get(k, []) for k in range(len(pages))] == list(pages.values())
