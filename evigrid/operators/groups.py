@@ -14,7 +14,7 @@ from .. import thresholds as T
 from ..functions.dimensions import RANGE, explicit_count, with_dimensions
 from ..functions.names import strip
 from ..session import settled
-from .geometry import BOX, _islands, box_pairs, link_lines, orientation, overlap_area
+from .geometry import BOX, DESCRIPTIVE, _islands, box_pairs, link_lines, orientation, overlap_area
 from .ordering import top_per_key
 
 REGION = ["doc_id", "source_region_id"]
@@ -155,6 +155,33 @@ def table_rows(tokens: DataFrame) -> DataFrame:
         F.least("_lc", F.when(F.col("column") == "nom", F.col("nom.confidence")).otherwise(F.col("max.confidence"))).alias("confidence"))
 
 
+def table_groups(tokens: DataFrame) -> DataFrame:
+    """Table rows of all three kinds as groups; `prompt_token_ids` holds one descriptive label, one symbol, the context and the NOM
+    or MAX value, or all labels where none is descriptive or a symbol."""
+    none, no_id = F.array().cast("array<string>"), F.lit(None).cast("string")
+    held = ["min_id", "nom_id", "max_id"]
+    view = [F.col("doc_id"), F.col("source_region_id").alias("view_id")]
+    grid = table_rows(tokens).select(*view, "label_ids", none.alias("context_token_ids"), *held, "confidence")
+    one = F.array("label_id").alias("label_ids")
+    pairs = key_value_rows(tokens).select(*view, one, none.alias("context_token_ids"), no_id.alias("min_id"), F.col("value_id").alias("nom_id"), no_id.alias("max_id"), "confidence")
+    matrix = pin_matrix_rows(tokens).select(*view, one, F.array("context_id").alias("context_token_ids"), F.when(F.col("column") == "min", F.col("value_id")).alias("min_id"),
+                                            no_id.alias("nom_id"), F.when(F.col("column") == "max", F.col("value_id")).alias("max_id"), "confidence")
+    key = ["doc_id", "view_id", "label_ids", "context_token_ids", *held, "confidence"]
+    rows = grid.unionByName(pairs).unionByName(matrix).withColumn("token_ids", F.array_distinct(F.array_compact(F.concat("label_ids", F.array(*held)))))
+    facts = tokens.select("doc_id", "id", F.col("source_region_id").alias("view_id"), "ord", "text", *BOX)
+    members = rows.select("*", F.posexplode("token_ids").alias("_p", "id")).join(facts, ["doc_id", "view_id", "id"])
+    label = F.col("_p") < F.size("label_ids")
+    first = [F.min_by("id", F.when(label & wanted, F.col("_p"))).alias(name) for name, wanted in (
+        ("_d", F.col("text").rlike(DESCRIPTIVE)), ("_s", strip("text").rlike("^[A-Za-z\u0370-\u03ff][A-Za-z0-9]?$")))]
+    groups = members.groupBy(*key, "token_ids").agg(
+        F.min(F.when(label, F.col("ord"))).alias("ord"), *[F.min(c).cast("int").alias(c) for c in ("x1", "y1")], *[F.max(c).cast("int").alias(c) for c in ("x2", "y2")], *first)
+    short = F.array_compact(F.array("_d", "_s"))
+    prompt = F.concat(F.when(F.size(short) > 0, short).otherwise(F.col("label_ids")), F.col("context_token_ids"), F.array_compact(F.array(F.coalesce("nom_id", "max_id"))))
+    return groups.select(
+        "doc_id", "view_id", F.lit("table_row").alias("evidence_type"), "ord", *BOX, "token_ids", none.alias("dimension_line_ids"), none.alias("extension_line_ids"),
+        none.alias("arrow_ids"), F.lit("horizontal").alias("orientation"), "confidence", "context_token_ids", F.array_distinct(prompt).alias("prompt_token_ids"))
+
+
 # --- dimension groups -------------------------------------------------------------------------------------------------
 def usable_tokens(tokens: DataFrame, confidence: float = T.TOKEN_CONFIDENCE, cell: float = 128.0) -> DataFrame:
     """Dimension texts without fragments of longer texts and without rotated readings across horizontal ones."""
@@ -252,26 +279,31 @@ def rank_groups(groups: DataFrame) -> list[Column]:
 def select_groups(groups: DataFrame, max_groups: int = 12, max_tokens: int = 25) -> DataFrame:
     """Best groups of every view while their new tokens fit the budget; a group that does not fit is passed over.
 
+    A group's tokens are its prompt_token_ids (table rows), or else token_ids with context_token_ids; both columns may be missing.
     Each round takes the next fitting group of every view by a partial aggregate over all groups, so a view
     with very many groups is never gathered. The state of a view is its few chosen tokens.
     """
     view = ["doc_id", "view_id"]
-    ranked = settled(groups.select(*view, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rank_groups(groups))]).alias("_r"), "ord", F.array_distinct("token_ids").alias("_t")))
-    state = ranked.groupBy(*view).agg(F.min_by(F.struct("_r", "ord", "_t"), "_r").alias("_s")).select(
-        *view, "_s._r", "_s.ord", F.col("_s._t").alias("_tokens"), F.lit(1).alias("place"))
+    needed = F.concat("token_ids", F.coalesce("context_token_ids", F.array().cast("array<string>"))) if "context_token_ids" in groups.columns else F.col("token_ids")
+    needed = F.coalesce("prompt_token_ids", needed) if "prompt_token_ids" in groups.columns else needed
+    # Rows of two kinds may share a label, so the members decide last.
+    rank = F.struct(*[c.alias(f"k{i}") for i, c in enumerate([*rank_groups(groups), F.col("evidence_type"), F.col("token_ids")])])
+    ranked = settled(groups.select(*view, rank.alias("_r"), F.struct("ord", "evidence_type").alias("_g"), F.array_distinct(needed).alias("_t")))
+    state = ranked.groupBy(*view).agg(F.min_by(F.struct("_r", "_g", "_t"), "_r").alias("_s")).select(
+        *view, "_s._r", "_s._g", F.col("_s._t").alias("_tokens"), F.lit(1).alias("place"))
     state = settled(state)
     chosen = state
     for place in range(2, max_groups + 1):
         held = state.select(*view, F.col("_r").alias("_last"), "_tokens")
         fresh = F.array_except("_t", "_tokens")
         fits = ranked.join(held, view).where((F.col("_r") > F.col("_last")) & (F.size("_tokens") + F.size(fresh) <= max_tokens))
-        state = fits.groupBy(*view).agg(F.min_by(F.struct("_r", "ord", F.array_union("_tokens", "_t").alias("_tokens")), "_r").alias("_s")).select(
-            *view, "_s._r", "_s.ord", "_s._tokens", F.lit(place).alias("place"))
+        state = fits.groupBy(*view).agg(F.min_by(F.struct("_r", "_g", F.array_union("_tokens", "_t").alias("_tokens")), "_r").alias("_s")).select(
+            *view, "_s._r", "_s._g", "_s._tokens", F.lit(place).alias("place"))
         state = settled(state)
         if state.isEmpty():
             break
         chosen = chosen.unionByName(state)
-    return chosen.select(*view, "ord", "place")
+    return chosen.select(*view, "_g.ord", "_g.evidence_type", "place")
 
 
 # --- stacked ranges ---------------------------------------------------------------------------------------------------

@@ -51,7 +51,9 @@ def w10(spark, sf):
 
 @query("t4_selected_groups")
 def t4(spark, sf):
-    return groups.select_groups(groups.dimension_groups(*_frames(spark, sf, "region_tokens_base", "region_lines")))
+    tokens, lines, grid, heads = _frames(spark, sf, "region_tokens_base", "region_lines", "grid_tokens", "head_tokens")
+    rows = groups.table_groups(tokens.unionByName(grid).unionByName(heads))
+    return groups.select_groups(groups.dimension_groups(tokens, lines).unionByName(rows, allowMissingColumns=True))
 
 
 @query("j21_stacked_pairs")

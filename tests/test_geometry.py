@@ -143,3 +143,25 @@ def test_budgeted_selection_passes_over(spark, rows):
     data = [("d", "v", "dimension_line", i, 0, i, 1, i + 1, tokens, ["l"], [], [], "horizontal", 0.9) for i, tokens in enumerate((["a", "b"], ["c", "e", "f"], ["a", "g"], ["h"]))]
     df = spark.createDataFrame(data, "doc_id string, view_id string, evidence_type string, ord bigint, x1 int, y1 int, x2 int, y2 int, token_ids array<string>, dimension_line_ids array<string>, extension_line_ids array<string>, arrow_ids array<string>, orientation string, confidence double")
     assert rows(groups.select_groups(df, 3, 4), "ord", "place") == [(0, 1), (2, 2), (3, 3)]
+
+
+def test_budget_counts_what_a_prompt_holds(spark, rows):
+    shape = ("doc_id string, view_id string, evidence_type string, ord bigint, x1 int, y1 int, x2 int, y2 int, token_ids array<string>, dimension_line_ids array<string>, "
+             "arrow_ids array<string>, confidence double, context_token_ids array<string>, prompt_token_ids array<string>")
+    data = [("d", "v", "dimension_line", 0, 0, 0, 1, 1, ["a", "b"], ["l"], [], 0.9, ["c"], None), ("d", "v", "dimension_line", 1, 0, 1, 1, 2, ["e"], ["l"], [], 0.9, ["f", "g"], None),
+            ("d", "v", "table_row", 2, 0, 2, 1, 3, ["h", "i", "j", "k", "m"], [], [], 0.9, [], ["h", "m"])]
+    assert rows(groups.select_groups(spark.createDataFrame(data, shape), 3, 5), "ord", "place") == [(0, 1), (2, 2)]
+
+
+def test_table_rows_are_reduced(spark):
+    def token(k, i, text, x, y):
+        return ("d", k, i, text, 0.9, 0, "v", "mm", "unknown", x, y, x + 20, y + 10)
+    texts = [token("n", 0, "8 PINS", 0, 200), token("h", 1, "8", 100, 0), token("amax", 2, "A MAX", 0, 50), token("v1", 3, "12,5", 100, 50), token("amin", 4, "A MIN", 0, 90),
+             token("v2", 5, "11,5", 100, 90), token("kv", 6, "Dimension L", 0, 140), token("v3", 7, "3.2 mm", 100, 140)]
+    got = {tuple(r.token_ids): (r.prompt_token_ids, r.x1, r.y1, r.x2, r.y2) for r in groups.table_groups(spark.createDataFrame(texts, TOKEN)).collect()}
+    assert got == {("amax", "v1"): (["amax", "h", "v1"], 0, 50, 120, 60), ("amin", "v2"): (["amin", "h"], 0, 90, 120, 100), ("kv", "v3"): (["kv", "v3"], 0, 140, 120, 150)}
+    heads = [token(n, i, n.upper(), 100 * (i + 1), 0) for i, n in enumerate(("min", "nom", "max"))]
+    cells = [token(f"c{i}", 10 + i, f"{i + 1}.5", 100 * (i + 1), 60) for i in range(3)]
+    labels = [token("body", 20, "Body", -80, 60), token("width", 21, "width", -50, 60), token("e", 22, "E", -20, 60)]
+    got = [r.prompt_token_ids for r in groups.table_groups(spark.createDataFrame(heads + cells + labels, TOKEN)).collect() if "c1" in r.token_ids]
+    assert got == [["body", "e", "c1"]]
