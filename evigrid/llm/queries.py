@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_text, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import (
+    centroids, chat_format, decontaminate, divergence, fingerprints, html_text, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup,
+    token_files)
 from .shared import docs_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +80,18 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return quality_classifier.classify(docs_of(spark, sf_dir), table(spark, sf_dir, "labels")).select(
         "doc_id", "text_score", "page_score", "score", "kept")
+
+
+@query("op11_source_divergence", divergence.SQL)
+def op11(spark, sf_dir):
+    return divergence.divergence(docs_of(spark, sf_dir))
+
+
+@query("op12_centroid_clusters", centroids.SQL)
+def op12(spark, sf_dir):
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_document_fingerprints")
+def op13(spark, sf_dir):
+    return fingerprints.fingerprint_digest(docs_of(spark, sf_dir))
