@@ -28,8 +28,12 @@ def plain_divergence(rows, top=200):
     for (lang, source), counts in by.items():
         kept = [t for t, n in held[lang].items() if n >= 3]
 
-        def share(c, t, kept=kept):
-            return 1 + 10**9 * (c[t] + 1) // (sum(c[x] for x in kept) + len(kept))
+        totals = {}
+
+        def share(c, t, kept=kept, totals=totals):
+            if id(c) not in totals:
+                totals[id(c)] = sum(c[x] for x in kept) + len(kept)
+            return 1 + 10**9 * (c[t] + 1) // totals[id(c)]
 
         whole = sum((c for (x, _), c in by.items() if x == lang), Counter())
         pairs = [(-sum((share(counts, t) - share(c, t)) ** 2 // share(c, t) for t in kept), s.encode()) for (x, s), c in by.items() if x == lang and s != source]
