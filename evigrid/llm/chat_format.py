@@ -8,16 +8,20 @@ with the role's name between the INST marks and [NEXT] between the merged turns'
 texts a backslash becomes two and a control string gets one after its first character, so no text can pose as a mark and
 `unescaped` gives it back. The loss mask lists the places of the assistant's texts, without any mark.
 
+Work grows in proportion to the text of a conversation, whatever its number of turns: offsets are running sums of rows.
+
 Defined cases: a null text or role is empty. Turns are ordered by turn (null first), then role, then text; repeated rows are turns of
 their own. Rows without conv_id are one conversation without id. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
+#: Code points of a page of formatted text
+PAGE = 1024
 #: What follows < or [ in the control strings of the template and of the usual chat formats; none of them has < or [ itself
 CONTROLS = (r"/?s>", r"/?INST\]", r"NEXT\]", r"/?SYS>>", r"\|[A-Za-z_]+\|>")
 _NAMES = "|".join(CONTROLS)
@@ -31,45 +35,49 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, rf"([<\[])\\(?={_NAMES})", "$1"), F.lit("\\\\"), F.lit("\\"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often a function inside reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, loss_spans (array of first, n: code points of formatted from 0)."""
     clean = rows.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    chats = clean.groupBy("conv_id").agg(turns.alias("t"))
-
-    def role_at(i):
-        return F.get("t", i)["role"]
-
-    pieces = F.transform("t", lambda x, i: F.struct(
-        F.when((i > 0) & (role_at(i - 1) == x["role"]), F.lit("[NEXT]")).otherwise(
-            F.concat(F.lit("<s>[INST]"), escaped(x["role"]), F.lit("[/INST]"))).alias("mark"),
-        escaped(x["text"]).alias("text"),
-        F.when(role_at(i + 1) == x["role"], F.lit("")).otherwise(F.lit("</s>")).alias("end"),
-        (x["role"] == LOSS_ROLE).alias("loss")))
-    chats = chats.select("conv_id", F.size("t").cast("long").alias("n_turns"), pieces.alias("p"))
-    sizes = F.transform("p", lambda x: F.length(x["mark"]) + F.length(x["text"]) + F.length(x["end"]))
-    until = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-    chats = chats.withColumn("until", until)
-    spans = F.transform("p", lambda x, i: F.struct(
-        (F.get("until", i) + F.length(x["mark"])).alias("first"), F.length(x["text"]).alias("n"), x["loss"].alias("loss")))
-    spans = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["first"], x["n"]))
-    whole = F.array_join(F.transform("p", lambda x: F.concat(x["mark"], x["text"], x["end"])), "")
-    return chats.select("conv_id", "n_turns", whole.alias("formatted"), spans.alias("loss_spans"))
+    # what a turn adds and where that ends is known per row, before a conversation becomes one array
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    same = [F.coalesce(f("role").over(order) == F.col("role"), F.lit(False)) for f in (F.lag, F.lead)]
+    head = F.when(same[0], F.lit("[NEXT]")).otherwise(F.concat(F.lit("<s>[INST]"), escaped(F.col("role")), F.lit("[/INST]")))
+    pieces = clean.select("conv_id", "turn", "role", "text", head.alias("mark"), escaped(F.col("text")).alias("safe"), F.when(same[1], F.lit("")).otherwise(F.lit("</s>")).alias("end"))
+    pieces = pieces.withColumn("until", F.sum(F.length("mark") + F.length("safe") + F.length("end")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.col("until") - F.length("safe") - F.length("end")
+    span = F.when(F.col("role") == LOSS_ROLE, F.struct(first.cast("int").alias("first"), F.length("safe").alias("n")))
+    piece = F.struct("turn", "role", "text", "until", F.concat("mark", "safe", "end").alias("piece"), span.alias("span"))
+    chats = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    return chats.select("conv_id", F.size("p").cast("long").alias("n_turns"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"),
+                        F.transform(F.filter("p", lambda x: x["span"].isNotNull()), lambda x: x["span"]).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
     """array of (role, text): the turns of a formatted conversation."""
     # a backslash follows the first character of any control string inside a text, so the marks split nothing else
     blocks = F.filter(F.split(formatted, "<s>\\[INST\\]", -1), lambda b: b != "")
-    return F.flatten(F.transform(blocks, lambda b: F.transform(
-        F.split(F.regexp_replace(F.substring_index(b, "</s>", 1), r"^(?s).*?\[/INST\]", ""), r"\[NEXT\]", -1),
-        lambda x: F.struct(unescaped(F.substring_index(b, "[/INST]", 1)).alias("role"), unescaped(x).alias("text")))))
+
+    def turns(b: Column) -> Column:
+        texts = F.split(F.regexp_replace(F.substring_index(b, "</s>", 1), r"^(?s).*?\[/INST\]", ""), r"\[NEXT\]", -1)
+        return _let(unescaped(F.substring_index(b, "[/INST]", 1)), lambda role: F.transform(texts, lambda x: F.struct(role.alias("role"), unescaped(x).alias("text"))))
+
+    return F.flatten(F.transform(blocks, turns))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["first"] + 1, s["n"]))), "")
+    """All text under the loss mask, unescaped, in order. A span is cut from the pages of the text it lies on, not from the text's start."""
+    def cut(pages: Column, s: Column) -> Column:
+        page = F.floor(s["first"] / PAGE).cast("int")
+        last = F.floor((s["first"] + F.greatest(s["n"], F.lit(1)) - 1) / PAGE).cast("int")
+        return unescaped(F.substring(F.array_join(F.slice(pages, page + 1, last - page + 1), ""), s["first"] - page * PAGE + 1, s["n"]))
+
+    return _let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PAGE}}}"), 0), lambda pages: F.array_join(F.transform(spans, lambda s: cut(pages, s)), ""))
 
 
 def chat_digest(rows: DataFrame) -> DataFrame:

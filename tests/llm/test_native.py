@@ -1,6 +1,7 @@
 """Chat formatting, line dedup and mixing: by their SQL and by plain versions on awkward rows."""
 
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -111,3 +112,16 @@ def test_takes_fill_the_budgets(docs):
     times = Counter((r.mix_domain, r.lang, r.source, r.mix_epoch) for r in taken)
     assert all(e == 1 or times[d, la, s, 1] for d, la, s, e in times)
     assert mixing.mixed_documents(docs([])).count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 3 = 1 OR id > 15000 THEN 'assistant' ELSE 'user' END AS role",
+                                     "concat('é turn [INST] number ', id, repeat(' word', id % 40)) AS text")
+    want = plain_chat([tuple(r) for r in rows.collect()])
+    start = time.monotonic()
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.chat_digest(rows).collect()}
+    assert got == want and time.monotonic() - start < 30
+    huge = spark.createDataFrame([(1, 1, "assistant", "x" * 3_000_000), (1, 2, "assistant", ""), (1, 3, "assistant", "[INST]" * 1000), (1, 4, "user", "a")], rows.schema)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.chat_digest(huge).collect()}
+    assert got == plain_chat([tuple(r) for r in huge.collect()])
