@@ -7,7 +7,8 @@ signed 64-bit integers. The manifest, a table, has for each part its file, order
 
 1. Documents are range-partitioned by doc_id and sorted in the partitions, so parts are in ascending order of doc_id.
 2. A task writes its part under a name of its own and hands back one manifest row, so a task that runs again or twice leaves a file that no
-   manifest names. The folder is below the shared folder of the cluster; as files are mapped, it must be mounted.
+   manifest names. The folder is below the shared folder of the cluster; as files are mapped, it must be mounted, and other
+   schemes than a path or file: are refused. Files are read back by as many tasks as there are files.
 3. Encoding: byte-level BPE never joins across a single space or line end between two other characters, so a text is cut there; each distinct
    piece is encoded once by the tokenizers library and remembered, in two generations of bounded size, the older of which is dropped.
    New pieces are encoded together, and the numbers of bytes of their tokens tell where each one ends.
@@ -221,7 +222,10 @@ def _writer(folder: str, tokenizer: str):
 def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Write the files; the manifest with `base`."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    # below the application's own folder, which clear_settled removes
+    folder = folder or f"{shared_folder(spark)}/evigrid-{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
+    if urlparse(folder).scheme not in ("", "file"):
+        raise ValueError(f"token files are memory-mapped: {folder} is not a mounted path that all executors see")
     local = urlparse(folder).path if folder.startswith("file:") else folder
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -246,7 +250,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digest(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    return manifest.select("file", "width", "n_docs", "n_null", "base").repartition(F.col("file")).mapInArrow(
+    files = max(manifest.count(), 1)  # a row for each file
+    return manifest.select("part", "file", "width", "n_docs", "n_null", "base").repartitionByRange(files, "part").mapInArrow(
         _reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
