@@ -21,10 +21,22 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("kept").select(*DOCUMENT)
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs with `row_id`: the doc_id where it stands once, else a hash of id and text, and `shared_id`: whether it is such a hash."""
+    counts = settled(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("seen_id"), F.lit(True).alias("again")))
+    marked = docs.select(*DOCUMENT).join(counts, F.col("doc_id").eqNullSafe(F.col("seen_id")), "left").withColumn("shared_id", F.coalesce("again", F.lit(False)))
+    return marked.select(*DOCUMENT, "shared_id", F.when(F.col("shared_id"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")).alias("row_id"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near copies stays: the one with the smallest doc_id. Documents without an id are in no class."""
-    others = near_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*DOCUMENT)
+    """One document of every class of near copies stays, the one with the smallest id. Texts decide, not ids: of several texts with one doc_id, or
+    without any, each is a document with a hash of both as its id, and of rows equal in id and text one stays."""
+    rows = _told_apart(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text"))
+    others = found.where("doc_id <> class_id").select(F.col("doc_id").alias("row_id"))
+    kept = rows.join(others.hint("merge"), "row_id", "left_anti")
+    once = kept.where("NOT shared_id").select(*DOCUMENT)
+    return once.unionByName(kept.where("shared_id").dropDuplicates(["doc_id", "text"]).select(*DOCUMENT))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
