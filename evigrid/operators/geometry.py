@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import thresholds as T
 from ..session import settled
-from .ordering import last_known, ranked, top_per_key
+from .ordering import fold_in_order, last_known, ranked, top_per_key
 
 BOX = ("x1", "y1", "x2", "y2")
 CELL = ["_cx", "_cy"]
@@ -203,47 +203,68 @@ def line_clusters(lines: DataFrame, axis_gap: float = 5.0, interval_gap: float =
     return flat.join(_islands(spans, second, "low", "_end", interval_gap, "interval_island"), [*second, "low"])
 
 
+def _joined_lines(axis_gap: float, interval_gap: float):
+    """Number each line by the merged line it joins, and give that line's axis after it. The state is one row of numbers per merged line."""
+    def step(state: dict, rows: dict):
+        homes, axes = [], []
+        for axis, low, high in zip(rows["axis"].tolist(), rows["low"].tolist(), rows["high"].tolist(), strict=True):
+            k = state["n"]
+            known = state["lines"][:k]
+            fits = (np.abs(known[:, 0] - axis) <= axis_gap) & (known[:, 1] <= high + interval_gap) & (known[:, 2] >= low - interval_gap)
+            home = int(fits.argmax()) if fits.any() else k
+            if home == k:
+                if k == len(state["lines"]):
+                    state["lines"] = np.concatenate([state["lines"], np.zeros_like(state["lines"])])
+                state["lines"][k] = axis, low, high
+                state["n"] += 1
+            else:
+                was = known[home]
+                known[home] = np.rint((was[0] + axis) / 2), min(was[1], low), max(was[2], high)
+            homes.append(home)
+            axes.append(state["lines"][home, 0])
+        return homes, axes
+    return step
+
+
 def merge_lines(lines: DataFrame, axis_gap: float = 5.0, interval_gap: float = 12.0) -> DataFrame:
     """Merge near-collinear overlapping segments, longest first; oblique ones are kept as they are.
 
-    The merge is greedy and changes the axis it compares with, so each cluster is folded in order.
+    A line joins the first merged line within reach, whose axis moves half way to it (to a whole pixel) and whose interval grows. Only which line joins which is
+    decided in order: a stream over each cluster carries axis and interval of its merged lines, and what they hold is aggregated afterwards. Clusters are cut once more
+    at gaps that opened when others were cut, since lines on both sides of a gap never merge.
     """
-    cluster = ["doc_id", "orientation", "axis_island", "interval_island"]
-    # Most lines stand alone: only clusters of several lines go through the fold. The count is partitioned as
-    # the fold is, so it adds no shuffle.
-    clusters = line_clusters(lines, axis_gap, interval_gap).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*cluster)))
+    cluster = ["doc_id", "orientation", "axis_island", "interval_island", "axis_part", "interval_part"]
+    found = line_clusters(lines, axis_gap, interval_gap)
+    axes = found.select(*cluster[:4], "axis").distinct().withColumn("_end", F.col("axis"))
+    found = found.join(_islands(axes, cluster[:4], "axis", "_end", axis_gap + 1.0, "axis_part"), [*cluster[:4], "axis"])
+    spans = found.groupBy(*cluster[:5], "low").agg(F.max("high").alias("_end"))
+    found = found.join(_islands(spans, cluster[:5], "low", "_end", interval_gap, "interval_part"), [*cluster[:5], "low"])
+    # most lines stand alone; the count is partitioned as the stream is, so it adds no shuffle
+    found = found.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*cluster)))
     columns = ["doc_id", "line_id", "type", "lx1", "ly1", "lx2", "ly2", "arrow_ids", "confidence", "source_region_id", "merged"]
-    schema = ("doc_id string, line_id string, type string, lx1 int, ly1 int, lx2 int, ly2 int, arrow_ids array<string>, "
-              "confidence double, source_region_id string, merged int")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        done: list[dict] = []
-        for row in group.sort_values(["length", "ord"], ascending=[False, True]).to_dict("records"):
-            home = next((d for d in done if abs(row["axis"] - d["axis"]) <= axis_gap and row["low"] <= d["high"] + interval_gap
-                         and row["high"] >= d["low"] - interval_gap), None)
-            arrows = list(row["arrow_ids"]) if row["arrow_ids"] is not None else []
-            if home is None:
-                done.append({**row, "arrow_ids": arrows, "merged": 1})
-                continue
-            home["low"], home["high"] = min(home["low"], row["low"]), max(home["high"], row["high"])
-            home["axis"] = float(int(round((row["axis"] + home["axis"]) / 2.0)))
-            home["arrow_ids"] = list(dict.fromkeys([*home["arrow_ids"], *arrows]))
-            if home["arrow_ids"]:
-                home["type"] = "dimension_line"
-            elif row["type"] == "extension_line":
-                home["type"] = "extension_line"
-            home["confidence"] = max(home["confidence"], row["confidence"])
-            home["merged"] += 1
-        for d in done:
-            if d["merged"] > 1:
-                level = d["orientation"] == "horizontal"
-                start, end = ((d["low"], d["axis"]), (d["high"], d["axis"])) if level else ((d["axis"], d["low"]), (d["axis"], d["high"]))
-                d["lx1"], d["ly1"], d["lx2"], d["ly2"] = (int(v) for v in (*start, *end))
-        return pd.DataFrame(done)[columns]
-    merged = clusters.where(F.col("_size") > 1).groupBy(*cluster).applyInPandas(fold, schema)
-    alone = clusters.where(F.col("_size") == 1).withColumn("merged", F.lit(1)).select(*columns)
+    several = found.where("_size > 1")
+    numbers = several.select(*cluster, "ord", "length", *(F.col(c).cast("double").alias(c) for c in ("axis", "low", "high")))
+    joined = fold_in_order(numbers, cluster, [F.desc("length"), F.asc("ord")], lambda: {"n": 0, "lines": np.zeros((8, 3))}, _joined_lines(axis_gap, interval_gap),
+                           {"home": "long", "home_axis": "double"}).select(*cluster, "ord", "home", "home_axis")
+    place = F.struct((-F.col("length")).alias("l"), F.col("ord").alias("o"))
+    no_arrow = F.array().cast("array<string>")
+    held = several.join(joined, [*cluster, "ord"]).groupBy(*cluster, "home").agg(
+        F.min_by(F.struct("line_id", "type", "lx1", "ly1", "lx2", "ly2", "source_region_id"), place).alias("_first"), F.max_by("home_axis", place).alias("_axis"),
+        F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).cast("int").alias("merged"),
+        F.bool_or(F.col("type") == "extension_line").alias("_extends"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.coalesce("arrow_ids", no_arrow).alias("a")))), lambda x: x["a"])).alias("_arrows"))
+    one, level = F.col("merged") == 1, F.col("orientation") == "horizontal"
+    kind = F.when(one, F.col("_first.type")).when(F.size("_arrows") > 0, "dimension_line").when(F.col("_extends"), "extension_line").otherwise(F.col("_first.type"))
+
+    def end(name: str, across: str):
+        moved = F.when(level, F.col(across if name in ("lx1", "lx2") else "_axis")).otherwise(F.col("_axis" if name in ("lx1", "lx2") else across))
+        return F.when(one, F.col(f"_first.{name}")).otherwise(moved.cast("int")).alias(name)
+
+    merged = held.select("doc_id", "_first.line_id", kind.alias("type"), end("lx1", "_low"), end("ly1", "_low"), end("lx2", "_high"), end("ly2", "_high"),
+                         F.when(one, F.col("_arrows")).otherwise(F.array_distinct("_arrows")).alias("arrow_ids"), "confidence", "_first.source_region_id", "merged")
+    alone = found.where("_size = 1").withColumn("merged", F.lit(1)).select(*columns)
     oblique = lines.where(orientation() == "oblique").withColumn("merged", F.lit(1)).select(*columns)
-    return merged.unionByName(alone).unionByName(oblique)
+    return merged.select(*columns).unionByName(alone).unionByName(oblique)
 
 
 # --- duplicates ----------------------------------------------------------------------------------------------------
@@ -258,31 +279,36 @@ def overlapping_duplicates(tokens: DataFrame, threshold: float = T.IOU, cell: fl
         "doc_id", F.col("a.id").alias("kept_id"), F.col("b.id").alias("dropped_id"), iou("a", "b").alias("iou"))
 
 
+def _without_surer(state: set, rows: dict):
+    """Tokens in order, the surest first, each with the surer ones it overlaps: it goes if one of those stays. The state is the tokens that went."""
+    gone = []
+    for token, surer in zip(rows["id"].tolist(), rows["surer"], strict=True):
+        gone.append(any(other not in state for other in surer))
+        if gone[-1]:
+            state.add(token)
+    return (gone,)
+
+
 def suppress_duplicates(tokens: DataFrame, threshold: float = T.IOU, cell: float = 128.0) -> DataFrame:
     """Greedy duplicate removal, surest token first, over whole documents.
 
-    A token stays unless a token that stays and is surer overlaps it. Decided in rounds over the pairs: a
-    token with no surer open neighbour stays, its open neighbours go. Equal boxes with equal text are
-    reduced to their best beforehand, since only that one can stay; so a stack of copies forms no pairs.
+    A token stays unless a token that stays and is surer overlaps it. Equal boxes with equal text are reduced to their best beforehand, since only that one can
+    stay; so a stack of copies forms no pairs. The others are decided in one ordered pass over the tokens of a document with the same text, cut at
+    gaps in x that no pair crosses; only tokens that a surer one overlaps take part.
     """
     best = tokens.withColumn("folded", F.lower("text"))
     stack = ["doc_id", "folded", *BOX]
     flat = best.where((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")))
-    solid = top_per_key(best.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))), stack,
-                        [F.desc("confidence"), F.asc("ord")], 1).drop("_rank")
-    edges = settled(overlapping_duplicates(solid, threshold, cell).select("doc_id", "kept_id", "dropped_id"))
-    dropped = None
-    while not edges.isEmpty():
-        # Tokens that no open edge points at stay; what they point at goes, with all of its edges.
-        targets = edges.select("doc_id", F.col("dropped_id").alias("kept_id")).distinct()
-        gone = edges.join(targets, ["doc_id", "kept_id"], "left_anti").select("doc_id", F.col("dropped_id").alias("id")).distinct()
-        gone = settled(gone)
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        edges = edges.join(gone.withColumnRenamed("id", "kept_id"), ["doc_id", "kept_id"], "left_anti")
-        edges = settled(edges.join(gone.withColumnRenamed("id", "dropped_id"), ["doc_id", "dropped_id"], "left_anti"))
-    if dropped is not None:
-        solid = solid.join(dropped, ["doc_id", "id"], "left_anti")
-    return solid.unionByName(flat).drop("folded")
+    solid = settled(top_per_key(best.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))), stack,
+                                [F.desc("confidence"), F.asc("ord")], 1).drop("_rank"))
+    key = ["doc_id", "folded"]
+    spans = solid.groupBy(*key, "x1").agg(F.max("x2").alias("_end"))
+    parted = solid.join(_islands(spans, key, "x1", "_end", 0.0, "x_part"), [*key, "x1"])
+    # few boxes can overlap one box by the threshold without being equal or overlapping each other, so these arrays are short
+    surer = overlapping_duplicates(solid, threshold, cell).groupBy("doc_id", F.col("dropped_id").alias("id")).agg(F.collect_list("kept_id").alias("surer"))
+    rows = parted.select(*key, "x_part", "id", "ord", "confidence").join(surer, ["doc_id", "id"])
+    decided = fold_in_order(rows, [*key, "x_part"], [F.desc("confidence"), F.asc("ord")], set, _without_surer, {"gone": "boolean"})
+    return solid.join(decided.where("gone").select("doc_id", "id"), ["doc_id", "id"], "left_anti").unionByName(flat).drop("folded")
 
 
 def renumber_tokens(tokens: DataFrame, bucket: Column | None = None) -> DataFrame:

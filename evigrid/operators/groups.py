@@ -6,7 +6,7 @@ lines(doc_id, line_id, ord, type, lx1..ly2, arrow_ids, source_region_id).
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from ..functions.dimensions import RANGE, explicit_count, with_dimensions
 from ..functions.names import strip
 from ..session import settled
 from .geometry import BOX, DESCRIPTIVE, _islands, box_pairs, link_lines, orientation, overlap_area
-from .ordering import top_per_key
+from .ordering import fold_in_order, top_per_key
 
 REGION = ["doc_id", "source_region_id"]
 DIMENSION_TEXT = r"(?i)[ØΦ±]|REF|UNC|\([^)]*\d[^)]*\)|(?:^|\D)[.]?\d+(?:\.\d+)?"
@@ -99,33 +99,34 @@ def table_layout(tokens: DataFrame) -> DataFrame:
 def cluster_rows(tokens: DataFrame, layout: DataFrame) -> DataFrame:
     """Data tokens with the table row they fall in, by the running mean height of the row.
 
-    A mean stays between the heights of its tokens, so tokens further apart than the tolerance never share a
-    row: only chains of close heights are clustered in order.
+    A mean stays between the heights of its tokens, so tokens further apart than the tolerance never share a row, and what is decided in
+    order is a scan over the distinct heights of a chain with their weights.
     """
     t = _centred(tokens).join(layout.select(*REGION, "head_y"), REGION).where(F.col("cy") > F.col("head_y") + 4)
     reach = t.groupBy(*REGION).agg(F.greatest(F.lit(6.0), F.percentile("height", 0.5) * 0.65).alias("row_tolerance"))
-    heights = t.select(*REGION, "cy").distinct().join(reach, REGION)
-    # Distinct half-pixel heights of a page bound this group.
+    # Distinct half-pixel heights of a page bound this window and the stream.
+    heights = t.groupBy(*REGION, "cy").agg(F.count(F.lit(1)).alias("n")).join(reach, REGION)
     order = Window.partitionBy(*REGION).orderBy("cy")
     fresh = (F.col("cy") - F.lag("cy").over(order) > F.col("row_tolerance")).cast("int")
     chains = heights.withColumn("_f", F.coalesce(fresh, F.lit(0))).withColumn("chain", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = t.join(chains.select(*REGION, "cy", "chain", "row_tolerance"), [*REGION, "cy"])
-    schema = "doc_id string, source_region_id string, id string, chain bigint, row_no int"
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        means: list[list[float]] = []
-        places = []
-        group = group.sort_values(["cy", "ord"])
-        for cy, reach_ in zip(group["cy"], group["row_tolerance"]):
-            home = next((i for i, m in enumerate(means) if abs(cy - m[0] / m[1]) <= reach_), None)
-            if home is None:
-                means.append([0.0, 0])
-                home = len(means) - 1
-            means[home][0] += cy
-            means[home][1] += 1
-            places.append(home)
-        return group[[*REGION, "id", "chain"]].assign(row_no=places)
-    return rows.select(*REGION, "id", "ord", "cy", "chain", "row_tolerance").groupBy(*REGION, "chain").applyInPandas(fold, schema)
+    rows = fold_in_order(chains.drop("_f"), [*REGION, "chain"], [F.col("cy")], lambda: [-1, 0.0, 0], _row_numbers, {"row_no": "int"})
+    return t.join(rows.drop("n", "row_tolerance"), [*REGION, "cy"]).select(*REGION, "id", "chain", "row_no")
+
+
+def _row_numbers(state: list, rows: dict):
+    """Heights in order, each with its number of tokens: a height joins the row before it if it is within reach of that row's mean.
+
+    Rows further up are out of reach for good, since the height that opened the next row was. Tokens of one height stay together: after the first
+    the mean is only closer. The state is the row's number, sum and count.
+    """
+    places = []
+    for cy, n, reach in zip(rows["cy"].tolist(), rows["n"].tolist(), rows["row_tolerance"].tolist(), strict=True):
+        if not state[2] or abs(cy - state[1] / state[2]) > reach:
+            state[:] = state[0] + 1, 0.0, 0
+        state[1] += cy * n
+        state[2] += n
+        places.append(state[0])
+    return (np.array(places, np.int32),)
 
 
 def table_rows(tokens: DataFrame) -> DataFrame:
@@ -236,11 +237,29 @@ def dimension_groups(tokens: DataFrame, lines: DataFrame, links: DataFrame | Non
     return merge_stacked(groups).unionByName(counts)
 
 
+def _stacks(across: int, above: int):
+    """Number each box by the stack it joins: the first whose box reaches it. The state is the box of each stack."""
+    def step(state: list, rows: dict):
+        homes = []
+        for box in zip(*(rows[c].tolist() for c in BOX), strict=True):
+            left, top, right, bottom = (np.array(side) for side in zip(*state, strict=True)) if state else (np.zeros(0),) * 4
+            reached = np.flatnonzero((np.maximum(left, box[0]) - across <= np.minimum(right, box[2])) & (np.abs(top + bottom - box[1] - box[3]) <= 2 * above))
+            home = int(reached[0]) if len(reached) else len(state)
+            if home == len(state):
+                state.append(box)
+            else:
+                was = state[home]
+                state[home] = (min(was[0], box[0]), min(was[1], box[1]), max(was[2], box[2]), max(was[3], box[3]))
+            homes.append(home)
+        return (homes,)
+    return step
+
+
 def merge_stacked(groups: DataFrame, across: int = 20, above: int = 90) -> DataFrame:
-    """Fold groups of a view that share their dimension lines and stand close.
+    """Join groups of a view that share their dimension lines and stand close, in their order.
 
-    Groups whose boxes are further apart in height than the limit cannot merge, so only chains of close boxes
-    with the same lines are folded in order.
+    Which group joins which stack is decided in order over boxes alone; tokens, lines and confidences are aggregated per stack afterwards. Boxes further apart in
+    height than the limit can't join, so each chain of close boxes with the same lines is a stream of its own.
     """
     shared = groups.withColumn("_lines", F.array_join(F.array_sort("dimension_line_ids"), "|"))
     key = ["doc_id", "view_id", "_lines"]
@@ -248,26 +267,19 @@ def merge_stacked(groups: DataFrame, across: int = 20, above: int = 90) -> DataF
     spans = several.groupBy(*key, "y1").agg(F.max("y2").alias("_end"))
     chained = several.join(_islands(spans, key, "y1", "_end", float(above), "chain"), [*key, "y1"])
     chained = chained.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*key, "chain")))
-    columns = groups.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema.fields)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        done: list[dict] = []
-        for row in group.sort_values("ord").to_dict("records"):
-            row = {**row, **{c: list(row[c]) for c in ("token_ids", "dimension_line_ids", "extension_line_ids", "arrow_ids")}}
-            home = next((d for d in done if max(row["x1"], d["x1"]) <= min(row["x2"], d["x2"]) + across
-                         and abs((row["y1"] + row["y2"]) / 2 - (d["y1"] + d["y2"]) / 2) <= above), None)
-            if home is None:
-                done.append(row)
-                continue
-            for c, pick in (("x1", min), ("y1", min), ("x2", max), ("y2", max), ("confidence", min)):
-                home[c] = pick(home[c], row[c])
-            for c in ("token_ids", "extension_line_ids", "arrow_ids"):
-                home[c] = list(dict.fromkeys([*home[c], *row[c]]))
-        return pd.DataFrame(done)[columns]
-    folded = chained.where("_size > 1").groupBy(*key, "chain").applyInPandas(fold, schema)
-    alone = chained.where("_size = 1").select(*columns).unionByName(shared.where(F.col("_lines") == "").select(*columns))
-    return folded.unionByName(alone)
+    member = [*key, "chain", "ord", "token_ids"]
+    # texts of one place in the order keep a fixed order by their tokens
+    order = F.struct("ord", "token_ids")
+    boxes = chained.where("_size > 1").select(*member, *BOX)
+    stacks = fold_in_order(boxes, [*key, "chain"], [F.col("ord"), F.col("token_ids")], list, _stacks(across, above), {"home": "long"}).select(*member, "home")
+    lists = ("token_ids", "extension_line_ids", "arrow_ids")
+    facts = [c for c in groups.columns if c not in ("doc_id", "view_id", *BOX, "confidence", *lists)]
+    merged = chained.where("_size > 1").join(stacks, member).groupBy(*key, "chain", "home").agg(
+        F.min_by(F.struct(*facts), order).alias("_first"), *(F.min(c).alias(c) for c in ("x1", "y1", "confidence")), *(F.max(c).alias(c) for c in ("x2", "y2")),
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), *lists))).alias("_members"))
+    united = merged.select("doc_id", "view_id", "_first.*", *BOX, "confidence", *(F.array_distinct(F.flatten(F.col(f"_members.{c}"))).alias(c) for c in lists))
+    alone = chained.where("_size = 1").select(*groups.columns).unionByName(shared.where(F.col("_lines") == "").select(*groups.columns))
+    return united.select(*groups.columns).unionByName(alone)
 
 
 def rank_groups(groups: DataFrame) -> list[Column]:
@@ -398,18 +410,7 @@ def reconcile_stacked(assignments: DataFrame, tokens: DataFrame, lines: DataFram
     ok = ~blocked & (~crossing | (~extra & F.col("_backed").isNotNull()))
     judged = judged.select(*REGION, "upper_assignment", "lower_assignment", "line_id", ok.alias("ok"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        merges = []
-        for upper, rows in group.sort_values("lower_assignment").groupby("upper_assignment", sort=True):
-            if upper in used:
-                continue
-            open_rows = rows[~rows["lower_assignment"].isin(used)]
-            if len(open_rows) == 1 and bool(open_rows["ok"].iloc[0]):
-                used |= {upper, open_rows["lower_assignment"].iloc[0]}
-                merges.append(open_rows.iloc[0])
-        return pd.DataFrame(merges, columns=group.columns)[["doc_id", "upper_assignment", "lower_assignment", "line_id"]]
-    # A pair whose assignments stand in no other pair needs no order; only contested pairs of a view are folded.
+    # A pair whose assignments stand in no other pair needs no order; only contested pairs of a view are decided in order.
     judged = settled(judged)
     used = judged.select("doc_id", F.explode(F.array("upper_assignment", "lower_assignment")).alias("_a"))
     contested = used.groupBy("doc_id", "_a").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id", "_a")
@@ -417,6 +418,20 @@ def reconcile_stacked(assignments: DataFrame, tokens: DataFrame, lines: DataFram
         judged = judged.join(contested.select("doc_id", F.col("_a").alias(f"{part}_assignment"), F.lit(True).alias(f"_{part}")), ["doc_id", f"{part}_assignment"], "left")
     free = F.col("_upper").isNull() & F.col("_lower").isNull()
     columns = ["doc_id", "upper_assignment", "lower_assignment", "line_id"]
-    folded = judged.where(~free).select(*REGION, *columns[1:], "ok").groupBy(*REGION).applyInPandas(
-        fold, "doc_id string, upper_assignment bigint, lower_assignment bigint, line_id string")
-    return judged.where(free & F.col("ok")).select(*columns).unionByName(folded)
+    offers = judged.where(~free).groupBy(*REGION, "upper_assignment").agg(F.array_sort(F.collect_list(F.struct("lower_assignment", "ok", "line_id"))).alias("_o"))
+    offers = offers.withColumns({"lower": F.transform("_o", lambda o: o.lower_assignment), "fine": F.transform("_o", lambda o: o.ok)})
+    decided = fold_in_order(offers.select(*REGION, "upper_assignment", "lower", "fine"), REGION, [F.col("upper_assignment")], set, _taken, {"at": "int"})
+    taken = offers.join(decided.where("at >= 0").select(*REGION, "upper_assignment", "at"), [*REGION, "upper_assignment"]).select(
+        "doc_id", "upper_assignment", F.col("_o")[F.col("at")].lower_assignment.alias("lower_assignment"), F.col("_o")[F.col("at")].line_id.alias("line_id"))
+    return judged.where(free & F.col("ok")).select(*columns).unionByName(taken)
+
+
+def _taken(used: set, rows: dict):
+    """For each upper assignment the place of the lower one it merges with, or -1: both must be unused, and no second unused one may be offered."""
+    places = []
+    for upper, lower, fine in zip(rows["upper_assignment"].tolist(), rows["lower"], rows["fine"], strict=True):
+        left = [] if upper in used else [k for k, x in enumerate(lower.tolist()) if x not in used]
+        places.append(left[0] if len(left) == 1 and fine[left[0]] else -1)
+        if places[-1] >= 0:
+            used |= {upper, lower[left[0]].item()}
+    return (np.array(places, np.int32),)

@@ -11,8 +11,10 @@ task before the shuffle (WindowGroupLimit).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +113,44 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket
         out = marked.join(firsts, on).withColumn("__next", F.coalesce("__next", "__carry")).drop(
             "__bucket", "__row", "__order", "__carry")
     return out.withColumns({n: F.col(f"__next.{n}") for n in values}).drop("__next")
+
+
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
+def _array(parts: list, kind: str) -> pa.Array:
+    if all(isinstance(p, np.ndarray) for p in parts):
+        return pa.array(np.concatenate(parts), _ARROW[kind])
+    return pa.array([x for p in parts for x in p], _ARROW[kind])
+
+
+def fold_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], start: Callable, step: Callable, out: dict[str, str]) -> DataFrame:
+    """df with columns `out`, decided row after row along `order` with a state per key.
+
+    Rows are dealt by key, sorted, and read as a stream of batches; `start()` gives the state of a key and `step(state, columns)` the new columns of the next
+    rows of it, as arrays. The state passes from batch to batch, so a task holds one batch and one state, however many rows a key has.
+    """
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{n}` {t}" for n, t in out.items())])
+    names, wide = list(keys), list(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            fresh = np.zeros(n, bool)
+            for c in names:
+                fresh[1:] |= columns[c].astype(object)[1:] != columns[c].astype(object)[:-1]
+            cuts = [0, *np.flatnonzero(fresh).tolist(), n]
+            parts: list[list] = [[] for _ in wide]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                key = tuple(columns[c][first] for c in names)
+                if state is None or key != held:
+                    held, state = key, start()
+                for part, values in zip(parts, step(state, {c: v[first:last] for c, v in columns.items()}), strict=True):
+                    part.append(values)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(_array(p, out[c]) for p, c in zip(parts, wide, strict=True))], [*batch.schema.names, *wide])
+
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(run, schema)

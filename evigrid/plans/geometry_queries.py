@@ -105,7 +105,20 @@ def j9(spark, sf):
     return geometry.overlapping_duplicates(frame(spark, sf, "dense_boxes")).withColumn("iou", F.round("iou", 6))
 
 
-@query("j9_deduplicated_tokens")
+# Token after token, the surest first, against the boxes that stayed: no pairs, no stacks, no cuts
+J9_KEPT = ctes("dense_boxes").replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT *, lower(text) AS folded, x2 > x1 AND y2 > y1 AS solid FROM dense_boxes),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, folded ORDER BY confidence DESC, ord) AS rn FROM o WHERE solid),
+  s AS (SELECT DISTINCT doc_id, folded, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(x1 INT, y1 INT, x2 INT, y2 INT)[]) AS held, CAST(NULL AS VARCHAR) AS id, false AS stays FROM r
+    UNION ALL SELECT doc_id, folded, rn, CASE WHEN free THEN list_append(held, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) ELSE held END, id, free
+    FROM (SELECT r.doc_id, r.folded, r.rn, r.id, s.held, CAST(r.x1 AS INT) AS x1, CAST(r.y1 AS INT) AS y1, CAST(r.x2 AS INT) AS x2, CAST(r.y2 AS INT) AS y2, len(list_filter(s.held, lambda k: least(k.x2, r.x2) > greatest(k.x1, r.x1) AND least(k.y2, r.y2) > greatest(k.y1, r.y1)
+        AND ((least(k.x2, r.x2) - greatest(k.x1, r.x1)) * (least(k.y2, r.y2) - greatest(k.y1, r.y1))) / ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)
+          - (least(k.x2, r.x2) - greatest(k.x1, r.x1)) * (least(k.y2, r.y2) - greatest(k.y1, r.y1))) >= 0.45)) = 0 AS free
+      FROM s JOIN r ON r.doc_id = s.doc_id AND r.folded = s.folded AND r.rn = s.rn + 1)),
+  kept AS (SELECT o.* FROM o JOIN s ON s.doc_id = o.doc_id AND s.id = o.id AND s.stays UNION ALL SELECT * FROM o WHERE NOT solid)
+  SELECT doc_id, id, format('ocr_{:04d}', row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, confidence DESC, ord)) AS token_id FROM kept"""
+
+
+@query("j9_deduplicated_tokens", J9_KEPT)
 def j9_kept(spark, sf):
     kept = geometry.suppress_duplicates(frame(spark, sf, "dense_boxes"))
     return geometry.renumber_tokens(kept, F.floor(F.col("y1") / 256)).select("doc_id", "id", "token_id")
@@ -169,7 +182,28 @@ def w7_clusters(spark, sf):
     return geometry.line_clusters(frame(spark, sf, "drawn_lines")).select("doc_id", "line_id", "orientation", "axis_island", "interval_island")
 
 
-@query("w7_merged_lines")
+# Line after line of a page and direction, the longest first, against all merged lines so far: no clusters
+W7 = ctes("drawn_lines").replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT *, CASE WHEN abs(ly2 - ly1) <= greatest(4.0, abs(lx2 - lx1) * 0.05) THEN 'horizontal' WHEN abs(lx2 - lx1) <= greatest(4.0, abs(ly2 - ly1) * 0.05) THEN 'vertical' ELSE 'oblique' END AS orientation FROM drawn_lines),
+  f AS (SELECT *, orientation = 'horizontal' AS flat, CAST(CASE WHEN flat THEN (ly1 + ly2) / 2.0 ELSE (lx1 + lx2) / 2.0 END AS DOUBLE) AS axis, CAST(CASE WHEN flat THEN least(lx1, lx2) ELSE least(ly1, ly2) END AS DOUBLE) AS low,
+    CAST(CASE WHEN flat THEN greatest(lx1, lx2) ELSE greatest(ly1, ly2) END AS DOUBLE) AS high, row_number() OVER (PARTITION BY doc_id, orientation ORDER BY (lx2 - lx1) ** 2 + (ly2 - ly1) ** 2 DESC, ord) AS rn FROM o WHERE orientation <> 'oblique'),
+  s AS (SELECT DISTINCT doc_id, orientation, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(axis DOUBLE, low DOUBLE, high DOUBLE)[]) AS held, CAST(0 AS BIGINT) AS home FROM f
+    UNION ALL SELECT doc_id, orientation, rn, CASE WHEN hit IS NULL THEN list_append(held, {'axis': axis, 'low': low, 'high': high}) ELSE list_transform(held, lambda d, i: CASE WHEN i = hit
+        THEN {'axis': round_even((d.axis + axis) / 2, 0), 'low': least(d.low, low), 'high': greatest(d.high, high)} ELSE d END) END, coalesce(hit, len(held) + 1)
+    FROM (SELECT f.*, s.held, list_min(list_filter(list_transform(s.held, lambda d, i: CASE WHEN abs(d.axis - f.axis) <= 5 AND f.low <= d.high + 12 AND f.high >= d.low - 12 THEN i END), lambda i: i IS NOT NULL)) AS hit
+      FROM s JOIN f ON f.doc_id = s.doc_id AND f.orientation = s.orientation AND f.rn = s.rn + 1)),
+  last AS (SELECT doc_id, orientation, arg_max(held, rn) AS held FROM s GROUP BY ALL),
+  g AS (SELECT f.*, s.home FROM f JOIN s USING (doc_id, orientation, rn)),
+  m AS (SELECT doc_id, orientation, home, arg_min(line_id, rn) AS line_id, arg_min(type, rn) AS kind, arg_min(source_region_id, rn) AS source_region_id, max(confidence) AS confidence, count(*) AS n,
+    bool_or(len(arrow_ids) > 0) AS arrows, bool_or(type = 'extension_line') AS extends, arg_min({'a': lx1, 'b': ly1, 'c': lx2, 'd': ly2}, rn) AS own FROM g GROUP BY ALL),
+  w AS (SELECT m.*, held[home] AS line FROM m JOIN last USING (doc_id, orientation))
+  SELECT doc_id, line_id, CASE WHEN n = 1 THEN kind WHEN arrows THEN 'dimension_line' WHEN extends THEN 'extension_line' ELSE kind END AS type,
+    CAST(CASE WHEN n = 1 THEN own.a WHEN orientation = 'horizontal' THEN line.low ELSE line.axis END AS INT) AS lx1, CAST(CASE WHEN n = 1 THEN own.b WHEN orientation = 'horizontal' THEN line.axis ELSE line.low END AS INT) AS ly1,
+    CAST(CASE WHEN n = 1 THEN own.c WHEN orientation = 'horizontal' THEN line.high ELSE line.axis END AS INT) AS lx2, CAST(CASE WHEN n = 1 THEN own.d WHEN orientation = 'horizontal' THEN line.axis ELSE line.high END AS INT) AS ly2,
+    confidence, source_region_id, CAST(n AS INT) AS merged FROM w
+  UNION ALL SELECT doc_id, line_id, type, lx1, ly1, lx2, ly2, confidence, source_region_id, 1 FROM o WHERE orientation = 'oblique'"""
+
+
+@query("w7_merged_lines", W7)
 def w7(spark, sf):
     return geometry.merge_lines(frame(spark, sf, "drawn_lines")).drop("arrow_ids")
 

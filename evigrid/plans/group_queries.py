@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import channels, fusion, groups
@@ -38,11 +39,50 @@ def w9_matrix(spark, sf):
     return groups.pin_matrix_rows(frame(spark, sf, "region_tokens_base"))
 
 
+# Token after token from the top, against the row before
+W8 = ctes("crowded_cells").replace("WITH", "WITH RECURSIVE", 1) + """, t AS (SELECT doc_id, source_region_id, id, ord, (y1 + y2) / 2.0 AS cy, greatest(1, y2 - y1) AS h FROM crowded_cells),
+  r AS (SELECT doc_id, source_region_id, greatest(6.0, median(h) * 0.65) AS reach FROM t WHERE cy > 44 GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source_region_id ORDER BY cy, ord) AS rn FROM t JOIN r USING (doc_id, source_region_id) WHERE cy > 44),
+  s AS (SELECT DISTINCT doc_id, source_region_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS id FROM o
+    UNION ALL SELECT doc_id, source_region_id, rn, CASE WHEN fits THEN total + cy ELSE cy END, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN fits THEN place ELSE place + 1 END, id
+    FROM (SELECT o.doc_id, o.source_region_id, o.rn, o.id, CAST(o.cy AS DOUBLE) AS cy, s.total, s.n, s.place, s.n > 0 AND abs(o.cy - s.total / s.n) <= o.reach AS fits
+      FROM s JOIN o ON o.doc_id = s.doc_id AND o.source_region_id = s.source_region_id AND o.rn = s.rn + 1))
+  SELECT doc_id, source_region_id, id, place FROM s WHERE rn > 0"""
+
+
+@query("w8_clustered_cells", W8)
+def w8_cells(spark, sf):
+    cells = frame(spark, sf, "crowded_cells")
+    places = groups.cluster_rows(cells, cells.select(*groups.REGION).distinct().withColumn("head_y", F.lit(40)))
+    rank = F.dense_rank().over(Window.partitionBy(*groups.REGION).orderBy("chain", "row_no"))
+    return places.select(*groups.REGION, "id", rank.cast("long").alias("place"))
+
+
 @query("w8_table_rows")
 def w8(spark, sf):
     return joined(groups.table_rows(frame(spark, sf, "grid_tokens").unionByName(frame(spark, sf, "head_tokens"))), "label_ids")
 
 
+# Group after group of a view, against all stacks so far with the same lines
+W10 = ctes("line_stacks").replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, view_id, line ORDER BY ord) AS rn FROM line_stacks),
+  s AS (SELECT DISTINCT doc_id, view_id, line, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(x1 INT, y1 INT, x2 INT, y2 INT)[]) AS held, CAST(0 AS BIGINT) AS home FROM o
+    UNION ALL SELECT doc_id, view_id, line, rn, CASE WHEN hit IS NULL THEN list_append(held, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) ELSE list_transform(held, lambda d, i: CASE WHEN i = hit
+        THEN {'x1': least(d.x1, x1), 'y1': least(d.y1, y1), 'x2': greatest(d.x2, x2), 'y2': greatest(d.y2, y2)} ELSE d END) END, coalesce(hit, len(held) + 1)
+    FROM (SELECT o.doc_id, o.view_id, o.line, o.rn, CAST(o.x1 AS INT) AS x1, CAST(o.y1 AS INT) AS y1, CAST(o.x2 AS INT) AS x2, CAST(o.y2 AS INT) AS y2, s.held,
+        list_min(list_filter(list_transform(s.held, lambda d, i: CASE WHEN greatest(o.x1, d.x1) <= least(o.x2, d.x2) + 20 AND abs((o.y1 + o.y2) / 2.0 - (d.y1 + d.y2) / 2.0) <= 90 THEN i END), lambda i: i IS NOT NULL)) AS hit
+      FROM s JOIN o ON o.doc_id = s.doc_id AND o.view_id = s.view_id AND o.line = s.line AND o.rn = s.rn + 1))
+  SELECT doc_id, view_id, line AS dimension_line_ids, min(o.ord) AS ord, CAST(min(x1) AS INT) AS x1, CAST(min(y1) AS INT) AS y1, CAST(max(x2) AS INT) AS x2, CAST(max(y2) AS INT) AS y2, min(confidence) AS confidence, string_agg(token, '|' ORDER BY o.rn) AS token_ids
+  FROM o JOIN s USING (doc_id, view_id, line, rn) GROUP BY doc_id, view_id, line, home"""
+
+
+@query("w10_stacked_groups", W10)
+def w10_stacks(spark, sf):
+    rows = frame(spark, sf, "line_stacks").withColumns({"token_ids": F.array("token"), "dimension_line_ids": F.array("line"), "extension_line_ids": F.array().cast("array<string>"),
+                                                        "arrow_ids": F.array().cast("array<string>")})
+    out = groups.merge_stacked(rows.drop("token", "line"))
+    return joined(out, "token_ids", "dimension_line_ids").select("doc_id", "view_id", "dimension_line_ids", "ord", *groups.BOX, "confidence", "token_ids")
+
+
 @query("w10_dimension_groups")
 def w10(spark, sf):
     out = groups.dimension_groups(*_frames(spark, sf, "region_tokens_base", "region_lines"))

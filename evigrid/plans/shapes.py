@@ -109,6 +109,9 @@ shape("progress", "events", [
 shape("attempts", "events", [
     "CASE WHEN event_type = 'signup' THEN 'register' ELSE 'login' END AS operation",
     "CAST(user_id % 3 AS STRING) AS client", "event_id AS attempt_id", "ts"])
+shape("hot_attempts", "events", [
+    "CASE WHEN event_type = 'signup' THEN 'register' ELSE 'login' END AS operation",
+    "CASE WHEN user_id % 10 = 0 THEN CAST(user_id % 3 AS STRING) ELSE 'hot' END AS client", "event_id AS attempt_id", "ts"])
 shape("messages", "conversations", ["conv_id", "turn", "role", "text"])
 
 # --- pins, figures, reviews ---------------------------------------------------------------------------------
@@ -594,6 +597,15 @@ shape("head_tokens", "head_slots", [
     f"{choice('c', 'Symbol', 'MIN', 'TYP', 'MAX', 'MILLIMETERS')} AS text", "CAST(0.9 AS DOUBLE) AS confidence",
     "CAST(CASE WHEN c = 4 THEN 220 ELSE 20 + c * 100 END AS INT) AS x1", "CAST(CASE WHEN c = 4 THEN 1 ELSE 12 END AS INT) AS y1",
     "CAST(CASE WHEN c = 4 THEN 300 ELSE 60 + c * 100 END AS INT) AS x2", "CAST(CASE WHEN c = 4 THEN 10 ELSE 24 END AS INT) AS y2"])
+# Dense places: cells close in height, and groups with few lines close to each other.
+shape("crowded_cells", "lineitem", [
+    "CAST(l_suppkey % 10 AS STRING) AS doc_id", "'r' || CAST(l_linenumber % 2 AS STRING) AS source_region_id",
+    "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS id",
+    "l_orderkey * 8 + l_linenumber AS ord", "'1' AS text", "CAST(0.9 AS DOUBLE) AS confidence", "0 AS x1", "10 AS x2",
+    "CAST(l_partkey % 97 * 23 + l_orderkey % 7 * 3 AS INT) AS y1", "CAST(l_partkey % 97 * 23 + l_orderkey % 7 * 3 + 8 + l_linenumber AS INT) AS y2"])
+shape("line_stacks", "boxes", [
+    "doc_id", "'v' || CAST(ord % 2 AS STRING) AS view_id", "ord", "'d' || CAST(ord % 3 AS STRING) AS line", "id AS token", "'dimension_line' AS evidence_type", "'horizontal' AS orientation",
+    "CAST(x1 AS INT) AS x1", "CAST(y1 AS INT) AS y1", "CAST(x2 AS INT) AS x2", "CAST(y2 AS INT) AS y2", "confidence"])
 # Stacked values: two texts over each other with a line between, one pair per order.
 shape("stack_slots", "orders", ["o_orderkey", "o_custkey", series("0", "3", "k")])
 shape("stack_tokens", "stack_slots", [

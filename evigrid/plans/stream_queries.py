@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import limits
+from ..operators import jobs, limits
 from ..session import shared_folder
 from ..streaming import jobs as streams
 from .account_queries import W14
@@ -29,9 +29,47 @@ def _run(spark, stream):
     return streams.run_to_table(stream, f"{base}/out", f"{base}/state")
 
 
-@query("r1_stage_timing", W14.split("UNION ALL SELECT job_id, task_id, id, node, 'error'")[0])
+#: Files that arrive one after the other, and the seconds by which an event may come after younger ones
+FILES, JITTER = 5, 480
+
+
+def _arriving(df, key):
+    """Which file brings a row: by time, but up to JITTER seconds late."""
+    come = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.pmod(F.xxhash64(key), F.lit(JITTER))
+    low, high = df.select(F.min(come), F.max(come)).first()
+    return F.least(F.floor((come - (low or 0)) / max((high or 0) - (low or 0), 1) * FILES), F.lit(FILES - 1)).cast("int")
+
+
+def _closing(df, *keys):
+    """Rows that only move the clock: an hour after the last event."""
+    end = df.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 HOUR")).cast(df.schema["ts"].dataType).alias("ts"))
+    rows = df.select(*keys).distinct().crossJoin(F.broadcast(end)) if keys else end  # one row on the right
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(f.dataType).alias(c) for c, f in zip(df.columns, df.schema.fields, strict=True)])
+
+
+def _fed(spark, df, key, closing):
+    return streams.feed(df, f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}", _arriving(df, key), FILES, closing)
+
+
+PAIRED = W14.split("UNION ALL SELECT job_id, task_id, id, node, 'error'")[0]
+
+
+@query("r1_stage_timing", PAIRED)
 def r1(spark, sf):
-    return _run(spark, streams.stage_timing(_stream(spark, sf, "progress")))
+    df = frame(spark, sf, "progress")
+    return _run(spark, streams.stage_timing(_fed(spark, df, "id", _closing(df))))
+
+
+@query("r1_resumed_stages", PAIRED)
+def r1_resumed(spark, sf):
+    """A batch does the first half and a stream goes on with the starts it left open."""
+    df = frame(spark, sf, "progress")
+    cut = df.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5).alias("cut"))
+    timed = df.crossJoin(F.broadcast(cut))  # one row on the right
+    half = F.unix_micros(F.col("ts").cast("timestamp")) < F.col("cut")
+    head, tail = timed.where(half).select(df.columns), timed.where(~half).select(df.columns)
+    rest = _run(spark, streams.stage_timing(_fed(spark, tail, "id", _closing(df)), started=streams.open_stages(head)))
+    return jobs.stage_durations(head, F.date_trunc("day", "ts")).unionByName(rest)
 
 
 # One attempt of every client after the other, with the accepted times that are still in the window
@@ -46,7 +84,19 @@ R2 = ctes("attempts").replace("WITH", "WITH RECURSIVE", 1) + """, a AS (SELECT o
 
 @query("r2_limited_attempts", R2)
 def r2(spark, sf):
-    return _run(spark, streams.limited_attempts(_stream(spark, sf, "attempts"), SLOW))
+    df = frame(spark, sf, "attempts")
+    out = _run(spark, streams.limited_attempts(_fed(spark, df, "attempt_id", _closing(df, "operation", "client")), SLOW))
+    return out.where("reason IS NULL").select("operation", "client", "attempt_id", "accepted", "retry_after")
+
+
+# A client of its own with nine tenths of all attempts
+HOT = R2.replace(ctes("attempts").replace("WITH", "WITH RECURSIVE", 1), ctes("hot_attempts").replace("WITH", "WITH RECURSIVE", 1)).replace("FROM attempts)", "FROM hot_attempts)", 1)
+
+
+@query("r2_hot_client", HOT)
+def r2_hot(spark, sf):
+    df = frame(spark, sf, "hot_attempts")
+    return limits.limit_attempts(df, SLOW, F.date_trunc("day", "ts"), windows=2)
 
 
 @query("r2_limited_attempts_batch", R2)

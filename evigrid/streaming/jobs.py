@@ -1,16 +1,20 @@
-"""Streams over event tables. Event time and watermarks are ours: ten minutes of delay by default."""
+"""Streams over event tables. Event time and watermarks are ours: ten minutes of delay by default.
+
+Keyed state (`transformWithStateInPandas`) needs the RocksDB state store: `spark.sql.streaming.stateStore.providerClass`, set by `run_to_table` where
+nothing else is.
+"""
 
 from __future__ import annotations
 
-from collections import deque
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import thresholds as T
 from ..operators.limits import LIMITS, decide
@@ -39,82 +43,192 @@ class LateRows(StreamingQueryListener):
         pass
 
 
-def _phase(row) -> str:
-    status, node = row.result_status or "", row.node or ""
-    if row.interrupted:
+def _phase(event) -> str:
+    status, node = event.result_status or "", event.node or ""
+    if event.interrupted:
         return "waiting"
-    if row.has_error or status == "failed" or node == "failed":
+    if event.has_error or status == "failed" or node == "failed":
         return "error"
     if status.startswith("stopped") or node.startswith("stopped_"):
         return "warning"
     return "completed"
 
 
-def stage_timing(progress: DataFrame, delay: str = DELAY, idle_seconds: int | None = None) -> DataFrame:
-    """Pair starts and finishes per task as they arrive; the state of a task is one open start.
+class _Stages(StatefulProcessor):
+    """Starts and finishes of one task. Three variables: the events that the watermark has not passed, the open start, and the time of the timer.
 
-    progress(job_id, task_id, id, ts, node, is_start, interrupted, has_error, result_status). With
-    `idle_seconds`, a start that nothing finishes for that long (event time) is closed as an error, and rows
-    behind the watermark are left out; `LateRows` counts them.
-    """
-    def pair(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        held = state.get if state.exists else None
-        if state.hasTimedOut:
-            if held:
-                rows.append((*key, held[1], held[2], "error", float(idle_seconds or 0)))
-            state.remove()
-        else:
-            events = pd.concat(list(batches)).sort_values(["ts", "id"])
-            latest = held[0] if held else 0
-            for e in events.itertuples(index=False):
-                micros = e.ts.value // 1000
-                latest = max(latest, micros)
-                if e.is_start:
-                    held = (micros, e.id, e.node)
-                else:
-                    took = max(0.0, round((micros - held[0]) / 1e6, 1)) if held else 0.0
-                    rows.append((*key, e.id, e.node, _phase(e), took))
-                    held = None
-            if held:
-                state.update(held)
-                if idle_seconds:
-                    state.setTimeoutTimestamp(max(latest // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(rows, columns=["job_id", "task_id", "id", "node", "phase", "duration_seconds"])
-    timed = progress.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy("job_id", "task_id").applyInPandasWithState(
-        pair, "job_id string, task_id string, id bigint, node string, phase string, duration_seconds double",
-        "started bigint, id bigint, node string", "append",
-        GroupStateTimeout.EventTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout)
-
-
-def limited_attempts(attempts: DataFrame, limits: dict | None = None, delay: str = DELAY) -> DataFrame:
-    """Accept or refuse attempts as they arrive; the state of a client is its accepted times, at most the limit.
-
-    A client whose window has passed the watermark has no state. Attempts behind the watermark are left out; `LateRows` counts them.
+    An event waits until the watermark has passed it, so that events are paired in their order in time, whatever the order they came in.
     """
-    limits = limits or LIMITS
 
-    def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window, maximum = limits.get(key[0], limits["login"])
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=["operation", "client", "attempt_id", "accepted", "retry_after"])
+    FIELDS = "at bigint, id bigint, node string, is_start boolean, interrupted boolean, has_error boolean, result_status string"
+    Event = namedtuple("Event", [f.split()[0] for f in FIELDS.split(", ")])
+
+    def __init__(self, idle_seconds: int | None):
+        self.idle = idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.FIELDS)
+        self.open = handle.getValueState("open", "at bigint, id bigint, node string")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        start = initialState.iloc[0]
+        self.open.update((int(start["at"]), int(start["id"]), start["node"]))
+        self._wake(self._idle_end())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [self.Event(e.ts.value // 1000, *(None if pd.isna(x) else x for x in e[1:])) for batch in rows for e in batch[["ts", *self.Event._fields[1:]]].itertuples(index=False)]
+        fresh = [e for e in fresh if e.id is not None]  # others only move the clock
+        if fresh:
+            self.waiting.appendList([tuple(e) for e in fresh])
+            self._wake(min(e.at for e in fresh) // 1000)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, rows = timerValues.getCurrentWatermarkInMs() * 1000 + 999, []
+        self.due.clear()
+        events = sorted((self.Event(*e) for e in self.waiting.get()), key=lambda e: (e.at, e.id)) if self.waiting.exists() else []
+        later = [e for e in events if e.at > passed]
+        start = self.open.get() if self.open.exists() else None
+        for e in events[:len(events) - len(later)]:
+            start = self._unmatched(key, start, e.at, rows)
+            if e.is_start:
+                start = (e.at, e.id, e.node)
+            else:
+                rows.append((*key, e.id, e.node, _phase(e), max(0.0, round((e.at - start[0]) / 1e6, 1)) if start else 0.0))
+                start = None
+        start = self._unmatched(key, start, passed, rows)
+        self.open.update(start) if start else self.open.clear()
+        self.waiting.put([tuple(e) for e in later]) if later else self.waiting.clear()
+        ends = [later[0].at // 1000] if later else []
+        if start and self.idle:
+            ends.append(self._idle_end())
+        if ends:
+            self._wake(min(ends))
+        yield self._frame(rows)
+
+    def close(self) -> None:
+        pass
+
+    def _idle_end(self) -> int:
+        return self.open.get()[0] // 1000 + self.idle * 1000 if self.idle else 0
+
+    def _unmatched(self, key, start, until: int, rows: list):
+        """The open start, or none if nothing finished it for the idle time: then it ends as an error."""
+        if not start or not self.idle or until < start[0] + self.idle * 1_000_000:
+            return start
+        rows.append((*key, start[1], start[2], "error", float(self.idle)))
+        return None
+
+    def _wake(self, at: int) -> None:
+        """One timer per key, at the earliest time asked for."""
+        if not at:
             return
-        held = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["ts", "attempt_id"])
-        verdicts = decide([t.value / 1e9 for t in rows["ts"]], held, window, maximum)
-        state.update((list(held),))
-        last = max([t.value // 1_000_000 for t in rows["ts"]])
-        state.setTimeoutTimestamp(max(last + int(window * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"operation": key[0], "client": key[1], "attempt_id": rows["attempt_id"].tolist(),
-                            "accepted": [v[0] for v in verdicts], "retry_after": [v[1] for v in verdicts]})
-    timed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy("operation", "client").applyInPandasWithState(
-        judge, "operation string, client string, attempt_id bigint, accepted boolean, retry_after int",
-        "accepted_at array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def _frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["job_id", "task_id", "id", "node", "phase", "duration_seconds"])
+
+
+STAGES = "job_id string, task_id string, id bigint, node string, phase string, duration_seconds double"
+PROGRESS = ("job_id", "task_id", "id", "ts", "node", "is_start", "interrupted", "has_error", "result_status")
+
+
+def stage_timing(progress: DataFrame, delay: str = DELAY, idle_seconds: int | None = None, started: DataFrame | None = None) -> DataFrame:
+    """Pair starts and finishes per task, in their order in time, once the watermark has passed them.
+
+    progress(job_id, task_id, id, ts, node, is_start, interrupted, has_error, result_status). With `idle_seconds`, a start that nothing finishes for that long (event
+    time) ends as an error. `started` (batch: job_id, task_id, id, node, ts; see `open_stages`) are starts that an earlier run left open. Rows without id only move the
+    clock, so a source can close a stream with one. Rows behind the watermark are left out; `LateRows` counts them.
+    """
+    timed = progress.select(*PROGRESS).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    first = None
+    if started is not None:
+        first = started.select("job_id", "task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("bigint").alias("id"), "node").groupBy("job_id", "task_id")
+    return timed.groupBy("job_id", "task_id").transformWithStateInPandas(_Stages(idle_seconds), STAGES, "append", "EventTime", first)
+
+
+def open_stages(progress: DataFrame) -> DataFrame:
+    """The last event of each task where it is a start: what a stream that goes on from here begins with."""
+    last = progress.groupBy("job_id", "task_id").agg(F.max_by(F.struct("id", "node", "ts", "is_start"), F.struct("ts", "id")).alias("_e"))
+    return last.where("_e.is_start").select("job_id", "task_id", "_e.id", "_e.node", "_e.ts")
+
+
+class _Limiter(StatefulProcessor):
+    """Attempts of one client: the accepted times of the last window, the attempts not yet decided, and how far they are decided.
+
+    The client's own newest attempt is its clock: what lies `delay` behind it is decided, in order; what comes from before that is late. With `quiet`, a client that
+    sends nothing for that many seconds of wall-clock time is decided to the end and forgotten.
+    """
+
+    def __init__(self, limits: dict, delay_seconds: float, quiet_seconds: float | None):
+        self.limits, self.delay, self.quiet = limits, delay_seconds, quiet_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "times array<double>")
+        self.waiting = handle.getListState("waiting", "at double, attempt_id bigint")
+        self.clock = handle.getValueState("clock", "decided double, timer bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        at = frame["ts"].astype("datetime64[us]").astype("int64") / 1e6
+        frame = pd.DataFrame({"at": at, "attempt_id": frame["attempt_id"]})
+        decided, timer = self.clock.get() if self.clock.exists() else (float("-inf"), 0)
+        late = frame[(frame["at"] <= decided) & frame["attempt_id"].notna()]
+        fresh = frame[(frame["at"] > decided) & frame["attempt_id"].notna()]
+        waiting = pd.DataFrame([tuple(w) for w in self.waiting.get()] if self.waiting.exists() else [], columns=["at", "attempt_id"])
+        waiting = pd.concat([waiting, fresh], ignore_index=True) if len(waiting) else fresh
+        decided = max(decided, float(frame["at"].max()) - self.delay)
+        if self.quiet:
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + int(self.quiet * 1000)
+            self.handle.registerTimer(timer)
+        self.clock.update((decided, timer))
+        yield self._decide(key, waiting, decided)
+        if len(late):
+            yield self._frame(key, late, None, None, "late")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = pd.DataFrame([tuple(w) for w in self.waiting.get()] if self.waiting.exists() else [], columns=["at", "attempt_id"])
+        yield self._decide(key, waiting, float("inf"))
+        for state in (self.held, self.waiting, self.clock):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+    def _decide(self, key, waiting: pd.DataFrame, until: float) -> pd.DataFrame:
+        now, later = waiting[waiting["at"] <= until].sort_values(["at", "attempt_id"]), waiting[waiting["at"] > until]
+        held = list(self.held.get()[0]) if self.held.exists() else []
+        accepted, wait, held = decide(now["at"].to_numpy(float), held, *self.limits.get(key[0], self.limits["login"]))
+        self.held.update((held,))
+        self.waiting.put([(float(a), int(i)) for a, i in zip(later["at"], later["attempt_id"], strict=True)]) if len(later) else self.waiting.clear()
+        return self._frame(key, now, accepted, wait, None)
+
+    def _frame(self, key, rows: pd.DataFrame, accepted, wait, reason) -> pd.DataFrame:
+        return pd.DataFrame({"operation": key[0], "client": key[1], "attempt_id": rows["attempt_id"].astype("int64"), "at": rows["at"], "accepted": accepted,
+                             "retry_after": wait, "reason": reason}, index=rows.index)
+
+
+def limited_attempts(attempts: DataFrame, limits: dict | None = None, delay_seconds: float = 600, quiet_seconds: float | None = None) -> DataFrame:
+    """Accept or refuse attempts(operation, client, attempt_id, ts), in their order in time: operation, client, attempt_id, at (seconds), accepted, retry_after, reason.
+
+    An attempt waits until a newer one of its client is `delay_seconds` ahead, so order within that is mended. One that comes later than that is a row without
+    verdict and with the reason `late`, which `limits.judge_late` judges. Rows without attempt_id only move the clock of their client. `quiet_seconds` is for streams that
+    go on for ever: with its timers Spark starts batch after batch, so a run over what is available would not end.
+    """
+    rows = attempts.select("operation", "client", "attempt_id", F.col("ts").cast("timestamp").alias("ts"))
+    return rows.groupBy("operation", "client").transformWithStateInPandas(
+        _Limiter(limits or LIMITS, delay_seconds, quiet_seconds), "operation string, client string, attempt_id bigint, at double, accepted boolean, retry_after int, reason string",
+        "append", "ProcessingTime" if quiet_seconds else "None")
 
 
 def bounded_log(log: DataFrame, path: str, checkpoint: str, keep: int = T.LOG_ITEMS, buckets: int = 32) -> StreamingQuery:
@@ -162,6 +276,26 @@ def current_log(spark: SparkSession, path: str, before: int | None = None) -> Da
     return rows.join(newest, ["bucket", "version"]).drop("version")
 
 
+def with_state_store(spark: SparkSession) -> None:
+    """Streams of this session keep their state in RocksDB unless another provider than Spark's default was chosen."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(name, ""):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def feed(df: DataFrame, path: str, arrival: Column, parts: int, last: DataFrame | None = None) -> DataFrame:
+    """Write a table as files that arrive one after the other, by an integer column from 0 to parts - 1, and stream them a file at a time.
+
+    `last` are the rows of the closing file. Each file is one append, so their times are in order.
+    """
+    marked = df.withColumn("_part", arrival)
+    for k in range(parts):
+        marked.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.select(df.columns).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet table of a folder as a stream of its files."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
@@ -173,6 +307,7 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over everything available into a parquet table and read it."""
+    with_state_store(stream.sparkSession)
     query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()

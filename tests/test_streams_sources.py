@@ -15,26 +15,114 @@ def events(spark, folder, name, df, parts=3):
         df.where(F.col("id").between(i * 100, i * 100 + 99)).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
 
 
-def test_stage_timing_equals_batch(spark, tmp_path, rows):
-    df = spark.range(300).select(
-        (F.col("id") % 2).cast("string").alias("job_id"), (F.col("id") % 7).cast("string").alias("task_id"), "id", F.timestamp_seconds(F.col("id") * 3).alias("ts"),
+PROGRESS = "job_id string, task_id string, id bigint, ts timestamp, node string, is_start boolean, interrupted boolean, has_error boolean, result_status string"
+
+
+def progress(spark):
+    return spark.range(300).select(
+        (F.col("id") % 2).cast("string").alias("job_id"), (F.col("id") % 7).cast("string").alias("task_id"), "id", F.timestamp_seconds(F.col("id") * 30 + 1_700_000_000).alias("ts"),
         F.lit("ocr").alias("node"), (F.col("id") % 5 < 3).alias("is_start"), (F.col("id") % 11 == 0).alias("interrupted"), F.lit(False).alias("has_error"),
         F.when(F.col("id") % 4 == 0, "stopped_x").alias("result_status"))
-    events(spark, tmp_path, "in", df)
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def clock(spark, schema, seconds, **fixed):
+    row = {"ts": F.timestamp_seconds(F.lit(seconds)), **{k: F.lit(v) for k, v in fixed.items()}}
+    return spark.range(1).select(*[row.get(c.split()[0], F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")])
+
+
+def test_stage_timing_of_disordered_events_equals_batch(spark, tmp_path, rows):
+    df = progress(spark)
+    # an event comes up to eight minutes after younger ones
+    come = F.floor((F.col("id") * 30 + F.pmod(F.xxhash64("id"), F.lit(480))) / 3200).cast("int")
+    source = streams.feed(df, f"{tmp_path}/in", come, 4, clock(spark, PROGRESS, 1_700_020_000))
     out = streams.run_to_table(streams.stage_timing(source), f"{tmp_path}/out", f"{tmp_path}/state")
     cols = ["job_id", "task_id", "id", "phase", "duration_seconds"]
     assert rows(out, *cols) == rows(jobs.stage_durations(df), *cols)
 
 
-def test_limits_stream_equals_batch(spark, tmp_path, rows):
-    df = spark.range(300).select(F.lit("login").alias("operation"), (F.col("id") % 3).cast("string").alias("client"), F.col("id"), F.col("id").alias("attempt_id"),
-                                 F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))  # a stream's first watermark is 1970
-    events(spark, tmp_path, "in", df)
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    rules = {"login": (60, 5)}
-    out = streams.run_to_table(streams.limited_attempts(source, rules), f"{tmp_path}/out", f"{tmp_path}/state")
-    assert rows(out, "attempt_id", "accepted", "retry_after") == rows(limits.limit_attempts(df, rules), "attempt_id", "accepted", "retry_after")
+def test_stages_go_on_from_a_batch_and_idle_starts_end(spark, tmp_path, rows):
+    df = progress(spark)
+    head, tail = df.where("id < 150"), df.where("id >= 150")
+    assert streams.open_stages(head).count() > 0
+    source = streams.feed(tail, f"{tmp_path}/in", F.lit(0), 1, clock(spark, PROGRESS, 1_700_020_000))
+    out = streams.run_to_table(streams.stage_timing(source, started=streams.open_stages(head)), f"{tmp_path}/out", f"{tmp_path}/state")
+    cols = ["job_id", "task_id", "id", "phase", "duration_seconds"]
+    assert sorted(rows(out, *cols) + rows(jobs.stage_durations(head), *cols)) == sorted(rows(jobs.stage_durations(df), *cols))
+    source = streams.feed(tail, f"{tmp_path}/in2", F.lit(0), 1, clock(spark, PROGRESS, 1_700_020_000))
+    idle = streams.run_to_table(streams.stage_timing(source, idle_seconds=100), f"{tmp_path}/out2", f"{tmp_path}/state2")
+    # the same by hand: a start ends as an error unless the next event of its task comes within 100 s
+    want, by = [], {}
+    for r in tail.orderBy("ts", "id").collect():
+        by.setdefault((r.job_id, r.task_id), []).append((r.ts.timestamp(), r.id, r.is_start))
+    for key, events in by.items():
+        start = None
+        for at, k, is_start in [*events, (1e12, None, None)]:
+            if start and at >= start[0] + 100:
+                want.append((*key, start[1], 100.0))
+                start = None
+            if is_start:
+                start = (at, k)
+            elif k is not None:
+                want.append((*key, k, round(at - start[0], 1) if start else 0.0))
+                start = None
+    assert rows(idle, "job_id", "task_id", "id", "duration_seconds") == sorted(want, key=lambda r: tuple((x is not None, str(x)) for x in r))
+
+
+def plain_limits(attempts, window, maximum):
+    held, out = [], {}
+    for at, k in sorted(attempts):
+        held = [h for h in held if h > at - window]
+        out[k] = (len(held) < maximum, 0 if len(held) < maximum else max(1, int(window - (at - held[0])) + 1))
+        if out[k][0]:
+            held.append(at)
+    return out
+
+
+def attempts(spark, n, every=1.0):
+    return spark.range(n).select(F.lit("login").alias("operation"), F.when(F.col("id") % 10 == 0, "calm").otherwise("hot").alias("client"), F.col("id").alias("attempt_id"),
+                                 F.timestamp_millis((1_700_000_000_000 + F.col("id") * every * 1000 + F.pmod(F.xxhash64("id"), F.lit(900))).cast("bigint")).alias("ts"))
+
+
+def by_client(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.client, []).append((r.ts.timestamp(), r.attempt_id))
+    return out
+
+
+def test_limits_of_a_hot_client_equal_a_plain_loop(spark):
+    for every, rule in ((0.5, (60, 5)), (7.0, (60, 9)), (0.01, (3, 40)), (45.0, (60, 1))):
+        df = attempts(spark, 3000, every)
+        want = {k: v for c, a in by_client(df).items() for k, v in plain_limits(a, *rule).items()}
+        for windows in (1, 16):
+            got = {r.attempt_id: (r.accepted, r.retry_after) for r in limits.limit_attempts(df, {"login": rule}, F.date_trunc("minute", "ts"), windows).collect()}
+            assert got == want
+
+
+def test_limits_stream_equals_batch_and_late_attempts_are_judged(spark, tmp_path, rows):
+    df, rule = attempts(spark, 300, 5.0), {"login": (60, 5)}
+    late = df.where("attempt_id % 50 = 7")
+    on_time = df.join(late, "attempt_id", "left_anti").select(df.columns)
+    come = F.floor((F.col("attempt_id") * 5 + F.pmod(F.xxhash64("attempt_id"), F.lit(200))) / 600).cast("int")
+    closing = clock(spark, "operation string, client string, attempt_id bigint, ts timestamp", 1_700_009_000, operation="login", client="hot").unionByName(
+        clock(spark, "operation string, client string, attempt_id bigint, ts timestamp", 1_700_009_000, operation="login", client="calm")).unionByName(late)
+    source = streams.feed(on_time, f"{tmp_path}/in", come, 3, closing.repartition(1))
+    out = streams.run_to_table(streams.limited_attempts(source, rule, 300), f"{tmp_path}/out", f"{tmp_path}/state")
+    decided, missed = out.where("reason IS NULL"), out.where("reason = 'late'")
+    assert rows(decided, "attempt_id", "accepted", "retry_after") == rows(limits.limit_attempts(on_time, rule), "attempt_id", "accepted", "retry_after")
+    assert rows(missed, "attempt_id") == rows(late, "attempt_id") and missed.where("accepted IS NOT NULL").count() == 0
+    timed = [x.withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("bigint"))) for x in (missed, decided)]
+    got = {r.attempt_id: (r.accepted, r.retry_after) for r in limits.judge_late(*timed, rule).collect()}
+    # by hand: each late attempt against the accepted ones of its window
+    want, taken = {}, {}
+    for r in decided.where("accepted").collect():
+        taken.setdefault(r.client, []).append(r.at)
+    for r in missed.orderBy("at").collect():
+        held = sorted(t for t in taken[r.client] if r.at - 60 < t <= r.at)
+        want[r.attempt_id] = (len(held) < 5, 0 if len(held) < 5 else max(1, int(60 - (r.at - held[0])) + 1))
+        if len(held) < 5:
+            taken[r.client].append(r.at)
+    assert got == want and {v[0] for v in want.values()} == {True, False}
 
 
 def test_bounded_log_keeps_the_latest(spark, tmp_path, rows):
@@ -46,18 +134,15 @@ def test_bounded_log_keeps_the_latest(spark, tmp_path, rows):
     assert all(len(list(b.glob("version=*"))) <= 2 for b in (tmp_path / "log").glob("bucket=*"))
 
 
-def test_late_attempts_are_counted(spark, tmp_path):
-    schema = "operation string, client string, attempt_id bigint, ts timestamp"
-    for i, seconds in enumerate((0, 7200, 7300, 10)):  # the last is two hours behind
-        spark.createDataFrame([("login", "c", i)], "operation string, client string, attempt_id bigint").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + seconds))).coalesce(1).write.parquet(
-            f"{tmp_path}/in/{i}")
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+def test_late_events_are_counted(spark, tmp_path):
+    df = progress(spark).where("id < 3").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.element_at(F.array(F.lit(0), F.lit(7200), F.lit(10)), (F.col("id") + 1).cast("int"))))
+    source = streams.feed(df, f"{tmp_path}/in", F.col("id").cast("int"), 3, clock(spark, PROGRESS, 1_700_020_000))  # the last comes two hours late
     counter = streams.LateRows()
     spark.streams.addListener(counter)
     try:
-        out = streams.run_to_table(streams.limited_attempts(source), f"{tmp_path}/out", f"{tmp_path}/state")
+        streams.run_to_table(streams.stage_timing(source), f"{tmp_path}/out", f"{tmp_path}/state")
         spark._jsc.sc().listenerBus().waitUntilEmpty()
-        assert sorted(r.attempt_id for r in out.collect()) == [0, 1, 2] and sum(counter.rows.values()) == 1
+        assert sum(counter.rows.values()) == 1
     finally:
         spark.streams.removeListener(counter)
 

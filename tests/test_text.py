@@ -1,5 +1,7 @@
 """Text, dimensions, tables, chunks and search."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,29 @@ from evigrid.functions.packages import pin_count_from_package
 from evigrid.operators import answers, retrieval, search, tables, text
 
 
+def plain_hints(line):
+    """Pass after pass over the text, a match at a time."""
+    closed, out = [], []
+    for pattern, style, number in text.HINT_PASSES:
+        for m in re.finditer(pattern, line):
+            count = int(m[number]) if number else None
+            if count is not None and not (count in (3, 5) or 4 <= count <= 2000 and count % 2 == 0):
+                continue
+            if not any(low < m.end() and m.start() < high for low, high in closed):
+                out.append((len(out), m[style].upper(), count))
+                closed.append(m.span())
+    return out
+
+
+def test_thousands_of_hints_in_one_text(spark):
+    lines = [" ".join(f"the {k}-pin LQFP or TSSOP{k} or QFN," for k in range(4, 3704, 2)), "a \ue000 SOIC8 \ue001 7-lead DFN, lqfp 64", "\ue001\ue000", "no style"]
+    df = spark.createDataFrame([("d", i, 0, 1, line, "text") for i, line in enumerate(lines)], "doc_id string, seq int, part int, page int, text string, source string")
+    got = {}
+    for r in text.package_hints(df).orderBy("seq", "ordinal").collect():
+        got.setdefault(r.seq, []).append((r.ordinal, r["style"], r.pin_count))
+    assert got == {i: plain_hints(line) for i, line in enumerate(lines) if plain_hints(line)} and len(got[0]) > 4000
+
+
 @pytest.mark.parametrize("value, want", [
     ("12,70±0,10", (12.7, 12.6, 12.8, 0.1, -0.1, "unknown")), (".500(12.70±0.10)", (12.7, 12.6, 12.8, 0.1, -0.1, "mm")),
     ("3.2 +0.1/-0.05", (3.2, 3.15, 3.3, 0.1, -0.05, "unknown")), ("1.0-2.0", (None, 1.0, 2.0, None, None, "unknown")),
