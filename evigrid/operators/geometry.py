@@ -503,11 +503,45 @@ def image_reading_issues(docs: DataFrame, pins: DataFrame, margin: float = 0.05)
     return doc_issues.unionByName(pin_issues).unionByName(repeats), questions
 
 
+def snapped_sides(points: DataFrame, share: float = 0.03) -> DataFrame:
+    """Positions after opposite pins have been drawn together: (doc_id, axis, id, at) of both sides.
+
+    points(doc_id, axis, side: low or high, id, ord, at, span), at most 1000 of a document. Pins of the low side are taken in their order. One whose nearest pin of the
+    high side is within `share` of the span, and has it as its own nearest, meets that pin half way; later pins see both where they are then. Of equally near pins
+    the first one counts. An array per side of a document holds the positions.
+    """
+    held = points.groupBy("doc_id", "axis").agg(F.max("span").alias("span"), *(
+        F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("ord", "id", F.col("at").cast("double").alias("at"))))).alias(side) for side in ("low", "high")))
+    ids = {side: F.transform(side, lambda p: p["id"]) for side in ("low", "high")}
+    start = F.struct(*(F.transform(side, lambda p: p["at"]).alias(side) for side in ("low", "high")))
+
+    def nearest(places: Column, at: Column) -> Column:
+        return F.array_min(F.transform(places, lambda x, k: F.struct(F.abs(x - at).alias("gap"), k.alias("k"))))
+
+    def moved(places: Column, k: Column, to: Column) -> Column:
+        return F.transform(places, lambda x, j: F.when(j == k, to).otherwise(x))
+
+    def met(state: Column, i: Column, there: Column) -> Column:
+        at = F.get(state["high"], there["k"])
+        fits = F.coalesce((nearest(state["low"], at)["k"] == i) & (there["gap"] <= F.col("span") * share), F.lit(False))
+        middle = (F.get(state["low"], i) + at) / 2
+        return F.when(fits, F.struct(moved(state["low"], i, middle).alias("low"), moved(state["high"], there["k"], middle).alias("high"))).otherwise(state)
+
+    def step(state: Column, i: Column) -> Column:
+        # the nearest pin is found once and read several times
+        return F.get(F.transform(F.array(nearest(state["high"], F.get(state["low"], i))), lambda there: met(state, i, there)), 0)
+
+    pins = F.when(F.size("low") > 0, F.sequence(F.lit(0), F.size("low") - 1)).otherwise(F.array().cast("array<int>"))
+    ends = held.select("doc_id", "axis", *(c.alias(f"{side}_id") for side, c in ids.items()), F.aggregate(pins, start, step).alias("_s"))
+    sides = [ends.select("doc_id", "axis", F.inline(F.arrays_zip(F.col(f"{side}_id").alias("id"), F.col(f"_s.{side}").alias("at")))) for side in ("low", "high")]
+    return sides[0].toDF("doc_id", "axis", "id", "at").unionByName(sides[1].toDF("doc_id", "axis", "id", "at"))
+
+
 def image_layout(pins: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Place read pins on the symbol grid, keeping the shape of the drawing; refused documents with the reason.
 
     pins(doc_id, pin_number, name, side, ord, x, y) of accepted readings (at most 1000 pins a document),
-    docs(doc_id, bx1..by2, width, height). Opposite pins that are mutually nearest share a coordinate first.
+    docs(doc_id, bx1..by2, width, height). Opposite pins that are mutually nearest share a coordinate first, one after the other.
     """
     grid = T.PITCH // 2
     body = pins.join(docs, "doc_id")
@@ -515,12 +549,10 @@ def image_layout(pins: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     across = F.col("side").isin("left", "right")
     body = body.withColumns({"at": F.when(across, F.col("y")).otherwise(F.col("x")), "span": F.when(across, span_y).otherwise(span_x),
                              "start": F.when(across, F.col("by1")).otherwise(F.col("bx1"))})
-    # Both axes in one pass; a document has at most 1000 pins, so its groups are bounded.
     points = body.where(F.col("side").isin("left", "right", "top", "bottom")).select(
-        "doc_id", across.alias("_axis"), F.when(F.col("side").isin("left", "top"), "low").otherwise("high").alias("side"),
+        "doc_id", across.alias("axis"), F.when(F.col("side").isin("left", "top"), "low").otherwise("high").alias("side"),
         F.col("pin_number").alias("id"), "ord", "at", "span")
-    snap = mutual_nearest(points, "low", "high", bucket_width=None, keys=("doc_id", "_axis"))
-    snap = snap.select("doc_id", F.explode(F.array("first_id", "second_id")).alias("pin_number"), F.col("at").alias("_at"))
+    snap = snapped_sides(points).select("doc_id", F.col("id").alias("pin_number"), F.col("at").alias("_at"))
     body = settled(body.join(snap, ["doc_id", "pin_number"], "left").withColumn("at", F.coalesce("_at", "at")).drop("_at"))
     sizes = body.groupBy("doc_id").agg(
         F.coalesce(F.max(F.when(F.col("side") == "left", F.length("name"))), F.lit(0)).alias("_l"),

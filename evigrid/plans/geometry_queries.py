@@ -232,13 +232,41 @@ def v16_questions(spark, sf):
     return geometry.image_reading_issues(docs, frame(spark, sf, "read_pins"))[1]
 
 
-@query("v17_image_layout")
+# Pin after pin of the left or upper side in their order, against positions as they are by then; then the grid
+V17 = ctes("placed_pins", "read_docs").replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT p.doc_id, pin_number, name, side, ord, bx1, by1, bx2, by2, width, height, side IN ('left', 'right') AS across, side IN ('left', 'top') AS low,
+    CAST(CASE WHEN across THEN y ELSE x END AS DOUBLE) AS raw, CASE WHEN across THEN by2 - by1 ELSE bx2 - bx1 END AS span, CASE WHEN across THEN by1 ELSE bx1 END AS start FROM placed_pins p JOIN read_docs USING (doc_id)),
+  g AS (SELECT doc_id, across, max(span) AS span, coalesce(list(pin_number ORDER BY ord) FILTER (low), []) AS li, coalesce(list(raw ORDER BY ord) FILTER (low), []) AS lo,
+    coalesce(list(pin_number ORDER BY ord) FILTER (NOT low), []) AS hi_ids, coalesce(list(raw ORDER BY ord) FILTER (NOT low), []) AS hi FROM b GROUP BY ALL),
+  s AS (SELECT doc_id, across, span, CAST(0 AS BIGINT) AS i, lo, hi FROM g
+    UNION ALL SELECT doc_id, across, span, i, CASE WHEN meets THEN list_transform(lo, lambda v, n: CASE WHEN n = i THEN middle ELSE v END) ELSE lo END,
+      CASE WHEN meets THEN list_transform(hi, lambda v, n: CASE WHEN n = j THEN middle ELSE v END) ELSE hi END
+    FROM (SELECT *, coalesce(abs(hi[j] - lo[i]) <= span * 0.03 AND list_position(back, list_min(back)) = i, false) AS meets, (lo[i] + hi[j]) / 2 AS middle
+      FROM (SELECT *, list_transform(lo, lambda v: abs(v - hi[j])) AS back FROM (SELECT *, list_position(away, list_min(away)) AS j
+        FROM (SELECT doc_id, across, span, i + 1 AS i, lo, hi, list_transform(hi, lambda h: abs(h - lo[i + 1])) AS away FROM s WHERE i < len(lo)))))),
+  e AS (SELECT s.doc_id, s.across, li, hi_ids, s.lo, s.hi FROM s JOIN g USING (doc_id, across) WHERE i = len(s.lo)),
+  p AS (SELECT doc_id, unnest(li) AS pin_number, unnest(lo) AS at_ FROM e UNION ALL SELECT doc_id, unnest(hi_ids), unnest(hi) FROM e),
+  q AS (SELECT b.*, at_ FROM b JOIN p USING (doc_id, pin_number)),
+  z AS (SELECT doc_id, coalesce(max(length(name)) FILTER (side = 'left'), 0) AS l, coalesce(max(length(name)) FILTER (side = 'right'), 0) AS r, any_value(height * (by2 - by1) / (width * (bx2 - bx1))) AS aspect FROM q GROUP BY 1),
+  w AS (SELECT *, ceil(greatest(100, (l + r) * 6 + 30) / CAST(20 AS DOUBLE)) * 20 AS w0, ceil(greatest(40, w0 * aspect) / 20) * 20 AS h0 FROM z),
+  gaps AS (SELECT doc_id, side, min(gap) AS gap, any_value(span) AS span FROM (SELECT *, at_ - lag(at_) OVER (PARTITION BY doc_id, side ORDER BY at_) AS gap FROM q) WHERE gap IS NOT NULL GROUP BY 1, 2),
+  need AS (SELECT doc_id, bool_or(gap < 1e-6) AS touch, max(CASE WHEN gap >= 1e-6 THEN 20 * span / (gap * CASE WHEN side IN ('left', 'right') THEN h0 ELSE w0 END) END) AS need FROM gaps JOIN w USING (doc_id) GROUP BY 1),
+  f AS (SELECT doc_id, ceil(w0 * greatest(1, coalesce(need, 1)) / 20) * 20 AS bw, ceil(h0 * greatest(1, coalesce(need, 1)) / 20) * 20 AS bh,
+    CASE WHEN coalesce(touch, false) THEN 'overlap' WHEN bw > 10000 OR bh > 10000 THEN 'size' END AS reason FROM w LEFT JOIN need USING (doc_id)),
+  o AS (SELECT q.*, bw, bh, floor(bw / 2) AS hw, floor(bh / 2) AS hh, CASE WHEN across THEN hh ELSE hw END AS half,
+    greatest(10 - half, least(half - 10, round_even(((at_ - start) / span - 0.5) * CASE WHEN across THEN bh ELSE bw END / 10, 0) * 10)) AS axis FROM q JOIN f USING (doc_id) WHERE reason IS NULL),
+  clash AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM o GROUP BY doc_id, side, axis HAVING count(*) > 1))"""
+
+
+@query("v17_image_layout", V17 + """, k AS (SELECT *, CASE WHEN side IN ('left', 'top') THEN -1 ELSE 1 END AS sign, CASE WHEN across THEN sign * hw ELSE axis END AS px, CASE WHEN across THEN axis ELSE sign * hh END AS py
+    FROM o WHERE doc_id NOT IN (SELECT doc_id FROM clash))
+  SELECT doc_id, pin_number, side, CAST(px AS INT) AS x, CAST(py AS INT) AS y, CAST(CASE WHEN across THEN px + sign * 10 ELSE px END AS INT) AS hx, CAST(CASE WHEN across THEN py ELSE py + sign * 10 END AS INT) AS hy,
+    CAST(bw AS INT) AS body_width, CAST(bh AS INT) AS body_height FROM k""")
 def v17(spark, sf):
     pins, docs = _frames(spark, sf, "placed_pins", "read_docs")
     return geometry.image_layout(pins, docs.drop("pin_count"))[0]
 
 
-@query("v17_layout_rejects")
+@query("v17_layout_rejects", V17 + " SELECT doc_id, reason FROM f WHERE reason IS NOT NULL UNION ALL SELECT doc_id, 'same_place' FROM clash")
 def v17_rejects(spark, sf):
     pins, docs = _frames(spark, sf, "placed_pins", "read_docs")
     return geometry.image_layout(pins, docs.drop("pin_count"))[1]

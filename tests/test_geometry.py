@@ -165,3 +165,21 @@ def test_table_rows_are_reduced(spark):
     labels = [token("body", 20, "Body", -80, 60), token("width", 21, "width", -50, 60), token("e", 22, "E", -20, 60)]
     got = [r.prompt_token_ids for r in groups.table_groups(spark.createDataFrame(heads + cells + labels, TOKEN)).collect() if "c1" in r.token_ids]
     assert got == [["body", "e", "c1"]]
+
+
+def test_later_pins_see_moved_positions(spark):
+    import random
+    pick = random.Random(3)
+    rows, want = [], {}
+    for doc in range(40):
+        sides = {s: [round(pick.random(), 3 if doc % 2 else 1) for _ in range(pick.randrange(0, 12))] for s in ("low", "high")}
+        rows += [(str(doc), True, side, f"{side}{k}", k, at, 1.0) for side, places in sides.items() for k, at in enumerate(places)]
+        low, high = [list(sides[s]) for s in ("low", "high")]
+        for i in range(len(low)):
+            if high:
+                j = min(range(len(high)), key=lambda j: abs(high[j] - low[i]))
+                if min(range(len(low)), key=lambda k: abs(low[k] - high[j])) == i and abs(high[j] - low[i]) <= 0.1:
+                    low[i] = high[j] = (low[i] + high[j]) / 2
+        want |= {(str(doc), f"{s}{k}"): at for s, places in (("low", low), ("high", high)) for k, at in enumerate(places)}
+    df = spark.createDataFrame(rows, "doc_id string, axis boolean, side string, id string, ord int, at double, span double")
+    assert {(r.doc_id, r.id): r["at"] for r in geometry.snapped_sides(df, 0.1).collect()} == want
