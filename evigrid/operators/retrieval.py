@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import thresholds as T
+from ..session import settled
 from .ordering import last_known, running_sum, top_per_key
 
 # Fixed patterns: separators from coarse to fine, of plain text and of Markdown
@@ -157,13 +161,118 @@ def sparse_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id", "id").agg(F.sum(F.col("_qw") * F.col("_cw")).alias("sparse"))
 
 
+#: Chunks of a block, and queries that meet a block in one task
+BLOCK, SLICE = 4096, 256
+
+
+def _unit(v: Column) -> Column:
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
+
+
+def _blocked(chunks: DataFrame, block: int) -> DataFrame:
+    """Chunks with unit vectors `_u` and the block they lie in. Vectors of a block agree in the signs of as many components as its tenant has doublings of blocks, so that
+    they point to one side; what is still too many is cut by a hash."""
+    rows = chunks.select("id", "tenant_id", "course_id", _unit(F.transform("embedding", lambda x: x.cast("double"))).alias("_u"), F.coalesce("sparse", F.create_map().cast("map<string,double>")).alias("_s"))
+    sizes = settled(rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_n")).where("tenant_id IS NOT NULL"))
+    bits = F.greatest(F.lit(0), F.least(F.lit(12), F.ceil(F.log2(F.col("_n") / block)))).cast("int")
+    signs = F.aggregate(F.slice("_u", 1, bits), F.lit(0), lambda a, x: a * 2 + (x > 0).cast("int"))
+    rows = rows.join(sizes, "tenant_id").withColumn("_side", F.when(F.col("_n") > block, signs).otherwise(0))
+    full = settled(rows.groupBy("tenant_id", "_side").agg(F.count(F.lit(1)).alias("_m")))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_m") / block)).cast("int")
+    return rows.join(full, ["tenant_id", "_side"]).select("id", "tenant_id", "course_id", "_u", "_s", (F.col("_side").cast("long") * (1 << 32) + part).alias("block"))
+
+
+def _bounds(queries: DataFrame, blocks: DataFrame, dense_weight: float, sparse_weight: float) -> DataFrame:
+    """query_id, tenant_id, block, bound: no chunk of the block scores higher for the query.
+
+    The cosine is at most the query's with the middle of the block's unit vectors plus the length of the longest way from there, and at most 1; a term adds at most the
+    query's weight times the block's largest.
+    """
+    key = ["tenant_id", "block"]
+    spread = blocks.select(*key, F.posexplode("_u").alias("i", "x"))
+    middle = spread.groupBy(*key, "i").agg(F.avg("x").alias("x")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("_m"))
+    way = F.sqrt(F.aggregate(F.zip_with("_u", "_m", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    place = settled(blocks.join(middle, key).groupBy(*key).agg(F.max(way).alias("_r"), F.first("_m").alias("_m")))
+    largest = blocks.select(*key, F.explode("_s").alias("term", "_w")).groupBy(*key, "term").agg(F.max("_w").alias("_w"))
+    terms = queries.select("query_id", "tenant_id", F.explode("_s").alias("term", "_qw")).join(largest, ["tenant_id", "term"]).groupBy("query_id", *key).agg(
+        F.sum(F.greatest(F.lit(0.0), F.col("_qw") * F.col("_w"))).alias("_t"))
+    dot = F.aggregate(F.zip_with("_u", "_m", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    near = queries.join(place, "tenant_id").select("query_id", *key, F.least(F.lit(1.0), dot + F.col("_r")).alias("_d"))
+    # a little more than what rounding of the score can add
+    return near.join(terms, ["query_id", *key], "left").select("query_id", *key, (dense_weight * F.col("_d") + sparse_weight * F.coalesce("_t", F.lit(0.0)) + 2e-6).alias("bound"))
+
+
+def _best_of_block(top_k: int, dense_weight: float, sparse_weight: float):
+    def best(key: tuple, chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        n, m = chunks.num_rows, queries.num_rows
+        if not n or not m:
+            return pa.table({c: chunks.column("id")[:0] if c == "id" else queries.column("query_id")[:0] if c == "query_id" else pa.array([], pa.float64()) for c in ("query_id", "id", "score")})
+        c, q = (np.array(t.column("_u").to_pylist(), np.float64).reshape(t.num_rows, -1) for t in (chunks, queries))
+        score = dense_weight * (q @ c.T)
+        entries = [t.column("_s").combine_chunks() for t in (chunks, queries)]
+        rows = [np.repeat(np.arange(t.num_rows), np.diff(np.asarray(e.offsets))) for t, e in zip((chunks, queries), entries, strict=True)]
+        names = pc.unique(entries[1].keys)
+        there = pc.index_in(entries[0].keys, names).to_numpy(zero_copy_only=False)
+        weight, held = entries[0].items.to_numpy(zero_copy_only=False), ~np.isnan(there.astype(np.float64))
+        at, term, weight = rows[0][held], there[held].astype(np.int64), weight[held]
+        order = np.argsort(term, kind="stable")
+        at, weight, starts = at[order], weight[order], np.searchsorted(term[order], np.arange(len(names) + 1))
+        wanted = pc.index_in(entries[1].keys, names).to_numpy(zero_copy_only=False)
+        for row, t, w in zip(rows[1].tolist(), wanted.tolist(), entries[1].items.to_pylist(), strict=True):
+            some = slice(starts[t], starts[t + 1])
+            score[row, at[some]] += sparse_weight * w * weight[some]
+        course = [pc.fill_null(pc.cast(t.column("course_id"), pa.string()), "\x00none").to_numpy() for t in (chunks, queries)]
+        open_ = (course[1] == "\x00none")[:, None] | (course[1][:, None] == course[0][None, :])
+        ids = np.unique(chunks.column("id").to_numpy(), return_inverse=True)[1]
+        picked = []
+        for row in range(m):
+            may = np.flatnonzero(open_[row])
+            first = may[np.lexsort((ids[may], -np.round(score[row, may], 6)))[:top_k]]
+            picked += [(row, k) for k in first.tolist()]
+        left, right = ([p[x] for p in picked] for x in (0, 1))
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(left, pa.int64())), "id": chunks.column("id").take(pa.array(right, pa.int64())),
+                         "score": pa.array(score[left, right] if picked else [], pa.float64())})
+    return best
+
+
 def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = 3, dense_weight: float = 0.5,
-                  sparse_weight: float = 0.5, sure: float = T.HIT_CONFIDENCE) -> DataFrame:
-    """Top chunks of every query by the weighted sum of both scores, with the confidence of the best."""
-    both = dense_scores(queries, chunks).join(sparse_scores(queries, chunks), ["query_id", "id"], "left")
-    score = dense_weight * F.col("dense") + sparse_weight * F.coalesce("sparse", F.lit(0.0))
-    scored = both.select("query_id", "id", F.round(score, 6).alias("score"))
-    hits = top_per_key(scored, ["query_id"], [F.desc("score"), F.asc("id")], top_k, "place")
+                  sparse_weight: float = 0.5, sure: float = T.HIT_CONFIDENCE, block: int = BLOCK) -> DataFrame:
+    """Top chunks of every query by the weighted sum of cosine and term product, with the confidence of the best. Exact; weights must not be negative.
+
+    queries(query_id, tenant_id, course_id, embedding, sparse), chunks(id, tenant_id, course_id, embedding, sparse). Chunks of a tenant are cut into blocks with an upper
+    bound of what they can score. Each query first meets the block with the highest bound; its k-th score there rules out the blocks that can't reach it,
+    and the others are met next. A task scores one block for a slice of queries in numpy and hands on the k best of each query: neither a tenant nor a frequent word is a join key
+    of chunks and queries.
+    """
+    held = settled(_blocked(chunks, block))
+    asked = settled(queries.select("query_id", "tenant_id", "course_id", _unit(F.transform("embedding", lambda x: x.cast("double"))).alias("_u"),
+                                   F.coalesce("sparse", F.create_map().cast("map<string,double>")).alias("_s")).where("tenant_id IS NOT NULL"))
+    places = settled(held.select("tenant_id", "block").distinct())
+    kinds = {f.name: f.dataType.simpleString() for f in [*held.schema.fields, *asked.schema.fields]}
+    key = ["tenant_id", "block", "slice"]
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        cut = F.pmod(F.xxhash64("query_id"), F.ceil(F.col("_n") / SLICE)).cast("int")
+        sizes = pairs.groupBy("tenant_id", "block").agg(F.count(F.lit(1)).alias("_n"))
+        dealt = settled(pairs.join(sizes, ["tenant_id", "block"]).select("query_id", "tenant_id", "block", cut.alias("slice")))
+        blocks = held.join(dealt.select(*key).distinct(), ["tenant_id", "block"]).select(*key, "id", "course_id", "_u", "_s")
+        meeting = asked.join(dealt, ["query_id", "tenant_id"]).select(*key, "query_id", F.col("course_id").alias("course_id"), "_u", "_s")
+        return blocks.toDF(*blocks.columns).groupBy(*key).cogroup(meeting.toDF(*meeting.columns).groupBy(*key)).applyInArrow(
+            _best_of_block(top_k, dense_weight, sparse_weight), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+
+    if places.groupBy("tenant_id").count().where("count > 1").isEmpty():
+        every = scored(asked.select("query_id", "tenant_id").join(places, "tenant_id"))
+    else:
+        bounds = settled(_bounds(asked, held, dense_weight, sparse_weight))
+        first = settled(top_per_key(bounds, ["query_id"], [F.desc("bound"), F.asc("block")], 1).drop("_rank"))
+        found = settled(scored(first))
+        reached = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= top_k, F.min("score")).alias("_least"))
+        rest = bounds.join(first.select("query_id", F.col("block").alias("_met")), "query_id").where("block <> _met").join(reached, "query_id", "left")
+        more = scored(rest.where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least"))).select("query_id", "tenant_id", "block"))
+        every = found.unionByName(more)
+    every = every.withColumn("score", F.round("score", 6))
+    hits = top_per_key(every, ["query_id"], [F.desc("score"), F.asc("id")], top_k, "place")
     # At most top_k rows of a query are left here.
     best = F.max("score").over(Window.partitionBy("query_id"))
     return hits.withColumn("confidence", F.round(best, 4)).withColumn("is_high_confidence", best >= sure)

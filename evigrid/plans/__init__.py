@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     group_queries,
     pin_queries,
     search_queries,
+    source_queries,
     stream_queries,
     table_queries,
     text_queries,

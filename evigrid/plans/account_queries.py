@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chat, jobs
+from ..sources import files
 from .registry import query
-from .shapes import ctes, frame
+from .shapes import SHAPES, _pick, ctes, frame
 
 JOBS = ctes("symbol_jobs", "pcb_jobs", "step_jobs") + """, jobs AS (
   SELECT 'symbol' AS kind, * FROM symbol_jobs UNION ALL SELECT 'pcb' AS kind, * FROM pcb_jobs
@@ -31,7 +32,11 @@ def u1(spark, sf):
 
 @query("s6_job_table_read", ctes("symbol_jobs") + " SELECT id, tenant_id, status, created_at FROM symbol_jobs")
 def s6(spark, sf):
-    return frame(spark, sf, "symbol_jobs").select("id", "tenant_id", "status", "created_at")
+    # the reader opens the stored table; the shape's columns are what this application calls its own
+    source, columns, where = SHAPES["symbol_jobs"]
+    stored = files.read_job_table(spark, source, path=f"{sf}/{source}.parquet")
+    stored = stored.where(_pick(where, 0)) if where else stored
+    return stored.selectExpr(*[_pick(c, 0) for c in columns]).select("id", "tenant_id", "status", "created_at")
 
 
 @query("f1_visible_jobs", JOBS + """ SELECT kind, id, status FROM jobs WHERE tenant_id = '3' AND deleted_at IS NULL""")

@@ -96,12 +96,46 @@ def t4(spark, sf):
     return groups.select_groups(groups.dimension_groups(tokens, lines).unionByName(rows, allowMissingColumns=True))
 
 
-@query("j21_stacked_pairs")
+# Every two values of a view against the rules, and every line of the view against the slot between them
+STACKED = """, v AS (SELECT *, CAST(replace(text, ',', '.') AS DOUBLE) AS value FROM stack_tokens WHERE unit_context = 'mm' AND source_region_id <> 'unassigned' AND value_role NOT LIKE 'table\\_%' ESCAPE '\\'
+    AND regexp_matches(trim(text), '^[0-9]+(?:[.,][0-9]+)?$') AND x2 > x1),
+  slots AS (SELECT a.doc_id, a.source_region_id, a.id AS upper, b.id AS lower, a.value AS high, b.value AS low, least(a.x2 - a.x1, b.x2 - b.x1) AS w, greatest(a.y2 - a.y1, b.y2 - b.y1) AS h, b.y1 - a.y2 AS gap, a.y2 AS top, b.y1 AS bottom,
+      greatest(a.x1, b.x1) AS ix1, least(a.x2, b.x2) AS ix2, least(a.x1, b.x1) AS ox1, greatest(a.x2, b.x2) AS ox2, abs((a.x1 + a.x2) - (b.x1 + b.x2)) / 2.0 AS shift
+    FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.source_region_id = b.source_region_id AND a.id <> b.id AND a.value > b.value),
+  stacked AS (SELECT s.doc_id, s.source_region_id, upper, lower, arg_min(line_id, ord) AS line_id, any_value(high) AS high, any_value(low) AS low FROM slots s JOIN stack_lines l ON l.doc_id = s.doc_id AND l.source_region_id = s.source_region_id
+    WHERE h > 0 AND gap BETWEEN 0 AND h * 0.65 AND shift <= w * 0.2 AND ix2 - ix1 >= w * 0.8 AND abs(ly2 - ly1) <= h * 0.1 AND (ly1 + ly2) / 2.0 BETWEEN top AND bottom
+      AND least(greatest(lx1, lx2), ix2) - greatest(least(lx1, lx2), ix1) >= w * 0.6 AND least(lx1, lx2) >= ox1 - w * 0.2 AND greatest(lx1, lx2) <= ox2 + w * 0.2 GROUP BY ALL)"""
+
+
+@query("j21_stacked_pairs", ctes("stack_tokens", "stack_lines") + STACKED + " SELECT doc_id, source_region_id, upper, lower, line_id FROM stacked")
 def j21_pairs(spark, sf):
     return groups.stacked_pairs(*_frames(spark, sf, "stack_tokens", "stack_lines"))
 
 
-@query("j21_reconciled_ranges")
+# Assignments of the fixture with their tokens; pairs of a view are then decided one upper assignment after the other
+RECONCILED = ctes("stack_slots", "stack_tokens", "stack_lines").replace("WITH", "WITH RECURSIVE", 1) + STACKED + """, g AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey * 4 + k AS aid, CASE WHEN k = 0 OR o_orderkey % 3 = 0 THEN 'body_length' ELSE 'body_width' END AS name,
+      CASE WHEN k = 2 THEN [CAST(o_orderkey AS VARCHAR) || '_2', CAST(o_orderkey AS VARCHAR) || '_3'] ELSE [CAST(o_orderkey AS VARCHAR) || '_' || CAST(k AS VARCHAR)] END AS tokens, 'l' || CAST(o_orderkey AS VARCHAR) || '_0' AS line FROM stack_slots WHERE k < 3),
+  one AS (SELECT doc_id, aid, name, tokens[1] AS id, line FROM g WHERE len(tokens) = 1 AND NOT regexp_matches(name, '(_deg|_count)$')),
+  outer_ AS (SELECT o.doc_id, o.aid, list(DISTINCT o.line) AS outs FROM one o JOIN stack_lines l ON l.doc_id = o.doc_id AND l.line_id = o.line AND l.type = 'dimension_line' JOIN stack_tokens t ON t.doc_id = o.doc_id AND t.id = o.id
+    WHERE NOT (l.lx1 BETWEEN t.x1 - greatest(1, (t.y2 - t.y1) * 0.1) AND t.x2 + greatest(1, (t.y2 - t.y1) * 0.1) AND l.ly1 BETWEEN t.y1 - greatest(1, (t.y2 - t.y1) * 0.1) AND t.y2 + greatest(1, (t.y2 - t.y1) * 0.1))
+      OR NOT (l.lx2 BETWEEN t.x1 - greatest(1, (t.y2 - t.y1) * 0.1) AND t.x2 + greatest(1, (t.y2 - t.y1) * 0.1) AND l.ly2 BETWEEN t.y1 - greatest(1, (t.y2 - t.y1) * 0.1) AND t.y2 + greatest(1, (t.y2 - t.y1) * 0.1)) GROUP BY ALL),
+  a AS (SELECT one.*, coalesce(outs, []) AS outs FROM one LEFT JOIN outer_ USING (doc_id, aid)),
+  labels AS (SELECT doc_id, id FROM stack_tokens t WHERE EXISTS (SELECT 1 FROM stack_tokens b WHERE b.doc_id = t.doc_id AND b.source_region_id = t.source_region_id AND regexp_matches(b.text, '[A-Za-zΑ-ω]'))),
+  p AS (SELECT s.*, u.aid AS ua, l.aid AS la, u.name AS un, l.name AS ln, list_filter(u.outs, lambda x: x <> s.line_id) AS uo, list_filter(l.outs, lambda x: x <> s.line_id) AS lo FROM stacked s JOIN a u ON u.doc_id = s.doc_id AND u.id = s.upper
+    JOIN a l ON l.doc_id = s.doc_id AND l.id = s.lower AND l.aid <> u.aid),
+  ranges AS (SELECT g.doc_id, g.name, s.source_region_id AS region, s.low, s.high FROM g JOIN stacked s ON s.doc_id = g.doc_id AND len(g.tokens) = 2 AND list_contains(g.tokens, s.upper) AND list_contains(g.tokens, s.lower)),
+  j AS (SELECT doc_id, source_region_id, ua, la, line_id, NOT (upper IN (SELECT id FROM labels) OR lower IN (SELECT id FROM labels) OR (len(uo) > 0 AND len(lo) > 0 AND list_sort(uo) <> list_sort(lo)))
+      AND (un = ln OR (len(list_filter(lo, lambda x: NOT list_contains(uo, x))) = 0 AND EXISTS (SELECT 1 FROM ranges r WHERE r.doc_id = p.doc_id AND r.name = p.ln AND r.region <> p.source_region_id AND r.low <= p.low AND p.low <= r.high AND r.high < p.high))) AS ok FROM p),
+  offered AS (SELECT doc_id, source_region_id, ua, list({'la': la, 'ok': ok, 'line': line_id} ORDER BY la) AS offers FROM j GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source_region_id ORDER BY ua) AS rn FROM offered),
+  s AS (SELECT DISTINCT doc_id, source_region_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS ua, CAST(NULL AS BIGINT) AS la, CAST(NULL AS VARCHAR) AS line FROM o
+    UNION ALL SELECT doc_id, source_region_id, rn, CASE WHEN takes THEN list_concat(used, [ua, left_[1].la]) ELSE used END, ua, CASE WHEN takes THEN left_[1].la END, CASE WHEN takes THEN left_[1].line END
+    FROM (SELECT *, len(left_) = 1 AND left_[1].ok AND NOT list_contains(used, ua) AS takes FROM (SELECT o.doc_id, o.source_region_id, o.rn, CAST(o.ua AS BIGINT) AS ua, s.used, list_filter(o.offers, lambda x: NOT list_contains(s.used, x.la)) AS left_
+      FROM s JOIN o ON o.doc_id = s.doc_id AND o.source_region_id = s.source_region_id AND o.rn = s.rn + 1)))
+  SELECT doc_id, ua AS upper_assignment, la AS lower_assignment, line AS line_id FROM s WHERE la IS NOT NULL"""
+
+
+@query("j21_reconciled_ranges", RECONCILED)
 def j21(spark, sf):
     return groups.reconcile_stacked(*_frames(spark, sf, "stack_assignments", "stack_tokens", "stack_lines"))
 

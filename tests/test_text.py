@@ -157,3 +157,33 @@ def test_links_in_all_forms_of_attributes(spark):
     for r in sorted(page_links(rows).collect(), key=lambda r: (r.page_id, r.ord)):
         got.setdefault(r.page_id, []).append(r.link.removeprefix("http://h.x"))
     assert [got.get(k, []) for k in range(len(pages))] == list(pages.values())
+
+
+def test_hybrid_search_by_blocks_equals_all_pairs(spark):
+    import random
+    pick = random.Random(7)
+    words = ["the"] + [f"w{k}" for k in range(12)]
+
+    def row(k, tenant, course):
+        v = [pick.gauss(0, 1) + (2 if k % 3 else -2) for _ in range(6)] if k % 17 else [0.0] * 6
+        return (k, tenant, course, v, {w: float(pick.randrange(1, 4)) for w in pick.sample(words, 4)} if k % 11 else None)
+
+    schema = "%s long, tenant_id string, course_id string, embedding array<double>, sparse map<string,double>"
+    chunks = [row(k, "big" if k % 10 else "small", pick.choice(["a", "b"])) for k in range(600)] + [row(900, None, "a")]
+    queries = [row(k, pick.choice(["big", "small"]), pick.choice([None, "a", "b"])) for k in range(40)] + [row(50, "none", None), row(51, None, None)]
+    got = {}
+    df = retrieval.hybrid_search(spark.createDataFrame(queries, schema % "query_id"), spark.createDataFrame(chunks, schema % "id"), 5, 0.7, 0.05, block=16)
+    for r in df.orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    want = {}
+    for q, tenant, course, v, sparse in queries:
+        scores = []
+        for c, t2, c2, v2, s2 in chunks:
+            if tenant is not None and tenant == t2 and course in (None, c2):
+                length = sum(x * x for x in v) ** 0.5 * sum(x * x for x in v2) ** 0.5
+                dense = sum(x * y for x, y in zip(v, v2, strict=True)) / length if length else 0.0
+                scores.append((-round(0.7 * dense + 0.05 * sum(w * (s2 or {}).get(t, 0.0) for t, w in (sparse or {}).items()), 6), c))
+        if scores:
+            want[q] = [(c, -s) for s, c in sorted(scores)[:5]]
+    assert {q: [c for c, _ in hits] for q, hits in got.items()} == {q: [c for c, _ in hits] for q, hits in want.items()}
+    assert all(abs(a[1] - b[1]) < 2e-6 for q in want for a, b in zip(got[q], want[q], strict=True))
