@@ -114,8 +114,8 @@ def targets_of(docs: DataFrame) -> DataFrame:
 SHARE = (1, 2)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    return mix(docs, targets_of(docs), domain_of(F.col("source")), SHARE)
+def mixed_documents(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    return mix(docs, targets_of(docs), domain_of(F.col("source")), share)
 
 
 def _level_sql(name: str, parent: str, key: str, nodes: str) -> str:
@@ -137,7 +137,8 @@ SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, md5(coalesce(text, '')) AS tie,
     coalesce(TRY_CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS INT), 0) AS num,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS tokens FROM documents),
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS tokens FROM documents),
 named AS (SELECT *, 'd' || (num % 4) AS domain FROM docs),
 leaves AS (
   SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens, CAST(2 * sum(tokens) AS HUGEINT) AS cap,

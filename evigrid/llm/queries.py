@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     centroids, chat_format, decontaminate, divergence, fingerprints, html_text, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup,
@@ -62,7 +63,8 @@ def op6(spark, sf_dir):
 
 @query("op7_suffix_array_dedup")
 def op7(spark, sf_dir):
-    return suffix_dedup.suffix_dedup(docs_of(spark, sf_dir))
+    out = suffix_dedup.suffix_dedup(docs_of(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 @query("op8_token_files")

@@ -105,6 +105,22 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
     assert got == {("a", "en", "s1"): 10, ("a", "en", "s2"): 190, ("a", "de", "s1"): 100, ("b", "en", "s1"): 297, ("b", "en", "s2"): 3}
 
 
+def test_a_budget_of_all_tokens_reaches_siblings_and_second_epochs(docs, prose):
+    # a source of little text weighs as much as the others of its kind, so it runs out and the rest of its share moves on
+    rows = [(k, prose(200, k), "en", "src1", 1) for k in range(6)] + [(20 + k, prose(30, k), "en", "src2", 1) for k in range(2)] + [(40 + k, prose(100, k), "fr", "src3", 1) for k in range(5)]
+    total = sum(len(r[1].split()) for r in rows)
+    taken = mixing.mixed_documents(docs(rows), (1, 1)).collect()
+    assert 0 <= total - sum(r.mix_take for r in taken) <= 60
+    by_leaf = Counter()
+    for r in taken:
+        by_leaf[r.lang, r.source] += r.mix_take
+    own = Counter()
+    for r in rows:
+        own[r[2], r[3]] += len(r[1].split())
+    assert any(r.mix_epoch == 2 for r in taken) and all(n <= 2 * own[leaf] for leaf, n in by_leaf.items())
+    assert any(by_leaf[leaf] > own[leaf] for leaf in own) and any(by_leaf[leaf] < own[leaf] for leaf in own)
+
+
 def test_takes_fill_the_budgets(docs):
     taken = mixing.mixed_documents(docs(MIX)).collect()
     total = sum(len((r[1] or "").split()) for r in MIX)
