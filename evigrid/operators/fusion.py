@@ -37,10 +37,10 @@ def assignment_values(assignments: DataFrame, tokens: DataFrame, lines: DataFram
     outcome is `fused`, `missing` or `unit`. Numbers within 1e-6 agree; two with a line, or three stacked with
     a line, mean their maximum.
     """
-    typed = with_dimensions(tokens, "text", F.col("value_role").startswith("table_"))
-    typed = typed.withColumn("_count", explicit_count("text"))
+    # only tokens that are referred to are read as dimensions
     refs = assignments.select(*ASSIGNMENT, "canonical_name", F.posexplode("token_ids").alias("_pos", "token_id"))
-    rows = refs.join(typed, ["doc_id", "token_id"])
+    rows = with_dimensions(refs.join(tokens, ["doc_id", "token_id"]), "text", F.col("value_role").startswith("table_"))
+    rows = rows.withColumn("_count", explicit_count("text"))
     counting = F.col("canonical_name").isin(*COUNT_FIELDS)
     as_count = counting & F.col("nominal").isNull() & F.col("_count").isNotNull()
     rows = rows.withColumns({"_unit": F.when(as_count, "count").otherwise(F.col("unit")),
@@ -96,26 +96,22 @@ def fuse_fields(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     conflicting field raise no issue.
     """
     key = ["doc_id", "canonical_name"]
-    values = settled(values)
-    fused = values.where(F.col("outcome") == "fused")
-    mark = F.struct(F.round("value", 8).alias("v"), F.col("unit").alias("u"))
-    table = F.col("evidence_kind") == "table_row"
-    # The groups feed the parameters, the conflicts and the filter of the failures.
+    done = F.col("outcome") == "fused"
+    mark = F.when(done, F.struct(F.round("value", 8).alias("v"), F.col("unit").alias("u")))
+    table = done & (F.col("evidence_kind") == "table_row")
     rank = F.struct("semantic_confidence", (-F.col("assignment_id")).alias("o"))
     row = F.struct("assignment_id", "value", "unit", "evidence_kind", "ocr_confidence", "semantic_confidence", "evidence_ids", "token_ids", "target_feature")
-    groups = fused.groupBy(*key).agg(
+    # One aggregate decides every field, failures included; a row per field is what both results read.
+    fields = settled(values.groupBy(*key).agg(
         F.min(mark).alias("_m0"), F.max(mark).alias("_m1"), F.min(F.when(table, mark)).alias("_t0"), F.max(F.when(table, mark)).alias("_t1"),
-        F.max_by(row, rank).alias("_best"), F.max_by(row, F.when(table, rank)).alias("_table"), F.count_if(table).alias("_tables"))
-    groups = settled(groups)
-    single = F.col("_m0") == F.col("_m1")
+        F.max_by(row, F.when(done, rank)).alias("_best"), F.max_by(row, F.when(table, rank)).alias("_table"), F.count_if(table).alias("_tables"), F.count_if(done).alias("_fused"),
+        F.array_sort(F.collect_set(F.when(~done, F.when(F.col("outcome") == "unit", "unit").otherwise("missing")))).alias("_failed")))
+    single = (F.col("_fused") > 0) & (F.col("_m0") == F.col("_m1"))
     by_table = (F.col("_tables") > 0) & (F.col("_t0") == F.col("_t1"))
     chosen = F.when(single, F.col("_best")).when(by_table, F.col("_table"))
-    params = groups.where(single | by_table).select(*key, chosen.alias("_c")).select(*key, "_c.*")
-    conflicts = groups.where(~(single | by_table)).select("doc_id", F.lit("conflict").alias("kind"), F.col("canonical_name").alias("field"))
-    failed = values.where(F.col("outcome") != "fused").select(
-        "doc_id", F.when(F.col("outcome") == "unit", "unit").otherwise("missing").alias("kind"), F.col("canonical_name").alias("field")).distinct()
-    failed = failed.join(groups.select("doc_id", F.col("canonical_name").alias("field")), ["doc_id", "field"], "left_anti")
-    return params, conflicts.unionByName(failed)
+    params = fields.where(single | by_table).select(*key, chosen.alias("_c")).select(*key, "_c.*")
+    kinds = F.when(F.col("_fused") == 0, F.col("_failed")).when(~(single | by_table), F.array(F.lit("conflict")))
+    return params, fields.select("doc_id", F.explode(kinds).alias("kind"), F.col("canonical_name").alias("field"))
 
 
 def evidence_gate(params: DataFrame, issues: DataFrame, required: DataFrame, features: DataFrame, seen_features: DataFrame, docs: DataFrame,

@@ -58,7 +58,35 @@ def w8_cells(spark, sf):
     return places.select(*groups.REGION, "id", rank.cast("long").alias("place"))
 
 
-@query("w8_table_rows")
+# The columns from the head words, the rows token after token from the top, then what stands in each row
+W8_ROWS = ctes("grid_tokens", "head_tokens").replace("WITH", "WITH RECURSIVE", 1) + """, t AS (SELECT *, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy, greatest(1, y2 - y1) AS h, lower(trim(text)) AS raw, regexp_replace(lower(trim(text)), '[^a-z]', '', 'g') AS w
+      FROM (SELECT * FROM grid_tokens UNION ALL BY NAME SELECT * FROM head_tokens)),
+  tops AS (SELECT doc_id, source_region_id, min(y1) AS top FROM t WHERE w IN ('min', 'nom', 'typ', 'max') GROUP BY ALL HAVING count(*) >= 3),
+  units AS (SELECT doc_id, source_region_id, avg(cx) FILTER (raw LIKE '%millimet%' OR raw LIKE 'miimet%' OR raw LIKE 'milimet%') AS mx, avg(cx) FILTER (raw LIKE '%inch%') AS ix FROM t JOIN tops USING (doc_id, source_region_id) WHERE y1 < top GROUP BY ALL),
+  heads AS (SELECT t.*, row_number() OVER (PARTITION BY doc_id, source_region_id ORDER BY cx, ord) AS place, CASE w WHEN 'typ' THEN 'nom' ELSE w END AS name FROM t JOIN tops USING (doc_id, source_region_id) LEFT JOIN units USING (doc_id, source_region_id)
+    WHERE w IN ('min', 'nom', 'typ', 'max') AND (mx IS NULL OR ix IS NULL OR (cx < (mx + ix) / 2) = (mx < ix)) QUALIFY place <= 3),
+  spread AS (SELECT doc_id, source_region_id, arg_max(cx, place) FILTER (name = 'min') AS xmin, arg_max(cx, place) FILTER (name = 'nom') AS xnom, arg_max(cx, place) FILTER (name = 'max') AS xmax, max(y2) AS head_y, min(cx) AS c1,
+    max(cx) FILTER (place = 2) - c1 AS a, max(cx) - max(cx) FILTER (place = 2) AS b, CASE WHEN a > 0 AND b > 0 THEN (a + b) / 2 WHEN a > 0 THEN a WHEN b > 0 THEN b END AS step FROM heads GROUP BY ALL),
+  layout AS (SELECT *, greatest(12.0, step * 0.48) AS reach, CAST(trunc(c1 - step * 0.55) AS INT) AS label_right FROM spread WHERE step IS NOT NULL AND xmin IS NOT NULL AND xnom IS NOT NULL AND xmax IS NOT NULL),
+  d AS (SELECT t.*, xmin, xnom, xmax, reach, label_right FROM t JOIN layout USING (doc_id, source_region_id) WHERE cy > head_y + 4),
+  tol AS (SELECT doc_id, source_region_id, greatest(6.0, median(h) * 0.65) AS tol FROM d GROUP BY ALL),
+  o AS (SELECT d.*, tol, row_number() OVER v AS rn, cy - lag(cy) OVER v > tol AS gap FROM d JOIN tol USING (doc_id, source_region_id) WINDOW v AS (PARTITION BY d.doc_id, d.source_region_id ORDER BY cy, ord)),
+  s AS (SELECT DISTINCT doc_id, source_region_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS chain, CAST(-1 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS id FROM o
+    UNION ALL SELECT doc_id, source_region_id, rn, CASE WHEN fits THEN total + cy ELSE cy END, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN gap THEN chain + 1 ELSE chain END, CASE WHEN fits THEN place WHEN gap THEN 0 ELSE place + 1 END, id
+    FROM (SELECT o.doc_id, o.source_region_id, o.rn, o.id, CAST(o.cy AS DOUBLE) AS cy, coalesce(o.gap, false) AS gap, s.total, s.n, s.chain, s.place, s.n > 0 AND abs(o.cy - s.total / s.n) <= o.tol AS fits
+      FROM s JOIN o ON o.doc_id = s.doc_id AND o.source_region_id = s.source_region_id AND o.rn = s.rn + 1)),
+  r AS (SELECT o.*, s.chain, CAST(s.place AS INT) AS row_no, length(regexp_replace(text, '[^A-Za-zΑ-ωα-ω]', '', 'g')) AS letters FROM o JOIN s USING (doc_id, source_region_id, rn)),
+  l AS (SELECT doc_id, source_region_id, chain, row_no, string_agg(text, ' ' ORDER BY x1, ord, id) AS label, string_agg(id, '|' ORDER BY x1, ord, id) AS label_ids, max(confidence) AS lc FROM r
+    WHERE cx < label_right AND letters > 0 AND (letters >= 3 OR regexp_matches(trim(text), '^[A-Za-zΑ-ωα-ω][A-Za-z0-9Α-ωα-ω]*$')) GROUP BY ALL),
+  c AS (SELECT doc_id, source_region_id, chain, row_no, id, confidence, ord, cx, reach, unnest(['min', 'nom', 'max']) AS name, unnest([xmin, xnom, xmax]) AS hx FROM r WHERE regexp_matches(text, '[0-9]')),
+  v AS (SELECT doc_id, source_region_id, chain, row_no, name, arg_min(id, (abs(cx - hx), -confidence, ord)) AS id, arg_min(confidence, (abs(cx - hx), -confidence, ord)) AS confidence FROM c WHERE abs(cx - hx) <= reach GROUP BY ALL),
+  g AS (SELECT doc_id, source_region_id, chain, row_no, max(id) FILTER (name = 'min') AS min_id, max(id) FILTER (name = 'nom') AS nom_id, max(id) FILTER (name = 'max') AS max_id, max(confidence) FILTER (name = 'nom') AS nc, max(confidence) FILTER (name = 'max') AS mc FROM v GROUP BY ALL)
+  SELECT doc_id, source_region_id, chain, row_no, label, label_ids, min_id, nom_id, max_id, CASE WHEN nom_id IS NOT NULL THEN 'nom' ELSE 'max' END AS "column",
+    CASE WHEN lower(label) LIKE '%number of%' THEN 'count' WHEN lower(label) LIKE '%angle%' THEN 'deg' ELSE 'mm' END AS unit, least(lc, CASE WHEN nom_id IS NOT NULL THEN nc ELSE mc END) AS confidence
+  FROM l JOIN g USING (doc_id, source_region_id, chain, row_no) WHERE nom_id IS NOT NULL OR max_id IS NOT NULL"""
+
+
+@query("w8_table_rows", W8_ROWS)
 def w8(spark, sf):
     return joined(groups.table_rows(frame(spark, sf, "grid_tokens").unionByName(frame(spark, sf, "head_tokens"))), "label_ids")
 
@@ -83,7 +111,47 @@ def w10_stacks(spark, sf):
     return joined(out, "token_ids", "dimension_line_ids").select("doc_id", "view_id", "dimension_line_ids", "ord", *groups.BOX, "confidence", "token_ids")
 
 
-@query("w10_dimension_groups")
+def _once(items: str) -> str:
+    return f"array_to_string(list_filter({items}, lambda x, i: list_position({items}, x) = i), '|')"
+
+
+# Texts without fragments and crossings, their nearest lines over all pairs of a document, then group after group against the stacks of its lines
+W10_GROUPS = ctes("region_tokens_base", "region_lines").replace("WITH", "WITH RECURSIVE", 1) + f""", t AS (SELECT *, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy, regexp_matches(text, '(?i)\\b[0-9]{{1,3}}\\s*[-–—]?\\s*(lead|pin|circuit)s?\\b') AS counts FROM region_tokens_base),
+  wanted AS (SELECT * FROM t WHERE confidence >= 0.55 AND (counts OR regexp_matches(text, '(?i)[ØΦ±]|REF|UNC|\\([^)]*[0-9][^)]*\\)|(^|[^0-9])[.]?[0-9]+([.][0-9]+)?'))),
+  met AS (SELECT a.doc_id, a.id, a.rotation_deg AS ar, b.rotation_deg AS br, b.text, b.confidence AS bc, length(trim(b.text)) > length(trim(a.text)) AS longer, greatest(1, (a.x2 - a.x1) * (a.y2 - a.y1)) AS own,
+      greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS area
+    FROM wanted a JOIN t b ON a.doc_id = b.doc_id AND a.source_region_id = b.source_region_id AND a.id <> b.id AND NOT a.counts),
+  bad AS (SELECT doc_id, id FROM met GROUP BY ALL HAVING count(*) FILTER (bc >= 0.8 AND longer AND area / own >= 0.6) > 0 OR count(*) FILTER (ar <> 0 AND br = 0 AND area > 0 AND regexp_matches(text, '[0-9]')) >= 2),
+  used AS (SELECT w.* FROM wanted w ANTI JOIN bad b ON b.doc_id = w.doc_id AND b.id = w.id),
+  reach AS (SELECT doc_id, greatest(35.0, median(greatest(1, y2 - y1)) * 3.0) AS reach FROM t GROUP BY 1),
+  ln AS (SELECT *, (lx1 + lx2) / 2.0 AS lx, (ly1 + ly2) / 2.0 AS ly, CASE WHEN abs(ly2 - ly1) <= greatest(4.0, abs(lx2 - lx1) * 0.05) THEN 'horizontal' WHEN abs(lx2 - lx1) <= greatest(4.0, abs(ly2 - ly1) * 0.05) THEN 'vertical' ELSE 'oblique' END AS dir FROM region_lines),
+  links AS (SELECT t.doc_id, t.id, line_id, row_number() OVER (PARTITION BY t.doc_id, t.id ORDER BY sqrt((cx - lx) ** 2 + (cy - ly) ** 2), ln.ord) AS rank FROM t JOIN reach USING (doc_id) JOIN ln ON ln.doc_id = t.doc_id
+    WHERE sqrt((cx - lx) ** 2 + (cy - ly) ** 2) <= reach QUALIFY rank <= 6),
+  dims AS (SELECT * FROM used WHERE NOT counts),
+  near AS (SELECT d.doc_id, d.id, ln.line_id, row_number() OVER (PARTITION BY d.doc_id, d.id ORDER BY sqrt((cx - lx) ** 2 + (cy - ly) ** 2), ln.ord) AS rank FROM dims d JOIN ln ON ln.doc_id = d.doc_id AND ln.source_region_id = d.source_region_id ANTI JOIN links k ON k.doc_id = d.doc_id AND k.id = d.id
+    WHERE regexp_matches(translate(d.text, ',−', '.-'), '(?i)^\\s*[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)\\s*[-–—]\\s*[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)\\s*$') AND sqrt((cx - lx) ** 2 + (cy - ly) ** 2) <= 140 QUALIFY rank = 1),
+  linked AS (SELECT *, CAST(0.9 AS DOUBLE) AS lc FROM links UNION ALL SELECT *, CAST(0.75 AS DOUBLE) FROM near),
+  placed AS (SELECT k.doc_id, k.id, k.rank, k.lc, ln.*, ln.type = 'dimension_line' AS is_dim, row_number() OVER (PARTITION BY k.doc_id, k.id, ln.type = 'dimension_line' ORDER BY rank) AS p FROM linked k JOIN dims d ON d.doc_id = k.doc_id AND d.id = k.id JOIN ln ON ln.doc_id = k.doc_id AND ln.line_id = k.line_id
+    QUALIFY p <= CASE WHEN is_dim THEN 2 ELSE 3 END),
+  picked AS (SELECT doc_id, id, coalesce(list(line_id ORDER BY rank) FILTER (is_dim), []) AS dl, coalesce(list(line_id ORDER BY rank) FILTER (NOT is_dim), []) AS el, flatten(list(arrow_ids ORDER BY NOT is_dim, rank)) AS al, arg_min(dir, (NOT is_dim, rank)) AS dir,
+    min(least(lx1, lx2)) AS bx1, min(least(ly1, ly2)) AS by1, max(greatest(lx1, lx2)) AS bx2, max(greatest(ly1, ly2)) AS by2, max(lc) AS lc FROM placed GROUP BY ALL),
+  g AS (SELECT d.doc_id, d.source_region_id AS view_id, d.ord, d.id, CAST(least(x1, bx1) AS INT) AS x1, CAST(least(y1, by1) AS INT) AS y1, CAST(greatest(x2, bx2) AS INT) AS x2, CAST(greatest(y2, by2) AS INT) AS y2, dl, el, al, dir, least(confidence, lc) AS confidence, array_to_string(list_sort(dl), '|') AS lines
+    FROM dims d JOIN picked p USING (doc_id, id)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, view_id, lines ORDER BY ord, id) AS rn FROM g WHERE lines <> ''),
+  s AS (SELECT DISTINCT doc_id, view_id, lines, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(x1 INT, y1 INT, x2 INT, y2 INT)[]) AS held, CAST(0 AS BIGINT) AS home FROM o
+    UNION ALL SELECT doc_id, view_id, lines, rn, CASE WHEN hit IS NULL THEN list_append(held, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE list_transform(held, lambda d, i: CASE WHEN i = hit
+        THEN {{'x1': least(d.x1, x1), 'y1': least(d.y1, y1), 'x2': greatest(d.x2, x2), 'y2': greatest(d.y2, y2)}} ELSE d END) END, coalesce(hit, len(held) + 1)
+    FROM (SELECT o.doc_id, o.view_id, o.lines, o.rn, o.x1, o.y1, o.x2, o.y2, s.held,
+        list_min(list_filter(list_transform(s.held, lambda d, i: CASE WHEN greatest(o.x1, d.x1) <= least(o.x2, d.x2) + 20 AND abs((o.y1 + o.y2) / 2.0 - (d.y1 + d.y2) / 2.0) <= 90 THEN i END), lambda i: i IS NOT NULL)) AS hit
+      FROM s JOIN o ON o.doc_id = s.doc_id AND o.view_id = s.view_id AND o.lines = s.lines AND o.rn = s.rn + 1)),
+  m AS (SELECT o.doc_id, o.view_id, s.home, min(o.ord) AS ord, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, list(o.id ORDER BY o.rn) AS ids, arg_min(dl, o.rn) AS dl, flatten(list(el ORDER BY o.rn)) AS el, flatten(list(al ORDER BY o.rn)) AS al, arg_min(dir, o.rn) AS dir, min(confidence) AS confidence
+    FROM o JOIN s USING (doc_id, view_id, lines, rn) GROUP BY o.doc_id, o.view_id, lines, s.home),
+  every AS (SELECT doc_id, view_id, ord, x1, y1, x2, y2, ids, dl, el, al, dir, confidence FROM m UNION ALL SELECT doc_id, view_id, ord, x1, y1, x2, y2, [id], dl, el, al, dir, confidence FROM g WHERE lines = '')
+  SELECT doc_id, view_id, 'dimension_line' AS evidence_type, ord, x1, y1, x2, y2, {_once('ids')} AS token_ids, array_to_string(dl, '|') AS dimension_line_ids, {_once('el')} AS extension_line_ids, {_once('al')} AS arrow_ids, dir AS orientation, confidence FROM every
+  UNION ALL SELECT doc_id, source_region_id, 'identity_text', ord, x1, y1, x2, y2, id, '', '', '', 'horizontal', confidence FROM used WHERE counts"""
+
+
+@query("w10_dimension_groups", W10_GROUPS)
 def w10(spark, sf):
     out = groups.dimension_groups(*_frames(spark, sf, "region_tokens_base", "region_lines"))
     return joined(out, "token_ids", "dimension_line_ids", "extension_line_ids", "arrow_ids")
