@@ -163,6 +163,8 @@ def sparse_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 #: Chunks of a block, and queries that meet a block in one task
 BLOCK, SLICE = 4096, 256
+#: Pairs of queries and chunks of one tenant, over all tenants, up to which they are simply joined
+DIRECT = 1 << 20
 
 
 def _unit(v: Column) -> Column:
@@ -170,11 +172,16 @@ def _unit(v: Column) -> Column:
     return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
 
 
-def _blocked(chunks: DataFrame, block: int) -> DataFrame:
-    """Chunks with unit vectors `_u` and the block they lie in. Vectors of a block agree in the signs of as many components as its tenant has doublings of blocks, so that
+def _prepared(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with a tenant, unit vectors `_u` and terms `_s`, written once."""
+    terms = F.coalesce("sparse", F.create_map().cast("map<string,double>"))
+    return settled(rows.where("tenant_id IS NOT NULL").select(
+        key, "tenant_id", "course_id", _unit(F.transform("embedding", lambda x: x.cast("double"))).alias("_u"), terms.alias("_s")))
+
+
+def _blocked(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Chunks with the block they lie in. Vectors of a block agree in the signs of as many components as its tenant has doublings of blocks, so that
     they point to one side; what is still too many is cut by a hash."""
-    rows = chunks.select("id", "tenant_id", "course_id", _unit(F.transform("embedding", lambda x: x.cast("double"))).alias("_u"), F.coalesce("sparse", F.create_map().cast("map<string,double>")).alias("_s"))
-    sizes = settled(rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_n")).where("tenant_id IS NOT NULL"))
     bits = F.greatest(F.lit(0), F.least(F.lit(12), F.ceil(F.log2(F.col("_n") / block)))).cast("int")
     signs = F.aggregate(F.slice("_u", 1, bits), F.lit(0), lambda a, x: a * 2 + (x > 0).cast("int"))
     rows = rows.join(sizes, "tenant_id").withColumn("_side", F.when(F.col("_n") > block, signs).otherwise(0))
@@ -237,17 +244,23 @@ def _best_of_block(top_k: int, dense_weight: float, sparse_weight: float):
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = 3, dense_weight: float = 0.5,
-                  sparse_weight: float = 0.5, sure: float = T.HIT_CONFIDENCE, block: int = BLOCK) -> DataFrame:
+                  sparse_weight: float = 0.5, sure: float = T.HIT_CONFIDENCE, block: int = BLOCK, direct: int = DIRECT) -> DataFrame:
     """Top chunks of every query by the weighted sum of cosine and term product, with the confidence of the best. Exact; weights must not be negative.
 
     queries(query_id, tenant_id, course_id, embedding, sparse), chunks(id, tenant_id, course_id, embedding, sparse). Chunks of a tenant are cut into blocks with an upper
     bound of what they can score. Each query first meets the block with the highest bound; its k-th score there rules out the blocks that can't reach it,
     and the others are met next. A task scores one block for a slice of queries in numpy and hands on the k best of each query: neither a tenant nor a frequent word is a join key
-    of chunks and queries.
+    of chunks and queries. Where the tenants' pairs are few by count, they are joined.
     """
-    held = settled(_blocked(chunks, block))
-    asked = settled(queries.select("query_id", "tenant_id", "course_id", _unit(F.transform("embedding", lambda x: x.cast("double"))).alias("_u"),
-                                   F.coalesce("sparse", F.create_map().cast("map<string,double>")).alias("_s")).where("tenant_id IS NOT NULL"))
+    rows, asked = _prepared(chunks, "id"), _prepared(queries, "query_id")
+    sizes = settled(rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_n")))
+    pairs = asked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_q")).join(sizes, "tenant_id").agg(F.sum(F.col("_n") * F.col("_q"))).first()[0] or 0
+    if pairs <= direct:
+        sides = [x.withColumnsRenamed({"_u": "embedding", "_s": "sparse"}) for x in (asked, rows)]
+        both = dense_scores(*sides).join(sparse_scores(*sides), ["query_id", "id"], "left")
+        score = dense_weight * F.col("dense") + sparse_weight * F.coalesce("sparse", F.lit(0.0))
+        return _top(both.select("query_id", "id", score.alias("score")), top_k, sure)
+    held = _blocked(rows, sizes, block)
     places = settled(held.select("tenant_id", "block").distinct())
     kinds = {f.name: f.dataType.simpleString() for f in [*held.schema.fields, *asked.schema.fields]}
     key = ["tenant_id", "block", "slice"]
@@ -271,8 +284,11 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = 3, dense_w
         rest = bounds.join(first.select("query_id", F.col("block").alias("_met")), "query_id").where("block <> _met").join(reached, "query_id", "left")
         more = scored(rest.where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least"))).select("query_id", "tenant_id", "block"))
         every = found.unionByName(more)
-    every = every.withColumn("score", F.round("score", 6))
-    hits = top_per_key(every, ["query_id"], [F.desc("score"), F.asc("id")], top_k, "place")
+    return _top(every, top_k, sure)
+
+
+def _top(scored: DataFrame, top_k: int, sure: float) -> DataFrame:
+    hits = top_per_key(scored.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("id")], top_k, "place")
     # At most top_k rows of a query are left here.
     best = F.max("score").over(Window.partitionBy("query_id"))
     return hits.withColumn("confidence", F.round(best, 4)).withColumn("is_high_confidence", best >= sure)

@@ -171,10 +171,12 @@ def test_hybrid_search_by_blocks_equals_all_pairs(spark):
     schema = "%s long, tenant_id string, course_id string, embedding array<double>, sparse map<string,double>"
     chunks = [row(k, "big" if k % 10 else "small", pick.choice(["a", "b"])) for k in range(600)] + [row(900, None, "a")]
     queries = [row(k, pick.choice(["big", "small"]), pick.choice([None, "a", "b"])) for k in range(40)] + [row(50, "none", None), row(51, None, None)]
-    got = {}
-    df = retrieval.hybrid_search(spark.createDataFrame(queries, schema % "query_id"), spark.createDataFrame(chunks, schema % "id"), 5, 0.7, 0.05, block=16)
-    for r in df.orderBy("query_id", "place").collect():
-        got.setdefault(r.query_id, []).append((r.id, r.score))
+    found = []
+    for direct in (0, 10**6):
+        df = retrieval.hybrid_search(spark.createDataFrame(queries, schema % "query_id"), spark.createDataFrame(chunks, schema % "id"), 5, 0.7, 0.05, block=16, direct=direct)
+        found.append({})
+        for r in df.orderBy("query_id", "place").collect():
+            found[-1].setdefault(r.query_id, []).append((r.id, r.score))
     want = {}
     for q, tenant, course, v, sparse in queries:
         scores = []
@@ -185,5 +187,6 @@ def test_hybrid_search_by_blocks_equals_all_pairs(spark):
                 scores.append((-round(0.7 * dense + 0.05 * sum(w * (s2 or {}).get(t, 0.0) for t, w in (sparse or {}).items()), 6), c))
         if scores:
             want[q] = [(c, -s) for s, c in sorted(scores)[:5]]
-    assert {q: [c for c, _ in hits] for q, hits in got.items()} == {q: [c for c, _ in hits] for q, hits in want.items()}
-    assert all(abs(a[1] - b[1]) < 2e-6 for q in want for a, b in zip(got[q], want[q], strict=True))
+    for got in found:
+        assert {q: [c for c, _ in hits] for q, hits in got.items()} == {q: [c for c, _ in hits] for q, hits in want.items()}
+        assert all(abs(a[1] - b[1]) < 2e-6 for q in want for a, b in zip(got[q], want[q], strict=True))
