@@ -40,6 +40,7 @@ TO_MM = {"mm": 1.0, "毫米": 1.0, "cm": 10.0, "厘米": 10.0, "um": 0.001, "μm
 COUNT_UNITS = ("count", "pin", "pins", "个", "引脚", "")
 ANGLE_UNITS = ("deg", "degree", "degrees", "度", "°", "")
 MAY_BE_ZERO = ("negative_side_pin_span", "positive_side_pin_span")
+# Fixed patterns: a number, a unit, and what joins a label to its value
 NUMBER = r"([+-]?(?:\d+(?:\.\d*)?|\.\d+))"
 UNIT = r"(mm|毫米|cm|厘米|um|μm|微米|mil|mils|inch|inches|in|英寸|deg|degree|degrees|度|pins?|个)?"
 LINK = r"\s*(?:(?:[:=：])|(?:设定为|设为|等于|为|是|约))?\s*"
