@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Labels of the fields
@@ -39,6 +39,8 @@ TO_MM = {"mm": 1.0, "毫米": 1.0, "cm": 10.0, "厘米": 10.0, "um": 0.001, "μm
          "mils": 0.0254, "in": 25.4, "inch": 25.4, "inches": 25.4, "英寸": 25.4, "": 1.0}
 COUNT_UNITS = ("count", "pin", "pins", "个", "引脚", "")
 ANGLE_UNITS = ("deg", "degree", "degrees", "度", "°", "")
+#: Longest text of an answer
+MAX_TEXT = 4000
 MAY_BE_ZERO = ("negative_side_pin_span", "positive_side_pin_span")
 # Fixed patterns: a number, a unit, and what joins a label to its value
 NUMBER = r"([+-]?(?:\d+(?:\.\d*)?|\.\d+))"
@@ -71,9 +73,45 @@ def normalise_values(rows: DataFrame) -> DataFrame:
     return out.withColumns({"value": value, "unit": t}).drop("_target", "_unit", "_factor")
 
 
-def label_table(spark: SparkSession) -> DataFrame:
-    """(field, alias): a fixed table of about a hundred rows."""
-    return spark.createDataFrame([(f, a) for f, names in LABELS.items() for a in names], "field string, alias string")
+def _pattern(alias: Column) -> Column:
+    guard = F.when(alias.rlike("[A-Za-z0-9_]"), F.lit("(?<![A-Za-z0-9_])")).otherwise(F.lit(""))
+    quoted = F.regexp_replace(alias, r"([^\p{L}\p{N}_ ])", r"\\$1")
+    return F.concat(F.lit("(?i)"), guard, quoted, F.lit(LINK + NUMBER + r"\s*" + UNIT))
+
+
+def _asked(requests: DataFrame) -> DataFrame:
+    """(doc_id, _asked): fields are names of a fixed list, so the array of a document is bounded."""
+    return requests.where(F.col("field").isNotNull()).groupBy("doc_id").agg(F.collect_set("field").alias("_asked"))
+
+
+def _text_slots(rows: DataFrame) -> DataFrame:
+    """Slots read from rows(doc_id, text, _asked, _given): fields given otherwise are not read, but their labels count as theirs.
+
+    Every text is read where it stands, against the labels of its own fields, a literal test before each pattern; what
+    moves afterwards are the few slots found.
+    """
+    labels = F.create_map(*[x for f, names in LABELS.items() for x in (F.lit(f), F.array(*map(F.lit, names)))])
+    named = F.flatten(F.transform("_asked", lambda f: F.transform(
+        F.array_append(F.coalesce(F.try_element_at(labels, f), F.array().cast("array<string>")), f), lambda a: F.struct(f.alias("field"), a.alias("alias")))))
+    rows = rows.withColumns({"_named": named, "_low": F.lower("text")})
+
+    def owners(alias):
+        same = F.filter("_named", lambda y: F.lower(y["alias"]) == F.lower(alias))
+        return F.size(F.array_distinct(F.transform(same, lambda y: y["field"])))
+
+    def part(alias, group):
+        return F.call_function("regexp_extract", F.col("text"), _pattern(alias), F.lit(group))
+    hits = F.filter("_named", lambda x: ~F.array_contains("_given", x["field"]) & F.contains(F.col("_low"), F.lower(x["alias"]))
+                    & F.regexp_like("text", _pattern(x["alias"])))
+    read = F.transform(hits, lambda x: F.struct(
+        x["field"].alias("field"), F.length(x["alias"]).alias("_n"), x["alias"].alias("alias"), owners(x["alias"]).alias("_owners"),
+        part(x["alias"], 1).try_cast("double").alias("value"), part(x["alias"], 2).alias("unit")))
+    found = rows.select("doc_id", F.inline(read))
+    best = found.groupBy("doc_id", "field").agg(F.max(F.struct("_n", "alias", "_owners", "value", "unit")).alias("_b"))
+    out = normalise_values(best.select("doc_id", "field", "_b.alias", "_b._owners", "_b.value", "_b.unit"))
+    shared = F.col("_owners") > 1
+    return out.withColumns({"issue": F.when(shared, "ambiguous").otherwise(F.col("issue")),
+                            "value": F.when(~shared, F.col("value"))}).drop("_owners")
 
 
 def labelled_slots(answers: DataFrame, requests: DataFrame) -> DataFrame:
@@ -82,21 +120,28 @@ def labelled_slots(answers: DataFrame, requests: DataFrame) -> DataFrame:
     answers(doc_id, text), requests(doc_id, field). A matching label that two asked fields share is refused
     as ambiguous.
     """
-    labels = label_table(answers.sparkSession)
-    asked = requests.select("doc_id", "field").distinct()
-    named = asked.join(F.broadcast(labels), "field").unionByName(asked.select("field", "doc_id", F.col("field").alias("alias")))
-    owners = named.groupBy("doc_id", F.lower("alias").alias("_a")).agg(F.count_distinct("field").alias("_owners"))
-    rows = named.withColumn("_a", F.lower("alias")).join(owners, ["doc_id", "_a"]).join(answers, "doc_id")
-    guard = F.when(F.col("alias").rlike("[A-Za-z0-9_]"), F.lit("(?<![A-Za-z0-9_])")).otherwise(F.lit(""))
-    quoted = F.regexp_replace("alias", r"([^\p{L}\p{N}_ ])", r"\\$1")
-    rows = rows.withColumn("_p", F.concat(F.lit("(?i)"), guard, quoted, F.lit(LINK + NUMBER + r"\s*" + UNIT)))
-    rows = rows.where(F.regexp_like("text", F.col("_p")))
-    best = rows.groupBy("doc_id", "field").agg(F.max_by(
-        F.struct("text", "_p", "_owners", "alias"), F.struct(F.length("alias").alias("n"), F.col("alias"))).alias("_b"))
-    read = best.select("doc_id", "field", "_b.alias", "_b._owners",
-                       F.expr("try_cast(regexp_extract(_b.text, _b._p, 1) AS double)").alias("value"),
-                       F.expr("regexp_extract(_b.text, _b._p, 2)").alias("unit"))
-    out = normalise_values(read)
-    shared = F.col("_owners") > 1
-    return out.withColumns({"issue": F.when(shared, "ambiguous").otherwise(F.col("issue")),
-                            "value": F.when(~shared, F.col("value"))}).drop("_owners")
+    none = F.array().cast("array<string>")
+    return _text_slots(answers.select("doc_id", "text").join(_asked(requests), "doc_id").withColumn("_given", none))
+
+
+def answered_slots(answers: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Slots of whole answers (doc_id, field, alias, value, unit, issue), and one (doc_id, status) per answer.
+
+    answers(doc_id, action, text, slots MAP<STRING, STRUCT<value DOUBLE, unit STRING>>), one per document,
+    requests(doc_id, field). Structured slots come first (alias null), the text fills what they leave open. An answer
+    is refused for nothing_asked, action, unknown_field, text_too_long, no_slot or values, where one slot has an issue;
+    else it is cancelled or accepted.
+    """
+    given = F.coalesce(F.map_keys("slots"), F.array().cast("array<string>"))
+    action = F.lower(F.trim(F.coalesce(F.nullif("action", F.lit("")), F.lit("provide"))))
+    rows = answers.join(_asked(requests), "doc_id", "left").withColumn("_given", given)
+    status = (F.when(F.col("_asked").isNull(), "nothing_asked").when(~action.isin("provide", "cancel"), "action").when(action == "cancel", "cancelled")
+              .when(F.size(F.array_except("_given", "_asked")) > 0, "unknown_field").when(F.length("text") > MAX_TEXT, "text_too_long"))
+    judged = rows.withColumn("status", status)
+    readable = judged.where(F.col("status").isNull())
+    typed = readable.select("doc_id", F.explode("slots").alias("field", "_s")).select(
+        "doc_id", "field", F.lit(None).cast("string").alias("alias"), "_s.value", "_s.unit")
+    slots = normalise_values(typed).unionByName(_text_slots(readable.select("doc_id", "text", "_asked", "_given")))
+    found = slots.groupBy("doc_id").agg(F.count_if(F.col("issue").isNotNull()).alias("_bad"))
+    status = F.coalesce("status", F.when(F.col("_bad").isNull(), "no_slot").when(F.col("_bad") > 0, "values").otherwise("accepted"))
+    return slots, judged.select("doc_id", "status").join(found, "doc_id", "left").select("doc_id", status.alias("status"))

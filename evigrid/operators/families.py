@@ -504,6 +504,27 @@ def table_semantics(rows: DataFrame) -> DataFrame:
     return best.select("doc_id", "canonical_name", "_b.label_token", "_b.value_token", F.lit(0.99).alias("confidence"))
 
 
+# Fixed pattern: a terminal count in a text that names the part
+IDENTITY_COUNT = r"(?i)\b\d{1,3}\s*[-–—]?\s*(?:lead|pin)s?\b"
+
+
+def package_semantics(rows: DataFrame, identity: DataFrame) -> DataFrame:
+    """table_semantics and, from the first identity text that states one, the terminal count.
+
+    identity(doc_id, ord, token_id, text): the tokens of identity texts in order.
+    """
+    stated = identity.where(F.col("text").rlike(IDENTITY_COUNT)).groupBy("doc_id").agg(F.min_by("token_id", "ord").alias("label_token"))
+    counts = stated.select("doc_id", F.lit("nominal_pin_count").alias("canonical_name"), "label_token",
+                           F.lit(None).cast("string").alias("value_token"), F.lit(0.99).alias("confidence"))
+    return table_semantics(rows).unionByName(counts)
+
+
+def unresolved_fields(docs: DataFrame, found: DataFrame, required: tuple[str, ...] = REQUIRED[QFN]) -> DataFrame:
+    """Required fields no assignment names: (doc_id, field); found(doc_id, canonical_name)."""
+    wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, required))).alias("field"))
+    return wanted.join(found.select("doc_id", F.col("canonical_name").alias("field")), ["doc_id", "field"], "left_anti")
+
+
 def corner_counts(numbers: DataFrame) -> DataFrame:
     """Largest multiple of four whose corner numbers appear at least four times among the numbers of a drawing.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import thresholds as T
 from ..functions.dimensions import explicit_count, with_dimensions
 from ..session import settled
-from .ordering import top_per_key
+from .ordering import ranked, top_per_key
 
 COUNT_FIELDS = ("circuit_count", "nominal_pin_count")
 ASSIGNMENT = ["doc_id", "assignment_id"]
@@ -185,6 +185,19 @@ def merge_views(classes: DataFrame, views: DataFrame, assignments: DataFrame, fe
     return lowest, kept, left
 
 
+def merged_assignments(assignments: DataFrame) -> DataFrame:
+    """The assignments of all views of a document in the order of views and places, numbered from 1 as `place`.
+
+    assignments(doc_id, view_no, pos, ...). Views are the buckets, so a document of very many views is numbered in many tasks.
+    """
+    return ranked(assignments, ["doc_id"], [F.col("view_no"), F.col("pos")], F.col("view_no"), "place")
+
+
+def first_seen(rows: DataFrame) -> DataFrame:
+    """Distinct names of a document with their first place (view_no, pos): what stays of ambiguities."""
+    return rows.groupBy("doc_id", "name").agg(F.min(F.struct("view_no", "pos")).alias("place"))
+
+
 def repair_extraction(original: DataFrame, repair: DataFrame, issue_fields: DataFrame) -> DataFrame:
     """Dimensions after a second reading: only fields at issue are replaced.
 

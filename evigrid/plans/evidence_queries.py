@@ -155,6 +155,16 @@ def a14_features(spark, sf):
     return _views(spark, sf)[1].select("doc_id", "name", (F.col("place.view_no") * 1000000 + F.col("place.pos")).cast("bigint").alias("place"))
 
 
+@query("a14_merged_assignments", ctes("placed_assignments") + " SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY view_no, pos) AS place FROM placed_assignments")
+def a14_assignments(spark, sf):
+    return fusion.merged_assignments(frame(spark, sf, "placed_assignments"))
+
+
+@query("a14_ambiguities", ctes("view_unresolved") + " SELECT doc_id, name, CAST(min(view_no * 1000000 + pos) AS BIGINT) AS place FROM view_unresolved GROUP BY 1, 2")
+def a14_ambiguities(spark, sf):
+    return fusion.first_seen(frame(spark, sf, "view_unresolved")).select("doc_id", "name", (F.col("place.view_no") * 1000000 + F.col("place.pos")).cast("bigint").alias("place"))
+
+
 @query("a14_open_fields", ctes("view_assignments", "view_features", "view_unresolved") + """ SELECT DISTINCT doc_id, name FROM view_unresolved u
   WHERE NOT EXISTS (SELECT 1 FROM view_assignments a WHERE a.doc_id = u.doc_id AND a.canonical_name = u.name) AND NOT EXISTS (SELECT 1 FROM view_features f WHERE f.doc_id = u.doc_id AND f.name = u.name)""")
 def a14_open(spark, sf):
@@ -381,6 +391,25 @@ def j26(spark, sf):
     return families.table_semantics(frame(spark, sf, "table_rows"))
 
 
+PACKAGE = ctes("table_rows", "identity_tokens") + f""", sy(s, canonical_name) AS (VALUES {SYMBOLS}), r AS (SELECT *, CASE WHEN trim(label) IN ('b', 'e') THEN trim(label) ELSE upper(trim(label)) END AS s, coalesce(nullif(nom, ''), nullif(max, ''), nullif(min, '')) AS v FROM table_rows),
+  k AS (SELECT doc_id, canonical_name, arg_max(label_token, (confidence, -ord)) AS label_token, arg_max(v, (confidence, -ord)) AS value_token FROM r JOIN sy USING (s) WHERE v IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT DISTINCT ON (doc_id) doc_id, 'nominal_pin_count', token_id, NULL FROM (SELECT * FROM identity_tokens WHERE text LIKE 'UFQFPN, %' ORDER BY doc_id, ord))"""
+
+
+def _package(spark, sf):
+    return families.package_semantics(*_frames(spark, sf, "table_rows", "identity_tokens"))
+
+
+@query("j26_package_semantics", PACKAGE + " SELECT *, CAST(0.99 AS DOUBLE) AS confidence FROM k")
+def j26_package(spark, sf):
+    return _package(spark, sf)
+
+
+@query("j26_unresolved_fields", PACKAGE + f" SELECT doc_id, field FROM (SELECT DISTINCT doc_id, unnest({list(families.REQUIRED[families.QFN])}) AS field FROM table_rows) ANTI JOIN (SELECT doc_id, canonical_name AS field FROM k) USING (doc_id, field)")
+def j26_unresolved(spark, sf):
+    return families.unresolved_fields(frame(spark, sf, "table_rows").select("doc_id").distinct(), _package(spark, sf))
+
+
 @query("j27_corner_counts", ctes("drawn_numbers") + """, k AS (SELECT DISTINCT * FROM drawn_numbers), c AS (SELECT doc_id, number AS n, unnest(list_distinct([1, number // 4, number // 4 + 1, number // 2, number // 2 + 1, 3 * number // 4, 3 * number // 4 + 1, number])) AS number FROM k WHERE number >= 4 AND number % 4 = 0),
   h AS (SELECT doc_id, n FROM c JOIN k USING (doc_id, number) GROUP BY 1, 2 HAVING count(*) >= 4) SELECT doc_id, max(n) AS nominal_pin_count FROM h GROUP BY 1""")
 def j27(spark, sf):

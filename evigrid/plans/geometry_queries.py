@@ -76,6 +76,18 @@ def t3(spark, sf):
     return geometry.view_evidence(*_frames(spark, sf, "regions", "boxes", "images"))
 
 
+@query("t3_view_links", ctes("boxes", "regions", "images", "drawn_lines") + ", " + GROWN + f""", kept AS (SELECT doc_id, region_id, id FROM near
+    WHERE confidence >= 0.55 AND regexp_matches(text, '{geometry.ENGINEERING}') QUALIFY row_number() OVER (PARTITION BY doc_id, region_id ORDER BY own DESC, confidence DESC, y1, x1, ord) <= 36),
+  reach AS (SELECT doc_id, greatest(35.0, median(greatest(1, y2 - y1)) * 3) AS r FROM boxes GROUP BY 1),
+  d AS (SELECT b.doc_id, b.id, line_id, l.ord, sqrt(((b.x1 + b.x2) / 2.0 - (lx1 + lx2) / 2.0) ** 2 + ((b.y1 + b.y2) / 2.0 - (ly1 + ly2) / 2.0) ** 2) AS distance FROM boxes b JOIN drawn_lines l ON b.doc_id = l.doc_id),
+  links AS (SELECT doc_id, id, line_id, row_number() OVER (PARTITION BY doc_id, id ORDER BY distance, ord) AS rank FROM d JOIN reach USING (doc_id) WHERE distance <= r QUALIFY rank <= 6),
+  shown AS (SELECT * FROM kept JOIN links USING (doc_id, id))
+  SELECT doc_id, region_id, id, line_id, rank FROM shown SEMI JOIN (SELECT * FROM shown WHERE rank <= 2) USING (doc_id, region_id, line_id)""")
+def t3_links(spark, sf):
+    kept = geometry.view_evidence(*_frames(spark, sf, "regions", "boxes", "images"))
+    return geometry.view_links(kept, geometry.link_lines(*_frames(spark, sf, "boxes", "drawn_lines")))
+
+
 @query("j7_pad_clearances", ctes("pads", "pad_specs") + """, al AS (SELECT spec_id, ord, number, x, y, size_x, size_y, shape FROM pads
     UNION ALL SELECT spec_id, 2147483647, ep_pin_number, 0.0, 0.0, ep_x, ep_y, 'RECTANGLE' FROM pad_specs WHERE ep_present),
   p AS (SELECT spec_id, a.number AS first, b.number AS second, CAST(min_clearance AS DOUBLE) AS min_clearance, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, a.shape AS s, b.shape AS t,

@@ -218,3 +218,37 @@ def u3(spark, sf):
   SELECT doc_id, field, round(CASE WHEN issue IS NULL THEN CASE target WHEN 'mm' THEN mm ELSE value END END, 6) AS value, target AS unit, issue FROM i""")
 def x18(spark, sf):
     return answers.normalise_values(frame(spark, sf, "typed_values")).withColumn("value", F.round("value", 6))
+
+
+ALIASES = ", ".join(f"('{f}', '{a}')" for f, names in answers.LABELS.items() for a in (*names, f))
+FACTORS = " ".join(f"WHEN '{u}' THEN {f}" for u, f in answers.TO_MM.items() if u)
+ANSWERS = ctes("answer_texts", "answer_requests") + f""", labels(field, alias) AS (VALUES {ALIASES}),
+  asked AS (SELECT DISTINCT doc_id, field FROM answer_requests),
+  foreign_ AS (SELECT doc_id FROM (SELECT doc_id, unnest(map_keys(slots)) AS field FROM answer_texts) ANTI JOIN asked USING (doc_id, field)),
+  head AS (SELECT *, CASE WHEN doc_id NOT IN (SELECT doc_id FROM asked) THEN 'nothing_asked' WHEN lower(trim(coalesce(nullif(action, ''), 'provide'))) NOT IN ('provide', 'cancel') THEN 'action'
+    WHEN lower(trim(action)) = 'cancel' THEN 'cancelled' WHEN doc_id IN (SELECT doc_id FROM foreign_) THEN 'unknown_field' WHEN length(text) > 4000 THEN 'text_too_long' END AS refused FROM answer_texts),
+  given AS (SELECT doc_id, e.key AS field, NULL AS alias, e.value.value AS value, e.value.unit AS unit, false AS shared FROM (SELECT doc_id, unnest(map_entries(slots)) AS e FROM head WHERE refused IS NULL)),
+  named AS (SELECT doc_id, field, alias FROM asked JOIN labels USING (field)),
+  found AS (SELECT doc_id, field, alias, (SELECT count(DISTINCT field) FROM named o WHERE o.doc_id = n.doc_id AND o.alias = n.alias) > 1 AS shared,
+      '(?:^|[^A-Za-z0-9_])' || alias || '{answers.LINK}{answers.NUMBER}\\s*{answers.UNIT}' AS p, text FROM named n JOIN head USING (doc_id) WHERE refused IS NULL),
+  hit AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY length(alias) DESC, alias DESC) AS rn FROM (SELECT * FROM found ANTI JOIN given USING (doc_id, field)) WHERE regexp_matches(text, p, 'i')),
+  raw AS (SELECT * FROM given UNION ALL SELECT doc_id, field, alias, TRY_CAST(regexp_extract(text, p, 1, 'i') AS DOUBLE), regexp_extract(text, p, 2, 'i'), shared FROM hit WHERE rn = 1),
+  t AS (SELECT *, CASE WHEN suffix(field, '_count') THEN 'count' ELSE 'mm' END AS target FROM raw),
+  u AS (SELECT *, lower(CASE WHEN coalesce(unit, '') = '' THEN target ELSE unit END) AS u FROM t), m AS (SELECT *, value * CASE u {FACTORS} END AS mm FROM u),
+  slots AS (SELECT doc_id, field, alias, mm, value AS v, target, CASE WHEN shared THEN 'ambiguous' WHEN value IS NULL THEN 'not_a_number' WHEN target = 'count' THEN CASE WHEN u NOT IN ('count', 'pin', 'pins', '个') THEN 'unit' WHEN value NOT BETWEEN 1 AND 1000 OR value <> floor(value) THEN 'bounds' END
+    ELSE CASE WHEN mm IS NULL THEN 'unit' WHEN mm <= 0 OR mm > 1000 THEN 'bounds' END END AS issue FROM m)"""
+
+
+def _answers(spark, sf):
+    return answers.answered_slots(frame(spark, sf, "answer_texts"), frame(spark, sf, "answer_requests"))
+
+
+@query("x18_answered_slots", ANSWERS + " SELECT doc_id, field, alias, round(CASE WHEN issue IS NULL THEN CASE target WHEN 'mm' THEN mm ELSE v END END, 6) AS value, target AS unit, issue FROM slots")
+def x18_slots(spark, sf):
+    return _answers(spark, sf)[0].withColumn("value", F.round("value", 6))
+
+
+@query("x18_answer_status", ANSWERS + """, b AS (SELECT doc_id, count(issue) AS bad FROM slots GROUP BY 1)
+  SELECT doc_id, coalesce(refused, CASE WHEN bad IS NULL THEN 'no_slot' WHEN bad > 0 THEN 'values' ELSE 'accepted' END) AS status FROM head LEFT JOIN b USING (doc_id)""")
+def x18_status(spark, sf):
+    return _answers(spark, sf)[1]

@@ -279,6 +279,15 @@ shape("typed_values", "part", [
     "CASE WHEN p_partkey % 10 = 0 THEN 0.0 WHEN p_partkey % 7 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_retailprice / 10 END AS value",
     f"{choice('p_partkey % 9', 'mm', 'cm', 'Mil', 'inch', '', 'pins', 'deg', 'um', '英寸')} AS unit"])
 
+shape("answer_texts", "part", [
+    "CAST(p_partkey AS STRING) AS doc_id", f"{choice('p_partkey % 17', 'cancel', 'drop', ' Provide ')} AS action",
+    f"{choice('p_size % 11', 'pitch: 0.65 mm, overall height = 1.2', 'Body height 45 mil; body width is 3', '引脚间距为0.5毫米', 'pin count 16 pins, total height -1 mm', 'nothing here', 'terminal_pitch=20 mil lead spacing 0.8 cm', 'OVERALL WIDTH 2 inch, pitch 3 deg', 'subpitch 4 mm', 'lead span 2. lead length .5 um', '引脚数 7.5 个', 'pitch 1 mm pitch 2 mm')} || CASE WHEN p_partkey % 97 = 0 THEN repeat(' ', 4000) ELSE '' END AS text",
+    ("CASE WHEN p_partkey % 5 = 0 THEN map('terminal_pitch', named_struct('value', CAST(p_size AS DOUBLE), 'unit', 'mil')) WHEN p_partkey % 7 = 0 THEN map('body_width', named_struct('value', CAST(2 AS DOUBLE), 'unit', CAST(NULL AS STRING))) END AS slots",
+     "CASE WHEN p_partkey % 5 = 0 THEN MAP {'terminal_pitch': {'value': CAST(p_size AS DOUBLE), 'unit': 'mil'}} WHEN p_partkey % 7 = 0 THEN MAP {'body_width': {'value': CAST(2 AS DOUBLE), 'unit': CAST(NULL AS VARCHAR)}} END AS slots")])
+shape("request_slots", "part", ["p_partkey", series("0", "2", "i")], "p_partkey % 23 <> 0")
+shape("answer_requests", "request_slots", [
+    "CAST(p_partkey AS STRING) AS doc_id", f"{choice('(p_partkey + i * 3) % 9', 'terminal_pitch', 'lead_spacing', 'body_height', 'housing_height', 'nominal_pin_count', 'pin_span', 'total_height', 'overall_width', 'body_width')} AS field"])
+
 # --- geometry -----------------------------------------------------------------------------------------------------------
 
 
@@ -461,6 +470,12 @@ shape("decision_options", "decision_slots", ["decision_id", f"{choice('i', 'ic',
     "CAST(CASE WHEN choice = CASE i WHEN 0 THEN 'ic' WHEN 1 THEN 'resistor' WHEN 2 THEN 'unknown' ELSE 'misc' END THEN 0.4 + (decision_id % 50) / CAST(100 AS DOUBLE) ELSE (0.6 - (decision_id % 50) / CAST(100 AS DOUBLE)) / 3 END"
     " + CASE WHEN decision_id % 13 = 0 THEN 0.05 ELSE 0 END AS DOUBLE) AS probability"])
 shape("view_assignments", "lineitem", ["CAST(l_orderkey AS STRING) AS doc_id", "l_linenumber AS view_no", f"{choice('l_partkey % 8', *_FIELDS)} AS canonical_name"], "l_returnflag <> 'N'")
+shape("placed_assignments", "lineitem", ["CAST(l_orderkey AS STRING) AS doc_id", "l_linenumber % 3 AS view_no", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos", f"{choice('l_partkey % 8', *_FIELDS)} AS canonical_name"], "l_returnflag <> 'N'")
+shape("identity_classes", "documents", ["CAST(doc_id AS STRING) AS doc_id", f"{choice('doc_id % 3', 'SOIC', 'QFN')} AS package_type"])
+shape("identity_slots", "documents", ["doc_id", series("1", "CAST(doc_id % 27 AS INT)", "i")])
+shape("identity_views", "identity_slots", ["CAST(doc_id AS STRING) AS doc_id", f"{choice('(doc_id + i) % 4', 'top', 'side', 'bottom')} AS view_type"])
+shape("identity_features", "identity_slots", ["CAST(doc_id AS STRING) AS doc_id", "CAST(40 - i AS INT) AS pos", "'f' || CAST(i % 5 AS STRING) AS name"])
+shape("identity_tokens", "part", ["p_brand AS doc_id", "p_partkey AS ord", "'i' || CAST(p_partkey AS STRING) AS token_id", f"{choice('p_size % 5', 'QFN outline', '8 mm pins', 'drawing A1234-lead', 'UFQFPN, 48 - Leads', '7x7')} AS text"], "p_size % 3 = 0")
 shape("view_confidences", "lineitem", ["CAST(l_orderkey AS STRING) AS doc_id", "l_linenumber AS view_no", "CAST(0.5 + l_tax + l_discount AS DOUBLE) AS confidence"])
 shape("view_classes", "orders", ["CAST(o_orderkey AS STRING) AS doc_id", "CAST(0.6 + (o_custkey % 40) / CAST(100 AS DOUBLE) AS DOUBLE) AS confidence"])
 shape("view_features", "lineitem", ["CAST(l_orderkey AS STRING) AS doc_id", "l_linenumber AS view_no", "CAST(l_partkey AS INT) AS pos", f"{choice('l_suppkey % 6', *_FIELDS[:6])} AS name"], "l_linestatus = 'F'")

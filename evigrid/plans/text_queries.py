@@ -163,6 +163,15 @@ def a28(spark, sf):
                       F.array_join(F.col("pin_counts").cast("array<string>"), "|").alias("pin_counts"))
 
 
+@query("a28_identity_state", ctes("identity_classes", "identity_views", "identity_features") + """ SELECT doc_id, coalesce(package_type, '') AS package_type,
+    coalesce((SELECT string_agg(DISTINCT view_type, '|' ORDER BY view_type) FROM identity_views v WHERE v.doc_id = c.doc_id), '') AS identified_views,
+    coalesce((SELECT string_agg(name, '|' ORDER BY pos) FROM (SELECT * FROM identity_features ORDER BY pos) f WHERE f.doc_id = c.doc_id AND pos <
+      (SELECT min(pos) + 20 FROM identity_features g WHERE g.doc_id = c.doc_id)), '') AS detected_features FROM identity_classes c""")
+def a28_state(spark, sf):
+    out = text.identity_state(frame(spark, sf, "identity_classes"), text.identity_rows(frame(spark, sf, "tokens")), frame(spark, sf, "identity_views"), frame(spark, sf, "identity_features"))
+    return out.select("doc_id", "package_type", F.array_join("identified_views", "|").alias("identified_views"), F.array_join("detected_features", "|").alias("detected_features"))
+
+
 # --- dimensions and cells -----------------------------------------------------------------------------------------------
 def _num(pattern: str, group: int, source: str = "v") -> str:
     return f"TRY_CAST(regexp_extract({source}, '{pattern}', {group}) AS DOUBLE)"
