@@ -1,14 +1,15 @@
 """The visible text of HTML pages, laid out: blocks apart, lists with markers, table cells aligned.
 
 A page is read into a tree: a start tag closes what can't hold it (a paragraph before a block, an item before the next, a cell before a
-row), missing rows are put in, end tags without a start are ignored and what stays open ends with its parent. Script, style and
-the like hold raw text. Elements open at any depth. The tree is walked once, by a stack of its own, as Python's calls end too soon:
+row), missing rows are put in, end tags without a start are ignored and what stays open ends with its parent. The end tag of an inline
+element leaves the blocks open inside it as they are: a formatting element (b, a, font ...) ends there and what follows in these blocks isn't
+in it, the tag of any other is ignored. Script, style and the like hold raw text. Elements open at any depth. The tree is walked once, by a stack of its own, as Python's calls end too soon:
 
-* hidden are the elements of HIDDEN, those with `hidden`, display:none, inputs, closed dialogs, and text under visibility:hidden that isn't
-  made visible again;
-* runs of white space are one blank, but not in pre and textarea; br is a new line;
+* hidden are the elements of HIDDEN, those with `hidden`, display:none, inputs, closed dialogs, closed details but for their first summary, and text
+  under visibility:hidden that isn't made visible again;
+* runs of white space are one blank, but not in pre and textarea or as white-space says; br is a new line;
 * blocks begin on a new line, those of SPACED with an empty line before and after;
-* items have "- " or their number, by start, value and reversed, and are indented by their depth;
+* items have "- " or their number, by start, value and reversed, and are indented by their depth; a list in a list has no empty lines around it;
 * a table is a grid with column and row spans; a column is as wide as its widest cell, cells are two blanks apart, lines of a cell
   stay in its column. A table in a cell is laid out in it.
 
@@ -36,6 +37,11 @@ BLOCK = frozenset("html body address article aside blockquote center details dia
                   "caption tbody thead tfoot tr td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure hr fieldset xmp".split())
 ENDS_P = BLOCK - frozenset("html body dd dt li option optgroup caption tbody thead tfoot tr td th legend".split()) | {"li", "dd", "dt"}
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that the end tag of an inline element can't close
+SPECIAL = BLOCK | frozenset("applet button head marquee noscript object select template".split())
+WHITE_SPACE = {"pre": "kept", "pre-wrap": "kept", "break-spaces": "kept", "pre-line": "lined", "normal": "text", "nowrap": "text"}
 #: A start tag closes an open element of the first set, unless one of the second is open inside
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "table", "td", "th"}),
@@ -56,10 +62,11 @@ _NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "ended")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], children: list | None = None):
+        self.tag, self.attributes, self.children = tag, attributes, [] if children is None else children
+        self.ended = False  # by an end tag, while blocks inside are still open
 
 
 def _attributes(page: str, at: int, no_more: set[str]) -> tuple[dict[str, str], int]:
@@ -136,17 +143,44 @@ def tree_of(page: str) -> Element:
     root = Element("html", {})
     open_ = [root]
     places: dict[str, list[int]] = {}  # where in open_ the elements of a tag stand, so that depth costs no search
+    special: list[int] = []  # where those of SPECIAL stand
 
     def push(tag, attributes):
         node = Element(tag, attributes)
         open_[-1].children.append(node)
         if tag not in VOID:
             places.setdefault(tag, []).append(len(open_))
+            if tag in SPECIAL:
+                special.append(len(open_))
             open_.append(node)
 
     def cut(k) -> None:
-        while len(open_) > k:
-            places[open_.pop().tag].pop()
+        while len(open_) > k or open_[-1].ended:
+            node = open_.pop()
+            if not node.ended:
+                places[node.tag].pop()
+            if special and special[-1] == len(open_):
+                special.pop()
+
+    def end_early(k) -> None:
+        """End an element in which blocks stay open. If it hides its text, they move out of it, and what they hold so far goes into copies of it."""
+        node, inside, holder = open_[k], open_[k + 1:], open_[k - 1]
+        places[node.tag].pop()
+        if not _hides(node):
+            node.ended = True
+            return
+        node.children.pop()
+        for i, inner in enumerate(inside):
+            holder.children.append(inner)
+            before = inner.children
+            if i + 1 < len(inside):
+                before.pop()
+            inner.children = [Element(node.tag, node.attributes, before)] if before else []
+            holder = inner
+        del open_[k]
+        for t in {e.tag for e in inside}:
+            places[t] = [at - (at > k) for at in places[t]]
+        special[:] = [at - (at > k) for at in special]
 
     def last(tags) -> int:
         return max((places[t][-1] for t in tags if places.get(t)), default=0)
@@ -164,8 +198,17 @@ def tree_of(page: str) -> Element:
         if kind == "end":
             if tag == "br":
                 push("br", {})
-            elif tag not in ("html", "body"):
+            elif tag in HEADINGS:
+                close(HEADINGS, {"td", "th", "table"})
+            elif tag == "li":
+                close({"li"}, {"ul", "ol", "menu", "td", "th", "table"})
+            elif tag in SPECIAL and tag not in ("html", "body"):
                 close({tag}, {"td", "th", "table"} - {tag} if tag not in ("tr", "tbody", "thead", "tfoot", "table") else {"table"} - {tag})
+            elif (k := last({tag})) > last({"td", "th", "table", "caption"}):
+                if not special or special[-1] < k:
+                    cut(k)
+                elif tag in FORMATTING:
+                    end_early(k)
             continue
         if tag == "html":
             continue
@@ -175,7 +218,7 @@ def tree_of(page: str) -> Element:
             cut(len(open_) - 1)
         if tag in ENDS_P:
             close({"p"}, {"table", "td", "th", "button"})
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and open_[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in HEADINGS and open_[-1].tag in HEADINGS:
             cut(len(open_) - 1)
         if tag in CLOSES:
             close(*CLOSES[tag])
@@ -192,15 +235,28 @@ def _style(node: Element) -> dict[str, str]:
     return {k.strip().lower(): v.replace("!important", "").strip().lower() for k, _, v in (p.partition(":") for p in style.split(";"))}
 
 
+def _hides(node: Element) -> bool:
+    style = _style(node)
+    return "hidden" in node.attributes or style.get("display") == "none" or "visibility" in style
+
+
+def _spaces(node: Element, given: str) -> str:
+    """What becomes of white space in a node, as a method of Lines."""
+    if node.tag in ("pre", "textarea", "xmp"):
+        given = "kept"
+    return WHITE_SPACE.get(_style(node).get("white-space", ""), given)
+
+
 def _number(node: Element, name: str, default: int) -> int:
     m = _NUMBER.match(node.attributes.get(name, ""))
     return int(m[1]) if m else default
 
 
 class Lines:
-    """Lines under construction: one that is open, and the empty lines due before the next."""
+    """Lines under construction: one that is open, and the empty lines due before the next. Lists nested in a list's lines have none around them."""
 
-    def __init__(self):
+    def __init__(self, nested: bool = False):
+        self.nested = nested
         self.lines: list[str] = []
         self.now = ""
         self.gap = 0
@@ -220,6 +276,14 @@ class Lines:
             self.line(True)
             self.now = line
 
+    def lined(self, s: str) -> None:
+        """Text whose lines stay, with runs of blanks as one."""
+        head, *rest = s.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        self.text(head)
+        for line in rest:
+            self.line(True)
+            self.text(line)
+
     def line(self, always: bool = False) -> None:
         """End the open line; one without text counts only if it was asked for."""
         now = self.now.rstrip(" ")
@@ -262,11 +326,11 @@ def _run(walk: Generator) -> list[str] | None:
     return result
 
 
-def _walk(node: Element, out: Lines, shown: bool, pre: bool, preset: list | None = None) -> Generator:
+def _walk(node: Element, out: Lines, shown: bool, spaces: str, preset: list | None = None) -> Generator:
     for child in preset if preset is not None else node.children:
         if isinstance(child, str):
             if shown:
-                (out.kept if pre else out.text)(child)
+                getattr(out, spaces)(child)
             continue
         tag, given = child.tag, child.attributes
         if tag in HIDDEN or "hidden" in given or tag == "dialog" and "open" not in given:
@@ -285,35 +349,38 @@ def _walk(node: Element, out: Lines, shown: bool, pre: bool, preset: list | None
             out.space()
             continue
         if tag in ("ul", "ol", "menu"):
-            (out.space if node.tag != "li" else out.line)()
-            out.add((yield _list_lines(child, see, pre)))
-            (out.space if node.tag != "li" else out.line)()
+            (out.line if out.nested else out.space)()
+            out.add((yield _list_lines(child, see, _spaces(child, spaces))))
+            (out.line if out.nested else out.space)()
             continue
         if tag == "dd":
             out.line()
-            part = Lines()
-            yield _walk(child, part, see, pre)
+            part = Lines(out.nested)
+            yield _walk(child, part, see, _spaces(child, spaces))
             out.add(["  " + s if s else s for s in part.done()])
             continue
         block = tag in BLOCK
         if block:
             (out.space if tag in SPACED else out.line)()
-        yield _walk(child, out, see, pre or tag in ("pre", "textarea", "xmp"))
+        summary = None
+        if tag == "details" and "open" not in given:
+            summary = [c for c in child.children if isinstance(c, Element) and c.tag == "summary"][:1]
+        yield _walk(child, out, see, _spaces(child, spaces), summary)
         if block:
             (out.space if tag in SPACED else out.line)()
         elif tag in ("td", "th"):
             out.text(" ")
 
 
-def _list_lines(node: Element, shown: bool, pre: bool) -> Generator:
+def _list_lines(node: Element, shown: bool, spaces: str) -> Generator:
     items = [c for c in node.children if isinstance(c, Element) and c.tag == "li"]
     step = -1 if "reversed" in node.attributes else 1
     number = _number(node, "start", len(items) if step < 0 else 1)
     out = Lines()
     for child in node.children:
-        part = Lines()
+        part = Lines(True)
         if isinstance(child, str) or child.tag != "li":
-            yield _walk(node, part, shown, pre, [child])
+            yield _walk(node, part, shown, spaces, [child])
             out.add(part.done())
             continue
         if child.tag == "li" and node.tag == "ol":
@@ -330,7 +397,7 @@ def _list_lines(node: Element, shown: bool, pre: bool) -> Generator:
                 number -= step
             continue
         see = {"hidden": False, "collapse": False, "visible": True}.get(_style(wrapped).get("visibility", ""), shown)
-        yield _walk(holder, part, see, pre)
+        yield _walk(holder, part, see, _spaces(child, spaces))
         lines = part.done()
         if lines:
             out.add([mark + lines[0], *[" " * len(mark) + s if s else s for s in lines[1:]]])
@@ -360,10 +427,10 @@ def _table_lines(table: Element, shown: bool) -> Generator:
                     yield gather(child, see)
                 elif child.tag == "caption":
                     part = Lines()
-                    yield _walk(child, part, see, False)
+                    yield _walk(child, part, see, _spaces(child, "text"))
                     captions.append(part.done())
                 else:  # what a table can't hold stands before it
-                    yield _walk(node, loose, now, False, [child])
+                    yield _walk(node, loose, now, "text", [child])
 
     yield gather(table, shown)
     grid: dict[tuple[int, int], list[str]] = {}
@@ -382,14 +449,14 @@ def _table_lines(table: Element, shown: bool) -> Generator:
             if look is None:
                 continue
             if cell.tag not in ("td", "th"):
-                yield _walk(row, loose, see, False, [cell])
+                yield _walk(row, loose, see, "text", [cell])
                 continue
             while covered.get(x, 0) > 0:
                 x += 1
             across = min(max(_number(cell, "colspan", 1), 1), MOST_COLUMNS)
             down = max(_number(cell, "rowspan", 1), 0) or len(rows)
             part = Lines()
-            yield _walk(cell, part, look, False)
+            yield _walk(cell, part, look, _spaces(cell, "text"))
             lines = part.done()
             if across == 1:
                 grid[y, x] = lines
@@ -435,7 +502,7 @@ def visible_text(page: str | None) -> str:
     if not page:
         return ""
     out = Lines()
-    _run(_walk(tree_of(page), out, True, False))
+    _run(_walk(tree_of(page), out, True, "text"))
     return "\n".join(out.done())
 
 
