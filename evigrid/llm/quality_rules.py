@@ -19,6 +19,7 @@ rules decide. Labels with a null are left out. Extra columns are ignored. An emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 SAMPLE, TREES, FOREST = 4096, 128, 256
 LOST = 0.002
 SEED = 29
+#: Cells into which a round of `quantiles` cuts a range
+BINS = 1024
 #: What the forest sees, from the statistics: per word or line, so that length alone is no anomaly
 GROUPS = (("symbols", "marks", "capitals"), ("word_length",), ("dup_lines",), ("repeats",), ("digits",))
 RATIOS = ("symbols", "marks", "capitals", "word_length", "dup_lines", "repeats", "digits")
@@ -192,14 +195,47 @@ def _scorer(forests: list[tuple], levels: list[float]):
     return score
 
 
+def quantiles(rows: DataFrame, columns: list[str], at: float) -> list[float] | None:
+    """Exact quantiles of finite columns, between neighbours in proportion; None without rows.
+
+    The range that holds a wanted rank is cut into BINS, and the bin with the rank is the next range, down to the least and the largest value in
+    it, until these are one. So no task holds the values of a column; a round counts in the tasks and sends at most BINS counts for
+    each of two ranks of a column, and a double is reached in a few rounds.
+    """
+    first = rows.agg(F.count("*"), *[f(c) for c in columns for f in (F.min, F.max)]).first()
+    if not first[0]:
+        return None
+    place = at * (first[0] - 1)
+    low_rank, high_rank = math.floor(place), math.ceil(place)
+    found = {(c, rank): (first[1 + 2 * i], first[2 + 2 * i], rank) for i, c in enumerate(columns) for rank in (low_rank, high_rank)}
+    while wanted := [k for k, (low, high, _) in found.items() if low < high]:
+        tests = []
+        for j, k in enumerate(wanted):
+            low, high, _ = found[k]
+            value = F.col(k[0])
+            cell = F.least(F.lit(BINS - 1), F.floor((value - F.lit(low)) / F.lit(high - low) * BINS).cast("int"))
+            tests.append(F.when(value.between(low, high), F.struct(F.lit(j).alias("j"), cell.alias("cell"), value.alias("value"))))
+        counts = rows.select(F.inline(F.array_compact(F.array(*tests)))).groupBy("j", "cell").agg(F.count("*"), F.min("value"), F.max("value")).collect()
+        done = set()
+        for j, _, n, low, high in sorted(map(tuple, counts)):
+            rank = found[wanted[j]][2]
+            if j not in done and rank < n:
+                done.add(j)
+                found[wanted[j]] = low, high, rank
+            elif j not in done:
+                found[wanted[j]] = *found[wanted[j]][:2], rank - n
+    values = [(found[c, low_rank][0], found[c, high_rank][0]) for c in columns]
+    return [a if a == b else (high_rank - place) * a + (place - low_rank) * b for a, b in values]
+
+
 def _calibrated(parts: DataFrame) -> tuple[list[float], float | None]:
     """The level of each part and the threshold, from (quality, part0 ...) of labelled documents that pass the base rules."""
-    good, at = F.col("quality") == 1, F.lit(1 - LOST)
-    levels = list(parts.where(good).agg(*[F.percentile(f"part{i}", at) for i in range(len(GROUPS))]).first())
-    if levels[0] is None:
+    good = F.col("quality") == 1
+    levels = quantiles(parts.where(good), [f"part{i}" for i in range(len(GROUPS))], 1 - LOST)
+    if levels is None:
         return [0.5] * len(GROUPS), None
     scored = parts.select("quality", (F.lit(0.5) + F.greatest(*[F.col(f"part{i}") - F.lit(v) for i, v in enumerate(levels)]) / 2).alias("score"))
-    threshold = scored.where(good).agg(F.percentile("score", at)).first()[0]
+    threshold, = quantiles(scored.where(good), ["score"], 1 - LOST)
     fine = F.ceil(F.col("score") * 1000)
     rows = scored.groupBy(fine.alias("k")).agg(
         F.count_if(good), F.count_if(~good), F.count_if(good & (F.col("score") > F.lit(threshold))), F.count_if(~good & (F.col("score") <= F.lit(threshold)))).collect()

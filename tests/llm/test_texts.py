@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evigrid.llm import decontaminate as dc
 from evigrid.llm import quality_classifier as qc
@@ -169,6 +170,18 @@ def test_odd_in_any_one_statistic_is_an_anomaly(spark, docs, prose):
         assert of and not any(of), first
 
 
+def test_quantiles_equal_sorted_values(spark):
+    pick = np.random.default_rng(3)
+    many = pick.random(3001)
+    columns = {"a": many, "b": np.round(many, 2), "c": np.full(3001, 0.25), "d": 0.5 + many * 2.0 ** -40, "e": np.where(many < .9, 0.0, many)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns)).repartition(5)
+    for at in (0.0, 0.31, 0.998, 1.0):
+        got = qr.quantiles(df, list(columns), at)
+        assert got == pytest.approx([np.quantile(v, at) for v in columns.values()], rel=1e-14, abs=0)
+    assert qr.quantiles(df.limit(0), ["a"], 0.5) is None
+    assert qr.quantiles(df.limit(1).select(F.lit(0.3).alias("a")), ["a"], 0.998) == [0.3]
+
+
 def test_threshold_uses_labels_of_both_qualities(spark):
     def level(low):
         rows = [(1, *[0.3 + k / 10000] * len(qr.GROUPS)) for k in range(1000)] + [(0, *[low] * len(qr.GROUPS))] * 100
