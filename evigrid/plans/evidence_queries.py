@@ -150,7 +150,12 @@ def a14(spark, sf):
     return _views(spark, sf)[0]
 
 
-@query("a14_view_features", ctes("view_features") + " SELECT doc_id, name, CAST(min(view_no * 1000000 + pos) AS BIGINT) AS place FROM view_features GROUP BY 1, 2")
+# The first view that names it, then the first place there; a place can be above a million
+FIRST_SEEN = """ SELECT doc_id, name, CAST(first.view_no * 1000000 + first.pos AS BIGINT) AS place
+    FROM (SELECT doc_id, name, min({{'view_no': view_no, 'pos': pos}}) AS first FROM {} GROUP BY 1, 2)"""
+
+
+@query("a14_view_features", ctes("view_features") + FIRST_SEEN.format("view_features"))
 def a14_features(spark, sf):
     return _views(spark, sf)[1].select("doc_id", "name", (F.col("place.view_no") * 1000000 + F.col("place.pos")).cast("bigint").alias("place"))
 
@@ -160,7 +165,7 @@ def a14_assignments(spark, sf):
     return fusion.merged_assignments(frame(spark, sf, "placed_assignments"))
 
 
-@query("a14_ambiguities", ctes("view_unresolved") + " SELECT doc_id, name, CAST(min(view_no * 1000000 + pos) AS BIGINT) AS place FROM view_unresolved GROUP BY 1, 2")
+@query("a14_ambiguities", ctes("view_unresolved") + FIRST_SEEN.format("view_unresolved"))
 def a14_ambiguities(spark, sf):
     return fusion.first_seen(frame(spark, sf, "view_unresolved")).select("doc_id", "name", (F.col("place.view_no") * 1000000 + F.col("place.pos")).cast("bigint").alias("place"))
 
