@@ -54,6 +54,11 @@ def _phase(event) -> str:
     return "completed"
 
 
+def _tenths(micros: int) -> float:
+    """Seconds to one place, halves up as in the batch form; round() would take the binary value and halves to even."""
+    return max(0, (micros + 50_000) // 100_000) / 10
+
+
 class _Stages(StatefulProcessor):
     """Starts and finishes of one task. Three variables: the events that the watermark has not passed, the open start, and the time of the timer.
 
@@ -96,7 +101,7 @@ class _Stages(StatefulProcessor):
             if e.is_start:
                 start = (e.at, e.id, e.node)
             else:
-                rows.append((*key, e.id, e.node, _phase(e), max(0.0, round((e.at - start[0]) / 1e6, 1)) if start else 0.0))
+                rows.append((*key, e.id, e.node, _phase(e), _tenths(e.at - start[0]) if start else 0.0))
                 start = None
         start = self._unmatched(key, start, passed, rows)
         self.open.update(start) if start else self.open.clear()

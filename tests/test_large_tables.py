@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from evigrid.plans import ORACLES, QUERIES
+from evigrid.streaming import jobs as streams
 
 FOLDER = "/root/testdata/sf0.001"
 with_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are absent")
@@ -22,3 +24,14 @@ def test_first_view_wins_over_a_place_above_a_million(spark, tmp_path, name):
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("doc_id", "name", "place").collect())
     assert got == sorted(con.execute(f"select doc_id, name, place from ({ORACLES[name]})").fetchall()) and got[0][2] in (1_500_000, 1_200_000)
+
+
+def test_stream_rounds_half_tenths_as_the_batch(spark, tmp_path, rows):
+    from evigrid.operators import jobs
+    df = spark.range(40).select(
+        F.lit("j").alias("job_id"), F.floor(F.col("id") / 2).cast("string").alias("task_id"), "id",
+        F.timestamp_micros(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.floor(F.col("id") / 2) * 100_000 + 50_000) + 1_700_000_000_000_000).alias("ts"),
+        F.lit("ocr").alias("node"), (F.col("id") % 2 == 0).alias("is_start"), F.lit(False).alias("interrupted"), F.lit(False).alias("has_error"), F.lit(None).cast("string").alias("result_status"))
+    end = df.limit(1).select(*[(F.timestamp_seconds(F.lit(1_700_020_000)) if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes])
+    out = streams.run_to_table(streams.stage_timing(streams.feed(df, f"{tmp_path}/in", F.lit(0), 1, end)), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert rows(out, "id", "duration_seconds") == rows(jobs.stage_durations(df), "id", "duration_seconds")
