@@ -13,6 +13,20 @@ FOLDER = "/root/testdata/sf0.001"
 with_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are absent")
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@with_tables
+@pytest.mark.parametrize("name", ["v1_spec_issues", "v20_plan_issues", "v20_expected_geometry", "v3_derived_parameters", "j21_reconciled_ranges", "x19_remapped_pages"])
+def test_no_side_is_broadcast_by_the_size_of_its_file(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    shown = plan(QUERIES[name](spark, FOLDER))
+    fixed = shown.count("LocalTableScan") + shown.count("Scan ExistingRDD")  # fixed tables of the code are broadcast by a hint
+    assert shown.count("BroadcastExchange Hashed") <= fixed
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
 @with_tables
 @pytest.mark.parametrize("name", ["a14_view_features", "a14_ambiguities"])
 def test_first_view_wins_over_a_place_above_a_million(spark, tmp_path, name):
