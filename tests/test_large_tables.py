@@ -49,3 +49,12 @@ def test_stream_rounds_half_tenths_as_the_batch(spark, tmp_path, rows):
     end = df.limit(1).select(*[(F.timestamp_seconds(F.lit(1_700_020_000)) if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes])
     out = streams.run_to_table(streams.stage_timing(streams.feed(df, f"{tmp_path}/in", F.lit(0), 1, end)), f"{tmp_path}/out", f"{tmp_path}/state")
     assert rows(out, "id", "duration_seconds") == rows(jobs.stage_durations(df), "id", "duration_seconds")
+
+
+@with_tables
+def test_tables_are_dealt_out_and_read_once(spark):
+    from evigrid.operators.tables import table_cells
+    from evigrid.plans.shapes import frame
+    # one file, so one task without dealing; the empty places come from the same pass as the cells
+    shown = plan(table_cells(frame(spark, FOLDER, "html_tables")))
+    assert shown.count("REPARTITION_BY_NUM") == 1 and shown.count("FileScan parquet") == 1
