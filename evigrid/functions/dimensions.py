@@ -30,10 +30,11 @@ def _number(text: str | Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group).try_cast("double")
 
 
-def with_dimensions(df: DataFrame, text: str = "text", table_cell: Column | None = None) -> DataFrame:
-    """Add the DIMENSION columns read from `text`; where `table_cell` holds a lone number may carry a lost tolerance.
+def with_dimensions(df: DataFrame, text: str = "text", table_cell: Column | None = None, columns: tuple[str, ...] = DIMENSION) -> DataFrame:
+    """Add the DIMENSION columns (or those named) read from `text`; where `table_cell` holds a lone number may carry a lost tolerance.
 
-    Text with any other letter reads as nothing; so does more than one parenthesised group.
+    Text with any other letter reads as nothing; so does more than one parenthesised group. The columns leave as one row of a generator:
+    a condition on one of them then stays above, where through the projections it would repeat the patterns many times over.
     """
     clean = F.translate(strip(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
     out = df.withColumn("_t", clean)
@@ -68,7 +69,8 @@ def with_dimensions(df: DataFrame, text: str = "text", table_cell: Column | None
         "maximum": F.coalesce(F.greatest("_a", "_b"), F.col("_n") + F.col("_p")),
         "tolerance_plus": F.col("_p"), "tolerance_minus": F.col("_m"),
         "unit": F.when(words, "unknown").when(angle, "deg").when(metric, "mm").otherwise("unknown"),
-        "quantity": F.when(~words, F.regexp_extract("_t", QUANTITY, 1).try_cast("int")),
+        # a try_cast that fails raises and catches an exception, so texts without a quantity do not get there
+        "quantity": F.when(~words & F.col("_t").rlike(QUANTITY), F.regexp_extract("_t", QUANTITY, 1).try_cast("int")),
         "symbol": F.when(words, "").when(F.col("_t").contains("Ø"), "Ø").when(F.col("_t").rlike(r"(?i)\bR\s*\d"), "R").otherwise(""),
         "is_reference": ~words & F.col("_t").rlike(r"(?i)\bREF\b")})
     if table_cell is not None:
@@ -83,13 +85,13 @@ def with_dimensions(df: DataFrame, text: str = "text", table_cell: Column | None
             "quantity": F.when(~F.col("_hit"), F.col("quantity")),
             "symbol": F.when(F.col("_hit"), "").otherwise(F.col("symbol")),
             "is_reference": F.when(F.col("_hit"), tail == "ref").otherwise(F.col("is_reference"))}).drop("_hit")
-    return out.drop("_t", "_lettered", "_words", "_groups", "_v", "_void", "_kind", "_n", "_p", "_m", "_a", "_b")
+    return out.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*columns))))
 
 
 def explicit_count(text: str | Column, low: int = 1, high: int = 512) -> Column:
     """Terminal count stated in words or in a package code."""
     col = strip(F.col(text) if isinstance(text, str) else text)
-    first = F.when(~col.rlike("[A-Za-z]"), F.lit(None)).when(col.rlike(COUNT_WORD), F.regexp_extract(col, COUNT_WORD, 1)).otherwise(F.regexp_extract(col, COUNT_CODE, 1))
+    first = F.when(~col.rlike("[A-Za-z]"), F.lit(None)).when(col.rlike(COUNT_WORD), F.regexp_extract(col, COUNT_WORD, 1)).when(col.rlike(COUNT_CODE), F.regexp_extract(col, COUNT_CODE, 1))
     # The filter reads the value once where a condition would repeat the patterns.
     return F.try_element_at(F.filter(F.array(first.try_cast("int")), lambda v: v.between(low, high)), F.lit(1))
 

@@ -37,7 +37,7 @@ def assignment_values(assignments: DataFrame, tokens: DataFrame, lines: DataFram
     outcome is `fused`, `missing` or `unit`. Numbers within 1e-6 agree; two with a line, or three stacked with
     a line, mean their maximum.
     """
-    typed = with_dimensions(tokens, "text", F.col("value_role").startswith("table_"))
+    typed = with_dimensions(tokens, "text", F.col("value_role").startswith("table_"), ("nominal", "minimum", "maximum", "unit"))
     typed = typed.withColumn("_count", explicit_count("text"))
     refs = assignments.select(*ASSIGNMENT, "canonical_name", F.posexplode("token_ids").alias("_pos", "token_id"))
     rows = refs.join(typed, ["doc_id", "token_id"])
@@ -155,7 +155,7 @@ def semantic_collisions(assignments: DataFrame, tokens: DataFrame, docs: DataFra
 
     Every token keeps one flag per quantity of the exclusive pairs, so owners are never listed.
     """
-    typed = with_dimensions(tokens, "text", F.col("value_role").startswith("table_"))
+    typed = with_dimensions(tokens, "text", F.col("value_role").startswith("table_"), ("nominal", "minimum", "maximum"))
     numbers = typed.where(F.coalesce("nominal", "minimum", "maximum").isNotNull()).select("doc_id", "token_id", "source_region_id")
     families = docs.where(F.col("family_id").isin(*EXCLUSIVE_FAMILIES)).select("doc_id")
     refs = assignments.join(families, "doc_id", "left_semi").select("doc_id", "canonical_name", F.explode("token_ids").alias("token_id"))
@@ -287,7 +287,7 @@ def review_candidate_issues(candidates: DataFrame, assignments: DataFrame, token
     table = cells.select(*view, "token_id").distinct().withColumn("_cell", F.lit(True))
     shown = tokens.join(table, [*view, "token_id"], "left").join(context, [*view, "token_id"], "left").fillna(False, ["_cell", "_context"])
     shown = shown.withColumn("_table", F.col("_cell") | F.col("value_role").startswith("table_"))
-    typed = with_dimensions(shown, "text", F.col("_table"))
+    typed = with_dimensions(shown, "text", F.col("_table"), ("nominal", "minimum", "maximum"))
     facts = typed.select(*view, "token_id", "_table", "_context", F.coalesce("nominal", "minimum", "maximum").isNotNull().alias("_numeric"),
                          explicit_count("text").isNotNull().alias("_count"),
                          (~F.coalesce("source_region_id", F.lit("")).isin("", "unassigned") & (F.col("source_region_id") != F.col("region_id"))).alias("_foreign"))

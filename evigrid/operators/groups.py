@@ -321,7 +321,12 @@ def select_groups(groups: DataFrame, max_groups: int = 12, max_tokens: int = 25)
 # --- stacked ranges ---------------------------------------------------------------------------------------------------
 def stacked_pairs(tokens: DataFrame, lines: DataFrame, cell: float = 128.0) -> DataFrame:
     """Two aligned millimetre values, the larger above, with a separating line between them: (doc_id, upper, lower, line_id)."""
-    typed = with_dimensions(tokens, "text")
+    return _stacked_values(tokens, lines, cell).drop("high", "low")
+
+
+def _stacked_values(tokens: DataFrame, lines: DataFrame, cell: float = 128.0) -> DataFrame:
+    """Stacked pairs with both values."""
+    typed = with_dimensions(tokens, "text", columns=("nominal",))
     plain = typed.where((F.col("unit_context") == "mm") & (F.col("source_region_id") != "unassigned") & ~F.col("value_role").startswith("table_")
                         & strip("text").rlike(r"^\d+(?:[.,]\d+)?$") & F.col("nominal").isNotNull() & (F.col("x2") > F.col("x1")))
     plain = plain.select(*REGION, "id", "nominal", *BOX, F.col("y1").alias("top"), F.col("y2").alias("bottom"))
@@ -335,7 +340,7 @@ def stacked_pairs(tokens: DataFrame, lines: DataFrame, cell: float = 128.0) -> D
     centre = F.abs((F.col("a.x1") + F.col("a.x2")) - (F.col("b.x1") + F.col("b.x2"))) / 2
     overlap = F.least("a.x2", "b.x2") - F.greatest("a.x1", "b.x1")
     pairs = pairs.where((F.col("_h") > 0) & F.col("_gap").between(0, F.col("_h") * 0.65) & (centre <= F.col("_w") * 0.20) & (overlap >= F.col("_w") * 0.80))
-    slots = pairs.select(*REGION, F.col("a.id").alias("upper"), F.col("b.id").alias("lower"), "_w", "_h",
+    slots = pairs.select(*REGION, F.col("a.id").alias("upper"), F.col("b.id").alias("lower"), F.col("a.nominal").alias("high"), F.col("b.nominal").alias("low"), "_w", "_h",
                          F.greatest("a.x1", "b.x1").alias("ix1"), F.least("a.x2", "b.x2").alias("ix2"), F.least("a.x1", "b.x1").alias("ox1"), F.greatest("a.x2", "b.x2").alias("ox2"),
                          F.greatest("a.x1", "b.x1").cast("double").alias("x1"), F.least("a.x2", "b.x2").cast("double").alias("x2"),
                          F.col("a.bottom").cast("double").alias("y1"), F.col("b.top").cast("double").alias("y2"))
@@ -344,7 +349,8 @@ def stacked_pairs(tokens: DataFrame, lines: DataFrame, cell: float = 128.0) -> D
     hits = box_pairs(slots, level, REGION, cell).where(
         (F.col("b.dy") <= F.col("a._h") * 0.10) & (F.least("b.l2", "a.ix2") - F.greatest("b.l1", "a.ix1") >= F.col("a._w") * 0.60)
         & (F.col("b.l1") >= F.col("a.ox1") - F.col("a._w") * 0.20) & (F.col("b.l2") <= F.col("a.ox2") + F.col("a._w") * 0.20))
-    return hits.groupBy(*REGION, F.col("a.upper").alias("upper"), F.col("a.lower").alias("lower")).agg(F.min_by("b.line_id", "b.ord").alias("line_id"))
+    return hits.groupBy(*REGION, F.col("a.upper").alias("upper"), F.col("a.lower").alias("lower")).agg(
+        F.min_by("b.line_id", "b.ord").alias("line_id"), F.max("a.high").alias("high"), F.max("a.low").alias("low"))
 
 
 def labelled_tokens(tokens: DataFrame, cell: float = 128.0) -> DataFrame:
@@ -369,7 +375,7 @@ def reconcile_stacked(assignments: DataFrame, tokens: DataFrame, lines: DataFram
     name = F.col("canonical_name")
     single = assignments.where((F.size("token_ids") == 1) & ~name.endswith("_deg") & ~name.endswith("_count")).select(
         "doc_id", "assignment_id", "canonical_name", F.col("token_ids")[0].alias("id"), "line_ids")
-    pairs = settled(stacked_pairs(tokens, lines))
+    pairs = settled(_stacked_values(tokens, lines))
     labelled = labelled_tokens(tokens)
     box = tokens.select("doc_id", "id", *BOX)
     out = single.select("doc_id", "assignment_id", "id", F.explode("line_ids").alias("line_id")).join(
@@ -394,16 +400,11 @@ def reconcile_stacked(assignments: DataFrame, tokens: DataFrame, lines: DataFram
     blocked = F.col("_upper_label").isNotNull() | F.col("_lower_label").isNotNull() | rival
     # Support of another field: a stacked pair of that field in another region whose range holds the lower value.
     two = assignments.where(F.size("token_ids") == 2).select("doc_id", F.col("canonical_name").alias("lower_name"), "token_ids")
-    value = with_dimensions(tokens, "text").select("doc_id", "id", F.col("nominal").alias("_v"))
-    ranges = two.join(pairs.select("doc_id", F.col("source_region_id").alias("_region"), F.col("upper").alias("_u"), F.col("lower").alias("_l")), "doc_id").where(
-        F.array_contains("token_ids", F.col("_u")) & F.array_contains("token_ids", F.col("_l")))
-    ranges = ranges.join(value.select("doc_id", F.col("id").alias("_u"), F.col("_v").alias("_high")), ["doc_id", "_u"]).join(
-        value.select("doc_id", F.col("id").alias("_l"), F.col("_v").alias("_low")), ["doc_id", "_l"]).select("doc_id", "lower_name", "_region", "_low", "_high")
-    both = both.join(value.select("doc_id", F.col("id").alias("upper"), F.col("_v").alias("_uv")), ["doc_id", "upper"]).join(
-        value.select("doc_id", F.col("id").alias("lower"), F.col("_v").alias("_lv")), ["doc_id", "lower"])
+    ranges = two.join(pairs.select("doc_id", F.col("source_region_id").alias("_region"), F.col("upper").alias("_u"), F.col("lower").alias("_l"), F.col("high").alias("_high"), F.col("low").alias("_low")), "doc_id").where(
+        F.array_contains("token_ids", F.col("_u")) & F.array_contains("token_ids", F.col("_l"))).select("doc_id", "lower_name", "_region", "_low", "_high")
     crossing = (F.col("upper_name") != F.col("lower_name"))
     backed = both.where(crossing).join(ranges, ["doc_id", "lower_name"]).where(
-        (F.col("_region") != F.col("source_region_id")) & (F.col("_low") <= F.col("_lv")) & (F.col("_lv") <= F.col("_high")) & (F.col("_high") < F.col("_uv")))
+        (F.col("_region") != F.col("source_region_id")) & (F.col("_low") <= F.col("low")) & (F.col("low") <= F.col("_high")) & (F.col("_high") < F.col("high")))
     backed = backed.select("doc_id", "upper_assignment", "lower_assignment").distinct().withColumn("_backed", F.lit(True))
     judged = both.join(backed, ["doc_id", "upper_assignment", "lower_assignment"], "left")
     extra = F.size(F.array_except(low, up)) > 0
