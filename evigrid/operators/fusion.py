@@ -291,13 +291,14 @@ def review_candidate_issues(candidates: DataFrame, assignments: DataFrame, token
     facts = typed.select(*view, "token_id", "_table", "_context", F.coalesce("nominal", "minimum", "maximum").isNotNull().alias("_numeric"),
                          explicit_count("text").isNotNull().alias("_count"),
                          (~F.coalesce("source_region_id", F.lit("")).isin("", "unassigned") & (F.col("source_region_id") != F.col("region_id"))).alias("_foreign"))
-    t = trefs.join(facts, [*view, "token_id"], "left")
+    # The references with what is known of them feed several rules, as do the totals.
+    t = settled(trefs.join(facts, [*view, "token_id"], "left"))
     known_lines = lines.select(*view, "line_id", (~F.coalesce("source_region_id", F.lit("")).isin("", "unassigned") & (F.col("source_region_id") != F.col("region_id"))).alias("_foreign"))
-    li = lrefs.join(known_lines, [*view, "line_id"], "left")
+    li = settled(lrefs.join(known_lines, [*view, "line_id"], "left"))
     counting = F.col("canonical_name").isin(*COUNT_FIELDS)
     per = t.groupBy(*key, "canonical_name").agg(
         F.count_if("_numeric").alias("_numbers"), F.count_if(F.col("_numeric") & F.col("_table")).alias("_cells"), F.bool_or(counting & F.coalesce("_count", F.lit(False))).alias("_counted"))
-    per = assignments.select(*key, F.size("line_ids").alias("_lines")).join(per, key, "left").fillna(0, ["_numbers", "_cells"]).fillna(False, ["_counted"])
+    per = settled(assignments.select(*key, F.size("line_ids").alias("_lines")).join(per, key, "left").fillna(0, ["_numbers", "_cells"]).fillna(False, ["_counted"]))
     table_value = (F.col("_numbers") > 0) & (F.col("_cells") == F.col("_numbers"))
     own_count = F.col("_counted") & (F.col("_numbers") == 0)
     rules = per.select(*key, F.explode(F.array_compact(F.array(

@@ -81,3 +81,10 @@ def test_stacked_pairs_carry_their_values(spark):
     pairs = _stacked_values(frame(spark, FOLDER, "stack_tokens"), frame(spark, FOLDER, "stack_lines"))
     got = pairs.selectExpr("min(high > low) AS above", "count(*) AS n").first()
     assert got.above and got.n > 0
+
+
+@with_tables
+def test_review_reads_the_texts_of_its_tokens_once(spark):
+    # every further reading of the tokens' texts computes all dimensions again
+    shown = QUERIES["j25_review_issues"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("Generate inline") <= 1 and shown.count("regexp_count") <= 1
