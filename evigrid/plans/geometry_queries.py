@@ -67,7 +67,7 @@ def j6_lines(spark, sf):
 @query("j6_region_texts", ctes("boxes", "regions", "images") + ", " + GROWN + """ SELECT doc_id, region_id, text, row_number() OVER (PARTITION BY doc_id, region_id ORDER BY confidence DESC, ord) AS place FROM near
   WHERE regexp_matches(text, '[A-Za-z]{3,}|[一-鿿]') QUALIFY place <= 8""")
 def j6_texts(spark, sf):
-    return _summaries(spark, sf)[2]
+    return geometry.region_texts(*_frames(spark, sf, "regions", "boxes", "images"))
 
 
 @query("t3_view_evidence", ctes("boxes", "regions", "images") + ", " + GROWN + f""" SELECT doc_id, region_id, id, own, row_number() OVER (PARTITION BY doc_id, region_id ORDER BY own DESC, confidence DESC, y1, x1, ord) AS place FROM near

@@ -183,3 +183,112 @@ def test_later_pins_see_moved_positions(spark):
         want |= {(str(doc), f"{s}{k}"): at for s, places in (("low", low), ("high", high)) for k, at in enumerate(places)}
     df = spark.createDataFrame(rows, "doc_id string, axis boolean, side string, id string, ord int, at double, span double")
     assert {(r.doc_id, r.id): r["at"] for r in geometry.snapped_sides(df, 0.1).collect()} == want
+
+
+PAGE = "doc_id string, width int, height int"
+REGIONS = "doc_id string, region_id string, ord bigint, x1 int, y1 int, x2 int, y2 int, area_ratio double"
+TOKENS = "doc_id string, id string, ord bigint, text string, confidence double, x1 double, y1 double, x2 double, y2 double, source_region_id string"
+LINES = "doc_id string, line_id string, ord bigint, type string, lx1 int, ly1 int, lx2 int, ly2 int, source_region_id string"
+
+
+def some_page(n=400, regions=60, seed=5):
+    """A page with regions that lie over each other, also beyond its edges and equal ones, and boxes with fractions of pixels."""
+    r = random.Random(seed)
+    areas = []
+    for i in range(regions):
+        x, y, w, h = r.randrange(-10, 190), r.randrange(-10, 90), r.randrange(0, 80), r.randrange(0, 50)
+        areas.append(("d", f"r{i}", i, x, y, x + w, y + h, round(r.random(), 1)))
+    areas += [("d", f"r{regions + i}", regions + i, *a[3:7], 0.5) for i, a in enumerate(areas[:5])]
+    tokens = []
+    for i in range(n):
+        x, y = r.randrange(-60, 880) / 4, r.randrange(-60, 480) / 4
+        tokens.append(("d", str(i), i, "1.5" if i % 3 else "Wide view", round(r.random(), 1), x, y, x + r.choice([0.25, 4, 9.5]), y + r.choice([0.25, 3, 6.5]), r.choice(["r1", "r2", "r7", None])))
+    lines = []
+    for i in range(n):
+        x, y = r.randrange(0, 200), r.randrange(0, 100)
+        lines.append(("d", f"l{i}", i, "ab"[i % 2], x, y, x + r.randrange(0, 20), y + r.randrange(0, 9), r.choice(["r1", "r3", None])))
+    return areas, tokens, lines
+
+
+def grown(a, width=200, height=100):
+    return max(0, a[3] - 24), max(0, a[4] - 24), min(width, a[5] + 24), min(height, a[6] + 24)
+
+
+def meets(box, area):
+    return box[0] <= box[2] and area[0] <= area[2] and area[1] <= area[3] and box[0] <= area[2] and area[0] <= box[2] and box[1] <= area[3] and area[1] <= box[3]
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_regions_by_brute_force(spark, parts):
+    areas, tokens, lines = some_page()
+    regions, boxes = spark.createDataFrame(areas, REGIONS).repartition(parts), spark.createDataFrame(tokens, TOKENS).repartition(parts)
+    page, drawn = spark.createDataFrame([("d", 200, 100)], PAGE), spark.createDataFrame(lines, LINES).repartition(parts)
+
+    def home(t):
+        px, py = (t[5] + t[7]) / 2, (t[6] + t[8]) / 2
+        inside = [a for a in areas if a[3] <= px <= a[5] and a[4] <= py <= a[6]]
+        return min(inside, key=lambda a: (a[7], a[2]))[1] if inside else "unassigned"
+    assert {r["id"]: r["region_id"] for r in geometry.assign_regions(boxes, regions).collect()} == {t[1]: home(t) for t in tokens}
+
+    near = {a[1]: [t for t in tokens if t[9] == a[1] or meets(t[5:9], grown(a))] for a in areas}
+    counts, kinds = geometry.region_summaries(regions, boxes, drawn, page)
+    assert {r["region_id"]: r["tokens"] for r in counts.collect()} == {k: len(v) for k, v in near.items()}
+    middles = {ln[1]: ((ln[4] + ln[6]) / 2, (ln[5] + ln[7]) / 2) * 2 for ln in lines}
+    want = {(a[1], kind): sum(ln[3] == kind and (ln[8] == a[1] or meets(middles[ln[1]], grown(a))) for ln in lines) for a in areas for kind in "ab"}
+    assert {(r["region_id"], r["type"]): r["lines"] for r in kinds.collect()} == {k: n for k, n in want.items() if n}
+
+    # two texts a region: the slices of the order end before the tokens do
+    texts = {(a[1], i + 1): t[3] for a in areas for i, t in enumerate(sorted((t for t in near[a[1]] if t[3] != "1.5"), key=lambda t: (-t[4], t[2]))[:2])}
+    assert {(r["region_id"], r["place"]): r["text"] for r in geometry.region_texts(regions, boxes, page, 2).collect()} == texts
+    best = {}
+    for a in areas:
+        usable = [t for t in near[a[1]] if t[3] == "1.5" and t[4] >= 0.55]
+        for i, t in enumerate(sorted(usable, key=lambda t: (t[9] is None, t[9] != a[1], -t[4], t[6], t[5], t[2]))[:3]):
+            best[a[1], i + 1] = t[1], t[9] and t[9] == a[1]
+    assert {(r["region_id"], r["place"]): (r["id"], r["own"]) for r in geometry.view_evidence(regions, boxes, page, 3).collect()} == best
+
+
+def test_a_fraction_in_a_region_is_refused(spark):
+    boxes = spark.createDataFrame([("d", "1", 0, "1", 1.0, 1.0, 1.0, 2.0, 2.0, None)], TOKENS)
+    regions = spark.createDataFrame([("d", "r", 0, 0.5, 0.0, 9.0, 9.0, 0.1)], REGIONS.replace("x1 int", "x1 double").replace("y1 int, x2 int, y2 int", "y1 double, x2 double, y2 double"))
+    with pytest.raises(Exception, match="whole pixels"):
+        geometry.assign_regions(boxes, regions).collect()
+
+
+@pytest.mark.parametrize("spread", [3, 40, 400])
+def test_nearest_lines_by_brute_force(spark, spread):
+    r = random.Random(spread)
+    tokens = [("d", str(i), i, "1", 1.0, *(float(v) for v in (x, y, x + 4, y + 8)), None) for i in range(40) for x, y in [(r.randrange(spread), r.randrange(spread))]]
+    lines = [("d", f"l{i}", i, "a", x, y, x + 1, y + 3, None) for i in range(900) for x, y in [(r.randrange(spread), r.randrange(spread))]]
+    got = {(a["id"], a["rank"]): a["line_id"] for a in geometry.link_lines(spark.createDataFrame(tokens, TOKENS), spark.createDataFrame(lines, LINES)).collect()}
+    want = {}
+    for t in tokens:
+        away = sorted((((t[5] + 2 - ln[4] - 0.5) ** 2 + (t[6] + 4 - ln[5] - 1.5) ** 2) ** 0.5, ln[2], ln[1]) for ln in lines)
+        want |= {(t[1], i + 1): x[2] for i, x in enumerate(away[:6]) if x[0] <= 35.0}
+    assert got == want
+
+
+def rows_out(df, tmp_path):
+    """Rows that all steps of a plan give, from the finished plan."""
+    import re
+    df.write.mode("overwrite").parquet(str(tmp_path / "out"))
+    store = df.sparkSession._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList(0, 10**6)
+    last = runs.apply(runs.size() - 1)
+    values = store.executionMetrics(last.executionId())
+    names = {m.accumulatorId(): m.name() for m in (last.metrics().apply(i) for i in range(last.metrics().size()))}
+    total = 0
+    for k, name in names.items():
+        if name == "number of output rows" and values.contains(k):
+            total += int(re.sub(r"\D", "", values.apply(k)))
+    return total
+
+
+def test_pairs_of_a_page_are_not_formed(spark, tmp_path):
+    """Four times the regions and tokens of one page: the rows of all steps follow them, not their pairs."""
+    def rows(n):
+        areas, tokens, _ = some_page(20 * n, 10 * n, n)
+        regions = spark.createDataFrame(areas, REGIONS)
+        boxes = spark.createDataFrame(tokens, TOKENS)
+        return rows_out(geometry.assign_regions(boxes, regions), tmp_path)
+    assert rows(400) < 6 * rows(100)
