@@ -81,10 +81,15 @@ def review_differences(pins: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def set_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys on one side only, labelled missing (left only) or extra (right only)."""
-    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
-    return (a.join(b, keys, "left_anti").withColumn("kind", F.lit("missing"))
-            .unionByName(b.join(a, keys, "left_anti").withColumn("kind", F.lit("extra"))))
+    """Keys on one side only, labelled missing (left only) or extra (right only). Null is a value like others.
+
+    Both sides go through one shuffle into as many tasks as it has, before repeats are removed: most keys are distinct, so removing them first
+    would hold what a task reads.
+    """
+    rows = left.select(*keys, F.lit(True).alias("_left")).unionByName(right.select(*keys, F.lit(False).alias("_left")))
+    dealt = rows.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    sides = dealt.groupBy(*keys).agg(F.bool_or("_left").alias("_any"), F.bool_and("_left").alias("_all")).where(F.col("_any") == F.col("_all"))
+    return sides.select(*keys, F.when(F.col("_any"), "missing").otherwise("extra").alias("kind"))
 
 
 def resolution_issues(resolutions: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -99,3 +99,13 @@ def test_one_channel_written_twice_is_one(spark):
     differ = spark.createDataFrame([("d", "1", "A1N0", "AIN0")], "doc_id string, pin_number string, expected string, observed string")
     seen = spark.createDataFrame([("d", "1", 0.95, False)], "doc_id string, pin_number string, confidence double, uncertain boolean")
     assert [r.reason for r in channels.name_resolution(pins, differ, seen).collect()] == ["channel_number"]
+
+
+def test_set_differences_take_null_as_a_value(spark, rows):
+    """As EXCEPT does: a key with a null on both sides is on both sides, repeats count once."""
+    from evigrid.operators import channels
+    schema = "doc_id string, pin_number string"
+    left = spark.createDataFrame([("d", "1"), ("d", "1"), ("d", None), ("e", None), (None, "2")], schema)
+    right = spark.createDataFrame([("d", "2"), ("d", None), ("d", None), (None, "2"), (None, "3")], schema)
+    got = rows(channels.set_differences(left, right, ["doc_id", "pin_number"]), "doc_id", "pin_number", "kind")
+    assert sorted(got, key=str) == sorted([("d", "1", "missing"), ("e", None, "missing"), ("d", "2", "extra"), (None, "3", "extra")], key=str)
