@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ranked
 from ..session import shared_folder
 from ..sources import commits, files
 from .registry import query, table
@@ -62,8 +63,10 @@ def s3(spark, sf):
   SELECT coalesce(lang, 'none') || '/' || CAST(doc_id AS VARCHAR) AS doc_id, text, NULL AS reason FROM l WHERE k % 5 <> 0
   UNION ALL SELECT coalesce(lang, 'none') || '/' || CAST(doc_id AS VARCHAR), NULL, 'unsupported:txt' FROM l WHERE k % 5 = 0""")
 def s4(spark, sf):
-    from pyspark.sql import Window
-    docs = table(spark, sf, "documents").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    # a language is a few groups at most, so its texts are numbered in buckets of ids; null is a language of its own
+    docs = table(spark, sf, "documents").withColumns({"_lang": F.coalesce("lang", F.lit("")), "_none": F.col("lang").isNull()})
+    bucket = F.coalesce(F.floor(F.col("doc_id") / 1024), F.lit(-2**62))
+    docs = ranked(docs, ["_lang", "_none"], [F.col("doc_id")], bucket, "k")
     extension = F.when(F.col("k") % 5 == 0, ".txt").when(F.col("k") % 2 == 0, ".md").otherwise(".MarkDown")
     rows = docs.select(F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), extension).alias("path"), F.coalesce("text", F.lit("")).alias("value"))
     folder = _put(spark, rows, "corpus")

@@ -40,3 +40,26 @@ def test_settled_tables_can_be_cleared(spark):
     session.clear_settled(spark)
     with pytest.raises(Exception, match="(?i)not.*exist|does not|FILE_NOT_EXIST"):
         df.count()
+
+
+def test_numbers_of_a_language_are_dealt_in_buckets(spark, tmp_path):
+    """s4_text_corpus: a language with all documents is numbered in more than one task, null languages too."""
+    from evigrid.plans import QUERIES
+    docs = [(i, f"text {i}", None if i % 40 == 0 else "en", "s", 6) for i in range(3000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["text"], r["reason"]) for r in QUERIES["s4_text_corpus"](spark, str(tmp_path)).collect()}
+    want, seen = {}, {}
+    for i, text, lang, _, _ in docs:
+        seen[lang] = k = seen.get(lang, 0) + 1
+        want[f"{lang or 'none'}/{i}"] = (None, "unsupported:txt") if k % 5 == 0 else (text, None)
+    assert got == want
+    from evigrid.plans import source_queries
+    held, put = [], source_queries._put
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        source_queries._put = lambda spark, rows, name: held.append(rows) or put(spark, rows, name)
+        QUERIES["s4_text_corpus"](spark, str(tmp_path))
+        assert held[0].where("path LIKE 'en/%'").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        source_queries._put = put
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
