@@ -591,21 +591,24 @@ def expected_geometry(params: DataFrame, docs: DataFrame) -> DataFrame:
                     F.when(f == DSUB, F.col("rear_body_depth")).otherwise(half_y).alias("ymax"), F.lit(0.0).alias("zmin"), top.alias("zmax"))
 
 
+def contract_lists(spark: SparkSession, kind: str) -> DataFrame:
+    """The names of one kind that the contract of a family asks for: (family_id, names ARRAY), one row per family."""
+    return contracts(spark).where(F.col("kind") == kind).groupBy("family_id").agg(F.array_sort(F.collect_set("field")).alias("names"))
+
+
 def gate_requirements(params: DataFrame, docs: DataFrame) -> DataFrame:
-    """Required fields of a document (doc_id, field): the contract, and what its data makes necessary.
+    """Required fields of a document (doc_id, fields ARRAY): the contract, and what its data makes necessary.
 
     docs(doc_id, family_id, package_type). Unequal or odd rows, and SOT names, ask for the rows of a gullwing
-    package one by one.
+    package one by one. A document stays one row: its fields would be many times as many.
     """
-    spark = params.sparkSession
-    fixed = docs.join(F.broadcast(contracts(spark).where("kind = 'required'")), "family_id").select("doc_id", "field")
-    g = docs.where(F.col("family_id") == GULLWING)
+    fixed = contract_lists(params.sparkSession, "required")
     name = F.col("canonical_name")
     seen = params.groupBy("doc_id").agg(
         F.max(F.when(name == "nominal_pin_count", F.col("value"))).alias("_n"),
         *[F.bool_or(name.isin(*names)).alias(a) for a, names in (
             ("_rows", ROWS), ("_widths", ROW_WIDTHS), ("_lengths", ROW_LENGTHS), ("_thick", ROW_THICKNESSES))])
-    flags = g.join(seen, "doc_id", "left").fillna(False, ["_rows", "_widths", "_lengths", "_thick"])
+    flags = docs.join(seen, "doc_id", "left").join(F.broadcast(fixed), "family_id", "left").fillna(False, ["_rows", "_widths", "_lengths", "_thick"])
     n = F.coalesce("_n", F.lit(0.0))
     sot = F.trim(F.coalesce("package_type", F.lit(""))).rlike(SOT_NAME)
     profile = F.col("_lengths") | F.col("_thick")
@@ -615,4 +618,5 @@ def gate_requirements(params: DataFrame, docs: DataFrame) -> DataFrame:
         return F.when(cond, F.array(*[F.lit(x) for x in names])).otherwise(F.array().cast("array<string>"))
     extra = F.concat(fields(sot | F.col("_rows") | F.col("_widths") | profile | odd, ROWS), fields(sot | F.col("_widths") | profile, ROW_WIDTHS),
                      fields(F.col("_lengths"), ROW_LENGTHS), fields(F.col("_thick"), ROW_THICKNESSES))
-    return fixed.unionByName(flags.select("doc_id", F.explode(extra).alias("field")))
+    none = F.array().cast("array<string>")
+    return flags.select("doc_id", F.array_distinct(F.concat(F.coalesce("names", none), F.when(F.col("family_id") == GULLWING, extra).otherwise(none))).alias("fields"))

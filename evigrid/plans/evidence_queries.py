@@ -109,8 +109,7 @@ GATE = VALUES + ctes("ev_docs", "ev_features", "ev_unresolved").replace("WITH",
 def _gate(spark, sf):
     params, issues = fusion.fuse_fields(_values(spark, sf))
     docs, features, open_ = _frames(spark, sf, "ev_docs", "ev_features", "ev_unresolved")
-    table = families.contracts(spark)
-    wanted = docs.join(F.broadcast(table.where("kind = 'feature'")), "family_id").select("doc_id", F.col("field").alias("feature"))
+    wanted = docs.join(F.broadcast(families.contract_lists(spark, "feature")), "family_id").select("doc_id", F.col("names").alias("features"))
     return fusion.evidence_gate(params, issues.unionByName(open_), families.gate_requirements(params, docs), wanted, features, docs)
 
 
