@@ -10,6 +10,8 @@ from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -59,56 +61,79 @@ def _tenths(micros: int) -> float:
     return max(0, (micros + 50_000) // 100_000) / 10
 
 
+def _blocks(rows: pa.Table, size: int = 10_000) -> list[tuple[bytes]]:
+    """Rows as values of a state, some thousands in each."""
+    out = []
+    for at in range(0, rows.num_rows, size):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows.slice(at, size))
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _rows(state, schema: pa.Schema) -> pa.Table:
+    """What `_blocks` has written."""
+    blocks = [bytes(b[0]) for b in state.get()] if state.exists() else []
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks]) if blocks else schema.empty_table()
+
+
 class _Stages(StatefulProcessor):
-    """Starts and finishes of one task. Three variables: the events that the watermark has not passed, the open start, and the time of the timer.
+    """Starts and finishes of the tasks of one bucket. Three variables: the events that the watermark has not passed, the open starts, and the time of the timer.
 
-    An event waits until the watermark has passed it, so that events are paired in their order in time, whatever the order they came in.
+    An event waits until the watermark has passed it, so that events are paired in their order in time, whatever the order they came in. A state costs about as
+    much for one row as for a block of thousands, so the tasks of a bucket share theirs and rows are kept in blocks.
     """
 
-    FIELDS = "at bigint, id bigint, node string, is_start boolean, interrupted boolean, has_error boolean, result_status string"
-    Event = namedtuple("Event", [f.split()[0] for f in FIELDS.split(", ")])
+    TASK = (("job_id", pa.string()), ("task_id", pa.string()), ("at", pa.int64()), ("id", pa.int64()), ("node", pa.string()))
+    STARTS = pa.schema(TASK)
+    EVENTS = pa.schema((*TASK, ("is_start", pa.bool_()), ("interrupted", pa.bool_()), ("has_error", pa.bool_()), ("result_status", pa.string())))
+    Event = namedtuple("Event", EVENTS.names)
 
     def __init__(self, idle_seconds: int | None):
         self.idle = idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.FIELDS)
-        self.open = handle.getValueState("open", "at bigint, id bigint, node string")
+        self.waiting = handle.getListState("waiting", "block binary")
+        self.open = handle.getListState("open", "block binary")
         self.due = handle.getValueState("due", "at bigint")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        start = initialState.iloc[0]
-        self.open.update((int(start["at"]), int(start["id"]), start["node"]))
-        self._wake(self._idle_end())
+        if len(initialState):
+            self.open.appendList(_blocks(pa.Table.from_pandas(initialState[self.STARTS.names], self.STARTS, preserve_index=False)))
+            self._wake(self._idle_end(int(initialState["at"].min())))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [self.Event(e.ts.value // 1000, *(None if pd.isna(x) else x for x in e[1:])) for batch in rows for e in batch[["ts", *self.Event._fields[1:]]].itertuples(index=False)]
-        fresh = [e for e in fresh if e.id is not None]  # others only move the clock
-        if fresh:
-            self.waiting.appendList([tuple(e) for e in fresh])
-            self._wake(min(e.at for e in fresh) // 1000)
+        for batch in rows:
+            batch = batch[batch["id"].notna()]  # others only move the clock
+            if len(batch):
+                at = batch["ts"].astype("datetime64[us]").astype("int64")
+                self.waiting.appendList(_blocks(pa.Table.from_pandas(batch.assign(at=at)[self.EVENTS.names], self.EVENTS, preserve_index=False)))
+                self._wake(int(at.min()) // 1000)
         yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed, rows = timerValues.getCurrentWatermarkInMs() * 1000 + 999, []
         self.due.clear()
-        events = sorted((self.Event(*e) for e in self.waiting.get()), key=lambda e: (e.at, e.id)) if self.waiting.exists() else []
-        later = [e for e in events if e.at > passed]
-        start = self.open.get() if self.open.exists() else None
-        for e in events[:len(events) - len(later)]:
-            start = self._unmatched(key, start, e.at, rows)
+        events = _rows(self.waiting, self.EVENTS).sort_by([("at", "ascending"), ("id", "ascending")])
+        now = pc.sum(pc.less_equal(events["at"], passed)).as_py() or 0
+        starts = {s[:2]: s[2:] for s in zip(*(c.to_pylist() for c in _rows(self.open, self.STARTS).columns), strict=True)}
+        for e in map(self.Event._make, zip(*(c.to_pylist() for c in events.slice(0, now).columns), strict=True)):
+            task = e[:2]
+            start = self._unmatched(task, starts.pop(task, None), e.at, rows)
             if e.is_start:
-                start = (e.at, e.id, e.node)
+                starts[task] = (e.at, e.id, e.node)
             else:
-                rows.append((*key, e.id, e.node, _phase(e), _tenths(e.at - start[0]) if start else 0.0))
-                start = None
-        start = self._unmatched(key, start, passed, rows)
-        self.open.update(start) if start else self.open.clear()
-        self.waiting.put([tuple(e) for e in later]) if later else self.waiting.clear()
-        ends = [later[0].at // 1000] if later else []
-        if start and self.idle:
-            ends.append(self._idle_end())
+                rows.append((*task, e.id, e.node, _phase(e), _tenths(e.at - start[0]) if start else 0.0))
+        starts = {task: start for task, start in starts.items() if self._unmatched(task, start, passed, rows)}
+        left = [(*task, *start) for task, start in starts.items()]
+        self.open.put(_blocks(pa.table(list(map(list, zip(*left, strict=True))), schema=self.STARTS))) if left else self.open.clear()
+        later = events.slice(now)
+        self.waiting.put(_blocks(later)) if later.num_rows else self.waiting.clear()
+        ends = [later["at"][0].as_py() // 1000] if later.num_rows else []
+        if left and self.idle:
+            ends.append(self._idle_end(min(start[0] for start in starts.values())))
         if ends:
             self._wake(min(ends))
         yield self._frame(rows)
@@ -116,18 +141,18 @@ class _Stages(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _idle_end(self) -> int:
-        return self.open.get()[0] // 1000 + self.idle * 1000 if self.idle else 0
+    def _idle_end(self, at: int) -> int:
+        return at // 1000 + self.idle * 1000 if self.idle else 0
 
-    def _unmatched(self, key, start, until: int, rows: list):
+    def _unmatched(self, task, start, until: int, rows: list):
         """The open start, or none if nothing finished it for the idle time: then it ends as an error."""
         if not start or not self.idle or until < start[0] + self.idle * 1_000_000:
             return start
-        rows.append((*key, start[1], start[2], "error", float(self.idle)))
+        rows.append((*task, start[1], start[2], "error", float(self.idle)))
         return None
 
     def _wake(self, at: int) -> None:
-        """One timer per key, at the earliest time asked for."""
+        """One timer per bucket, at the earliest time asked for."""
         if not at:
             return
         due = self.due.get()[0] if self.due.exists() else None
@@ -145,18 +170,21 @@ STAGES = "job_id string, task_id string, id bigint, node string, phase string, d
 PROGRESS = ("job_id", "task_id", "id", "ts", "node", "is_start", "interrupted", "has_error", "result_status")
 
 
-def stage_timing(progress: DataFrame, delay: str = DELAY, idle_seconds: int | None = None, started: DataFrame | None = None) -> DataFrame:
+def stage_timing(progress: DataFrame, delay: str = DELAY, idle_seconds: int | None = None, started: DataFrame | None = None,
+                 buckets: int = 256) -> DataFrame:
     """Pair starts and finishes per task, in their order in time, once the watermark has passed them.
 
     progress(job_id, task_id, id, ts, node, is_start, interrupted, has_error, result_status). With `idle_seconds`, a start that nothing finishes for that long (event
     time) ends as an error. `started` (batch: job_id, task_id, id, node, ts; see `open_stages`) are starts that an earlier run left open. Rows without id only move the
-    clock, so a source can close a stream with one. Rows behind the watermark are left out; `LateRows` counts them.
+    clock, so a source can close a stream with one. Rows behind the watermark are left out; `LateRows` counts them. Tasks are dealt into `buckets`; a bucket holds the
+    events of its tasks that the watermark has not passed, and keeps its number for the life of a checkpoint.
     """
+    bucket = F.pmod(F.xxhash64("job_id", "task_id"), F.lit(buckets))
     timed = progress.select(*PROGRESS).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     first = None
     if started is not None:
-        first = started.select("job_id", "task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("bigint").alias("id"), "node").groupBy("job_id", "task_id")
-    return timed.groupBy("job_id", "task_id").transformWithStateInPandas(_Stages(idle_seconds), STAGES, "append", "EventTime", first)
+        first = started.select("job_id", "task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("bigint").alias("id"), "node").withColumn("_bucket", bucket).groupBy("_bucket")
+    return timed.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(_Stages(idle_seconds), STAGES, "append", "EventTime", first)
 
 
 def open_stages(progress: DataFrame) -> DataFrame:
@@ -291,11 +319,11 @@ def with_state_store(spark: SparkSession) -> None:
 def feed(df: DataFrame, path: str, arrival: Column, parts: int, last: DataFrame | None = None) -> DataFrame:
     """Write a table as files that arrive one after the other, by an integer column from 0 to parts - 1, and stream them a file at a time.
 
-    `last` are the rows of the closing file. Each file is one append, so their times are in order.
+    `last` are the rows of the closing file. Each file is one append, so their times are in order. All tasks read the table, one writes the file.
     """
     marked = df.withColumn("_part", arrival)
     for k in range(parts):
-        marked.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        marked.where(F.col("_part") == k).drop("_part").repartition(1).write.mode("append").parquet(path)
     if last is not None:
         last.select(df.columns).coalesce(1).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

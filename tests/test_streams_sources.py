@@ -40,6 +40,14 @@ def test_stage_timing_of_disordered_events_equals_batch(spark, tmp_path, rows):
     assert rows(out, *cols) == rows(jobs.stage_durations(df), *cols)
 
 
+def test_tasks_of_one_bucket_share_a_state(spark, tmp_path, rows):
+    df = progress(spark).withColumn("node", F.when(F.col("id") % 5 > 0, F.col("node")))
+    source = streams.feed(df, f"{tmp_path}/in", F.floor(F.col("id") / 100).cast("int"), 3, clock(spark, PROGRESS, 1_700_020_000))
+    out = streams.run_to_table(streams.stage_timing(source, buckets=1), f"{tmp_path}/out", f"{tmp_path}/state")
+    cols = ["job_id", "task_id", "id", "node", "phase", "duration_seconds"]
+    assert rows(out, *cols) == rows(jobs.stage_durations(df), *cols)
+
+
 def test_stages_go_on_from_a_batch_and_idle_starts_end(spark, tmp_path, rows):
     df = progress(spark)
     head, tail = df.where("id < 150"), df.where("id >= 150")
