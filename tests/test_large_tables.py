@@ -88,3 +88,17 @@ def test_review_reads_the_texts_of_its_tokens_once(spark):
     # a rule that computes the references again reads the token table again: 24 readings when every rule did
     shown = QUERIES["j25_review_issues"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("Relation [l_") <= 6
+
+
+@with_tables
+def test_both_halves_of_the_stages_have_one_cut(spark, monkeypatch, rows):
+    """r1_resumed_stages: an approximate median that is computed with each half may differ between them, and a start between two medians is lost."""
+    from evigrid.operators import jobs
+    halves, first, fed = [], streams.open_stages, streams.feed
+    monkeypatch.setattr(streams, "open_stages", lambda df: halves.append(df) or first(df))
+    monkeypatch.setattr(streams, "feed", lambda df, *rest: halves.append(df) or fed(df, *rest))
+    out = QUERIES["r1_resumed_stages"](spark, FOLDER)
+    assert len(halves) == 2 and not any("percentile" in h._jdf.queryExecution().optimizedPlan().toString() for h in halves)
+    from evigrid.plans.shapes import frame
+    assert sum(h.count() for h in halves) == frame(spark, FOLDER, "progress").count()
+    assert rows(out) == rows(jobs.stage_durations(frame(spark, FOLDER, "progress")))
