@@ -84,10 +84,19 @@ def compact(spark: SparkSession, root: str, schema: str, key: str, batch: int, i
     return commit_batch(latest_of(read_committed(spark, root, schema), key).drop("batch"), into, batch)
 
 
+def _put_file(target: str, value: str) -> None:
+    folder = os.path.dirname(target)
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/.{uuid.uuid4().hex}.part", "w", encoding="utf-8", newline="") as out:
+        out.write(value)
+    os.replace(out.name, target)
+
+
 def put_files(files: DataFrame, root: str, batch: str) -> str:
     """Write (path, value) as text files below `root`/`batch`, which appears as a whole; the folder. For files whose names mean something.
 
-    `root` must be a mounted path that all executors see. A file is written under another name and then renamed, so a task that runs twice leaves one.
+    `root` must be a mounted path that all executors see. A file is written under a hidden name and then renamed, so a task that runs twice leaves one,
+    and what a task that dies was writing is passed over by readers.
     """
     spark, folder = files.sparkSession, f"{root}/{batch}"
     if urlparse(root).scheme not in ("", "file"):
@@ -100,11 +109,7 @@ def put_files(files: DataFrame, root: str, batch: str) -> str:
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for path, value in zip(rows["path"], rows["value"], strict=True):
-                target = f"{local}/{path}"
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(f"{target}.{uuid.uuid4().hex}.part", "w", encoding="utf-8", newline="") as out:
-                    out.write(value)
-                os.replace(out.name, target)
+                _put_file(f"{local}/{path}", value)
             yield pd.DataFrame({"n": [len(rows)]})
 
     files.select("path", "value").mapInPandas(put, "n bigint").agg(F.sum("n")).collect()

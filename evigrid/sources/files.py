@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -87,19 +91,86 @@ def _below(file: str, folder: str) -> Column:
     return F.regexp_replace(F.substring_index(F.url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B"))), tail, -1), r"\.[^./]+$", "")
 
 
+_NAMES = "path string, is_folder boolean, size bigint"
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers leave out as well."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _entries(folders: Iterable[str], deep: bool) -> Iterator[pd.DataFrame]:
+    """What lies in folders, or with `deep` all files in them and in the folders below, some thousands at a time."""
+    left, found = list(folders), []
+    while left:
+        with os.scandir(left.pop()) as entries:
+            for e in entries:
+                if _hidden(e.name):
+                    continue
+                if e.is_dir() and deep:
+                    left.append(e.path)
+                    continue
+                found.append((e.path, e.is_dir(), e.stat().st_size))
+                if len(found) >= 10_000:
+                    yield pd.DataFrame(found, columns=["path", "is_folder", "size"])
+                    found = []
+    yield pd.DataFrame(found, columns=["path", "is_folder", "size"])
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield rows[~rows["is_folder"]]
+        yield from _entries(rows.loc[rows["is_folder"], "path"], True)
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files with their bytes; what is held is a few megabytes and the file that goes beyond them."""
+    for rows in batches:
+        held, size = [], 0
+        for path in rows["path"]:
+            with open(path, "rb") as file:
+                held.append((path, file.read()))
+            size += len(held[-1][1])
+            if size > 8_000_000:
+                yield pd.DataFrame(held, columns=["path", "content"])
+                held, size = [], 0
+        yield pd.DataFrame(held, columns=["path", "content"])
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The path on the executors of a folder that they see as a mounted one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else None
+
+
+#: Bytes that a task reads of a corpus; a file counts as the given number of bytes more
+TASK_BYTES, FILE_COST = 32_000_000, 4096
+
+
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Markdown documents below a folder, and the files of other types with the reason for leaving them.
+    """Markdown documents (doc_id, path, text) below a folder, and the files of other types (doc_id, path, reason) with the reason for leaving them.
 
     A document's id is its path below the folder without the extension, which may be in either case. Only names are read of
-    refused files, never their content.
+    refused files, never their content. Of a mounted folder tasks list the files and read them, so the driver holds no list of
+    them. Folders elsewhere are left to Spark's readers, which keep the list in the driver and pass over empty files.
     """
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    from ..session import settled
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rejects = names.where(~extension.isin(*TEXT_EXTENSIONS)).select("path", F.concat(F.lit("unsupported:"), extension).alias("reason"))
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_GLOB).text(path, wholetext=True)
-    docs = texts.select(_below("_metadata.file_path", path).alias("doc_id"), F.col("_metadata.file_path").alias("path"),
-                        F.col("value").alias("text"))
-    return docs, rejects
+    reason = F.concat(F.lit("unsupported:"), extension).alias("reason")
+    root = _mounted(spark, path)
+    if root is None:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        rejects = names.where(~extension.isin(*TEXT_EXTENSIONS)).select(_below("_metadata.file_path", path).alias("doc_id"), "path", reason)
+        texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_GLOB).text(path, wholetext=True)
+        return texts.select(_below("_metadata.file_path", path).alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), rejects
+    top = spark.range(0, 1, 1, 1).mapInPandas(lambda batches: (e for _ in batches for e in _entries([root], False)), _NAMES)
+    names = settled(top.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(_walk, _NAMES).select("path", "size"))
+    wanted = names.where(extension.isin(*TEXT_EXTENSIONS))
+    cost = wanted.agg(F.sum(F.col("size") + FILE_COST)).first()[0] or 0
+    doc_id = F.regexp_replace(F.substring("path", len(root.rstrip("/")) + 2, 2**31 - 1), r"\.[^./]+$", "").alias("doc_id")
+    texts = wanted.select("path").repartition(cost // TASK_BYTES + 1).mapInPandas(_contents, "path string, content binary")
+    return texts.select(doc_id, "path", F.col("content").cast("string").alias("text")), names.where(~extension.isin(*TEXT_EXTENSIONS)).select(doc_id, "path", reason)
 
 
 def read_job_table(spark: SparkSession, table: str, url: str | None = None, path: str | None = None, partition_column: str | None = None,
