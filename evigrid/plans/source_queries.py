@@ -65,15 +65,21 @@ def s3(spark, sf):
 def s4(spark, sf):
     # a language is a few groups at most, so its texts are numbered in buckets of ids; null is a language of its own
     docs = table(spark, sf, "documents").withColumns({"_lang": F.coalesce("lang", F.lit("")), "_none": F.col("lang").isNull()})
-    bucket = F.coalesce(F.floor(F.col("doc_id") / 1024), F.lit(-2**62))
-    docs = ranked(docs, ["_lang", "_none"], [F.col("doc_id")], bucket, "k")
+    bucket = F.coalesce(F.floor(F.col("doc_id") / 1024), F.lit(2**62))
+    docs = ranked(docs, ["_lang", "_none"], [F.asc_nulls_last("doc_id"), F.col("text")], bucket, "k")
     extension = F.when(F.col("k") % 5 == 0, ".txt").when(F.col("k") % 2 == 0, ".md").otherwise(".MarkDown")
-    rows = docs.select(F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), extension).alias("path"), F.coalesce("text", F.lit("")).alias("value"))
+    # An id may stand in several rows and a text be missing, so the name of a file also has the number of its row and what is missing
+    language = F.regexp_replace(F.regexp_replace(F.url_encode(F.coalesce("lang", F.lit("none"))), "^[.]", "%2E"), "^_", "%5F")
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("."), F.col("k"), F.when(F.col("_none"), "u").otherwise(""), F.when(F.col("text").isNull(), "n").otherwise(""))
+    rows = docs.select(F.concat(language, F.lit("/"), name, extension).alias("path"), F.coalesce("text", F.lit("")).alias("value"))
     folder = _put(spark, rows, "corpus")
     read, refused = files.read_corpus(spark, folder)
+
+    def part(group):
+        return F.regexp_extract("doc_id", r"^(?:([^/]*)/)?([^/.]*)[.]\d+u?(n?)$", group)
     none = F.lit(None).cast("string")
-    name = F.regexp_replace(F.substring_index("path", "/", -2), r"\.[^./]+$", "")
-    return read.select("doc_id", "text", none.alias("reason")).unionByName(refused.select(name.alias("doc_id"), none.alias("text"), "reason"))
+    doc_id = F.concat(F.url_decode(part(1)), F.lit("/"), F.nullif(part(2), F.lit("none"))).alias("doc_id")
+    return read.select(doc_id, F.when(part(3) == "", F.col("text")).alias("text"), none.alias("reason")).unionByName(refused.select(doc_id, none.alias("text"), "reason"))
 
 
 # A second batch replaces the documents it has, and repeating it changes nothing
