@@ -102,3 +102,16 @@ def test_both_halves_of_the_stages_have_one_cut(spark, monkeypatch, rows):
     from evigrid.plans.shapes import frame
     assert sum(h.count() for h in halves) == frame(spark, FOLDER, "progress").count()
     assert rows(out) == rows(jobs.stage_durations(frame(spark, FOLDER, "progress")))
+
+
+def test_attempts_in_a_window_are_counted_in_one_pass(spark):
+    """r2_attempts_in_window: a sliding frame adds up the whole window again for every attempt."""
+    from evigrid.operators import limits
+    times = [None, None, -5, 0, 0, 59, 60, 60, 61, 119, 120, 121, 500, 560, 620, 620, 621]
+    rows = [("login", "c" if k % 3 else None, k, t) for k, t in enumerate(t for t in times for _ in range(4))]
+    df = spark.createDataFrame(rows, "operation string, client string, attempt_id long, at long").withColumn("ts", F.timestamp_seconds("at"))
+    out = limits.attempts_in_window(df, 60)
+    want = {k: sum(c2 == c and (t2 is None if t is None else t2 is not None and t - 60 <= t2 <= t) for _, c2, _, t2 in rows) for _, c, k, t in rows}
+    assert {r.attempt_id: r.in_window for r in out.collect()} == want and out.count() == len(rows)
+    shown = plan(out)
+    assert "unboundedpreceding" in shown and "RangeFrame, -" not in shown
