@@ -167,15 +167,18 @@ def table_groups(tokens: DataFrame) -> DataFrame:
     pairs = key_value_rows(tokens).select(*view, one, none.alias("context_token_ids"), no_id.alias("min_id"), F.col("value_id").alias("nom_id"), no_id.alias("max_id"), "confidence")
     matrix = pin_matrix_rows(tokens).select(*view, one, F.array("context_id").alias("context_token_ids"), F.when(F.col("column") == "min", F.col("value_id")).alias("min_id"),
                                             no_id.alias("nom_id"), F.when(F.col("column") == "max", F.col("value_id")).alias("max_id"), "confidence")
-    key = ["doc_id", "view_id", "label_ids", "context_token_ids", *held, "confidence"]
-    rows = grid.unionByName(pairs).unionByName(matrix).withColumn("token_ids", F.array_distinct(F.array_compact(F.concat("label_ids", F.array(*held)))))
+    # A row of a table may have very many labels, so its members carry its number and not its lists
+    rows = grid.unionByName(pairs).unionByName(matrix).distinct()
+    rows = settled(rows.withColumns({"token_ids": F.array_distinct(F.array_compact(F.concat("label_ids", F.array(*held)))), "_labels": F.size("label_ids"),
+                                     "_row": F.monotonically_increasing_id()}))
     facts = tokens.select("doc_id", "id", F.col("source_region_id").alias("view_id"), "ord", "text", *BOX)
-    members = rows.select("*", F.posexplode("token_ids").alias("_p", "id")).join(facts, ["doc_id", "view_id", "id"])
-    label = F.col("_p") < F.size("label_ids")
-    first = [F.min_by("id", F.when(label & wanted, F.col("_p"))).alias(name) for name, wanted in (
+    members = rows.select("doc_id", "view_id", "_row", "_labels", F.posexplode("token_ids").alias("_p", "id")).join(facts, ["doc_id", "view_id", "id"])
+    label = F.col("_p") < F.col("_labels")
+    first = [F.min(F.when(label & wanted, F.col("_p"))).alias(name) for name, wanted in (
         ("_d", F.col("text").rlike(DESCRIPTIVE)), ("_s", strip("text").rlike("^[A-Za-z\u0370-\u03ff][A-Za-z0-9]?$")))]
-    groups = members.groupBy(*key, "token_ids").agg(
+    places = members.groupBy("_row").agg(
         F.min(F.when(label, F.col("ord"))).alias("ord"), *[F.min(c).cast("int").alias(c) for c in ("x1", "y1")], *[F.max(c).cast("int").alias(c) for c in ("x2", "y2")], *first)
+    groups = rows.join(places, "_row").withColumns({c: F.get("token_ids", F.col(c)) for c in ("_d", "_s")})
     short = F.array_compact(F.array("_d", "_s"))
     prompt = F.concat(F.when(F.size(short) > 0, short).otherwise(F.col("label_ids")), F.col("context_token_ids"), F.array_compact(F.array(F.coalesce("nom_id", "max_id"))))
     return groups.select(
@@ -305,10 +308,11 @@ def select_groups(groups: DataFrame, max_groups: int = 12, max_tokens: int = 25)
         *view, "_s._r", "_s._g", F.col("_s._t").alias("_tokens"), F.lit(1).alias("place"))
     state = settled(state)
     chosen = state
+    small = ranked.where(F.size("_t") <= max_tokens)  # with tokens beyond the budget of its own a group can only come first
     for place in range(2, max_groups + 1):
         held = state.select(*view, F.col("_r").alias("_last"), "_tokens")
         fresh = F.array_except("_t", "_tokens")
-        fits = ranked.join(held, view).where((F.col("_r") > F.col("_last")) & (F.size("_tokens") + F.size(fresh) <= max_tokens))
+        fits = small.join(held, view).where((F.col("_r") > F.col("_last")) & (F.size("_tokens") + F.size(fresh) <= max_tokens))
         state = fits.groupBy(*view).agg(F.min_by(F.struct("_r", "_g", F.array_union("_tokens", "_t").alias("_tokens")), "_r").alias("_s")).select(
             *view, "_s._r", "_s._g", "_s._tokens", F.lit(place).alias("place"))
         state = settled(state)

@@ -115,3 +115,21 @@ def test_attempts_in_a_window_are_counted_in_one_pass(spark):
     assert {r.attempt_id: r.in_window for r in out.collect()} == want and out.count() == len(rows)
     shown = plan(out)
     assert "unboundedpreceding" in shown and "RangeFrame, -" not in shown
+
+
+@with_tables
+def test_members_of_a_table_row_do_not_carry_its_lists(spark):
+    """t4_selected_groups: a row with n labels was n rows with n labels each, which are dealt out and written."""
+    from evigrid.operators.groups import table_groups
+    from evigrid.plans.shapes import frame
+    groups = table_groups(frame(spark, FOLDER, "grid_tokens").unionByName(frame(spark, FOLDER, "head_tokens")))
+    assert groups.agg(F.max(F.size("token_ids"))).first()[0] > 3
+
+    def nodes(p):
+        yield p
+        for i in range(p.children().size()):
+            yield from nodes(p.children().apply(i))
+    made = [n for n in nodes(groups._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Generate" and "posexplode(token_ids" in n.toString()]
+    assert made
+    for n in made:
+        assert not [n.output().apply(i).name() for i in range(n.output().size()) if n.output().apply(i).dataType().typeName() == "array"]
